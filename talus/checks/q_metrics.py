@@ -18,18 +18,22 @@ class Facts:
         self.chosen = chosen(t)
         self.q = S.quarterly_series(self.chosen)
         self.i = S.instant_series(self.chosen)
-        self.tags = S.tag_choice(self.chosen)
+
+    @property
+    def tags(self):
+        return S.tag_choice(self.chosen)
 
     @property
     def entities(self):
-        return self.tags.select("entity_id").distinct()
+        return self.chosen.select("entity_id").distinct()
+
+    @property
+    def grid(self):
+        return M.quarter_grid(self.q)
 
     def metrics(self):
         return M.metrics_wide(self.q, self.i)
 
-    def fcf(self):
-        return M.points(M.owner_fcf(self.q))
-
 
 FULL = "SELECT entity_id, p_end, {v} AS val, {a} AS accn FROM wide WHERE {v} IS NOT NULL"
 
@@ -55,42 +59,32 @@ def _(t):
 
 @query("align_subtract", facts_sql(FULL.format(v="cfo - capex", a="cfo_accn")))
 def _(t):
-    q = Facts(t).q
-    return M.align_subtract(M.only(q, "cfo"), M.only(q, "capex"))
+    return M.align_subtract(Facts(t).grid, "cfo", "capex")
 
 
 @query("align_subtract_optional", facts_sql(FULL.format(v="cfo - coalesce(sbc, 0)", a="cfo_accn")))
 def _(t):
-    q = Facts(t).q
-    return M.align_subtract_optional(M.only(q, "cfo"), M.only(q, "sbc"))
+    return M.align_subtract_optional(Facts(t).grid, "cfo", "sbc")
 
 
 @query("align_add", facts_sql(FULL.format(v="ebitda", a="oi_accn")))
 def _(t):
-    q = Facts(t).q
-    return M.align_add(M.only(q, "operatingIncome"), M.only(q, "depreciationAmortization"))
+    return M.align_add(Facts(t).grid, "oi", "da")
 
 
 @query("gross_profit_fallback", facts_sql(FULL.format(v="gp", a="gp_accn")))
 def _(t):
-    return M.gross_profit(Facts(t).q)
+    return M.gross_profit(Facts(t).grid)
 
 
 @query("owner_fcf", facts_sql(FULL.format(v="fcf", a="cfo_accn")))
 def _(t):
-    return M.owner_fcf(Facts(t).q)
+    return M.owner_fcf(Facts(t).grid)
 
 
 @query("margin_trend", facts_sql(f"SELECT 'gross' AS margin, * FROM ({margin_of('gp')}) UNION ALL SELECT 'operating', * FROM ({margin_of('oi')}) UNION ALL SELECT 'fcf', * FROM ({margin_of('fcf')})"))
 def _(t):
-    q = Facts(t).q
-    rev = M.only(q, "revenue")
-    parts = {"gross": M.gross_profit(q), "operating": M.only(q, "operatingIncome"), "fcf": M.owner_fcf(q)}
-    out = None
-    for name, numer in parts.items():
-        m = M.margin_trend(numer, rev).withColumn("margin", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
+    return M.margin_trend(Facts(t).grid)
 
 
 @query("ttm", facts_sql("SELECT entity_id, concept, sum(val) AS ttm FROM sq WHERE rn <= 4 GROUP BY entity_id, concept HAVING count(*) = 4"))
@@ -105,47 +99,31 @@ def _(t):
 
 @query("capex_intensity", facts_sql("SELECT entity_id, capex_pct_revenue_ttm FROM mx WHERE capex_pct_revenue_ttm IS NOT NULL"))
 def _(t):
-    from talus.functions.columns import ratio_pct
-
-    tt = M.ttm(Facts(t).q)
-    cap = tt.filter("concept = 'capex'").select("entity_id", F.col("ttm").alias("capex"))
-    rev = tt.filter("concept = 'revenue' AND ttm > 0").select("entity_id", F.col("ttm").alias("rev"))
-    return cap.join(rev, "entity_id").select("entity_id", ratio_pct(F.col("capex"), F.col("rev")).alias("capex_pct_revenue_ttm"))
+    return Facts(t).metrics().filter("capex_pct_revenue_ttm IS NOT NULL").select("entity_id", "capex_pct_revenue_ttm")
 
 
 @query("balance_aligned", facts_sql("""SELECT coalesce(c.entity_id, d.entity_id) AS entity_id, c.v AS cash_and_sti, c.accn AS cash_and_sti_accn,
     d.v AS total_debt, d.accn AS total_debt_accn, d.v - c.v AS net_debt FROM l_cash c FULL JOIN l_debt d ON c.entity_id = d.entity_id"""))
 def _(t):
-    return M.balance_aligned(Facts(t).i)
+    cols = ["cash_and_sti", "cash_and_sti_accn", "total_debt", "total_debt_accn"]
+    m = M.instant_metrics(Facts(t).i).filter("cash_and_sti IS NOT NULL OR total_debt IS NOT NULL")
+    return m.select("entity_id", *cols, (F.col("total_debt") - F.col("cash_and_sti")).alias("net_debt"))
 
 
 @query("net_debt_leverage", facts_sql("SELECT entity_id, net_debt, nd_to_ebitda, interest_cover FROM mx"))
 def _(t):
-    f = Facts(t)
-    tt = lambda df, n: M.ttm(df, ("entity_id",)).withColumnRenamed("ttm", n)
-    ebitda = tt(M.points(M.align_add(M.only(f.q, "operatingIncome"), M.only(f.q, "depreciationAmortization"))), "ebitda")
-    ebit = tt(M.only(f.q, "operatingIncome"), "ebit")
-    intr = tt(M.only(f.q, "interestExpense"), "intr")
-    j = f.entities.join(M.balance_aligned(f.i), "entity_id", "left")
-    for x in (ebitda, ebit, intr):
-        j = j.join(x, "entity_id", "left")
-    return j.select(
-        "entity_id", "net_debt",
-        M.leverage(F.col("net_debt"), F.col("ebitda")).alias("nd_to_ebitda"),
-        M.leverage(F.col("ebit"), F.col("intr")).alias("interest_cover"),
-    )
+    return Facts(t).metrics().select("entity_id", "net_debt", "nd_to_ebitda", "interest_cover")
 
 
 @query("cash_runway", facts_sql("SELECT entity_id, v AS cash_runway_q FROM runway"))
 def _(t):
-    f = Facts(t)
-    return M.cash_runway(M.balance_aligned(f.i), f.fcf())
+    return Facts(t).metrics().filter("cash_runway_q IS NOT NULL").select("entity_id", "cash_runway_q")
 
 
 @query("shares_fallback", facts_sql("SELECT entity_id, shares, accn AS shares_accn, yoy AS yoy_pct FROM sh WHERE shares IS NOT NULL"))
 def _(t):
-    f = Facts(t)
-    return M.shares_fallback(f.q, f.i)
+    m = Facts(t).metrics().filter("shares IS NOT NULL")
+    return m.select("entity_id", "shares", "shares_accn", F.col("shares_yoy_pct").alias("yoy_pct"))
 
 
 @query("nearest_yoy", facts_sql(f"""SELECT entity_id, concept, CASE WHEN dist <= 60 THEN {pct('ref', 'cur')} END AS yoy_pct FROM (
@@ -158,35 +136,30 @@ def _(t):
 
 @query("inventory_divergence", facts_sql("SELECT entity_id, inv.v AS inventory_qoq_pct, qoq.v AS revenue_qoq_pct FROM inv LEFT JOIN qoq USING (entity_id)"))
 def _(t):
-    f = Facts(t)
-    inv = M.growth_lag(M.only(f.i, "inventory"), 1, "inventory_qoq_pct").drop("concept")
-    rev = M.growth_lag(M.only(f.q, "revenue"), 1, "revenue_qoq_pct").drop("concept")
-    return inv.join(rev, "entity_id", "left")
+    m = Facts(t).metrics().filter("has_inventory_pair")
+    return m.select("entity_id", "inventory_qoq_pct", "revenue_qoq_pct")
 
 
 @query("revenue_cagr", facts_sql("SELECT entity_id, span_years, v AS revenue_cagr_pct FROM cagr"))
 def _(t):
-    return M.revenue_cagr(Facts(t).q)
+    return Facts(t).metrics().filter("span_years IS NOT NULL").select("entity_id", "span_years", "revenue_cagr_pct")
 
 
 @query("margin_delta_window", facts_sql(f"SELECT 'gross' AS margin, entity_id, v AS delta_bp FROM ({delta_of('gp')}) UNION ALL SELECT 'operating', entity_id, v FROM ({delta_of('oi')})"))
 def _(t):
-    q = Facts(t).q
-    rev = M.only(q, "revenue")
-    g = M.margin_delta_window(M.gross_profit(q), rev).withColumn("margin", F.lit("gross"))
-    o = M.margin_delta_window(M.only(q, "operatingIncome"), rev).withColumn("margin", F.lit("operating"))
-    return g.unionByName(o)
+    return M.margin_delta_window(Facts(t).grid)
 
 
 @query("share_cagr", facts_sql("SELECT entity_id, v AS share_cagr_pct FROM sh_cagr"))
 def _(t):
-    f = Facts(t)
-    return M.share_cagr(f.q, f.i)
+    m = Facts(t).metrics().filter("has_share_pair")
+    return m.select("entity_id", F.col("share_cagr_any_pct").alias("share_cagr_pct"))
 
 
 @query("fcf_consistency", facts_sql("SELECT entity_id, pos AS fcf_positive_quarters, n AS fcf_quarters FROM fpos"))
 def _(t):
-    return M.fcf_consistency(Facts(t).fcf())
+    m = Facts(t).metrics().filter("_fn > 0")
+    return m.select("entity_id", F.col("_fpos").alias("fcf_positive_quarters"), F.col("_fn").alias("fcf_quarters"))
 
 
 @query("provenance_map", facts_sql("""SELECT p.entity_id, p.concept, p.tag, coalesce(q.accn, i.accn) AS accn FROM picks p
@@ -202,8 +175,10 @@ def _(t):
 
 @query("metrics_wide", facts_sql("SELECT * FROM mx"))
 def _(t):
-    f = Facts(t)
-    return f.metrics().drop("revenue_accn", "gross_accn", "op_accn", "fcf_accn", "shares_accn")
+    return Facts(t).metrics().drop(
+        "revenue_accn", "gross_accn", "op_accn", "fcf_accn", "shares_accn", "cash_and_sti_accn", "total_debt_accn",
+        "has_inventory_pair", "share_cagr_any_pct", "has_share_pair", "_fpos", "_fn",
+    )
 
 
 _BAL = f"""SELECT a.entity_id, 'balance-identity' AS rule, a.p_end, {jr('abs(a.val - (l.val + e.val)) / abs(a.val) * 100', 1)} AS detail

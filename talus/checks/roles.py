@@ -77,81 +77,90 @@ def cells_y(d):
     return f"SELECT *, {cum} FROM cells"
 
 
-FACT_COLS = ["taxonomy", "tag", "unit", "p_start", "p_end", "val", "accn", "form", "filed", "pos"]
-
-
-def fact_rows(d: Dialect) -> list[tuple[str, ...]]:
-    out: list[tuple[str, ...]] = []
-
-    def add(tag, val, start, *, unit="'USD'", tax="'us-gaap'", again=False):
-        suffix, lag = ("b", "CASE WHEN restated THEN 100 ELSE 40 END") if again else ("a", "40")
-        v = f"CASE WHEN restated THEN floor(({val}) * 95 / 100) ELSE ({val}) END" if again else val
-        out.append((
-            tax, tag if tag.startswith("CASE") else f"'{tag}'", unit,
-            f"cast({start} as date)", "qend", f"cast({v} as double)",
-            f"concat(cast(entity_id as string), '-', cast(qend as string), '-{suffix}')",
-            "CASE WHEN q = 4 THEN '10-K' ELSE '10-Q' END", d.add("qend", lag),
-            f"qn * 100 + {len(out)}",
-        ))
-
-    rev_tag = (
-        "CASE entity_id % 4 WHEN 0 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax' "
-        "WHEN 1 THEN 'Revenues' WHEN 2 THEN 'SalesRevenueNet' "
-        "ELSE 'RevenueFromContractWithCustomerIncludingAssessedTax' END"
-    )
-    older = (
-        "CASE WHEN entity_id % 8 = 1 AND y <= 1998 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax' "
-        "WHEN entity_id % 8 = 2 THEN 'Revenues' ELSE 'LegacyRevenue' END"
-    )
-    rev_unit = "CASE WHEN entity_id % 13 = 4 THEN 'CAD' ELSE 'USD' END"
-    # A thin quarter is reported for a 60-day period, which is neither quarter nor year.
-    thin = f"CASE WHEN n < 8 THEN {d.add('qend', '-60')} ELSE qstart END"
-    # First three quarters stand alone, the last one is only visible in the full year.
-    year_or_quarter = "CASE WHEN q = 4 THEN ystart ELSE qstart END"
-
-    def stepped(tag, c):
-        add(tag, f"CASE WHEN q = 4 THEN {c}_ytd ELSE {c} END", year_or_quarter)
-        add(tag, f"{c}_ytd", "ystart")
-
-    add("NetIncomeLoss", "floor(ni * 9 / 10)", "qstart", unit="'EUR'")
-    add(rev_tag, "rev", thin, unit=rev_unit)
-    add(rev_tag, "rev", thin, unit=rev_unit, again=True)
-    add(rev_tag, "rev_ytd", "ystart", unit=rev_unit)
-    add(older, "floor(rev / 2)", "qstart")
-    stepped("CASE WHEN entity_id % 3 = 0 THEN 'CostOfRevenue' ELSE 'CostOfGoodsSold' END", "cost")
-    add("CASE WHEN entity_id % 2 = 0 THEN 'GrossProfit' ELSE 'OtherGross' END", "gp", "qstart")
-    stepped("OperatingIncomeLoss", "oi")
-    add("NetIncomeLoss", "ni", "qstart")
-    stepped("DepreciationDepletionAndAmortization", "da")
-    cfo_tag = (
-        "CASE WHEN entity_id % 17 = 9 THEN 'OtherCash' ELSE 'NetCashProvidedByUsedInOperatingActivities' END"
-    )
-    add(cfo_tag, "cfo_ytd", "ystart")
-    add(cfo_tag, "cfo_ytd", "ystart", again=True)
-    add("PaymentsToAcquirePropertyPlantAndEquipment", "capex_ytd", "ystart")
-    add("CASE WHEN entity_id % 3 = 0 THEN 'OtherNoncash' ELSE 'ShareBasedCompensation' END", "sbc_ytd", "ystart")
-    add("InterestExpense", "intr", "qstart")
-    add("WeightedAverageNumberOfDilutedSharesOutstanding", "ws", "qstart", unit="'shares'")
-    cash_tag = "CashAndCashEquivalentsAtCarryingValue"
-    add(cash_tag, "floor(price_c / 2)", "null")
-    add(cash_tag, "floor(price_c / 2)", "null", again=True)
-    add("CASE WHEN entity_id % 6 = 0 THEN 'OtherShortTerm' ELSE 'ShortTermInvestments' END", "disc_c", "null")
-    add("LongTermDebtNoncurrent", "price_c * (entity_id % 5)", "null")
-    add("LongTermDebtCurrent", "tax_c * 2", "null")
-    add("InventoryNet", "qty_c * 50", "null")
-    add("PropertyPlantAndEquipmentNet", "price_c * 2", "null")
-    add("CASE WHEN entity_id % 19 = 11 THEN 'OtherAssets' ELSE 'Assets' END", "price_c * 6", "null")
-    add("Liabilities", "price_c * 3", "null")
-    add("StockholdersEquity", "CASE WHEN entity_id % 10 = 3 THEN floor(price_c * 27 / 10) ELSE price_c * 3 END", "null")
-    add("CASE WHEN entity_id % 9 = 4 THEN 'OtherShares' ELSE 'EntityCommonStockSharesOutstanding' END",
-        "ws", "null", unit="'shares'", tax="'dei'")
-    # String columns need quotes where they are plain names.
-    return [((t if t.startswith("'") else f"'{t}'"), *rest) for t, *rest in out]
-
-
-@role("fx_facts", "cells_y")
+@role("cells_t", "cells_y")
+def cells_t(d):
+    """Which tag each supplier reports under, and the periods its facts cover."""
+    return f"""SELECT *,
+  CASE entity_id % 4 WHEN 0 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax' WHEN 1 THEN 'Revenues'
+    WHEN 2 THEN 'SalesRevenueNet' ELSE 'RevenueFromContractWithCustomerIncludingAssessedTax' END AS rev_tag,
+  CASE WHEN entity_id % 8 = 1 AND y <= 1998 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax'
+    WHEN entity_id % 8 = 2 THEN 'Revenues' ELSE 'LegacyRevenue' END AS older_tag,
+  CASE WHEN entity_id % 13 = 4 THEN 'CAD' ELSE 'USD' END AS rev_unit,
+  CASE WHEN entity_id % 3 = 0 THEN 'CostOfRevenue' ELSE 'CostOfGoodsSold' END AS cost_tag,
+  CASE WHEN entity_id % 2 = 0 THEN 'GrossProfit' ELSE 'OtherGross' END AS gp_tag,
+  CASE WHEN entity_id % 17 = 9 THEN 'OtherCash' ELSE 'NetCashProvidedByUsedInOperatingActivities' END AS cfo_tag,
+  CASE WHEN entity_id % 3 = 0 THEN 'OtherNoncash' ELSE 'ShareBasedCompensation' END AS sbc_tag,
+  CASE WHEN entity_id % 6 = 0 THEN 'OtherShortTerm' ELSE 'ShortTermInvestments' END AS sti_tag,
+  CASE WHEN entity_id % 19 = 11 THEN 'OtherAssets' ELSE 'Assets' END AS assets_tag,
+  CASE WHEN entity_id % 9 = 4 THEN 'OtherShares' ELSE 'EntityCommonStockSharesOutstanding' END AS shares_tag,
+  CASE WHEN n < 8 THEN {d.add('qend', '-60')} ELSE qstart END AS thin_start,
+  CASE WHEN q = 4 THEN ystart ELSE qstart END AS step_start,
+  CASE WHEN q = 4 THEN cost_ytd ELSE cost END AS cost_step,
+  CASE WHEN q = 4 THEN oi_ytd ELSE oi END AS oi_step,
+  CASE WHEN q = 4 THEN da_ytd ELSE da END AS da_step,
+  CASE WHEN restated THEN cast(floor(rev * 95 / 100) as bigint) ELSE rev END AS rev_again,
+  CASE WHEN restated THEN cast(floor(cfo_ytd * 95 / 100) as bigint) ELSE cfo_ytd END AS cfo_again,
+  cast(floor(price_c / 2) as bigint) AS cash,
+  CASE WHEN restated THEN cast(floor(price_c * 95 / 200) as bigint) ELSE cast(floor(price_c / 2) as bigint) END AS cash_again,
+  CASE WHEN entity_id % 10 = 3 THEN cast(floor(price_c * 27 / 10) as bigint) ELSE price_c * 3 END AS equity,
+  price_c * (entity_id % 5) AS ltd, tax_c * 2 AS cd, qty_c * 50 AS inv, price_c * 2 AS ppe, price_c * 6 AS assets,
+  price_c * 3 AS liabilities, cast(floor(ni * 9 / 10) as bigint) AS ni_eur, cast(floor(rev / 2) as bigint) AS rev_half,
+  cast(null as date) AS no_start
+FROM cells_y"""
+
+
+# (tag, unit, start, value, filed again later?) of the facts one supplier-quarter reports. The
+# last quarter of a stepped concept is visible only in the full year. A thin quarter covers 60
+# days, which is neither quarter nor year. What a second filing repeats, it may restate.
+FACT_ROWS = [
+    ("'NetIncomeLoss'", "'EUR'", "qstart", "ni_eur", 0),
+    ("rev_tag", "rev_unit", "thin_start", "rev", 0),
+    ("rev_tag", "rev_unit", "thin_start", "rev_again", 1),
+    ("rev_tag", "rev_unit", "ystart", "rev_ytd", 0),
+    ("older_tag", "'USD'", "qstart", "rev_half", 0),
+    ("cost_tag", "'USD'", "step_start", "cost_step", 0),
+    ("cost_tag", "'USD'", "ystart", "cost_ytd", 0),
+    ("gp_tag", "'USD'", "qstart", "gp", 0),
+    ("'OperatingIncomeLoss'", "'USD'", "step_start", "oi_step", 0),
+    ("'OperatingIncomeLoss'", "'USD'", "ystart", "oi_ytd", 0),
+    ("'NetIncomeLoss'", "'USD'", "qstart", "ni", 0),
+    ("'DepreciationDepletionAndAmortization'", "'USD'", "step_start", "da_step", 0),
+    ("'DepreciationDepletionAndAmortization'", "'USD'", "ystart", "da_ytd", 0),
+    ("cfo_tag", "'USD'", "ystart", "cfo_ytd", 0),
+    ("cfo_tag", "'USD'", "ystart", "cfo_again", 1),
+    ("'PaymentsToAcquirePropertyPlantAndEquipment'", "'USD'", "ystart", "capex_ytd", 0),
+    ("sbc_tag", "'USD'", "ystart", "sbc_ytd", 0),
+    ("'InterestExpense'", "'USD'", "qstart", "intr", 0),
+    ("'WeightedAverageNumberOfDilutedSharesOutstanding'", "'shares'", "qstart", "ws", 0),
+    ("'CashAndCashEquivalentsAtCarryingValue'", "'USD'", "no_start", "cash", 0),
+    ("'CashAndCashEquivalentsAtCarryingValue'", "'USD'", "no_start", "cash_again", 1),
+    ("sti_tag", "'USD'", "no_start", "disc_c", 0),
+    ("'LongTermDebtNoncurrent'", "'USD'", "no_start", "ltd", 0),
+    ("'LongTermDebtCurrent'", "'USD'", "no_start", "cd", 0),
+    ("'InventoryNet'", "'USD'", "no_start", "inv", 0),
+    ("'PropertyPlantAndEquipmentNet'", "'USD'", "no_start", "ppe", 0),
+    ("assets_tag", "'USD'", "no_start", "assets", 0),
+    ("'Liabilities'", "'USD'", "no_start", "liabilities", 0),
+    ("'StockholdersEquity'", "'USD'", "no_start", "equity", 0),
+    ("shares_tag", "'shares'", "no_start", "ws", 0),
+]
+
+
+@role("fx_facts_raw", "cells_t")
+def fx_facts_raw(d):
+    rows = [(t, u, s, v, str(slot), str(again)) for slot, (t, u, s, v, again) in enumerate(FACT_ROWS)]
+    return d.rows("cells_t", ["entity_id", "qend", "q", "qn", "restated"],
+                  ["tag", "unit", "p_start", "v", "slot", "again"], rows)
+
+
+@role("fx_facts", "fx_facts_raw")
 def fx_facts(d):
-    return d.rows("cells_y", ["entity_id"], FACT_COLS, fact_rows(d))
+    lag = "CASE WHEN again = 1 AND restated THEN 100 ELSE 40 END"
+    return f"""SELECT entity_id, CASE WHEN tag = 'EntityCommonStockSharesOutstanding' THEN 'dei' ELSE 'us-gaap' END AS taxonomy,
+  tag, unit, p_start, qend AS p_end, cast(v as double) AS val,
+  concat(cast(entity_id as string), '-', cast(qend as string), CASE WHEN again = 1 THEN '-b' ELSE '-a' END) AS accn,
+  CASE WHEN q = 4 THEN '10-K' ELSE '10-Q' END AS form, {d.add('qend', lag)} AS filed, qn * 100 + slot AS pos
+FROM fx_facts_raw"""
 
 
 @role("fx_payloads", "cells_y")

@@ -1,20 +1,20 @@
 """Quarterly fundamentals.
 
-Long form: one function per operator over ``series_q`` / ``series_i`` rows
-(entity_id, concept, p_end, val, accn, rn with 1 = newest).
-
-Wide form: ``quarter_grid`` lays the duration concepts side by side per quarter end and
-``metrics_wide`` computes every figure in one aggregate over it. Group sizes are bounded by
-the quarters kept, and every step is keyed by ``entity_id``, so after the series step the wide
-form needs no further exchange.
+``series`` / ``instants`` are the long rows of the series step (entity_id, concept, p_end, val,
+accn, rn with 1 = newest). ``quarter_grid`` lays the duration concepts side by side per quarter
+end, so every aligned operator (subtract, add, margins, windows) is arithmetic between columns
+of one row: no joins. All steps are keyed by ``entity_id``, on which the series step already
+partitioned the data, so the grid and everything on it need no further exchange. Group sizes
+are bounded by the quarters kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.functions.columns import js_round, pct_change, ratio_pct, years_between
+from talus.functions.columns import js_round, pct_change
+from talus.functions.sqltext import cagr, jr, pct, years
 from talus.params import DEFAULTS, SanityParams
 
 DURATION = {
@@ -23,39 +23,36 @@ DURATION = {
     "weightedSharesDiluted": "ws",
 }
 TRACKED = ("rev", "gp", "oi", "ni", "cfo", "capex", "fcf", "ebitda", "intr", "ws")
+MARGINS = {"gross": "gp", "operating": "oi", "fcf": "fcf"}
 
 
-# --- long form -------------------------------------------------------------------------
+# --- long rows -------------------------------------------------------------------------
 
 
 def only(series: DataFrame, concept: str) -> DataFrame:
     return series.filter(F.col("concept") == concept)
 
 
-def points(df: DataFrame) -> DataFrame:
-    """Number the points of one derived series per entity, newest first."""
-    w = Window.partitionBy("entity_id").orderBy(F.col("p_end").desc())
-    return df.withColumn("rn", F.row_number().over(w))
-
-
 def growth_lag(series: DataFrame, lag: int, name: str = "growth_pct", shift: int = 0) -> DataFrame:
-    """Growth of the newest point (or ``shift`` points earlier) against ``lag`` points back."""
-    at = lambda k: F.max(F.when(F.col("rn") == k, F.col("val")))
+    """Growth of the newest point (or ``shift`` points earlier) against ``lag`` points back, by
+    position. No row where the series is too short."""
+    a, b = 1 + shift, 1 + shift + lag
+    at = lambda k: f"max(CASE WHEN rn = {k} THEN val END)"
     return (
-        series.filter(F.col("rn").isin(1 + shift, 1 + shift + lag))
-        .groupBy("entity_id", "concept")
-        .agg(at(1 + shift).alias("cur"), at(1 + shift + lag).alias("ref"), F.count("*").alias("n"))
-        .filter("n = 2")
-        .select("entity_id", "concept", pct_change("ref", "cur").alias(name))
+        series.filter(F.col("rn").isin(a, b)).groupBy("entity_id", "concept")
+        .agg(F.expr(pct(at(b), at(a))).alias(name), F.count("*").alias("n")).filter("n = 2").drop("n")
     )
 
 
 def growth_decel(series: DataFrame, lag: int = 4) -> DataFrame:
-    """Year-on-year growth now minus the same one point earlier."""
-    now = growth_lag(series, lag, "now_pct")
-    before = growth_lag(series, lag, "before_pct", shift=1)
-    return now.join(before, ["entity_id", "concept"]).select(
-        "entity_id", "concept", js_round(F.col("now_pct") - F.col("before_pct"), 1).alias("decel_pts")
+    """Growth over ``lag`` points now minus the same one point earlier."""
+    at = lambda k: f"max(CASE WHEN rn = {k} THEN val END)"
+    ends = [1, 2, 1 + lag, 2 + lag]
+    return (
+        series.filter(F.col("rn").isin(*ends)).groupBy("entity_id", "concept")
+        .agg(F.expr(jr(f"{pct(at(1 + lag), at(1))} - {pct(at(2 + lag), at(2))}", 1)).alias("decel_pts"),
+             F.count("*").alias("n"))
+        .filter("n = 4").drop("n")
     )
 
 
@@ -69,70 +66,10 @@ def change_steps(series: DataFrame) -> DataFrame:
     )
 
 
-def _side(b: DataFrame) -> DataFrame:
-    return b.select("entity_id", "p_end", F.col("val").alias("b_val"))
-
-
-def align_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a - b at quarter ends both have."""
-    return a.select("entity_id", "p_end", "val", "accn").join(_side(b), ["entity_id", "p_end"]).select(
-        "entity_id", "p_end", (F.col("val") - F.col("b_val")).alias("val"), "accn"
-    )
-
-
-def align_subtract_optional(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a - b, where a missing b counts as zero."""
-    return a.select("entity_id", "p_end", "val", "accn").join(_side(b), ["entity_id", "p_end"], "left").select(
-        "entity_id", "p_end", (F.col("val") - F.coalesce("b_val", F.lit(0.0))).alias("val"), "accn"
-    )
-
-
-def align_add(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a + b at quarter ends both have."""
-    return a.select("entity_id", "p_end", "val", "accn").join(_side(b), ["entity_id", "p_end"]).select(
-        "entity_id", "p_end", (F.col("val") + F.col("b_val")).alias("val"), "accn"
-    )
-
-
-def gross_profit(series: DataFrame) -> DataFrame:
-    """The reported series where an entity has any, else revenue minus cost; never mixed."""
-    direct = only(series, "grossProfit").select("entity_id", "p_end", "val", "accn")
-    derived = align_subtract(only(series, "revenue"), only(series, "costOfRevenue"))
-    return direct.unionByName(derived.join(direct.select("entity_id").distinct(), "entity_id", "left_anti"))
-
-
-def owner_fcf(series: DataFrame) -> DataFrame:
-    """Operating cash flow minus capex minus stock compensation."""
-    base = align_subtract(only(series, "cfo"), only(series, "capex"))
-    return align_subtract_optional(base, only(series, "sbc"))
-
-
-def margin_trend(numer: DataFrame, denom: DataFrame) -> DataFrame:
-    """Latest margin in percent and its move in basis points against 1 and 4 points back."""
-    pct = (
-        numer.select("entity_id", "p_end", "val", "accn")
-        .join(_side(denom), ["entity_id", "p_end"])
-        .filter("b_val <> 0")
-        .select("entity_id", "p_end", "accn", (F.col("val") / F.col("b_val") * 100).alias("p"))
-    )
-    at = lambda k: F.max(F.when(F.col("rn") == k, F.col("p")))
-    return (
-        points(pct)
-        .filter("rn <= 5")
-        .groupBy("entity_id")
-        .agg(
-            js_round(at(1), 1).alias("latest_pct"),
-            js_round((at(1) - at(2)) * 100).cast("bigint").alias("qoq_bp"),
-            js_round((at(1) - at(5)) * 100).cast("bigint").alias("yoy_bp"),
-            F.max(F.when(F.col("rn") == 1, F.col("accn"))).alias("accn"),
-        )
-    )
-
-
-def ttm(series: DataFrame, keys: tuple[str, ...] = ("entity_id", "concept")) -> DataFrame:
+def ttm(series: DataFrame) -> DataFrame:
     """Sum of the four newest points; no row when there are fewer."""
     return (
-        series.filter("rn <= 4").groupBy(*keys).agg(F.sum("val").alias("ttm"), F.count("*").alias("n"))
+        series.filter("rn <= 4").groupBy("entity_id", "concept").agg(F.sum("val").alias("ttm"), F.count("*").alias("n"))
         .filter("n = 4").drop("n")
     )
 
@@ -147,53 +84,13 @@ def avg_annualized(series: DataFrame, min_points: int = 12) -> DataFrame:
     )
 
 
-def latest_instant(instants: DataFrame, concept: str, name: str) -> DataFrame:
-    return only(instants, concept).filter("rn = 1").select(
-        "entity_id", F.col("p_end").alias(f"{name}_end"), F.col("val").alias(name), F.col("accn").alias(f"{name}_accn")
-    )
-
-
-def balance_aligned(instants: DataFrame) -> DataFrame:
-    """Cash plus short-term investments, and long-term plus current debt, each pair taken at
-    the anchor's own date; a missing partner counts as zero."""
-
-    def pair(anchor: str, partner: str, out: str) -> DataFrame:
-        a = latest_instant(instants, anchor, "a")
-        p = only(instants, partner).select("entity_id", F.col("p_end").alias("a_end"), F.col("val").alias("p"))
-        return a.join(p, ["entity_id", "a_end"], "left").select(
-            "entity_id", (F.col("a") + F.coalesce("p", F.lit(0.0))).alias(out), F.col("a_accn").alias(f"{out}_accn")
-        )
-
-    cash = pair("cash", "shortTermInvestments", "cash_and_sti")
-    debt = pair("longTermDebt", "currentDebt", "total_debt")
-    return cash.join(debt, "entity_id", "full").withColumn(
-        "net_debt", F.col("total_debt") - F.col("cash_and_sti")
-    )
-
-
-def leverage(net_debt: Column, ebitda_ttm: Column) -> Column:
-    return F.when(ebitda_ttm > 0, js_round(net_debt / F.when(ebitda_ttm > 0, ebitda_ttm), 1))
-
-
-def cash_runway(cash: DataFrame, fcf_points: DataFrame) -> DataFrame:
-    """Quarters of liquidity at the mean burn of the two newest quarters, only while burning."""
-    burn = (
-        fcf_points.filter("rn <= 2").groupBy("entity_id")
-        .agg((F.sum("val") / 2).alias("avg_fcf"), F.count("*").alias("n")).filter("n = 2 AND avg_fcf < 0")
-    )
-    return cash.join(burn, "entity_id").select(
-        "entity_id", js_round(F.col("cash_and_sti") / -F.col("avg_fcf"), 1).alias("cash_runway_q")
-    )
-
-
 def nearest_yoy(instants: DataFrame, target_days: int = 365, tolerance: int = 60) -> DataFrame:
-    """Change against the point nearest to a year before the latest; null when the nearest is
-    more than ``tolerance`` days off. Works per concept."""
+    """Change against the point nearest to a year before the latest, per concept; null when
+    even the nearest is more than ``tolerance`` days off."""
     w = Window.partitionBy("entity_id", "concept")
-    off = F.abs(F.datediff("p_end", "last_end") + target_days)
     return (
         instants.withColumn("last_end", F.max("p_end").over(w))
-        .withColumn("off", off)
+        .withColumn("off", F.abs(F.datediff("p_end", "last_end") + target_days))
         .groupBy("entity_id", "concept")
         .agg(
             F.min_by("val", F.struct("off", "p_end")).alias("ref"),
@@ -204,240 +101,228 @@ def nearest_yoy(instants: DataFrame, target_days: int = 365, tolerance: int = 60
     )
 
 
-def shares_fallback(series: DataFrame, instants: DataFrame) -> DataFrame:
-    """Cover-page share count, else weighted diluted; the yearly change follows the source."""
-    cover = latest_instant(instants, "sharesOutstanding", "cover").drop("cover_end")
-    yoy = nearest_yoy(only(instants, "sharesOutstanding")).select("entity_id", F.col("yoy_pct").alias("cover_yoy"))
-    weighted = only(series, "weightedSharesDiluted")
-    last = weighted.filter("rn = 1").select("entity_id", F.col("val").alias("w"), F.col("accn").alias("w_accn"))
-    w_yoy = growth_lag(weighted, 4, "w_yoy").drop("concept")
-    return (
-        cover.join(yoy, "entity_id", "left")
-        .join(last.join(w_yoy, "entity_id", "left"), "entity_id", "full")
-        .select(
-            "entity_id",
-            F.coalesce("cover", "w").alias("shares"),
-            F.coalesce("cover_accn", "w_accn").alias("shares_accn"),
-            F.when(F.col("cover").isNotNull(), F.col("cover_yoy")).otherwise(F.col("w_yoy")).alias("yoy_pct"),
-        )
+def provenance(chosen_tags: DataFrame, series: DataFrame, instants: DataFrame) -> DataFrame:
+    """Per concept the chosen tag and the newest accession."""
+    accn = series.filter("rn = 1").select("entity_id", "concept", "accn").unionByName(
+        instants.filter("rn = 1").select("entity_id", "concept", "accn")
     )
+    return chosen_tags.select("entity_id", "concept", "tag").join(accn, ["entity_id", "concept"], "left")
 
 
-def revenue_cagr(series: DataFrame, min_points: int = 12, min_years: float = 3.0) -> DataFrame:
-    """Growth per year between the first and the last four-quarter window, whose midpoints lie
-    0.75 years closer together than the outer dates."""
-    rev = only(series, "revenue")
-    agg = rev.groupBy("entity_id").agg(
-        years_between(F.min("p_end"), F.max("p_end")).alias("yrs"),
-        F.sum(F.when(F.col("idx") <= 4, F.col("val"))).alias("first4"),
-        F.sum(F.when(F.col("rn") <= 4, F.col("val"))).alias("last4"),
-        F.count("*").alias("n"),
-    )
-    return agg.filter((F.col("n") >= min_points) & (F.col("yrs") >= min_years)).select(
-        "entity_id",
-        js_round("yrs", 1).alias("span_years"),
-        F.when(F.col("first4") > 0, _cagr(F.col("first4"), F.col("last4"), F.col("yrs") - 0.75)).alias("revenue_cagr_pct"),
-    )
+def provenance_map(rows: DataFrame) -> DataFrame:
+    """The same as one map per entity; its size is bounded by the concept dictionary."""
+    entry = F.struct("concept", F.struct("tag", "accn"))
+    return rows.groupBy("entity_id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("provenance"))
 
 
-def _cagr(frm: Column, to: Column, yrs: Column) -> Column:
-    safe = F.when((frm > 0) & (yrs > 0), F.pow(to / F.when(frm > 0, frm), F.lit(1.0) / F.when(yrs > 0, yrs)))
-    return js_round((safe - 1) * 100, 1)
+# --- quarter grid ----------------------------------------------------------------------
 
 
-def margin_delta_window(numer: DataFrame, revenue: DataFrame) -> DataFrame:
-    """Margin over the first four revenue quarters against the last four, in basis points."""
-    j = (
-        revenue.filter("val <> 0 AND (idx <= 4 OR rn <= 4)").select("entity_id", "p_end", "idx", "rn", F.col("val").alias("d"))
-        .join(_side(numer), ["entity_id", "p_end"])
-    )
-    part = lambda k, c: F.sum(F.when(F.col(k) <= 4, F.col(c)))
-    m = j.groupBy("entity_id").agg(
-        F.try_divide(part("idx", "b_val"), part("idx", "d")).alias("first"),
-        F.try_divide(part("rn", "b_val"), part("rn", "d")).alias("last"),
-    )
-    return m.filter("first IS NOT NULL AND last IS NOT NULL").select(
-        "entity_id", js_round((F.col("last") - F.col("first")) * 10000).cast("bigint").alias("delta_bp")
+def quarter_grid(series: DataFrame) -> DataFrame:
+    """One row per entity and quarter end, concepts side by side, plus the derived series.
+
+    ``gp`` is the reported gross profit where the entity reports any, else revenue minus cost,
+    never mixed. ``fcf`` is operating cash flow minus capex minus stock compensation (missing
+    compensation counts as zero); ``fcf_raw`` leaves compensation in. For each tracked series
+    ``r_*`` is the position from the newest point; ``rm_*`` the same among quarters whose
+    revenue is known and not zero; ``i_rev`` counts revenue from the oldest.
+    """
+    pick = [f"max(CASE WHEN concept = '{c}' THEN val END) AS {a}" for c, a in DURATION.items()]
+    pick += [
+        f"max(CASE WHEN concept = '{c}' THEN accn END) AS {DURATION[c]}_accn"
+        for c in ("revenue", "cfo", "grossProfit", "operatingIncome", "weightedSharesDiluted")
+    ]
+    g = series.groupBy("entity_id", "p_end").agg(*map(F.expr, pick)).selectExpr(
+        "*", "count(gpd) OVER (PARTITION BY entity_id) > 0 AS has_gp"
+    ).selectExpr(
+        "*",
+        "CASE WHEN has_gp THEN gpd ELSE rev - cost END AS gp",
+        "CASE WHEN has_gp THEN gpd_accn ELSE rev_accn END AS gp_accn",
+        "cfo - capex - coalesce(sbc, 0D) AS fcf",
+        "cfo - capex AS fcf_raw",
+        "oi + da AS ebitda",
+    )
+    down = "OVER (PARTITION BY entity_id ORDER BY p_end DESC ROWS UNBOUNDED PRECEDING)"
+    up = "OVER (PARTITION BY entity_id ORDER BY p_end ROWS UNBOUNDED PRECEDING)"
+    matched = lambda s: f"CASE WHEN {s} IS NOT NULL AND rev <> 0 THEN 1 END"
+    return g.selectExpr(
+        "*",
+        *[f"CASE WHEN {s} IS NOT NULL THEN count({s}) {down} END AS r_{s}" for s in TRACKED],
+        *[f"CASE WHEN {matched(s)} = 1 THEN count({matched(s)}) {down} END AS rm_{s}" for s in MARGINS.values()],
+        f"CASE WHEN rev IS NOT NULL THEN count(rev) {up} END AS i_rev",
     )
 
 
-def share_cagr(series: DataFrame, instants: DataFrame, min_years: float = 3.0) -> DataFrame:
-    """First to last share count; cover-page counts if there are two, else weighted."""
-    cover = only(instants, "sharesOutstanding").select("entity_id", "p_end", "val", F.lit(0).alias("src"))
-    weighted = only(series, "weightedSharesDiluted").select("entity_id", "p_end", "val", F.lit(1).alias("src"))
-    agg = (
-        cover.unionByName(weighted).groupBy("entity_id", "src")
-        .agg(F.min_by("val", "p_end").alias("s0"), F.max_by("val", "p_end").alias("s1"),
-             years_between(F.min("p_end"), F.max("p_end")).alias("yrs"), F.count("*").alias("n"))
-        .filter("n >= 2")
-        .groupBy("entity_id").agg(F.min_by(F.struct("s0", "s1", "yrs"), "src").alias("b"))
+def align_subtract(grid: DataFrame, a: str, b: str) -> DataFrame:
+    """a - b at quarter ends both have."""
+    return grid.filter(f"{a} IS NOT NULL AND {b} IS NOT NULL").selectExpr(
+        "entity_id", "p_end", f"{a} - {b} AS val", f"{a}_accn AS accn"
     )
-    ok = (F.col("b.yrs") >= min_years) & (F.col("b.s0") > 0)
-    return agg.select("entity_id", F.when(ok, _cagr(F.col("b.s0"), F.col("b.s1"), F.col("b.yrs"))).alias("share_cagr_pct"))
 
 
-def fcf_consistency(fcf_points: DataFrame) -> DataFrame:
-    return fcf_points.groupBy("entity_id").agg(
-        F.count_if(F.col("val") > 0).alias("fcf_positive_quarters"), F.count("*").alias("fcf_quarters")
+def align_subtract_optional(grid: DataFrame, a: str, b: str) -> DataFrame:
+    """a - b, where a missing b counts as zero."""
+    return grid.filter(f"{a} IS NOT NULL").selectExpr(
+        "entity_id", "p_end", f"{a} - coalesce({b}, 0D) AS val", f"{a}_accn AS accn"
     )
 
 
-def provenance(chosen_tags: DataFrame, series: DataFrame, instants: DataFrame) -> DataFrame:
-    """Per concept the chosen tag and the newest accession."""
-    accn = series.filter("rn = 1").select("entity_id", "concept", "accn").unionByName(
-        instants.filter("rn = 1").select("entity_id", "concept", "accn")
+def align_add(grid: DataFrame, a: str, b: str) -> DataFrame:
+    """a + b at quarter ends both have."""
+    return grid.filter(f"{a} IS NOT NULL AND {b} IS NOT NULL").selectExpr(
+        "entity_id", "p_end", f"{a} + {b} AS val", f"{a}_accn AS accn"
     )
-    return chosen_tags.select("entity_id", "concept", "tag").join(accn, ["entity_id", "concept"], "left")
 
 
-def provenance_map(rows: DataFrame) -> DataFrame:
-    """The same as one map per entity; its size is bounded by the concept dictionary."""
-    entry = F.struct("concept", F.struct("tag", "accn"))
-    return rows.groupBy("entity_id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("provenance"))
+def gross_profit(grid: DataFrame) -> DataFrame:
+    return grid.filter("gp IS NOT NULL").selectExpr("entity_id", "p_end", "gp AS val", "gp_accn AS accn")
 
 
-# --- wide form -------------------------------------------------------------------------
+def owner_fcf(grid: DataFrame) -> DataFrame:
+    return grid.filter("fcf IS NOT NULL").selectExpr("entity_id", "p_end", "fcf AS val", "cfo_accn AS accn")
 
 
-def quarter_grid(series: DataFrame) -> DataFrame:
-    """One row per entity and quarter end, concepts side by side, plus the derived series and,
-    for each tracked one, its position from the newest (``r_*``) and its length (``n_*``)."""
-    pick = [F.max(F.when(F.col("concept") == c, F.col("val"))).alias(a) for c, a in DURATION.items()]
-    accn = [
-        F.max(F.when(F.col("concept") == c, F.col("accn"))).alias(f"{a}_accn")
-        for c, a in (("revenue", "rev"), ("cfo", "cfo"), ("grossProfit", "gpd"), ("operatingIncome", "oi"),
-                     ("weightedSharesDiluted", "ws"))
+def _at(s: str, k: int) -> str:
+    return f"max(CASE WHEN r_{s} = {k} THEN {s} END)"
+
+
+def _last4(s: str) -> str:
+    return f"CASE WHEN count_if(r_{s} <= 4) = 4 THEN sum(CASE WHEN r_{s} <= 4 THEN {s} END) END"
+
+
+def _margin(s: str, k: int) -> str:
+    return f"max(CASE WHEN rm_{s} = {k} THEN {s} / rev * 100 END)"
+
+
+def _margin_cols(s: str, prefix: str) -> list[str]:
+    accn = {"gp": "gp_accn", "oi": "oi_accn", "fcf": "cfo_accn"}[s]
+    bp = lambda k: f"CAST({jr(f'({_margin(s, 1)} - {_margin(s, k)}) * 100')} AS BIGINT)"
+    return [
+        f"{jr(_margin(s, 1), 1)} AS {prefix}_pct", f"{bp(2)} AS {prefix}_qoq_bp", f"{bp(5)} AS {prefix}_yoy_bp",
+        f"max(CASE WHEN rm_{s} = 1 THEN {accn} END) AS {prefix}_accn",
     ]
-    all_w = Window.partitionBy("entity_id")
-    g = series.groupBy("entity_id", "p_end").agg(*pick, *accn)
-    has_gp = F.count("gpd").over(all_w) > 0
-    g = g.withColumn("has_gp", has_gp).select(
-        "*",
-        F.when(F.col("has_gp"), F.col("gpd")).otherwise(F.col("rev") - F.col("cost")).alias("gp"),
-        F.when(F.col("has_gp"), F.col("gpd_accn")).otherwise(F.col("rev_accn")).alias("gp_accn"),
-        (F.col("cfo") - F.col("capex") - F.coalesce("sbc", F.lit(0.0))).alias("fcf"),
-        (F.col("cfo") - F.col("capex")).alias("fcf_raw"),
-        (F.col("oi") + F.col("da")).alias("ebitda"),
-    )
-    down = Window.partitionBy("entity_id").orderBy(F.col("p_end").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("entity_id").orderBy("p_end").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = [F.when(F.col(s).isNotNull(), F.count(s).over(down)).alias(f"r_{s}") for s in TRACKED]
-    for s in ("gp", "oi", "fcf"):
-        matched = F.when(F.col(s).isNotNull() & (F.col("rev") != 0), F.lit(1))
-        ranks.append(F.when(matched.isNotNull(), F.count(matched).over(down)).alias(f"rm_{s}"))
-    return g.select("*", *ranks, F.when(F.col("rev").isNotNull(), F.count("rev").over(up)).alias("i_rev"))
 
 
-def metrics_wide(series: DataFrame, instants: DataFrame) -> DataFrame:
-    """Every figure of an entity in one row."""
-    c = F.col
-
-    def at(s: str, k: int, rank: str | None = None) -> Column:
-        return F.max(F.when(c(rank or f"r_{s}") == k, c(s)))
-
-    def last4(s: str) -> Column:
-        return F.when(F.count_if(c(f"r_{s}") <= 4) == 4, F.sum(F.when(c(f"r_{s}") <= 4, c(s))))
-
-    def mean5(s: str) -> Column:
-        return F.when(F.count(s) >= 12, F.sum(s) / F.count(s) * 4)
-
-    def growth(s: str, a: int, b: int) -> Column:
-        return pct_change(at(s, b), at(s, a))
-
-    def margin(s: str, out: str) -> list[Column]:
-        p = lambda k: F.max(F.when(c(f"rm_{s}") == k, c(s) / c("rev") * 100))
-        src = {"gp": "gp_accn", "oi": "oi_accn", "fcf": "cfo_accn"}[s]
-        return [
-            js_round(p(1), 1).alias(f"{out}_pct"),
-            js_round((p(1) - p(2)) * 100).cast("bigint").alias(f"{out}_qoq_bp"),
-            js_round((p(1) - p(5)) * 100).cast("bigint").alias(f"{out}_yoy_bp"),
-            F.max(F.when(c(f"rm_{s}") == 1, c(src))).alias(f"{out}_accn"),
-        ]
-
-    def window_margin(s: str) -> Column:
-        ok = c(s).isNotNull() & (c("rev") != 0)
-        one = lambda k: F.try_divide(F.sum(F.when(ok & (c(k) <= 4), c(s))), F.sum(F.when(ok & (c(k) <= 4), c("rev"))))
-        return js_round((one("r_rev") - one("i_rev")) * 10000).cast("bigint")
-
-    rev_end = lambda f: f(F.when(c("rev").isNotNull(), c("p_end")))
-    q = quarter_grid(series).groupBy("entity_id").agg(
-        F.max(F.when(c("r_rev") == 1, c("p_end"))).alias("as_of_quarter"),
-        at("rev", 1).alias("revenue_latest"),
-        F.max(F.when(c("r_rev") == 1, c("rev_accn"))).alias("revenue_accn"),
-        growth("rev", 1, 2).alias("revenue_qoq_pct"),
-        growth("rev", 1, 5).alias("revenue_yoy_pct"),
-        js_round(growth("rev", 1, 5) - growth("rev", 2, 6), 1).alias("revenue_decel_pts"),
-        *margin("gp", "gross"), *margin("oi", "op"), *margin("fcf", "fcf"),
-        at("fcf", 1).alias("fcf_latest"),
-        last4("cfo").alias("cfo_ttm"), last4("capex").alias("capex_ttm"), last4("rev").alias("revenue_ttm"),
-        last4("ebitda").alias("ebitda_ttm"), last4("oi").alias("ebit_ttm"), last4("ni").alias("net_income_ttm"),
-        last4("fcf").alias("fcf_ttm"), last4("intr").alias("interest_ttm"),
-        mean5("oi").alias("ebit_avg5y"), mean5("fcf").alias("fcf_avg5y"),
-        F.when(F.count_if(c("r_fcf") <= 2) == 2, F.sum(F.when(c("r_fcf") <= 2, c("fcf"))) / 2).alias("_burn"),
-        at("ws", 1).alias("_ws"), growth("ws", 1, 5).alias("_ws_yoy"),
-        F.max(F.when(c("r_ws") == 1, c("ws_accn"))).alias("_ws_accn"),
-        F.min_by("ws", F.when(c("ws").isNotNull(), c("p_end"))).alias("_ws0"),
-        years_between(F.min(F.when(c("ws").isNotNull(), c("p_end"))), F.max(F.when(c("ws").isNotNull(), c("p_end")))).alias("_ws_yrs"),
-        F.count("rev").alias("_n_rev"),
-        years_between(rev_end(F.min), rev_end(F.max)).alias("_yrs"),
-        F.sum(F.when(c("i_rev") <= 4, c("rev"))).alias("_f4"), F.sum(F.when(c("r_rev") <= 4, c("rev"))).alias("_l4"),
-        window_margin("gp").alias("_d_gp"), window_margin("oi").alias("_d_oi"),
-        F.count_if(c("fcf") > 0).alias("_fpos"), F.count("fcf").alias("_fn"),
-        F.count("ws").alias("_n_ws"),
+def _window_margin(s: str) -> str:
+    part = lambda k, v: f"sum(CASE WHEN {s} IS NOT NULL AND rev <> 0 AND {k} <= 4 THEN {v} END)"
+    one = lambda k: f"try_divide({part(k, s)}, {part(k, 'rev')})"
+    return f"CAST({jr(f'({one('r_rev')} - {one('i_rev')}) * 10000')} AS BIGINT)"
+
+
+def _by_margin(names: list[str], cols: list[str]) -> str:
+    """One output row per margin from columns that carry its name."""
+    fields = ", ".join("struct(" + ", ".join([f"'{m}' AS margin", *[f"{m}_{c} AS {c}" for c in cols]]) + ")" for m in names)
+    return f"inline(array({fields}))"
+
+
+def margin_trend(grid: DataFrame) -> DataFrame:
+    """Latest gross, operating and FCF margin and its move in basis points against 1 and 4
+    matched points back."""
+    cols = [x for m, s in MARGINS.items() for x in _margin_cols(s, m)]
+    wide = grid.groupBy("entity_id").agg(*map(F.expr, cols))
+    out = wide.selectExpr("entity_id", _by_margin(list(MARGINS), ["pct", "qoq_bp", "yoy_bp", "accn"]))
+    return out.filter("pct IS NOT NULL").withColumnRenamed("pct", "latest_pct")
+
+
+def margin_delta_window(grid: DataFrame) -> DataFrame:
+    """Gross and operating margin over the first four revenue quarters against the last four,
+    in basis points."""
+    wide = grid.groupBy("entity_id").agg(
+        F.expr(_window_margin("gp")).alias("gross_delta_bp"), F.expr(_window_margin("oi")).alias("operating_delta_bp")
+    )
+    return wide.selectExpr("entity_id", _by_margin(["gross", "operating"], ["delta_bp"])).filter("delta_bp IS NOT NULL")
+
+
+_REV_END = "CASE WHEN rev IS NOT NULL THEN p_end END"
+_WS_END = "CASE WHEN ws IS NOT NULL THEN p_end END"
+
+
+def quarter_metrics(grid: DataFrame) -> DataFrame:
+    """Everything that comes from the quarters alone; names with a leading underscore are
+    inputs of ``metrics_wide``."""
+    cols = [
+        "max(CASE WHEN r_rev = 1 THEN p_end END) AS as_of_quarter",
+        f"{_at('rev', 1)} AS revenue_latest",
+        "max(CASE WHEN r_rev = 1 THEN rev_accn END) AS revenue_accn",
+        f"{pct(_at('rev', 2), _at('rev', 1))} AS revenue_qoq_pct",
+        f"{pct(_at('rev', 5), _at('rev', 1))} AS revenue_yoy_pct",
+        jr(f"{pct(_at('rev', 5), _at('rev', 1))} - {pct(_at('rev', 6), _at('rev', 2))}", 1) + " AS revenue_decel_pts",
+        *_margin_cols("gp", "gross"), *_margin_cols("oi", "op"), *_margin_cols("fcf", "fcf"),
+        f"{_at('fcf', 1)} AS fcf_latest",
+        *[f"{_last4(s)} AS {n}_ttm" for s, n in (
+            ("cfo", "cfo"), ("capex", "capex"), ("rev", "revenue"), ("ebitda", "ebitda"), ("oi", "ebit"),
+            ("ni", "net_income"), ("fcf", "fcf"), ("intr", "interest"))],
+        *[f"CASE WHEN count({s}) >= 12 THEN sum({s}) / count({s}) * 4 END AS {n}_avg5y" for s, n in (("oi", "ebit"), ("fcf", "fcf"))],
+        "CASE WHEN count_if(r_fcf <= 2) = 2 THEN sum(CASE WHEN r_fcf <= 2 THEN fcf END) / 2 END AS _burn",
+        f"{_at('ws', 1)} AS _ws", f"{pct(_at('ws', 5), _at('ws', 1))} AS _ws_yoy",
+        "max(CASE WHEN r_ws = 1 THEN ws_accn END) AS _ws_accn",
+        f"min_by(ws, {_WS_END}) AS _ws0", f"{years(f'min({_WS_END})', f'max({_WS_END})')} AS _ws_yrs", "count(ws) AS _n_ws",
+        "count(rev) AS _n_rev", f"{years(f'min({_REV_END})', f'max({_REV_END})')} AS _yrs",
+        "sum(CASE WHEN i_rev <= 4 THEN rev END) AS _f4", "sum(CASE WHEN r_rev <= 4 THEN rev END) AS _l4",
+        f"{_window_margin('gp')} AS _d_gp", f"{_window_margin('oi')} AS _d_oi",
+        "count_if(fcf > 0) AS _fpos", "count(fcf) AS _fn",
+    ]
+    return grid.groupBy("entity_id").agg(*map(F.expr, cols))
+
+
+def instant_metrics(instants: DataFrame) -> DataFrame:
+    """Latest balances. Cash takes the short-term investments of its own date, long-term debt
+    the current debt of its own date; a missing partner counts as zero."""
+    newest = lambda n, a: f"max(CASE WHEN concept = '{n}' THEN p_end END) OVER (PARTITION BY entity_id) AS {a}"
+    at = lambda n, k=1, v="val": f"max(CASE WHEN concept = '{n}' AND rn = {k} THEN {v} END)"
+    on = lambda n, d: f"coalesce(max(CASE WHEN concept = '{n}' AND p_end = {d} THEN val END), 0D)"
+    sh = "concept = 'sharesOutstanding'"
+    sh_end = f"CASE WHEN {sh} THEN p_end END"
+    cols = [
+        f"{at('cash')} + {on('shortTermInvestments', '_cash_end')} AS cash_and_sti", f"{at('cash', 1, 'accn')} AS cash_and_sti_accn",
+        f"{at('longTermDebt')} + {on('currentDebt', '_ltd_end')} AS total_debt", f"{at('longTermDebt', 1, 'accn')} AS total_debt_accn",
+        f"{at('equity')} AS equity", f"{at('ppe')} AS ppe",
+        f"{at('sharesOutstanding')} AS _sh", f"{at('sharesOutstanding', 1, 'accn')} AS _sh_accn",
+        f"{pct(at('inventory', 2), at('inventory', 1))} AS inventory_qoq_pct",
+        f"{at('inventory', 2)} AS _inv2",
+        f"min_by(val, CASE WHEN {sh} THEN struct(_off, p_end) END) AS _sh_ref", f"min(CASE WHEN {sh} THEN _off END) AS _sh_off",
+        f"count_if({sh}) AS _sh_n", f"min_by(val, {sh_end}) AS _sh0", f"{years(f'min({sh_end})', f'max({sh_end})')} AS _sh_yrs",
+    ]
+    return (
+        instants.selectExpr("*", newest("cash", "_cash_end"), newest("longTermDebt", "_ltd_end"), newest("sharesOutstanding", "_sh_end"))
+        .selectExpr("*", "abs(datediff(p_end, _sh_end) + 365) AS _off")
+        .groupBy("entity_id").agg(*map(F.expr, cols))
     )
 
-    inst = lambda name, k: F.max(F.when((c("concept") == name) & (c("rn") == k), c("val")))
-    inst_accn = lambda name: F.max(F.when((c("concept") == name) & (c("rn") == 1), c("accn")))
-    anchor = Window.partitionBy("entity_id")
-    newest = lambda name: F.max(F.when(c("concept") == name, c("p_end"))).over(anchor)
-    is_sh = c("concept") == "sharesOutstanding"
-    off = F.abs(F.datediff("p_end", "_sh_end") + 365)
-    i = (
-        instants.withColumn("_cash_end", newest("cash"))
-        .withColumn("_ltd_end", newest("longTermDebt"))
-        .withColumn("_sh_end", newest("sharesOutstanding"))
-        .withColumn("_off", F.when(is_sh, off))
-        .groupBy("entity_id")
-        .agg(
-            (inst("cash", 1) + F.coalesce(F.max(F.when((c("concept") == "shortTermInvestments") & (c("p_end") == c("_cash_end")), c("val"))), F.lit(0.0))).alias("cash_and_sti"),
-            (inst("longTermDebt", 1) + F.coalesce(F.max(F.when((c("concept") == "currentDebt") & (c("p_end") == c("_ltd_end")), c("val"))), F.lit(0.0))).alias("total_debt"),
-            inst("equity", 1).alias("equity"), inst("ppe", 1).alias("ppe"),
-            inst("sharesOutstanding", 1).alias("_sh"), inst_accn("sharesOutstanding").alias("_sh_accn"),
-            pct_change(inst("inventory", 2), inst("inventory", 1)).alias("inventory_qoq_pct"),
-            F.min_by(F.when(is_sh, c("val")), F.when(is_sh, F.struct("_off", "p_end"))).alias("_sh_ref"),
-            F.min("_off").alias("_sh_off"),
-            F.count_if(is_sh).alias("_sh_n"),
-            F.min_by("val", F.when(is_sh, c("p_end"))).alias("_sh0"),
-            years_between(F.min(F.when(is_sh, c("p_end"))), F.max(F.when(is_sh, c("p_end")))).alias("_sh_yrs"),
-        )
+
+def metrics_wide(series: DataFrame, instants: DataFrame) -> DataFrame:
+    """Every figure of an entity in one row. Select what you need: unused aggregates are
+    pruned."""
+    j = quarter_metrics(quarter_grid(series)).join(instant_metrics(instants), "entity_id", "full")
+    j = j.selectExpr(
+        "*", "_n_rev >= 12 AND _yrs >= 3 AS _long", "coalesce(_sh_n, 0) >= 2 AS _cover",
+        "total_debt - cash_and_sti AS net_debt",
+    ).selectExpr(
+        "*",
+        "CASE WHEN _cover THEN _sh0 WHEN _n_ws >= 2 THEN _ws0 END AS _s0",
+        "CASE WHEN _cover THEN _sh WHEN _n_ws >= 2 THEN _ws END AS _s1",
+        "CASE WHEN _cover THEN _sh_yrs WHEN _n_ws >= 2 THEN _ws_yrs END AS _sy",
     )
-    long_enough = (c("_n_rev") >= 12) & (c("_yrs") >= 3)
-    use_cover = F.coalesce(c("_sh_n"), F.lit(0)) >= 2
-    s0 = F.when(use_cover, c("_sh0")).when(c("_n_ws") >= 2, c("_ws0"))
-    s1 = F.when(use_cover, c("_sh")).when(c("_n_ws") >= 2, c("_ws"))
-    sy = F.when(use_cover, c("_sh_yrs")).when(c("_n_ws") >= 2, c("_ws_yrs"))
-    net_debt = c("total_debt") - c("cash_and_sti")
-    return q.join(i, "entity_id", "full").select(
+    over = lambda a, b: f"CASE WHEN {b} > 0 THEN {jr(f'{a} / {b}', 1)} END"
+    if_long = lambda x: f"CASE WHEN _long THEN {x} END"
+    return j.selectExpr(
         "entity_id", "as_of_quarter", "revenue_latest", "revenue_accn", "revenue_qoq_pct", "revenue_yoy_pct", "revenue_decel_pts",
-        "gross_pct", "gross_qoq_bp", "gross_yoy_bp", "op_pct", "op_qoq_bp", "op_yoy_bp", "fcf_pct", "fcf_qoq_bp", "fcf_yoy_bp",
-        "gross_accn", "op_accn", "fcf_accn",
-        "fcf_latest", "cfo_ttm", "capex_ttm",
-        F.when(c("revenue_ttm") > 0, ratio_pct(c("capex_ttm"), c("revenue_ttm"))).alias("capex_pct_revenue_ttm"),
+        "gross_pct", "gross_qoq_bp", "gross_yoy_bp", "gross_accn", "op_pct", "op_qoq_bp", "op_yoy_bp", "op_accn",
+        "fcf_pct", "fcf_qoq_bp", "fcf_yoy_bp", "fcf_accn", "fcf_latest", "cfo_ttm", "capex_ttm",
+        f"CASE WHEN revenue_ttm > 0 THEN {jr('capex_ttm / revenue_ttm * 100', 1)} END AS capex_pct_revenue_ttm",
         "revenue_ttm", "ebitda_ttm", "ebit_ttm", "net_income_ttm", "fcf_ttm", "ebit_avg5y", "fcf_avg5y",
-        "cash_and_sti", "total_debt", "equity", "ppe", net_debt.alias("net_debt"),
-        leverage(net_debt, c("ebitda_ttm")).alias("nd_to_ebitda"),
-        leverage(c("ebit_ttm"), c("interest_ttm")).alias("interest_cover"),
-        F.when(c("_burn") < 0, js_round(F.try_divide(c("cash_and_sti"), -c("_burn")), 1)).alias("cash_runway_q"),
-        F.coalesce("_sh", "_ws").alias("shares"), F.coalesce("_sh_accn", "_ws_accn").alias("shares_accn"),
-        F.when(c("_sh").isNotNull(), F.when(c("_sh_off") <= 60, pct_change("_sh_ref", "_sh"))).otherwise(c("_ws_yoy")).alias("shares_yoy_pct"),
-        "inventory_qoq_pct",
-        F.when(long_enough, js_round("_yrs", 1)).alias("span_years"),
-        F.when(long_enough & (c("_f4") > 0), _cagr(c("_f4"), c("_l4"), c("_yrs") - 0.75)).alias("revenue_cagr_pct"),
-        F.when(long_enough, c("_d_gp")).alias("gross_delta_bp"),
-        F.when(long_enough, c("_d_oi")).alias("op_delta_bp"),
-        F.when(long_enough, c("_fpos")).alias("fcf_positive_quarters"),
-        F.when(long_enough, c("_fn")).alias("fcf_quarters"),
-        F.when(long_enough & (sy >= 3) & (s0 > 0), _cagr(s0, s1, sy)).alias("share_cagr_pct"),
+        "cash_and_sti", "cash_and_sti_accn", "total_debt", "total_debt_accn", "equity", "ppe", "net_debt",
+        f"{over('net_debt', 'ebitda_ttm')} AS nd_to_ebitda", f"{over('ebit_ttm', 'interest_ttm')} AS interest_cover",
+        f"CASE WHEN _burn < 0 THEN {jr('cash_and_sti / -_burn', 1)} END AS cash_runway_q",
+        "coalesce(_sh, _ws) AS shares", "coalesce(_sh_accn, _ws_accn) AS shares_accn",
+        f"CASE WHEN _sh IS NULL THEN _ws_yoy WHEN _sh_off <= 60 THEN {pct('_sh_ref', '_sh')} END AS shares_yoy_pct",
+        "inventory_qoq_pct", "_inv2 IS NOT NULL AS has_inventory_pair",
+        f"{if_long(jr('_yrs', 1))} AS span_years", f"{if_long(cagr('_f4', '_l4', '(_yrs - 0.75D)'))} AS revenue_cagr_pct",
+        f"{if_long('_d_gp')} AS gross_delta_bp", f"{if_long('_d_oi')} AS op_delta_bp",
+        f"{if_long('_fpos')} AS fcf_positive_quarters", f"{if_long('_fn')} AS fcf_quarters",
+        f"CASE WHEN _long AND _sy >= 3 THEN {cagr('_s0', '_s1', '_sy')} END AS share_cagr_pct",
+        f"CASE WHEN _sy >= 3 THEN {cagr('_s0', '_s1', '_sy')} END AS share_cagr_any_pct", "_s0 IS NOT NULL AS has_share_pair",
+        "_fpos", "_fn",
     )
 
 

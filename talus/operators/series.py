@@ -124,54 +124,48 @@ def tag_choice(chosen: DataFrame) -> DataFrame:
     )
 
 
-def cumulative_steps(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> DataFrame:
-    """Quarters from consecutive cumulative facts that share a start. ``ord`` is where that
-    start first appeared; it settles two groups that give the same end."""
-    w = Window.partitionBy("entity_id", "concept", "p_start")
-    seq = w.orderBy("p_end")
-    d = F.datediff("p_end", "p_start")
-    return (
-        chosen.filter(F.col("p_start").isNotNull() & d.between(p.quarter_days[0], p.annual_days[1]))
-        .withColumn("group_pos", F.min("first_pos").over(w))
-        .withColumn("prev_end", F.lag("p_end").over(seq))
-        .withColumn("prev_val", F.lag("val").over(seq))
-        .filter(F.datediff("p_end", "prev_end").between(*p.quarter_days))
+def quarter_candidates(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> DataFrame:
+    """Every quarter a duration fact can stand for, in one pass over the facts.
+
+    A fact of quarter length stands for itself ('direct'). A cumulative fact whose predecessor
+    (same start, next earlier end) lies one quarter back also stands for the difference
+    ('ytd-diff'); the fourth quarter is the year minus nine months by the same rule. ``ord``
+    ranks rivals for one end: of two direct facts the later in the file, of two differences
+    the start that appeared first.
+    """
+    by_start = Window.partitionBy("entity_id", "concept", "p_start")
+    lo, hi = p.quarter_days
+    sized = (
+        chosen.filter(F.expr(
+            f"kind = 'duration' AND datediff(p_end, p_start) BETWEEN {lo} AND {p.annual_days[1]}"
+        ))
         .select(
-            "entity_id",
-            "concept",
-            F.date_add("prev_end", 1).alias("p_start"),
-            "p_end",
-            (F.col("val") - F.col("prev_val")).alias("val"),
-            "accn",
-            F.lit("ytd-diff").alias("derived"),
-            (F.col("group_pos")).alias("ord"),
+            "*",
+            F.min("first_pos").over(by_start).alias("group_pos"),
+            F.lag(F.struct("p_end", "val")).over(by_start.orderBy("p_end")).alias("prev"),
         )
     )
+    direct = f"""CASE WHEN datediff(p_end, p_start) BETWEEN {lo} AND {hi}
+        THEN struct('direct' AS derived, -first_pos AS ord, p_start, val) END"""
+    step = f"""CASE WHEN datediff(p_end, prev.p_end) BETWEEN {lo} AND {hi}
+        THEN struct('ytd-diff' AS derived, group_pos AS ord, date_add(prev.p_end, 1) AS p_start, val - prev.val AS val) END"""
+    return sized.select(
+        "entity_id", "concept", "p_end", "accn", F.inline(F.array_compact(F.array(F.expr(direct), F.expr(step))))
+    )
 
 
-def ytd_diff(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> DataFrame:
-    """Differences that fill a quarter no direct fact covers."""
-    dur = chosen.filter("kind = 'duration'")
-    return _resolve(dur, p).filter("derived = 'ytd-diff'")
-
-
-def direct_quarters(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> DataFrame:
+def _resolve(chosen: DataFrame, p: SeriesParams) -> DataFrame:
+    # 'direct' sorts before 'ytd-diff'.
+    pick = Window.partitionBy("entity_id", "concept", "p_end").orderBy("derived", "ord")
     return (
-        period_classify(chosen, p)
-        .filter("period_kind = 'quarter'")
-        .select(
-            "entity_id", "concept", "p_start", "p_end", "val", "accn", F.lit("direct").alias("derived"),
-            (-F.col("first_pos")).alias("ord"),
-        )
+        quarter_candidates(chosen, p).withColumn("k", F.row_number().over(pick)).filter("k = 1")
+        .select("entity_id", "concept", "p_start", "p_end", "val", "accn", "derived")
     )
 
 
-def _resolve(dur: DataFrame, p: SeriesParams) -> DataFrame:
-    # A direct value wins over a difference. Two direct ones: the later in the file. Two
-    # differences: the group seen first.
-    pick = Window.partitionBy("entity_id", "concept", "p_end").orderBy("derived", "ord")
-    both = direct_quarters(dur, p).unionByName(cumulative_steps(dur, p))
-    return both.withColumn("k", F.row_number().over(pick)).filter("k = 1").drop("k", "ord")
+def ytd_diff(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> DataFrame:
+    """Differences that fill a quarter no direct fact covers."""
+    return _resolve(chosen, p).filter("derived = 'ytd-diff'")
 
 
 def quarterly_series(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> DataFrame:
@@ -182,7 +176,7 @@ def quarterly_series(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> Da
     """
     newest = Window.partitionBy("entity_id", "concept").orderBy(F.col("p_end").desc())
     return (
-        _resolve(chosen.filter("kind = 'duration'"), p)
+        _resolve(chosen, p)
         .withColumn("rn", F.row_number().over(newest))
         .filter(F.col("rn") <= p.keep_quarters)
         .withColumn("n", F.count("*").over(Window.partitionBy("entity_id", "concept")))
