@@ -216,3 +216,135 @@ def with_roles(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     ctes = [f"{n} AS ({ROLES[n][1](DUCK)})" for n in order]
     ctes += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body
+
+
+def spell(k: str) -> str:
+    """A four-letter ticker spelled from a number."""
+    return "concat(" + ", ".join(
+        f"chr(cast(65 + cast(floor({k} / {26**i}) as bigint) % 26 as int))" for i in range(4)
+    ) + ")"
+
+
+@role("fx_universe", "customer")
+def fx_universe(d):
+    return f"""SELECT cast(floor(c_custkey / 2) as bigint) AS cik,
+  CASE WHEN c_custkey % 11 = 5 THEN concat({spell('c_custkey')}, '.1') WHEN c_custkey % 7 = 3 THEN concat({spell('c_custkey')}, '-A')
+    ELSE {spell('c_custkey')} END AS ticker, c_name AS title, c_custkey AS pos FROM customer"""
+
+
+@role("fx_names", "customer")
+def fx_names(d):
+    return """SELECT c_custkey AS id, concat(c_name, CASE c_custkey % 9 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' CORP' WHEN 2 THEN ' Co., Ltd.'
+  WHEN 3 THEN ' plc' WHEN 4 THEN ', LLC' WHEN 5 THEN ' Holdings Corporation' WHEN 6 THEN ' & Co.' ELSE '' END) AS name FROM customer"""
+
+
+@role("fx_raw_quotes", "orders")
+def fx_raw_quotes(d):
+    nan = "cast('NaN' as double)"
+    return f"""SELECT CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P' THEN NULL ELSE concat('Q', cast(o_orderkey as string)) END AS symbol,
+  CASE WHEN o_orderpriority = '5-LOW' THEN {nan} ELSE o_totalprice END AS price,
+  cast(o_orderkey % 61 - 40 as double) AS change_pct,
+  CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN cast('Infinity' as double) ELSE o_totalprice * 1000 END AS market_cap,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN NULL ELSE cast(o_custkey as double) END AS avg_volume,
+  o_totalprice * 1.25 AS high52, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice END AS avg50,
+  CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice / 2 END AS target,
+  CASE WHEN o_custkey % 10 = 9 THEN NULL ELSE 'EQUITY' END AS quote_type, 'us_market' AS market,
+  CASE WHEN o_custkey % 12 = 11 THEN NULL ELSE 'USD' END AS currency FROM orders"""
+
+
+@role("fx_bars_raw", "events")
+def fx_bars_raw(d):
+    return """SELECT user_id AS symbol, CASE WHEN event_type = 'signup' THEN NULL ELSE ts END AS ts,
+  CASE WHEN event_type = 'error' THEN NULL ELSE value END AS close FROM events"""
+
+
+@role("fx_bars_m_raw", "lineitem")
+def fx_bars_m_raw(d):
+    return """SELECT l_suppkey AS symbol, l_shipdate AS ts, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_extendedprice END AS close FROM lineitem"""
+
+
+@role("fx_bars_m", "lineitem")
+def fx_bars_m(d):
+    """Last line price of a supplier's month."""
+    return f"""SELECT symbol, max(bar_date) AS bar_date,
+  {d.max_by('price', 'bar_date', 'ok', 'ln', 'pk', 'price')} AS close
+FROM (SELECT l_suppkey AS symbol, cast(l_shipdate as date) AS bar_date, l_extendedprice AS price, l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk
+  FROM lineitem) t GROUP BY symbol, year(bar_date), month(bar_date)"""
+
+
+@role("fx_bars_d", "events")
+def fx_bars_d(d):
+    """Last value of a user's day."""
+    return f"""SELECT user_id AS uid, {spell('user_id')} AS symbol, cast(ts as date) AS bar_date, {d.max_by('value', 'ts', 'event_id')} AS close,
+  count(*) AS n FROM events GROUP BY user_id, cast(ts as date)"""
+
+
+@role("fx_quotes", "fx_bars_d")
+def fx_quotes(d):
+    return f"""SELECT symbol, price, price / prev - 1 AS day_change, price * n * 1000000 AS market_cap, cast(n * 10000 as double) AS avg_volume,
+  high AS high52, cents / days / 100 AS avg50, price * (80 + uid % 60) / 100 AS target,
+  CASE WHEN uid % 10 = 9 THEN 'ETF' ELSE 'EQUITY' END AS quote_type, CASE WHEN uid % 15 = 14 THEN 'de_market' ELSE 'us_market' END AS market,
+  CASE WHEN uid % 12 = 11 THEN 'CAD' ELSE 'USD' END AS currency, uid AS pos
+FROM (SELECT uid, symbol, max(CASE WHEN rn = 1 THEN close END) AS price, max(CASE WHEN rn = 2 THEN close END) AS prev, max(close) AS high,
+    cast(sum(n) as bigint) AS n, cast(sum({d.cents('close')}) as double) AS cents, count(*) AS days
+  FROM (SELECT uid, symbol, close, n, row_number() OVER (PARTITION BY uid ORDER BY bar_date DESC) AS rn FROM fx_bars_d) r GROUP BY uid, symbol) g"""
+
+
+@role("fx_sectors", "fx_quotes")
+def fx_sectors(d):
+    return """SELECT symbol, CASE pos % 6 WHEN 0 THEN 'Technology' WHEN 1 THEN 'Financial Services' WHEN 3 THEN 'Real Estate' WHEN 4 THEN 'Healthcare'
+  WHEN 5 THEN 'Energy' END AS sector, CASE WHEN pos % 4 = 1 THEN -target ELSE target END AS target FROM fx_quotes"""
+
+
+@role("fx_filings", "documents")
+def fx_filings(d):
+    """One filing per document; ``pos`` counts newest first within a company."""
+    return f"""SELECT entity_id, concat(lpad(cast(entity_id as string), 10, '0'), '-', lpad(cast(doc_id as string), 6, '0')) AS accession,
+  CASE WHEN entity_id % 4 = 3 THEN CASE WHEN k % 2 = 0 THEN '20-F' ELSE '6-K' END WHEN k % 16 = 15 THEN '6-K' ELSE
+    CASE k % 8 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '8-K' WHEN 3 THEN '8-K' WHEN 4 THEN '10-Q' WHEN 5 THEN '25' WHEN 6 THEN '8-K' ELSE '25-NSE' END END AS form,
+  {d.add("DATE '2023-06-01'", 'doc_id * 37 % 240')} AS filed_at,
+  CASE doc_id % 5 WHEN 0 THEN '2.02,9.01' WHEN 1 THEN '1.03' WHEN 2 THEN '' WHEN 3 THEN '5.02,,8.01' ELSE '9.01' END AS items,
+  CASE WHEN doc_id % 9 = 4 THEN '' ELSE concat('form', cast(doc_id as string), '.htm') END AS primary_document,
+  (240 - doc_id * 37 % 240) * 1000000000 + doc_id AS pos
+FROM (SELECT doc_id, doc_id % 120 AS entity_id, cast(floor(doc_id / 120) as bigint) AS k FROM documents) t"""
+
+
+@role("fx_filing_arrays", "documents")
+def fx_filing_arrays(d):
+    """Submissions as the source delivers them: parallel arrays, here three filings a row."""
+    ids = [f"concat('a', cast(doc_id * 3 + {i} as string))" for i in range(3)]
+    forms = ["'8-K'", "CASE WHEN lang = 'en' THEN '10-Q' ELSE '6-K' END", "source"]
+    dates = [f"cast({d.add(chr(68) + 'ATE ' + chr(39) + '2023-06-01' + chr(39), f'(doc_id + {i}) % 200')} as string)" for i in range(3)]
+    docs = ["'a.htm'", "''", "concat(lang, '.htm')"]
+    items = ["'2.02,9.01'", "''", "'5.02,,8.01'"]
+    return f"""SELECT doc_id AS entity_id, {d.arr(*ids)} AS accession_number, {d.arr(*forms)} AS form, {d.arr(*dates)} AS filing_date,
+  {d.arr(*docs)} AS primary_document, {d.arr(*items)} AS items FROM documents"""
+
+
+@role("fx_files", "documents")
+def fx_files(d):
+    """File listing of each filing: 8-K body, perhaps an exhibit under one of several namings."""
+    rows = [
+        ("0", "concat(cast(doc_id as string), '-index.htm')"),
+        ("1", "concat('form8k_', cast(doc_id as string), '.htm')"),
+        ("2", "CASE doc_id % 6 WHEN 0 THEN 'a8-kex991_q4.htm' WHEN 1 THEN 'exhibit_99-1.HTML' WHEN 2 THEN 'ex99.pdf' WHEN 3 THEN 'earningsrelease.htm' "
+              "WHEN 4 THEN 'd1991x.htm' ELSE 'q3-991-results.htm' END"),
+        ("3", "CASE WHEN doc_id % 4 = 0 THEN 'pressroom.htm' ELSE 'logo.jpg' END"),
+    ]
+    return d.rows("documents", ["doc_id"], ["pos", "name"], rows)
+
+
+@role("fx_feeds", "pages")
+def fx_feeds(d):
+    """One news feed per page: two items, plain and CDATA."""
+    title = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+    when = """CASE page_id % 6 WHEN 0 THEN 'Tue, 30 Jan 2024 10:00:00 GMT' WHEN 1 THEN 'Mon, 29 Jan 2024 08:30:00 GMT' WHEN 2 THEN 'Sat, 27 Jan 2024 23:59:59 GMT'
+      WHEN 3 THEN 'yesterday' WHEN 4 THEN 'Tue, 30 Jan 2024 23:15:00 GMT' ELSE 'Sun, 28 Jan 2024 23:59:59 GMT' END"""
+    source = """CASE page_id % 7 WHEN 0 THEN 'The Motley Fool' WHEN 1 THEN 'Reuters' WHEN 2 THEN 'zacks.com' WHEN 3 THEN '' WHEN 4 THEN 'AT&amp;T News' WHEN 5 THEN 'MARKETBEAT' ELSE 'Wire &#8212; One' END"""
+    extra = """CASE page_id % 9 WHEN 0 THEN 'Class Action notice' WHEN 4 THEN 'Investor Rights alert' ELSE '' END"""
+    return f"""SELECT page_id % 60 AS entity_id, page_id AS feed_id,
+  concat('<rss><channel><item><title>', {title}, '</title><link>', url, '</link><pubDate>', {when}, '</pubDate><source url="x">', {source},
+    '</source><description>&lt;a href="x"&gt;', {title}, '&lt;/a&gt;&amp;nbsp; more ', lang_of, '</description></item><item><title><![CDATA[', {extra}, ' ', {title},
+    ']]></title><link>', CASE WHEN page_id % 8 = 7 THEN '' ELSE concat(url, '#2') END, '</link><pubDate>', {when},
+    '</pubDate><source>Agency &quot;A&quot;</source><description><![CDATA[<b>', {title}, '</b>  text]]></description></item></channel></rss>') AS xml
+FROM (SELECT page_id, url, html, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang_of FROM pages) p"""
