@@ -348,3 +348,16 @@ def fx_feeds(d):
     ']]></title><link>', CASE WHEN page_id % 8 = 7 THEN '' ELSE concat(url, '#2') END, '</link><pubDate>', {when},
     '</pubDate><source>Agency &quot;A&quot;</source><description><![CDATA[<b>', {title}, '</b>  text]]></description></item></channel></rss>') AS xml
 FROM (SELECT page_id, url, html, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang_of FROM pages) p"""
+
+
+@role("fx_estimates", "cells")
+def fx_estimates(d):
+    """Street estimates: the last full year and a year on; some lack revenue, some EPS."""
+    rows = [
+        ("'0y'", "cast(rev as double)", "ni / cast(ws as double)"),
+        ("'+1y'", "CASE WHEN entity_id % 11 = 4 THEN NULL ELSE cast(rev as double) * (90 + entity_id % 40) / 100 END",
+         "CASE WHEN entity_id % 9 = 2 THEN NULL ELSE ni / cast(ws as double) * (95 + entity_id % 30) / 100 END"),
+    ]
+    src = """(SELECT entity_id, cast(sum(CASE WHEN y = 2000 THEN rev END) as bigint) AS rev, cast(sum(CASE WHEN y = 2000 THEN ni END) as bigint) AS ni,
+      max(ws) AS ws FROM cells GROUP BY entity_id) c"""
+    return d.rows(src, ["entity_id"], ["period", "revenue", "eps"], rows)
