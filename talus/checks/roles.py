@@ -361,3 +361,87 @@ def fx_estimates(d):
     src = """(SELECT entity_id, cast(sum(CASE WHEN y = 2000 THEN rev END) as bigint) AS rev, cast(sum(CASE WHEN y = 2000 THEN ni END) as bigint) AS ni,
       max(ws) AS ws FROM cells GROUP BY entity_id) c"""
     return d.rows(src, ["entity_id"], ["period", "revenue", "eps"], rows)
+
+
+@role("scen_cells", "lineitem")
+def scen_cells(d):
+    """Lines folded into scenario cells: supplier, sample by return flag, cell by line number."""
+    return f"""SELECT entity_id, sample, cell, count(*) AS n, cast(sum({d.cents('price')}) as bigint) AS price_c, cast(sum({d.cents('qty')}) as bigint) AS qty_c
+FROM (SELECT l_suppkey AS entity_id, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS sample, (l_linenumber - 1) % 6 AS cell,
+  l_extendedprice AS price, l_quantity AS qty FROM lineitem) t GROUP BY entity_id, sample, cell"""
+
+
+@role("fx_scenarios", "scen_cells")
+def fx_scenarios(d):
+    return """SELECT entity_id, sample, CASE WHEN cell = 5 AND entity_id % 12 = 5 THEN '5' WHEN cell < 3 THEN '1' ELSE '3' END AS horizon,
+  CASE cell % 3 WHEN 0 THEN 'bear' WHEN 1 THEN 'base' ELSE 'bull' END AS scenario_case,
+  cast(CASE WHEN cell % 3 = 1 THEN 50 ELSE 25 END + n % 5 - 2 as double) * CASE WHEN entity_id % 9 = 4 THEN 2 ELSE 1 END / 100 AS weight,
+  CASE kind WHEN 0 THEN 'EV/EBITDA' WHEN 1 THEN 'EV/Sales' WHEN 2 THEN 'P/E' WHEN 3 THEN 'P/S' WHEN 4 THEN 'P/FCF' WHEN 5 THEN 'P/B' ELSE 'none' END AS metric,
+  CASE WHEN entity_id % 23 = 7 AND cell = 2 THEN 600.0e0 WHEN entity_id % 29 = 3 AND cell = 4 THEN 0e0
+    WHEN entity_id % 4 = 0 THEN cast(1 + cell % 3 as double) / 10 ELSE cast((10 + n % 40) * CASE cell % 3 WHEN 0 THEN 7 WHEN 1 THEN 10 ELSE 14 END as double) / CASE WHEN kind IN (1, 3, 5) THEN 200 ELSE 20 END END AS multiple,
+  cast(price_c as double) * CASE WHEN n % 31 = 0 AND entity_id % 4 <> 0 THEN 1000 ELSE 1 END * CASE WHEN kind IN (1, 3, 5) THEN 3 ELSE 0.25e0 END AS value,
+  CASE CASE WHEN entity_id % 4 = 0 THEN 4 ELSE n % 6 END WHEN 0 THEN 'Investor sentiment improves over the next two quarters' WHEN 1 THEN 'Revenue falls below the prior-year quarter'
+    WHEN 2 THEN 'Misses management guidance for the full year' WHEN 3 THEN 'too short' WHEN 4 THEN 'Gross margin drops under 30 percent in Q2'
+    ELSE 'Stock price recovers to its prior high in 90 days' END AS falsifier,
+  CASE WHEN n % 3 = 0 THEN 'The licensing arm was sold and will not come back to earlier levels' ELSE 'cheaper' END AS justification
+FROM (SELECT *, CASE WHEN entity_id % 4 = 0 THEN 3 ELSE (entity_id + cell % 3 + CASE WHEN sample = 3 AND n % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN cell >= 3 AND entity_id % 5 = 2 THEN 1 ELSE 0 END) % 7 END AS kind
+  FROM scen_cells) s"""
+
+
+@role("fx_verdicts", "supplier")
+def fx_verdicts(d):
+    return f"""SELECT s_suppkey AS entity_id, s_suppkey % 13 = 6 AS insufficient,
+  CASE s_suppkey % 5 WHEN 0 THEN 'sentiment' WHEN 1 THEN 'mechanical' WHEN 2 THEN 'thesis_breaking' WHEN 3 THEN 'sentiment' ELSE 'insufficient_evidence' END AS cause,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE 'mechanical' END AS cause_secondary, s_suppkey % 6 AS n_cause_sources, s_suppkey % 10 - 9 + 9 * (CASE WHEN s_suppkey % 10 = 9 THEN 0 ELSE 1 END) AS n_key_facts,
+  concat('thesis of ', s_name) AS thesis, CASE s_suppkey % 4 WHEN 0 THEN 'wide' WHEN 1 THEN 'narrow' WHEN 2 THEN 'none' ELSE 'wide' END AS moat,
+  CASE s_suppkey % 3 WHEN 0 THEN 'raised' WHEN 1 THEN 'none_given' ELSE 'lowered' END AS guidance_change, CASE WHEN s_acctbal > 5000 THEN 'timing' ELSE 'demand' END AS guidance_timing,
+  CASE WHEN s_suppkey % 7 = 0 THEN {d.arr("'inventory up'", "'cash down'")} WHEN s_suppkey % 7 = 3 THEN {d.arr("'margin gap'")} ELSE {d.arr("s_name")} END AS anomalies,
+  CASE WHEN s_suppkey % 4 = 1 THEN {d.arr("'fact against quote'", "s_name")} ELSE {d.arr("'timing'")} END AS discrepancies,
+  CASE WHEN s_suppkey % 8 = 5 THEN 'validation_failed' ELSE 'ok' END AS status, s_suppkey % 3 = 1 AS cache_hit FROM supplier"""
+
+
+@role("fx_quotes_cited", "documents")
+def fx_quotes_cited(d):
+    """Reconciliation quotes: the opening words of a document, sometimes only a stub."""
+    return """SELECT doc_id % 120 AS entity_id, cast(doc_id as string) AS quote_id, CASE WHEN doc_id % 11 = 2 THEN '   n/a  ' ELSE text END AS quote FROM documents"""
+
+
+@role("fx_claims", "documents", "fx_verdicts")
+def fx_claims(d):
+    return """SELECT c.entity_id, c.kind, c.source, coalesce(v.guidance_change, 'none_given') AS guidance_change FROM (
+  SELECT doc_id % 120 AS entity_id, CASE doc_id % 6 WHEN 0 THEN 'cause' WHEN 1 THEN 'key_fact' WHEN 2 THEN 'language' WHEN 3 THEN 'recon_fact' WHEN 4 THEN 'recon_quote' ELSE 'guidance' END AS kind,
+    CASE WHEN doc_id % 9 = 0 THEN concat('bogus-', cast(doc_id % 40 as string)) WHEN doc_id % 13 = 1 THEN 'revenue' WHEN doc_id % 13 = 2 THEN 'screen' WHEN doc_id % 13 = 3 THEN 'prior:1998-07-01' WHEN doc_id % 13 = 4 THEN ''
+      ELSE concat(lpad(cast(doc_id % 120 as string), 10, '0'), '-', lpad(cast(doc_id as string), 6, '0')) END AS source FROM documents) c
+LEFT JOIN fx_verdicts v ON v.entity_id = c.entity_id"""
+
+
+@role("fx_priors", "orders", "supplier")
+def fx_priors(d):
+    """Earlier predictions: a run every half year for the suppliers an order month names."""
+    return """SELECT DISTINCT o_custkey % 120 AS entity_id, make_date(cast(year(o_orderdate) as int), cast(CASE WHEN quarter(o_orderdate) < 3 THEN 1 ELSE 7 END as int), 1) AS run_date
+FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"""
+
+
+@role("fx_votes", "events")
+def fx_votes(d):
+    """Every event of a user's day is one vote on that day's case."""
+    return """SELECT event_id AS vote_id, user_id, cast(ts as date) AS day, event_id AS vote_no,
+  CASE event_type WHEN 'view' THEN 'sentiment' WHEN 'click' THEN 'mechanical' WHEN 'error' THEN 'thesis_breaking' WHEN 'signup' THEN 'sentiment' ELSE 'insufficient_evidence' END AS label,
+  CASE event_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'mechanical' WHEN 2 THEN 'sentiment' WHEN 3 THEN 'none' ELSE 'thesis_breaking' END AS secondary FROM events"""
+
+
+@role("fx_entity_votes", "events")
+def fx_entity_votes(d):
+    return """SELECT event_id AS vote_id, user_id AS entity_id, event_id AS vote_no,
+  CASE event_type WHEN 'view' THEN 'sentiment' WHEN 'click' THEN 'mechanical' WHEN 'error' THEN 'thesis_breaking' WHEN 'signup' THEN 'sentiment' ELSE 'insufficient_evidence' END AS label,
+  CASE WHEN value < 10 THEN 'mechanical' WHEN value < 50 THEN 'sentiment' ELSE 'thesis_breaking' END AS masked_label FROM events"""
+
+
+@role("fx_rankings", "supplier")
+def fx_rankings(d):
+    rows = [
+        ("'forward'", "cast(floor(-s_acctbal * 100 + 0.5) as bigint)"),
+        ("'reversed'", "cast(floor(-s_acctbal * 100 + 0.5) as bigint) + s_suppkey % 7 * 70000"),
+    ]
+    src = "(SELECT s_nationkey AS run, CASE WHEN s_suppkey % 8 = 3 THEN s_suppkey + 1000000 ELSE s_suppkey END AS entity_id, s_suppkey, s_acctbal FROM supplier) s"
+    return f"SELECT run, entity_id, pass, pos FROM ({d.rows(src, ['run', 'entity_id'], ['pass', 'pos'], rows)}) r"
