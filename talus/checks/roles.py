@@ -379,7 +379,7 @@ def fx_scenarios(d):
   CASE kind WHEN 0 THEN 'EV/EBITDA' WHEN 1 THEN 'EV/Sales' WHEN 2 THEN 'P/E' WHEN 3 THEN 'P/S' WHEN 4 THEN 'P/FCF' WHEN 5 THEN 'P/B' ELSE 'none' END AS metric,
   CASE WHEN entity_id % 23 = 7 AND cell = 2 THEN 600.0e0 WHEN entity_id % 29 = 3 AND cell = 4 THEN 0e0
     WHEN entity_id % 4 = 0 THEN cast(1 + cell % 3 as double) / 10 ELSE cast((10 + n % 40) * CASE cell % 3 WHEN 0 THEN 7 WHEN 1 THEN 10 ELSE 14 END as double) / CASE WHEN kind IN (1, 3, 5) THEN 200 ELSE 20 END END AS multiple,
-  cast(price_c as double) * CASE WHEN n % 31 = 0 AND entity_id % 4 <> 0 THEN 1000 ELSE 1 END * CASE WHEN kind IN (1, 3, 5) THEN 3 ELSE 0.25e0 END AS value,
+  CASE WHEN entity_id % 4 = 0 THEN floor(price_c * 80 / n) ELSE cast(price_c as double) END * CASE WHEN n % 31 = 0 AND entity_id % 4 <> 0 THEN 1000 ELSE 1 END * CASE WHEN entity_id % 4 = 0 THEN 1 WHEN kind IN (1, 3, 5) THEN 3 ELSE 0.25e0 END AS value,
   CASE CASE WHEN entity_id % 4 = 0 THEN 4 ELSE n % 6 END WHEN 0 THEN 'Investor sentiment improves over the next two quarters' WHEN 1 THEN 'Revenue falls below the prior-year quarter'
     WHEN 2 THEN 'Misses management guidance for the full year' WHEN 3 THEN 'too short' WHEN 4 THEN 'Gross margin drops under 30 percent in Q2'
     ELSE 'Stock price recovers to its prior high in 90 days' END AS falsifier,
@@ -445,3 +445,97 @@ def fx_rankings(d):
     ]
     src = "(SELECT s_nationkey AS run, CASE WHEN s_suppkey % 8 = 3 THEN s_suppkey + 1000000 ELSE s_suppkey END AS entity_id, s_suppkey, s_acctbal FROM supplier) s"
     return f"SELECT run, entity_id, pass, pos FROM ({d.rows(src, ['run', 'entity_id'], ['pass', 'pos'], rows)}) r"
+
+
+@role("fx_bars_s", "lineitem")
+def fx_bars_s(d):
+    """Last line price of a supplier's day; some suppliers trade under a name no ledger knows."""
+    return f"""SELECT CASE WHEN sk % 20 = 13 THEN -sk ELSE sk END AS symbol, bar_date, {d.max_by('price', 'ok', 'ln', 'pk', 'price')} AS close
+FROM (SELECT l_suppkey AS sk, cast(l_shipdate as date) AS bar_date, l_extendedprice AS price, l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk
+  FROM lineitem) t GROUP BY sk, bar_date"""
+
+
+@role("fx_ledger", "orders")
+def fx_ledger(d):
+    """One prediction per ticker and day, from the day's last order."""
+    return """SELECT ticker, run_date, ok, CASE st WHEN 'F' THEN 'thesis_breaking' WHEN 'O' THEN 'sentiment' ELSE 'mechanical' END AS classification,
+  ref_price, ref_price * (90 + ok % 41) / 100 AS fair, ref_price * (60 + ok % 41) / 100 AS bear, ref_price * (120 + ok % 41) / 100 AS bull,
+  concat('h', cast(ok % 5 as string)) AS hash, st = 'F' AS graded, CASE WHEN pri = '5-LOW' AND st = 'P' THEN 'acquired, check manually' END AS note,
+  concat('thesis ', cast(ok as string)) AS thesis
+FROM (SELECT o_custkey % 100 AS ticker, cast(o_orderdate as date) AS run_date, max(o_orderkey) AS ok, max_by(o_orderstatus, o_orderkey) AS st,
+    max_by(o_orderpriority, o_orderkey) AS pri, floor(max_by(o_totalprice, o_orderkey) * 20) / 100 AS ref_price
+  FROM orders GROUP BY o_custkey % 100, cast(o_orderdate as date)) t"""
+
+
+LEDGER_CELLS = ["1y bear", "1y base", "1y bull", "3y bear", "3y base", "3y bull"]
+
+
+@role("fx_grades", "fx_ledger")
+def fx_grades(d):
+    rows = [
+        (f"CASE WHEN (ok + {i}) % 5 = 4 THEN 'other' WHEN ok % 2 = 0 THEN '[{c}]' ELSE '{c}' END",
+         f"CASE (ok + {i}) % 4 WHEN 0 THEN 'fired' WHEN 3 THEN 'uncheckable' ELSE 'survived' END", str(i))
+        for i, c in enumerate(LEDGER_CELLS)
+    ]
+    return d.rows("(SELECT * FROM fx_ledger WHERE graded) g", ["ticker", "run_date"], ["scenario", "status", "pos"], rows)
+
+
+@role("fx_ledger_scen", "fx_ledger")
+def fx_ledger_scen(d):
+    rows = [(f"'{c}'", f"concat('falsifier ', cast(ok + {i} as string))") for i, c in enumerate(LEDGER_CELLS)]
+    return d.rows("(SELECT * FROM fx_ledger WHERE graded) g", ["ticker", "run_date"], ["label", "falsifier"], rows)
+
+
+@role("fx_overrides", "fx_ledger")
+def fx_overrides(d):
+    return """SELECT ticker, run_date, floor(ref_price * (ok % 3) * 50) / 100 AS price, CASE WHEN ok % 2 = 0 THEN 'acquired' END AS note
+FROM fx_ledger WHERE note IS NOT NULL"""
+
+
+@role("fx_feedback", "events")
+def fx_feedback(d):
+    return """SELECT event_id AS update_id, ts, user_id AS ticker, CASE WHEN event_type = 'error' AND value > 150 THEN 'news' ELSE cast(cast(ts as date) as string) END AS run_date,
+  event_type IN ('purchase', 'click') AS up FROM events"""
+
+
+@role("fx_user_preds", "events")
+def fx_user_preds(d):
+    """One prediction per user and day."""
+    return """SELECT user_id AS ticker, cast(ts as date) AS run_date, concat('h', cast(max(event_id) % 3 as string)) AS hash, cast(count(*) as bigint) AS n FROM events
+GROUP BY user_id, cast(ts as date)"""
+
+
+@role("fx_hashes", "fx_quotes")
+def fx_hashes(d):
+    return "SELECT pos AS ticker, concat('h', cast(pos % 3 as string)) AS hash, price FROM fx_quotes"
+
+
+@role("fx_cooldown", "events")
+def fx_cooldown(d):
+    return """SELECT user_id AS ticker, max(cast(ts as date)) AS last_digest_date, concat('h', cast(max(event_id) % 3 as string)) AS hash
+FROM events WHERE event_type = 'purchase' GROUP BY user_id"""
+
+
+@role("fx_arguments", "conversations")
+def fx_arguments(d):
+    """Reader turns of a conversation as objections."""
+    return """SELECT conv_id * 1000 + turn AS arg_id, conv_id % 100 AS ticker, text AS user_text, concat('note ', cast(conv_id as string), '/', cast(turn as string)) AS note,
+  conv_id * 1000 + turn AS created_at FROM conversations WHERE role = 'user'"""
+
+
+@role("fx_kv", "orders")
+def fx_kv(d):
+    return "SELECT o_custkey AS k, o_orderkey AS version, o_totalprice AS v, o_orderstatus AS s FROM orders"
+
+
+@role("fx_errors", "orders")
+def fx_errors(d):
+    """Graded errors by cause label."""
+    return """SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'thesis_breaking' WHEN o_orderstatus = 'F' THEN 'sentiment' ELSE 'mechanical' END AS classification,
+  cast(o_orderkey % 83 - 55 as double) + cast(o_custkey % 10000 as double) / 10000 AS valuation_error_pct FROM orders"""
+
+
+@role("fx_mask", "fx_names")
+def fx_mask(d):
+    return f"""SELECT id, {spell('id')} AS ticker, name, concat('Shares of ', name, ' (', {spell('id')}, ') fell; ', upper(name), ' and Holdings said so. ', lower({spell('id')}), '!') AS text
+FROM fx_names"""
