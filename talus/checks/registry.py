@@ -21,6 +21,7 @@ class Tables:
     """``t("orders")`` gives a driver table or role of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:

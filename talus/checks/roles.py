@@ -539,3 +539,24 @@ def fx_errors(d):
 def fx_mask(d):
     return f"""SELECT id, {spell('id')} AS ticker, name, concat('Shares of ', name, ' (', {spell('id')}, ') fell; ', upper(name), ' and Holdings said so. ', lower({spell('id')}), '!') AS text
 FROM fx_names"""
+
+
+def MESSAGE_TEXT(d: Dialect) -> str:
+    return f"""CASE event_type WHEN 'purchase' THEN concat('what about $', {spell('user_id')}, ' and ', {spell('(user_id + 1)')}, ' now?')
+  WHEN 'click' THEN concat('please revisit ', lower({spell('(user_id * 3)')}), ' margins') WHEN 'view' THEN 'and the corrected estimate?'
+  WHEN 'error' THEN '/reset the whole thing' ELSE 'ok thanks' END"""
+
+
+@role("fx_messages", "events")
+def fx_messages(d):
+    return f"SELECT user_id % 40 AS chat, event_id AS msg_id, ts, {MESSAGE_TEXT(d)} AS text FROM events"
+
+
+def TAP_DATA() -> str:
+    return """CASE WHEN event_type = 'view' THEN concat('zz|', cast(user_id as string)) ELSE concat('fb|', CASE WHEN event_type = 'error' AND value > 150 THEN 'news' ELSE cast(cast(ts as date) as string) END,
+  '|', CASE WHEN event_type = 'signup' AND value < 5 THEN '' ELSE cast(user_id as string) END, '|', CASE WHEN event_type IN ('purchase', 'click') THEN '1' ELSE '0' END) END"""
+
+
+@role("fx_updates", "events")
+def fx_updates(d):
+    return f"SELECT event_id AS update_id, ts, {TAP_DATA()} AS data FROM events"
