@@ -28,13 +28,20 @@ def grading_due(predictions: DataFrame, universe: DataFrame, as_of) -> DataFrame
 
 def return_since(asks: DataFrame, bars: DataFrame, out: str = "ret") -> DataFrame:
     """Adds the return from the first close on or after ``since`` to the newest close of
-    ``symbol``; null with fewer than two closes. The newest close is one row per symbol and the
-    first comes from a forward as-of join, so dates and bars are never paired up. Bars hold one
-    row per symbol and day."""
+    ``symbol``; null with fewer than two closes. Bars hold one row per symbol and day.
+
+    The distinct (symbol, since) pairs are answered first: the newest close is one row per
+    symbol, the first one comes from a forward as-of join, so dates and bars are never paired
+    up. The answers go back to the asks by both keys, which spreads a symbol asked about very
+    often over its dates.
+    """
+    pairs = asks.select("symbol", "since").distinct()
     last = bars.groupBy("symbol").agg(F.max_by("close", "bar_date").alias("_last"), F.max("bar_date").alias("_last_date"))
-    first = asof.forward(asks, bars, ["symbol"], "since", "bar_date", "close", "_first")
-    ok = F.col("_first_date") < F.col("_last_date")
-    return first.join(last, "symbol", "left").select(*asks.columns, F.when(ok, F.col("_last") / F.col("_first") - 1).alias(out))
+    first = asof.forward(pairs, bars, ["symbol"], "since", "bar_date", "close", "_first")
+    answers = first.join(last, "symbol").filter("_first_date < _last_date").select(
+        "symbol", "since", (F.col("_last") / F.col("_first") - 1).alias(out)
+    )
+    return asks.join(answers, ["symbol", "since"], "left").select(*asks.columns, out)
 
 
 def with_returns(predictions: DataFrame, bars: DataFrame, benchmark) -> DataFrame:
@@ -238,7 +245,8 @@ def unresolved_count(ledger: DataFrame, fixed: bool = False) -> DataFrame:
 
 def scoring_summary(ledger: DataFrame, grades: DataFrame, feedback: DataFrame) -> DataFrame:
     """One-row rollup of a scoring run; the parts meet as scalars, not as a join."""
-    fr, fb = falsifier_rollup(grades), feedback_rate(feedback)
+    fr = falsifier_rollup(grades).select(F.struct("graded", "uncheckable", "fired_share").alias("s")).scalar()
+    fb = feedback_rate(feedback).select("up_pct").scalar()
     hit = F.contains(F.col("note"), F.lit("manual"))
     realized = F.col("ref_price") * (1 + F.coalesce("return_1y", F.lit(0.0)))
     err = F.col("valuation_error_pct")
@@ -246,10 +254,7 @@ def scoring_summary(ledger: DataFrame, grades: DataFrame, feedback: DataFrame) -
         F.count("*").alias("predictions"), F.count_if(hit).alias("unresolved"), F.count(err).alias("calibrated"),
         js_round(exact_avg(err, 4), 1).alias("mean_error_pct"),
         F.count_if(err.isNotNull() & realized.between(F.col("bear"), F.col("bull"))).alias("in_band"),
-    ).select(
-        "*", fr.select("graded").scalar().alias("graded"), fr.select("uncheckable").scalar().alias("uncheckable"),
-        fr.select("fired_share").scalar().alias("fired_share"), fb.select("up_pct").scalar().alias("up_pct"),
-    )
+    ).select("*", fr.alias("_f"), fb.alias("up_pct")).select("*", "_f.*").drop("_f")
 
 
 def audit_ledger(ledger: DataFrame, grades: DataFrame) -> DataFrame:

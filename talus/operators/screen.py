@@ -110,20 +110,17 @@ def overflow_report(kept: DataFrame, p: ScreenParams = DEFAULTS.screen) -> DataF
 def screen_funnel(universe: DataFrame, quotes: DataFrame, hit: DataFrame, p: ScreenParams = DEFAULTS.screen) -> DataFrame:
     """Counts at each stage, one row. Every stage sends one partial count per task."""
     passed = floors(p)
-    flagged = F.count_if(passed & needs_month_check(p))
-    stage = lambda df, *cols: df.agg(*cols)
-    q = stage(quotes, F.count("*").alias("quoted"), F.count_if(passed).alias("passed_floors"), flagged.alias("flagged"))
-    h = stage(
-        hit, F.count("*").alias("triggered"), F.count_if("excluded").alias("sector_excluded"),
-        F.count_if(~F.col("excluded")).alias("kept"),
+    q = quotes.agg(
+        F.count("*").alias("quoted"), F.count_if(passed).alias("passed_floors"), F.count_if(passed & needs_month_check(p)).alias("flagged")
     )
+    h = hit.agg(F.struct(
+        F.count("*").alias("triggered"), F.count_if("excluded").alias("sector_excluded"), F.count_if(~F.col("excluded")).alias("kept")
+    ).alias("s"))
     u = universe.agg(F.count("*").alias("n"))
     cap = F.lit(p.max_month_checks).cast("bigint")
     return q.select(
         u.scalar().alias("universe"), "quoted", "passed_floors",
         F.least("flagged", cap).alias("month_checked"),
         F.greatest(F.col("flagged") - cap, F.lit(0).cast("bigint")).alias("month_check_skipped"),
-        h.select("triggered").scalar().alias("triggered"),
-        h.select("sector_excluded").scalar().alias("sector_excluded"),
-        h.select(F.greatest(F.col("kept") - p.max_candidates, F.lit(0))).scalar().alias("overflow_dropped"),
-    )
+        h.scalar().alias("h"),
+    ).select("*", "h.triggered", "h.sector_excluded", F.greatest(F.col("h.kept") - p.max_candidates, F.lit(0)).alias("overflow_dropped")).drop("h")
