@@ -26,31 +26,38 @@ def grading_due(predictions: DataFrame, universe: DataFrame, as_of) -> DataFrame
     return due.join(universe.select("ticker"), "ticker", "left_semi")
 
 
-def return_since(asks: DataFrame, bars: DataFrame, out: str = "ret") -> DataFrame:
-    """Adds the return from the first close on or after ``since`` to the newest close of
-    ``symbol``; null with fewer than two closes. Bars hold one row per symbol and day.
-
-    The distinct (symbol, since) pairs are answered first: the newest close is one row per
-    symbol, the first one comes from a forward as-of join, so dates and bars are never paired
-    up. The answers go back to the asks by both keys, which spreads a symbol asked about very
-    often over its dates.
-    """
-    pairs = asks.select("symbol", "since").distinct()
+def returns_of(pairs: DataFrame, bars: DataFrame, out: str = "ret") -> DataFrame:
+    """Return of each (symbol, since): first close on or after ``since`` to the newest close; no
+    row with fewer than two closes. Bars hold one row per symbol and day. The newest close is
+    one row per symbol and the first one comes from a forward as-of join, so dates and bars are
+    never paired up."""
     last = bars.groupBy("symbol").agg(F.max_by("close", "bar_date").alias("_last"), F.max("bar_date").alias("_last_date"))
     first = asof.forward(pairs, bars, ["symbol"], "since", "bar_date", "close", "_first")
-    answers = first.join(last, "symbol").filter("_first_date < _last_date").select(
+    return first.join(last, "symbol").filter("_first_date < _last_date").select(
         "symbol", "since", (F.col("_last") / F.col("_first") - 1).alias(out)
     )
+
+
+def return_since(asks: DataFrame, bars: DataFrame, out: str = "ret") -> DataFrame:
+    """Adds the return since ``since`` of ``symbol``. The distinct pairs are answered first and
+    go back by both keys, which spreads a symbol asked about very often over its dates."""
+    answers = returns_of(asks.select("symbol", "since").distinct(), bars, out)
     return asks.join(answers, ["symbol", "since"], "left").select(*asks.columns, out)
 
 
 def with_returns(predictions: DataFrame, bars: DataFrame, benchmark) -> DataFrame:
-    """Adds ``stock_ret`` and ``bench_ret``. The benchmark is answered once per run date."""
-    asks = predictions.withColumn("symbol", F.col("ticker")).withColumn("since", F.col("run_date"))
-    out = return_since(asks, bars, "stock_ret").drop("symbol", "since")
-    dates = predictions.select(F.lit(benchmark).alias("symbol"), F.col("run_date").alias("since")).distinct()
-    bench = return_since(dates, bars.filter(F.col("symbol") == benchmark), "bench_ret").select(F.col("since").alias("run_date"), "bench_ret")
-    return out.join(bench, "run_date", "left").select(*predictions.columns, "stock_ret", "bench_ret")
+    """Adds ``stock_ret`` and ``bench_ret``. One as-of pass answers the tickers and the
+    benchmark, the latter once per run date."""
+    both = F.explode(F.array(F.col("ticker"), F.lit(benchmark).cast(predictions.schema["ticker"].dataType)))
+    answers = returns_of(predictions.select(both.alias("symbol"), F.col("run_date").alias("since")).distinct(), bars)
+    stock = answers.select(F.col("symbol").alias("ticker"), F.col("since").alias("run_date"), F.col("ret").alias("stock_ret"))
+    bench = answers.groupBy(F.col("since").alias("run_date")).agg(
+        F.max(F.when(F.col("symbol") == benchmark, F.col("ret"))).alias("bench_ret")
+    )
+    return (
+        predictions.join(stock, ["ticker", "run_date"], "left").join(bench, "run_date", "left")
+        .select(*predictions.columns, "stock_ret", "bench_ret")
+    )
 
 
 def benchmark_drift(returns: DataFrame, as_of) -> DataFrame:
