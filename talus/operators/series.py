@@ -39,8 +39,10 @@ def concept_dim(spark: SparkSession) -> DataFrame:
 
 
 def facts_explode(payloads: DataFrame, id_col: str = "entity_id", json_col: str = "payload") -> DataFrame:
-    """Nested taxonomy -> tag -> unit -> facts documents to long rows, keeping the position."""
-    parsed = payloads.select(id_col, F.from_json(json_col, NESTED_FACTS).alias("m"))
+    """Nested taxonomy -> tag -> unit -> facts documents (JSON text or already parsed) to long
+    rows, keeping the position."""
+    is_text = payloads.schema[json_col].dataType.simpleString() == "string"
+    parsed = payloads.select(id_col, (F.from_json(json_col, NESTED_FACTS) if is_text else F.col(json_col)).alias("m"))
     by_taxonomy = parsed.select(id_col, F.explode("m").alias("taxonomy", "tags"))
     by_tag = by_taxonomy.select(id_col, "taxonomy", F.explode("tags").alias("tag", "body"))
     by_unit = by_tag.select(id_col, "taxonomy", "tag", F.explode("body.units").alias("unit", "facts"))
