@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from talus.checks.chains import avg_of, b, delta_of, facts_sql, growth_of, jr, margin_of, pct, ttm_of
@@ -9,23 +11,19 @@ from talus.checks.q_series import chosen
 from talus.checks.registry import Tables, query
 from talus.operators import metrics as M
 from talus.operators import series as S
+from talus.sources.gold import materialize
 
 
 class Facts:
-    """Series of one data folder; the tag choice is made once and shared by the branches."""
+    """Series of one data folder, as one lazy plan."""
 
     def __init__(self, t: Tables):
-        self.chosen = chosen(t)
-        self.q = S.quarterly_series(self.chosen)
-        self.i = S.instant_series(self.chosen)
-
-    @property
-    def tags(self):
-        return S.tag_choice(self.chosen)
+        c = chosen(t)
+        self.q, self.i, self.tags = S.quarterly_series(c), S.instant_series(c), S.tag_choice(c)
 
     @property
     def entities(self):
-        return self.chosen.select("entity_id").distinct()
+        return self.tags.select("entity_id").distinct()
 
     @property
     def grid(self):
@@ -35,6 +33,22 @@ class Facts:
         return M.metrics_wide(self.q, self.i)
 
 
+class Written(Facts):
+    """The same with the series written once to the shared folder: for plans whose many
+    branches would each compute them again."""
+
+    def __init__(self, t: Tables):
+        self.t = t
+
+    @cached_property
+    def parts(self):
+        return S.split_points(materialize(S.series_points(chosen(self.t)), "series-points"))
+
+    q = property(lambda self: self.parts[0])
+    i = property(lambda self: self.parts[1])
+    tags = property(lambda self: self.parts[2])
+
+
 FULL = "SELECT entity_id, p_end, {v} AS val, {a} AS accn FROM wide WHERE {v} IS NOT NULL"
 
 
@@ -229,5 +243,5 @@ def _(t):
 
 @query("sanity_confidence", facts_sql(SANITY_CONF))
 def _(t):
-    f = Facts(t)
+    f = Written(t)
     return M.sanity_confidence(f.entities, M.sanity_flags(f.entities, f.tags, f.q, f.i, f.metrics()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.checks.chains import _LATER, facts_sql, jr
-from talus.checks.q_metrics import Facts
+from talus.checks.q_metrics import Facts, Written
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
 from talus.operators import asof
@@ -96,11 +96,7 @@ def sql(body: str, *roles: str) -> str:
     return text
 
 
-class Val(Facts):
-    def __init__(self, t):
-        super().__init__(t)
-        self.t = t
-
+class Val(Written):
     def now(self):
         return self.metrics().select("entity_id", "net_debt", "shares")
 

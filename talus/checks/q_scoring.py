@@ -9,6 +9,7 @@ from talus.checks.registry import query
 from talus.checks.roles import with_roles
 from talus.operators import filings as FO
 from talus.operators import scoring as K
+from talus.sources.gold import materialize
 
 AS_OF = "2001-11-05"
 BENCH = 0
@@ -141,7 +142,7 @@ def _(t):
       SELECT valuation_error_pct, valuation_error_pct AS v, row_number() OVER (ORDER BY valuation_error_pct) AS k, cast(floor(count(*) OVER () / 2) as bigint) + 1 AS n2 FROM sc WHERE valuation_error_pct IS NOT NULL)
     UNION ALL SELECT classification, count(*), {_MEAN('valuation_error_pct', 1000000)}, NULL FROM sc WHERE valuation_error_pct IS NOT NULL GROUP BY classification"""))
 def _(t):
-    return K.calibration_rollup(ledger(t))
+    return K.calibration_rollup(materialize(ledger(t), "ledger"))
 
 
 @query("band_hit_rate", sql("SELECT count(*) AS n, count(*) FILTER (WHERE ref_price * (1 + coalesce(return_1y, 0)) BETWEEN bear AND bull) AS in_band FROM sc WHERE valuation_error_pct IS NOT NULL"))

@@ -12,6 +12,7 @@ from talus.functions import text as T
 from talus.operators import filings as O
 from talus.operators import news as N
 from talus.operators import prices as Q
+from talus.sources.gold import spread
 
 AS_OF_LINES, AS_OF_FILINGS = "2001-11-05", "2024-01-31"
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -139,7 +140,7 @@ _TXT = _rr(
 
 @query("html_to_text", f"SELECT page_id, {_TXT} AS text FROM pages")
 def _(t):
-    return t("pages").select("page_id", T.html_to_text("html").alias("text"))
+    return spread(t("pages")).select("page_id", T.html_to_text("html").alias("text"))
 
 
 _S, _E = r"the\s+of\s|\sde\s+la\s|\sder\s+die\s", r"\sand\s+in\s|\squi\s|\sund\s"
@@ -154,7 +155,7 @@ _OPT = dict(start_pattern=_S, end_pattern=_E, min_tail=500, min_body=100, fallba
   SELECT doc_id, cast(start as integer) AS start, start >= 0 AS found, CASE WHEN start >= 0 THEN substring(text, start + 1, 40) || CASE WHEN has_end AND cut > 100 THEN substring(rest, 1, cut) ELSE rest END
     ELSE substring(text, 1, 600) END AS section FROM e""")
 def _(t):
-    s = t("documents").select("doc_id", T.section_extract("text", **_OPT).alias("s"))
+    s = spread(t("documents")).select("doc_id", T.section_extract("text", **_OPT).alias("s"))
     return s.select("doc_id", "s.start", "s.found", F.col("s.text").alias("section"))
 
 
@@ -187,11 +188,11 @@ FRESH = f"""SELECT * REPLACE (CASE WHEN source = '' THEN 'unknown' ELSE source E
 
 @query("news_parse", with_roles(NEWS, "fx_feeds"))
 def _(t):
-    return N.news_parse(t("fx_feeds"))
+    return N.news_parse(spread(t("fx_feeds")))
 
 
 def fresh_news(t):
-    return N.news_filter(N.news_parse(t("fx_feeds")), F.expr(NOW))
+    return N.news_filter(N.news_parse(spread(t("fx_feeds"))), F.expr(NOW))
 
 
 @query("news_filter", with_roles(FRESH, "fx_feeds"))

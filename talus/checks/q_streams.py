@@ -8,6 +8,7 @@ from talus.checks.dialect import SPARK
 from talus.checks.registry import query
 from talus.checks.roles import MESSAGE_TEXT, TAP_DATA, with_roles
 from talus.operators import debate as D
+from talus.sources.gold import workspace
 from talus.streaming import jobs as J
 
 
@@ -40,7 +41,7 @@ def sql(body: str, *roles: str) -> str:
 
 @query("stream_feedback_ingest", sql("SELECT * FROM taps"))
 def _(t):
-    return ntz(J.run_append(J.feedback_ingest(updates(t)), J.workspace(t.spark, "feedback")), "ts")
+    return ntz(J.run_append(J.feedback_ingest(updates(t)), workspace(t.spark, "feedback")), "ts")
 
 
 @query("stream_last_vote", sql(
@@ -48,7 +49,7 @@ def _(t):
     max(ts) FILTER (WHERE run_date <> 'news') AS ts, bool_or(run_date = 'news') AS muted FROM taps GROUP BY ticker"""))
 def _(t):
     votes = J.last_vote(J.feedback_ingest(updates(t)))
-    return ntz(J.run_epochs(votes, J.workspace(t.spark, "last-vote"), ["ticker"]), "ts")
+    return ntz(J.run_epochs(votes, workspace(t.spark, "last-vote"), ["ticker"]), "ts")
 
 
 _W = "count(*) AS taps, count(*) FILTER (WHERE up) AS ups, count(*) FILTER (WHERE up) / count(*) AS rate"
@@ -59,21 +60,21 @@ _W = "count(*) AS taps, count(*) FILTER (WHERE up) AS ups, count(*) FILTER (WHER
     UNION ALL SELECT 'week', w_start, w_start + INTERVAL 7 DAY, {_W} FROM (SELECT up, date_trunc('day', ts) - k * INTERVAL 1 DAY AS w_start FROM taps, range(7) r(k)) GROUP BY ALL"""))
 def _(t):
     taps = J.parse_taps(events(t).selectExpr("event_id AS update_id", "ts", f"{TAP_DATA()} AS data"))
-    day = J.run_epochs(J.vote_rate_windows(taps), J.workspace(t.spark, "day-rate"), ["w_start", "w_end"]).withColumn("kind", F.lit("day"))
-    week = J.run_epochs(J.vote_rate_windows(taps, "7 days", "1 day"), J.workspace(t.spark, "week-rate"), ["w_start", "w_end"])
+    day = J.run_epochs(J.vote_rate_windows(taps), workspace(t.spark, "day-rate"), ["w_start", "w_end"]).withColumn("kind", F.lit("day"))
+    week = J.run_epochs(J.vote_rate_windows(taps, "7 days", "1 day"), workspace(t.spark, "week-rate"), ["w_start", "w_end"])
     return ntz(day.unionByName(week.withColumn("kind", F.lit("week"))), "w_start", "w_end")
 
 
 @query("stream_news_fresh", "SELECT event_id, ts - (event_id % 5) * INTERVAL 1 DAY >= ts - INTERVAL 48 HOUR AS fresh FROM events")
 def _(t):
     items = events(t).withColumn("pub_ts", F.expr("ts - make_dt_interval(cast(event_id % 5 as int))")).select("event_id", "ts", "pub_ts")
-    return J.run_append(J.news_fresh(items), J.workspace(t.spark, "news")).select("event_id", "fresh")
+    return J.run_append(J.news_fresh(items), workspace(t.spark, "news")).select("event_id", "fresh")
 
 
 @query("stream_killswitch_alert", "SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' AND value > 100")
 def _(t):
     reads = events(t).withColumn("impact", F.expr("CASE WHEN event_type = 'error' AND value > 100 THEN 'killswitch_trigger' ELSE 'noise' END"))
-    return ntz(J.run_append(J.killswitch_alert(reads).select("event_id", "ts", "user_id"), J.workspace(t.spark, "alerts")), "ts")
+    return ntz(J.run_append(J.killswitch_alert(reads).select("event_id", "ts", "user_id"), workspace(t.spark, "alerts")), "ts")
 
 
 MSG = {
@@ -113,7 +114,7 @@ def _(t):
 @query("stream_debate_session", msql("SELECT msg_id, chat, explicit, ticker FROM res"))
 def _(t):
     stream = events(t).selectExpr("user_id % 40 AS chat", "event_id AS msg_id", "ts", f"{MESSAGE_TEXT(SPARK)} AS text")
-    out = J.debate_sessions(stream, known(t), J.workspace(t.spark, "debate"))
+    out = J.debate_sessions(stream, known(t), workspace(t.spark, "debate"))
     return out.select("msg_id", "chat", "explicit", "ticker")
 
 

@@ -29,13 +29,14 @@ def literal_rows(spark: SparkSession, names: str, rows: list[tuple]) -> DataFram
 
 
 def concept_dim(spark: SparkSession) -> DataFrame:
-    """Concept dictionary as rows; its size is fixed by the code, so it is safe to broadcast."""
+    """Concept dictionary as rows; its size is fixed by the code, so it is safe to broadcast.
+    ``tid`` numbers the tags: hundreds for the concept, units for the place in its chain."""
     rows = [
-        (name, taxonomy, unit, kind, tag, rank)
-        for name, taxonomy, unit, kind, tags in P.CONCEPTS
+        (cid * 100 + rank, name, taxonomy, unit, kind, tag)
+        for cid, (name, taxonomy, unit, kind, tags) in enumerate(P.CONCEPTS)
         for rank, tag in enumerate(tags)
     ]
-    return literal_rows(spark, "concept taxonomy pref_unit kind tag tag_rank", rows)
+    return literal_rows(spark, "tid concept taxonomy pref_unit kind tag", rows)
 
 
 def facts_explode(payloads: DataFrame, id_col: str = "entity_id", json_col: str = "payload") -> DataFrame:
@@ -98,25 +99,24 @@ def choose_tags(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     The tag whose newest end is strictly later wins, ties go to the earlier tag of the chain;
     within a tag the preferred unit is used, else the first one in the file.
     """
-    mapped = facts.join(F.broadcast(concepts), ["taxonomy", "tag"])
-    reduced = latest_filed(
-        mapped, ["entity_id", "concept", "kind", "tag_rank", "tag", "unit", "pref_unit", "p_start", "p_end"]
+    # Facts travel and sort under a small number instead of the dictionary's names.
+    mapped = facts.join(F.broadcast(concepts.select("taxonomy", "tag", "tid", "pref_unit")), ["taxonomy", "tag"]).withColumn(
+        "pref", F.col("unit") == F.col("pref_unit")
     )
-    tag_w = Window.partitionBy("entity_id", "concept", "tag_rank", "unit")
-    unit_w = Window.partitionBy("entity_id", "concept", "tag_rank").orderBy(
-        (F.col("unit") == F.col("pref_unit")).desc(), "unit_pos"
-    )
-    pick_w = Window.partitionBy("entity_id", "concept").orderBy(F.col("newest").desc(), "tag_rank")
-    return (
+    reduced = latest_filed(mapped, ["entity_id", "tid", "p_end", "p_start", "unit", "pref"]).withColumn("cid", F.expr("tid div 100"))
+    unit_w = Window.partitionBy("entity_id", "cid", "tid", "unit")
+    best_unit = Window.partitionBy("entity_id", "cid", "tid").orderBy(F.col("pref").desc(), "unit_pos")
+    best_tag = Window.partitionBy("entity_id", "cid").orderBy(F.col("newest").desc(), "tid")
+    picked = (
         reduced.repartition("entity_id")
-        .withColumn("unit_pos", F.min("first_pos").over(tag_w))
-        .withColumn("newest", F.max("p_end").over(tag_w))
-        .withColumn("u", F.dense_rank().over(unit_w))
+        .select("*", F.min("first_pos").over(unit_w).alias("unit_pos"), F.max("p_end").over(unit_w).alias("newest"))
+        .withColumn("u", F.dense_rank().over(best_unit))
         .filter("u = 1")
-        .withColumn("t", F.dense_rank().over(pick_w))
+        .withColumn("t", F.dense_rank().over(best_tag))
         .filter("t = 1")
-        .drop("u", "t", "unit_pos", "pref_unit", "tag_rank")
+        .drop("u", "t", "unit_pos", "pref", "cid")
     )
+    return picked.join(F.broadcast(concepts.select("tid", "concept", "kind", "tag")), "tid").drop("tid")
 
 
 def tag_choice(chosen: DataFrame) -> DataFrame:
@@ -213,6 +213,22 @@ def instant_series(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> Data
     )
 
 
+def series_points(chosen: DataFrame, p: SeriesParams = DEFAULTS.series) -> DataFrame:
+    """Quarterly points, instants and chosen tags as one table (column ``part``), so that a
+    plan with many branches can be cut by writing it once."""
+    q = quarterly_series(chosen, p).select("*", F.lit("q").alias("part"), F.lit(None).cast("string").alias("tag"))
+    i = instant_series(chosen, p).withColumn("part", F.lit("i"))
+    t = tag_choice(chosen).select("entity_id", "concept", "tag", F.lit("t").alias("part"))
+    return q.unionByName(i, allowMissingColumns=True).unionByName(t, allowMissingColumns=True)
+
+
+def split_points(points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(quarterly, instants, tags) of such a table."""
+    q = points.filter("part = 'q'").select("entity_id", "concept", "p_start", "p_end", "val", "accn", "derived", "rn", "idx")
+    i = points.filter("part = 'i'").select("entity_id", "concept", "p_end", "val", "accn", "rn")
+    return q, i, points.filter("part = 't'").select("entity_id", "concept", "tag")
+
+
 def as_facts(df: DataFrame, entity: str, concept: str, kind: str) -> DataFrame:
     """Label raw rows of a single tag so the series operators accept them."""
     return latest_filed(

@@ -45,12 +45,8 @@ class Fundamentals:
 
     @classmethod
     def from_facts(cls, facts: DataFrame, p: Params = DEFAULTS, keep: Keep = _as_is) -> "Fundamentals":
-        chosen = keep(SE.choose_tags(facts, SE.concept_dim(facts.sparkSession)), "chosen_facts")
-        return cls(
-            keep(SE.quarterly_series(chosen, p.series), "series_quarterly"),
-            keep(SE.instant_series(chosen, p.series), "series_instant"),
-            SE.tag_choice(chosen),
-        )
+        chosen = SE.choose_tags(facts, SE.concept_dim(facts.sparkSession))
+        return cls(*SE.split_points(keep(SE.series_points(chosen, p.series), "series_points")))
 
     @property
     def entities(self) -> DataFrame:

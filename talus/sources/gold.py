@@ -3,6 +3,9 @@ again is safe, also after a failure half way."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +26,24 @@ def read_runs(spark: SparkSession, path: str, since: str | None = None) -> DataF
     return df.filter(F.col("run_date") >= F.lit(since).cast("date")) if since else df
 
 
-def materialize(df: DataFrame, name: str, fallback: str | None = None) -> DataFrame:
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one job run under the shared folder. Only a local session may fall
+    back to a temporary one."""
+    local = spark.sparkContext.master.startswith("local")
+    root = checkpoint_dir(spark, tempfile.mkdtemp(prefix="talus-") if local else None)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Cut the lineage with a written table in the shared folder the cluster names; a lost
     executor then costs a re-read, not a recompute."""
-    path = f"{checkpoint_dir(df.sparkSession, fallback).rstrip('/')}/{name}"
+    path = f"{folder.rstrip('/')}/{name}" if folder else workspace(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input that arrives in fewer partitions than there are cores, spread over them before
+    heavy work per row. Large inputs have more partitions than that and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -8,8 +8,6 @@ row per key. Nothing goes through a driver-side sink.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +16,6 @@ from pyspark.sql import types as T
 
 from talus.operators import debate as D
 from talus.operators.memory import NEWS
-from talus.session import checkpoint_dir
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -30,13 +27,6 @@ EVENTS = T.StructType([
 ])
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one job run. Only a local session may fall back to a temporary one."""
-    local = spark.sparkContext.master.startswith("local")
-    root = checkpoint_dir(spark, tempfile.mkdtemp(prefix="talus-") if local else None)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def read_files(spark: SparkSession, path: str, schema: T.StructType = EVENTS, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
     """Landed files as a stream with a fixed schema; event time as TIMESTAMP, which watermarks
     need."""

@@ -36,8 +36,8 @@ def test_twins_parse_on_the_tables(sf):
         con.execute("explain " + q).fetchall()
 
 
-@pytest.mark.parametrize("key", ["metrics_wide", "historical_multiples", "digest_gate", "val_rollup", "benchmark_drift", "calibration_rollup",
-                                 "debate_fallback_24h", "drop_triggers", "sanity_coverage", "screen_funnel", "scoring_summary", "html_to_text", "news_topn"])
+@pytest.mark.parametrize("key", ["metrics_wide", "digest_gate", "benchmark_drift", "debate_fallback_24h", "drop_triggers", "sanity_coverage",
+                                 "screen_funnel", "scoring_summary", "html_to_text", "news_topn"])
 def test_plans_hold_no_cross_join_and_no_python(spark, sf, key):
     plan = E.queries()[key](spark, sf)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
