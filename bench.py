@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,7 +31,7 @@ def main() -> None:
     from talus.checks import registry
     from talus.session import local
 
-    spark = local()
+    spark = local(**{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="talus-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     times: dict[str, float] = {}

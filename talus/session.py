@@ -26,7 +26,7 @@ def build(app: str = "talus", master: str | None = None, **extra: str) -> SparkS
     return b.getOrCreate()
 
 
-def local(cores: int | None = None) -> SparkSession:
+def local(cores: int | None = None, **extra: str) -> SparkSession:
     """Single-machine session for tests and the bench."""
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
     return build(
@@ -37,14 +37,13 @@ def local(cores: int | None = None) -> SparkSession:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.streaming.stateStore.maintenanceInterval": "600s",
+            **extra,
         },
     )
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder the cluster names; ``fallback`` counts only where none is set (tests)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder for written tables: the one the cluster names in spark.checkpoint.dir, else the
+    warehouse folder of the session, which executors reach as well."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = named or fallback
-    if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return path
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_talus"

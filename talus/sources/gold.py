@@ -3,7 +3,6 @@ again is safe, also after a failure half way."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +26,8 @@ def read_runs(spark: SparkSession, path: str, since: str | None = None) -> DataF
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one job run under the shared folder. Only a local session may fall
-    back to a temporary one."""
-    local = spark.sparkContext.master.startswith("local")
-    root = checkpoint_dir(spark, tempfile.mkdtemp(prefix="talus-") if local else None)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder for one job run under the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -43,7 +39,5 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input that arrives in fewer partitions than there are cores, spread over them before
-    heavy work per row. Large inputs have more partitions than that and stay where they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Evenly sized partitions before heavy work per row; Spark picks the number from the data."""
+    return df.hint("rebalance")

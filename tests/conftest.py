@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,7 +16,7 @@ def spark():
     s = session.build(
         "talus-tests", "local[4]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-           "spark.driver.memory": "4g"},
+           "spark.driver.memory": "4g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="talus-tests-")},
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

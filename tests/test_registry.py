@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from talus.checks import registry
 from talus.checks.roles import TABLES
 
 ROOT = Path(__file__).resolve().parent.parent
-KEYS = sorted(E.queries())
+KEYS = sorted(registry.queries())
 
 
 def survey_keys() -> set[str]:
@@ -25,14 +26,14 @@ def test_every_surveyed_operator_is_registered():
 
 
 def test_every_query_has_a_twin():
-    assert set(E.oracle_sql()) == set(KEYS)
+    assert set(registry.oracle_sql()) == set(KEYS)
 
 
 def test_twins_parse_on_the_tables(sf):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    for k, q in E.oracle_sql().items():
+    for k, q in registry.oracle_sql().items():
         con.execute("explain " + q).fetchall()
 
 
