@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +50,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     warehouse folder of the session, which executors reach as well."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_talus"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so they can import it also
+    where it isn't installed. Spark's own file server carries the archive; the copy made here is only
+    what it reads."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="talus-")) / "talus.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
