@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from talus.session import ship
 
@@ -47,23 +50,61 @@ def slices(texts: list[str], limit: int = CHARS_PER_SLICE) -> Iterator[tuple[int
 class Memo:
     """Results per distinct chunk, computed in batches and kept for the next batches of the worker.
 
-    It starts again when full, so a worker's memory stays bounded however many chunks there are."""
+    It starts again when full, so a worker's memory stays bounded however many chunks there are; a
+    long chunk counts as several."""
 
     def __init__(self, compute: Callable[[list[str]], list], entries: int = MEMO_ENTRIES):
-        self.compute, self.entries, self.known = compute, entries, {}
+        self.compute, self.entries, self.known, self.held = compute, entries, {}, 0
 
     def ready(self, chunk_lists: list[list[str]]) -> Callable:
         """A lookup that knows every chunk of the lists."""
         wanted: set[str] = set()
         for chunks in chunk_lists:
             wanted.update(chunks)
-        new = [c for c in wanted if c not in self.known]
-        if len(self.known) + len(new) > self.entries:
-            self.known, new = {}, list(wanted)
+        known = self.known
+        new = [c for c in wanted if c not in known]
         if new:
-            self.known.update(zip(new, self.compute(new)))
+            weight = len(new) + sum(map(len, new)) // 64
+            if self.held + weight > self.entries:
+                self.clear()
+                new, weight = list(wanted), len(wanted) + sum(map(len, wanted)) // 64
+            self.held += weight
+            self.learn(new)
         return self.known.__getitem__
 
+    def learn(self, new: list[str]) -> None:
+        self.known.update(zip(new, self.compute(new)))
+
+    def clear(self) -> None:
+        self.known, self.held = {}, 0
+
+
+class VectorMemo(Memo):
+    """A memo of one vector per chunk; the lookup gives its row in ``rows``."""
+
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, entries: int = MEMO_ENTRIES):
+        super().__init__(compute, entries)
+        self.rows, self.used = np.zeros((1024, width), dtype=np.float32), 0
+
+    def learn(self, new: list[str]) -> None:
+        end = self.used + len(new)
+        if end > len(self.rows):
+            grown = np.zeros((max(end, 2 * len(self.rows)), self.rows.shape[1]), dtype=np.float32)
+            grown[: self.used] = self.rows[: self.used]
+            self.rows = grown
+        self.rows[self.used : end] = self.compute(new)
+        self.known.update(zip(new, range(self.used, end)))
+        self.used = end
+
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
+    def places(self, chunk_lists: list[list[str]]) -> list[np.ndarray]:
+        """The rows of every chunk, list by list."""
+        at = self.ready(chunk_lists)
+        return [np.fromiter(map(at, c), dtype=np.int64, count=len(c)) for c in chunk_lists]
+
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s \s?| \s|^ | $")
@@ -73,3 +114,22 @@ def words_with_space(text: str) -> list[str]:
     """Split before every single space that stands between two non-space characters. Joined with a
     space the parts give the text back; runs of white space stay inside a part."""
     return _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+
+
+def fold(id_col: str, parts: int) -> Column:
+    """The fold of a row: crc32 of its id as text, modulo the number of folds."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
+
+
+def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> DataFrame:
+    """Texts of at most ``per_label`` ids of each label, the lowest by hash: columns id, label, text.
+
+    ``labelled`` has the columns id and label, ``docs`` id and text. Ids are chosen from the narrow
+    columns alone, each once; what is sent to every worker has per_label rows for each label. An id with several texts gives
+    the smallest one."""
+    lowest = W.Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    chosen = (
+        labelled.filter("id IS NOT NULL AND label IS NOT NULL").distinct()
+        .withColumn("place", F.row_number().over(lowest)).filter(F.col("place") <= per_label).drop("place")
+    )
+    return docs.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).filter("text IS NOT NULL")

@@ -20,6 +20,8 @@ class Pieces:
     byte_ids: list[int] = field(repr=False)
     unknown: int
     prefix: bool
+    #: The scores are log probabilities.
+    unigram: bool
 
 
 @functools.cache
@@ -49,7 +51,7 @@ def load(path: str) -> Pieces:
     if proto.trainer_spec.byte_fallback and len(spelled) != 256:
         raise ValueError("byte fallback needs all 256 byte pieces")
     bytes_ = [spelled[b] for b in range(256)] if proto.trainer_spec.byte_fallback else []
-    return Pieces([p.piece for p in proto.pieces], [p.score for p in proto.pieces], normal, bytes_, unknown, rules.add_dummy_prefix)
+    return Pieces([p.piece for p in proto.pieces], [p.score for p in proto.pieces], normal, bytes_, unknown, rules.add_dummy_prefix, proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM)
 
 
 _BEFORE_MARK = re.compile(f"(?<=[^ {MARK}])(?=[ {MARK}])")
