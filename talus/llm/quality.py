@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
             for lo, hi in slices(texts):
                 total += context_sums(texts[lo:hi])
         rows = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"row": rows, "sums": list(total[rows])})
+        yield pd.DataFrame({"row": rows, "sums": pd.Series(list(total[rows]), dtype=object)})
 
     add = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(DIMENSIONS)]
     sums = sample.select("text").mapInPandas(contexts, "row int, sums array<double>").groupBy("row").agg(*add).toArrow().to_pandas()
