@@ -107,13 +107,14 @@ class VectorMemo(Memo):
 
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s \s?| \s|^ | $")
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def words_with_space(text: str) -> list[str]:
-    """Split before every single space that stands between two non-space characters. Joined with a
-    space the parts give the text back; runs of white space stay inside a part."""
-    return _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    """Split at every single space that stands between two non-space characters. Joined with a space
+    the parts give the text back; runs of white space stay inside a part."""
+    plain = "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " "
+    return text.split(" ") if plain and not _RARE_SPACE.search(text) else _INNER_SPACE.split(text)
 
 
 def fold(id_col: str, parts: int) -> Column:

@@ -34,36 +34,49 @@ CAPACITY = 1024
 #: The shortest piece that is cut off on purpose; the rest of a document is shorter than this.
 SMALLEST = 64
 END_ID = 0
+#: How byte-level vocabularies write a space.
+SPACE_BYTE = "Ġ"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, klass int, worker int, nth long"
 
 
 @functools.cache
-def encoder(path: str) -> Memo:
-    """Ids of chunks that start with the space before them, as little-endian unsigned 32-bit numbers."""
+def encoder(path: str) -> tuple[Memo, Memo]:
+    """Ids as little-endian unsigned 32-bit numbers: of chunks as they are, and of chunks after a space."""
     import numpy as np
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    begins = np.zeros(tok.get_vocab_size(), dtype=bool)  # tokens that begin with a space
+    begins[[i for t, i in tok.get_vocab().items() if t.startswith(SPACE_BYTE)]] = True
 
-    def ids(chunks: list[str]) -> list[bytes]:
+    def alone(chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return Memo(ids)
+    def spaced(chunks: list[str]) -> list[bytes]:
+        # Chunks without a space of their own are encoded in one text: each begins at a token with a space.
+        plain = [c for c in chunks if " " not in c]
+        ids = np.array(tok.encode_batch_fast(["".join(" " + c for c in plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, edges = ids.tobytes(), (4 * np.r_[np.flatnonzero(begins[ids]), len(ids)]).tolist()
+        assert len(edges) == len(plain) + 1
+        known = dict(zip(plain, (raw[a:b] for a, b in zip(edges, edges[1:]))))
+        other = [c for c in chunks if " " in c]
+        known.update(zip(other, alone([" " + c for c in other])))
+        return [known[c] for c in chunks]
+
+    return Memo(alone), Memo(spaced)
 
 
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     """Ids of each text. The tokenizer's first split always parts a single space from the character
     before it and never looks across, so the parts of a text may be encoded one by one."""
-    memo = encoder(path)
+    heads, others = encoder(path)
     for lo, hi in slices(texts):
-        parts = []
-        for t in texts[lo:hi]:
-            head, *rest = words_with_space(t)
-            parts.append([head, *[" " + x for x in rest]] if t else [])
-        known = memo.ready(parts)
-        for p in parts:
-            yield b"".join(map(known, p))
+        parts = [words_with_space(t) if t else [] for t in texts[lo:hi]]
+        first, rest = [p[:1] for p in parts], [p[1:] for p in parts]
+        head, other = heads.ready(first), others.ready(rest)
+        for f, r in zip(first, rest):
+            yield b"".join(map(head, f)) + b"".join(map(other, r))
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> Iterator[tuple[int, int]]:
