@@ -24,15 +24,17 @@ CHAIN = {
     "act": """SELECT l.ticker, l.run_date, CASE
         WHEN EXISTS (SELECT 1 FROM fx_filings f WHERE f.entity_id = l.ticker AND f.filed_at >= l.run_date AND f.form = '8-K' AND list_contains(string_split(f.items, ','), '1.03')) THEN 'bankruptcy'
         WHEN EXISTS (SELECT 1 FROM fx_filings f WHERE f.entity_id = l.ticker AND f.filed_at >= l.run_date AND f.form IN ('25', '25-NSE')) THEN 'delisted' END AS action FROM fx_ledger l""",
-    "dead": f"""SELECT l.ticker, l.run_date, a.action, CASE WHEN a.action = 'bankruptcy' THEN -1e0 END AS return_1y,
-        CASE WHEN a.action = 'bankruptcy' AND l.fair <> 0 THEN -100e0 END AS valuation_error_pct,
-        CASE WHEN a.action = 'bankruptcy' THEN '{K.AUTO_BANKRUPT}' ELSE coalesce(l.note, CASE WHEN a.action = 'delisted' THEN '{K.MANUAL_DELISTED}' ELSE '{K.MANUAL_GONE}' END) END AS note
-        FROM led l JOIN act a USING (ticker, run_date) WHERE l.stock_ret IS NULL AND l.age >= 30""",
-    "err": f"""SELECT *, CASE WHEN age >= 365 THEN {jr('stock_ret', 4)} END AS r1 FROM led""",
-    "err2": f"""SELECT *, CASE WHEN r1 IS NOT NULL AND fair <> 0 THEN {jr('(ref_price * (1 + r1) / (1 + coalesce(bench_ret, 0)) - fair) / fair * 100', 4)} END AS e1 FROM err""",
-    "scored": f"""SELECT e.* EXCLUDE (note), {jr('stock_ret - bench_ret', 4)} AS d, coalesce(d.return_1y, e.r1) AS return_1y, coalesce(d.valuation_error_pct, e.e1) AS valuation_error_pct,
-        coalesce(d.note, e.note) AS note FROM err2 e LEFT JOIN dead d USING (ticker, run_date)""",
-    "sc": "SELECT *, CASE WHEN age >= 30 THEN d END AS drift30, CASE WHEN age >= 90 THEN d END AS drift90 FROM scored",
+    "open": "SELECT l.*, a.action, (l.age >= 30 AND NOT has_drift30) OR (l.age >= 90 AND NOT has_drift90) AS looks FROM led l JOIN act a USING (ticker, run_date)",
+    "dead": f"""SELECT ticker, run_date, action, CASE WHEN action = 'bankruptcy' AND NOT has_1y THEN -1e0 ELSE return_1y END AS return_1y,
+        CASE WHEN action = 'bankruptcy' AND NOT has_1y AND fair <> 0 THEN -100e0 ELSE valuation_error_pct END AS valuation_error_pct,
+        CASE WHEN action = 'bankruptcy' THEN '{K.AUTO_BANKRUPT}' ELSE coalesce(note, CASE WHEN action = 'delisted' THEN '{K.MANUAL_DELISTED}' ELSE '{K.MANUAL_GONE}' END) END AS note
+        FROM open WHERE stock_ret IS NULL AND looks""",
+    "err": f"""SELECT *, {jr('stock_ret - bench_ret', 4)} AS d, CASE WHEN has_1y THEN return_1y WHEN age >= 365 THEN {jr('stock_ret', 4)} ELSE return_1y END AS r1 FROM led""",
+    "err2": f"""SELECT *, CASE WHEN has_1y OR age < 365 THEN valuation_error_pct WHEN r1 IS NOT NULL AND fair <> 0 THEN {jr('(ref_price * (1 + r1) / (1 + coalesce(bench_ret, 0)) - fair) / fair * 100', 4)} END AS e1 FROM err""",
+    "drifts": """SELECT *, CASE WHEN has_drift30 OR age < 30 OR d IS NULL THEN drift30 ELSE d END AS d30, CASE WHEN has_drift90 OR age < 90 OR d IS NULL THEN drift90 ELSE d END AS d90 FROM err2""",
+    "sc": """SELECT e.ticker, e.run_date, e.ok, e.classification, e.ref_price, e.fair, e.bear, e.bull, d30 AS drift30, d90 AS drift90,
+        CASE WHEN d.action = 'bankruptcy' THEN d.return_1y ELSE e.r1 END AS return_1y, CASE WHEN d.action = 'bankruptcy' THEN d.valuation_error_pct ELSE e.e1 END AS valuation_error_pct,
+        CASE WHEN d.ticker IS NOT NULL THEN d.note ELSE e.note END AS note FROM drifts e LEFT JOIN dead d USING (ticker, run_date)""",
 }
 
 
@@ -58,9 +60,9 @@ def _(t):
     return K.prediction_age(t("fx_ledger"), AS_OF).select("ticker", "run_date", "age_days", *K.GATES)
 
 
-@query("grading_due", sql("SELECT ticker, run_date FROM fx_ledger WHERE DATE '2001-11-05' - run_date >= 90 AND NOT graded AND note IS NULL AND ticker IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"))
+@query("grading_due", sql("SELECT ticker, run_date FROM fx_ledger WHERE DATE '2001-11-05' - run_date >= 90 AND NOT graded AND note IS NULL AND ticker IN (SELECT s_suppkey FROM supplier)"))
 def _(t):
-    known = t("supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("ticker"))
+    known = t("supplier").select(F.col("s_suppkey").alias("ticker"))
     return K.grading_due(t("fx_ledger"), known, AS_OF).select("ticker", "run_date")
 
 
@@ -70,9 +72,9 @@ def _(t):
     return K.return_since(asks, t("fx_bars_s")).select("ticker", "run_date", "ret")
 
 
-@query("benchmark_drift", sql(f"SELECT ticker, run_date, CASE WHEN age >= 30 THEN {jr('stock_ret - bench_ret', 4)} END AS drift30, CASE WHEN age >= 90 THEN {jr('stock_ret - bench_ret', 4)} END AS drift90 FROM led"))
+@query("benchmark_drift", sql("SELECT ticker, run_date, d30 AS drift30, d90 AS drift90, has_drift30 OR (age >= 30 AND d IS NOT NULL) AS has_drift30 FROM drifts"))
 def _(t):
-    return K.benchmark_drift(returns(t), AS_OF).select("ticker", "run_date", "drift30", "drift90")
+    return K.benchmark_drift(returns(t), AS_OF).select("ticker", "run_date", "drift30", "drift90", "has_drift30")
 
 
 @query("dead_ticker_resolution", sql("SELECT * FROM dead"))
@@ -85,7 +87,7 @@ def _(t):
     return K.market_adjusted_error(returns(t), AS_OF).select("ticker", "run_date", "return_1y", "valuation_error_pct")
 
 
-@query("return_3y", sql(f"SELECT ticker, run_date, CASE WHEN age >= 1095 THEN {jr('stock_ret', 4)} END AS return_3y FROM led"))
+@query("return_3y", sql(f"SELECT ticker, run_date, CASE WHEN has_3y OR age < 1095 THEN return_3y ELSE {jr('stock_ret', 4)} END AS return_3y FROM led"))
 def _(t):
     return K.return_3y(returns(t), AS_OF).select("ticker", "run_date", "return_3y")
 

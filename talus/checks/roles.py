@@ -457,14 +457,21 @@ FROM (SELECT l_suppkey AS sk, cast(l_shipdate as date) AS bar_date, l_extendedpr
 
 @role("fx_ledger", "orders")
 def fx_ledger(d):
-    """One prediction per ticker and day, from the day's last order."""
+    """One prediction per ticker and day, from the day's last order; fifteen customers share a ticker,
+    as there are fifteen to a supplier. Earlier runs have graded part of the rows: a grade that was
+    given may be null, and a flag says that it was given."""
     return """SELECT ticker, run_date, ok, CASE st WHEN 'F' THEN 'thesis_breaking' WHEN 'O' THEN 'sentiment' ELSE 'mechanical' END AS classification,
   ref_price, ref_price * (90 + ok % 41) / 100 AS fair, ref_price * (60 + ok % 41) / 100 AS bear, ref_price * (120 + ok % 41) / 100 AS bull,
   concat('h', cast(ok % 5 as string)) AS hash, st = 'F' AS graded, CASE WHEN pri = '5-LOW' AND st = 'P' THEN 'acquired, check manually' END AS note,
-  concat('thesis ', cast(ok as string)) AS thesis
-FROM (SELECT o_custkey % 100 AS ticker, cast(o_orderdate as date) AS run_date, max(o_orderkey) AS ok, max_by(o_orderstatus, o_orderkey) AS st,
+  concat('thesis ', cast(ok as string)) AS thesis,
+  ok % 3 = 0 AS has_drift30, CASE WHEN ok % 3 = 0 THEN (ok % 201 - 100) / 1000 END AS drift30,
+  ok % 9 = 0 AS has_drift90, CASE WHEN ok % 9 = 0 THEN (ok % 301 - 150) / 1000 END AS drift90,
+  ok % 5 = 0 AS has_1y, CASE WHEN ok % 5 = 0 AND ok % 2 = 0 THEN (ok % 401 - 200) / 1000 END AS return_1y,
+  CASE WHEN ok % 5 = 0 AND ok % 2 = 0 THEN (ok % 101 - 50) / 2 END AS valuation_error_pct, CASE WHEN ok % 10 = 0 THEN 125 / 1000 END AS bench_return_1y,
+  ok % 7 = 0 AS has_3y, CASE WHEN ok % 14 = 0 THEN (ok % 901 - 300) / 1000 END AS return_3y
+FROM (SELECT cast(floor(o_custkey / 15) as bigint) AS ticker, cast(o_orderdate as date) AS run_date, max(o_orderkey) AS ok, max_by(o_orderstatus, o_orderkey) AS st,
     max_by(o_orderpriority, o_orderkey) AS pri, floor(max_by(o_totalprice, o_orderkey) * 20) / 100 AS ref_price
-  FROM orders GROUP BY o_custkey % 100, cast(o_orderdate as date)) t"""
+  FROM orders GROUP BY cast(floor(o_custkey / 15) as bigint), cast(o_orderdate as date)) t"""
 
 
 LEDGER_CELLS = ["1y bear", "1y base", "1y bull", "3y bear", "3y base", "3y bull"]

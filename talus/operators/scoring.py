@@ -1,7 +1,9 @@
 """Grading past predictions and the rollups that feed the next run.
 
 predictions: ticker, run_date (unique together), classification, ref_price, fair, bear, bull,
-graded, note.
+graded, note, and what earlier runs have recorded: drift30, drift90, return_1y, bench_return_1y,
+valuation_error_pct, return_3y, with has_drift30, has_drift90, has_1y and has_3y telling that the
+grade was given, be it null. A grade is given once; a run fills only what is due and still open.
 """
 
 from __future__ import annotations
@@ -60,11 +62,32 @@ def with_returns(predictions: DataFrame, bars: DataFrame, benchmark) -> DataFram
     )
 
 
+GRADED = {
+    "drift30": "double", "drift90": "double", "return_1y": "double", "bench_return_1y": "double", "valuation_error_pct": "double", "return_3y": "double",
+    "has_drift30": "boolean", "has_drift90": "boolean", "has_1y": "boolean", "has_3y": "boolean",
+}
+
+
+def with_grades(predictions: DataFrame) -> DataFrame:
+    """Adds the columns of grades that a fresh ledger lacks; unknown flags mean open."""
+    missing = {c: F.lit(None).cast(t) for c, t in GRADED.items() if c not in predictions.columns}
+    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c, t in GRADED.items() if t == "boolean"}
+    return predictions.withColumns(missing).withColumns(flags)
+
+
+def _open_drift() -> Column:
+    return (F.col("due30") & ~F.col("has_drift30")) | (F.col("due90") & ~F.col("has_drift90"))
+
+
 def benchmark_drift(returns: DataFrame, as_of) -> DataFrame:
-    """Stock minus benchmark, filled at 30 and 90 days. Returns run to the newest close."""
+    """Stock minus benchmark, filled once at 30 and at 90 days. Returns run to the newest close; where
+    one of them is missing the grade stays open."""
     drift = js_round(F.col("stock_ret") - F.col("bench_ret"), 4)
-    aged = prediction_age(returns, as_of)
-    return aged.withColumn("drift30", F.when(F.col("due30"), drift)).withColumn("drift90", F.when(F.col("due90"), drift))
+    out = prediction_age(with_grades(returns), as_of)
+    for days in (30, 90):
+        due = F.col(f"due{days}") & ~F.col(f"has_drift{days}") & drift.isNotNull()
+        out = out.withColumn(f"drift{days}", F.when(due, drift).otherwise(F.col(f"drift{days}"))).withColumn(f"has_drift{days}", F.col(f"has_drift{days}") | due)
+    return out
 
 
 MANUAL_DELISTED = "delisting form found, resolve the deal price manually"
@@ -82,16 +105,17 @@ def _resolution() -> tuple[Column, Column]:
 
 
 def dead_ticker_resolution(returns: DataFrame, actions: DataFrame, as_of) -> DataFrame:
-    """Names without price history: a bankruptcy filing settles them at -100 %, a delisting or
-    nothing leaves a note for manual work. ``actions``: ticker, run_date, action."""
-    aged = prediction_age(returns, as_of)
-    dead = aged.filter(F.col("due30") & F.col("stock_ret").isNull())
+    """Names without price history while a drift is open: a bankruptcy filing settles them at -100 %,
+    unless the year is graded already; a delisting or nothing leaves a note for manual work.
+    ``actions``: ticker, run_date, action."""
+    dead = prediction_age(with_grades(returns), as_of).filter(_open_drift() & F.col("stock_ret").isNull())
     j = dead.join(actions.select("ticker", "run_date", "action"), ["ticker", "run_date"], "left")
     broke, note = _resolution()
+    settles = broke & ~F.col("has_1y")
     return j.select(
         "ticker", "run_date", "action",
-        F.when(broke, -1.0).alias("return_1y"),
-        F.when(broke & (F.col("fair") != 0), -100.0).alias("valuation_error_pct"),
+        F.when(settles, -1.0).otherwise(F.col("return_1y")).alias("return_1y"),
+        F.when(settles & (F.col("fair") != 0), -100.0).otherwise(F.col("valuation_error_pct")).alias("valuation_error_pct"),
         note.alias("note"),
     )
 
@@ -101,21 +125,27 @@ def _error(realized: Column) -> Column:
 
 
 def market_adjusted_error(returns: DataFrame, as_of, zero_is_null: bool = False) -> DataFrame:
-    """One-year return and the error of the fair value after taking the market's move out; an
-    unknown benchmark counts as flat. ``zero_is_null`` drops an exactly flat return."""
+    """One-year return and the error of the fair value after taking the market's move out, given once
+    when the year is over; an unknown benchmark counts as flat, an unknown return is a null grade.
+    ``zero_is_null`` drops an exactly flat return."""
     r = js_round("stock_ret", 4)
     if zero_is_null:
         r = F.nullif(r, F.lit(0.0))
-    aged = prediction_age(returns, as_of).withColumn("return_1y", F.when(F.col("due1y"), r))
+    due = F.col("due1y") & ~F.col("has_1y")
+    aged = prediction_age(with_grades(returns), as_of).withColumn("return_1y", F.when(due, r).otherwise(F.col("return_1y")))
     adj = F.col("ref_price") * (1 + F.col("return_1y")) / (1 + F.coalesce("bench_ret", F.lit(0.0)))
     ok = F.col("return_1y").isNotNull() & (F.col("fair") != 0)
-    return aged.withColumn("valuation_error_pct", F.when(ok, js_round(_error(adj) * 100, 4))).withColumn(
-        "bench_return_1y", F.when(ok, js_round("bench_ret", 4))
-    )
+    return aged.withColumns({
+        "valuation_error_pct": F.when(due, F.when(ok, js_round(_error(adj) * 100, 4))).otherwise(F.col("valuation_error_pct")),
+        "bench_return_1y": F.when(due, F.when(ok, js_round("bench_ret", 4))).otherwise(F.col("bench_return_1y")),
+        "has_1y": F.col("has_1y") | due,
+    })
 
 
 def return_3y(returns: DataFrame, as_of) -> DataFrame:
-    return prediction_age(returns, as_of).withColumn("return_3y", F.when(F.col("due3y"), js_round("stock_ret", 4)))
+    aged = prediction_age(with_grades(returns), as_of)
+    due = F.col("due3y") & ~F.col("has_3y")
+    return aged.withColumn("return_3y", F.when(due, js_round("stock_ret", 4)).otherwise(F.col("return_3y"))).withColumn("has_3y", F.col("has_3y") | due)
 
 
 def manual_resolution(returns: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -132,22 +162,24 @@ def manual_resolution(returns: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def scored(predictions: DataFrame, bars: DataFrame, benchmark, actions: DataFrame, as_of) -> DataFrame:
-    """Ledger with every outcome filled in: drifts, returns, errors and notes, in one pass."""
-    base = market_adjusted_error(with_returns(predictions, bars, benchmark), as_of)
-    drift = js_round(F.col("stock_ret") - F.col("bench_ret"), 4)
-    j = base.join(actions.select("ticker", "run_date", "action"), ["ticker", "run_date"], "left")
-    dead = F.col("due30") & F.col("stock_ret").isNull()
+    """The ledger with every open and due outcome filled in, in one pass: the columns of the
+    predictions and all grades, each once. Running it again changes nothing that was given."""
+    ledger = with_grades(predictions)
+    base = with_returns(ledger, bars, benchmark).join(actions.select("ticker", "run_date", "action"), ["ticker", "run_date"], "left")
+    # A bankruptcy settles the year first; what it settles is then no longer open.
+    dead = _open_drift() & F.col("stock_ret").isNull()
     broke, note = _resolution()
-    keep = [c for c in predictions.columns if c != "note"]
-    return j.select(
-        *keep, "bench_return_1y",
-        F.when(F.col("due30"), drift).alias("drift30"),
-        F.when(F.col("due90"), drift).alias("drift90"),
-        F.when(dead & broke, -1.0).otherwise(F.col("return_1y")).alias("return_1y"),
-        F.when(F.col("due3y"), js_round("stock_ret", 4)).alias("return_3y"),
-        F.when(dead & broke & (F.col("fair") != 0), -100.0).otherwise(F.col("valuation_error_pct")).alias("valuation_error_pct"),
-        F.when(dead, note).otherwise(F.col("note")).alias("note"),
-    )
+    settles = dead & broke & ~F.col("has_1y")
+    aged = prediction_age(base, as_of).withColumn("_settles", settles).withColumns({
+        "note": F.when(dead, note).otherwise(F.col("note")),
+        "return_1y": F.when(F.col("_settles"), -1.0).otherwise(F.col("return_1y")),
+        "valuation_error_pct": F.when(F.col("_settles") & (F.col("fair") != 0), -100.0).otherwise(F.col("valuation_error_pct")),
+        "bench_return_1y": F.when(F.col("_settles"), F.col("bench_ret")).otherwise(F.col("bench_return_1y")),
+        "has_1y": F.col("has_1y") | F.col("_settles"),
+    }).drop("age_days", *GATES)
+    for step in (benchmark_drift, market_adjusted_error, return_3y):
+        aged = step(aged, as_of).drop("age_days", *GATES)
+    return aged.select(*ledger.columns)
 
 
 # --- rollups ---------------------------------------------------------------------------

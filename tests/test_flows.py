@@ -82,3 +82,32 @@ def test_screen_flow(spark, sf):
 
     got = {r.symbol for r in flows.screen(t("fx_universe"), t("fx_quotes"), t("fx_bars_d"), t("fx_sectors"), "2024-01-31").collect()}
     assert got == {r.symbol for r in queries()["severity_topk"](spark, sf).collect()}
+
+
+def test_a_later_week_leaves_earlier_grades_alone(spark, sf, tmp_path):
+    """Weekly at two dates: what the first run gave is unchanged after the second one, which sees other
+    prices, and only what became due is new."""
+    from pyspark.sql import functions as F
+
+    from talus.operators.scoring import GRADED
+
+    t = Tables(spark, sf)
+    keep = lambda df, name: gold.materialize(df, name, str(tmp_path / name / as_of))
+    fresh = t("fx_ledger").drop(*GRADED)
+    bars = t("fx_bars_s")
+    as_of = "1999-06-01"
+    one = flows.weekly(fresh, bars.filter(f"bar_date < '{as_of}'"), 0, t("fx_filings"), t("fx_grades"), as_of, keep=keep)["ledger"]
+    as_of = "2001-11-05"
+    two = flows.weekly(one, bars.withColumn("close", F.col("close") * (1 + F.col("symbol") % 3)), 0, t("fx_filings"), t("fx_grades"), as_of, keep=keep)["ledger"]
+    assert one.columns == two.columns and len(set(two.columns)) == len(two.columns)
+    rows = {(r.ticker, r.run_date): r for r in one.collect()}
+    gained = 0
+    for r in two.collect():
+        before = rows[r.ticker, r.run_date]
+        for flag, values in {"has_drift30": ["drift30"], "has_drift90": ["drift90"], "has_1y": ["return_1y", "valuation_error_pct", "bench_return_1y"], "has_3y": ["return_3y"]}.items():
+            if before[flag]:
+                assert r[flag] and [r[v] for v in values] == [before[v] for v in values]
+            else:
+                gained += r[flag]
+                assert all(before[v] is None for v in values)
+    assert gained > 100 and sum(r.has_1y for r in rows.values()) > 100
