@@ -41,14 +41,14 @@ def sql(body: str, *roles: str) -> str:
 
 @query("stream_feedback_ingest", sql("SELECT * FROM taps"))
 def _(t):
-    return ntz(J.run_append(J.feedback_ingest(updates(t)), workspace(t.spark, "feedback")), "ts")
+    return ntz(J.feedback_ingest(updates(t), workspace(t.spark, "feedback")), "ts")
 
 
 @query("stream_last_vote", sql(
     """SELECT ticker, arg_max(run_date, row(ts, update_id)) FILTER (WHERE run_date <> 'news') AS run_date, arg_max(up, row(ts, update_id)) FILTER (WHERE run_date <> 'news') AS up,
     max(ts) FILTER (WHERE run_date <> 'news') AS ts, bool_or(run_date = 'news') AS muted FROM taps GROUP BY ticker"""))
 def _(t):
-    votes = J.last_vote(J.feedback_ingest(updates(t)))
+    votes = J.last_vote(J.parse_taps(updates(t)))
     return ntz(J.run_epochs(votes, workspace(t.spark, "last-vote"), ["ticker"]), "ts")
 
 
@@ -59,10 +59,10 @@ _W = "count(*) AS taps, count(*) FILTER (WHERE up) AS ups, count(*) FILTER (WHER
     f"""SELECT 'day' AS kind, date_trunc('day', ts) AS w_start, date_trunc('day', ts) + INTERVAL 1 DAY AS w_end, {_W} FROM taps GROUP BY ALL
     UNION ALL SELECT 'week', w_start, w_start + INTERVAL 7 DAY, {_W} FROM (SELECT up, date_trunc('day', ts) - k * INTERVAL 1 DAY AS w_start FROM taps, range(7) r(k)) GROUP BY ALL"""))
 def _(t):
-    taps = J.parse_taps(events(t).selectExpr("event_id AS update_id", "ts", f"{TAP_DATA()} AS data"))
-    day = J.run_epochs(J.vote_rate_windows(taps), workspace(t.spark, "day-rate"), ["w_start", "w_end"]).withColumn("kind", F.lit("day"))
-    week = J.run_epochs(J.vote_rate_windows(taps, "7 days", "1 day"), workspace(t.spark, "week-rate"), ["w_start", "w_end"])
-    return ntz(day.unionByName(week.withColumn("kind", F.lit("week"))), "w_start", "w_end")
+    taps = J.feedback_ingest(updates(t), workspace(t.spark, "rate-taps"))
+    day = J.vote_rate_windows(taps).withColumn("kind", F.lit("day"))
+    week = J.vote_rate_windows(taps, "7 days", "1 day").withColumn("kind", F.lit("week"))
+    return ntz(day.unionByName(week), "w_start", "w_end")
 
 
 @query("stream_news_fresh", "SELECT event_id, ts - (event_id % 5) * INTERVAL 1 DAY >= ts - INTERVAL 48 HOUR AS fresh FROM events")
@@ -84,6 +84,15 @@ MSG = {
         SELECT list_transform(regexp_extract_all(upper(m.text), '\\$?\\b[A-Z]{1,5}\\b'), lambda z: replace(z, '$', '')) AS toks)) x JOIN known k ON k.ticker = x.tok) AS explicit FROM msgs m""",
     "gaps": "SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM men WINDOW w AS (PARTITION BY chat ORDER BY ts, msg_id)",
     "sess": "SELECT *, sum(brk) OVER (PARTITION BY chat ORDER BY ts, msg_id) AS sid FROM gaps",
+    "g1": "SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, msg_id) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS pause FROM men",
+    "g2": "SELECT *, sum(pause) OVER (ORDER BY ts, msg_id) AS stretch FROM g1",
+    "g3": "SELECT *, bool_or(explicit IS NOT NULL) OVER (PARTITION BY stretch ORDER BY ts, msg_id) AS settled FROM g2",
+    "g4": """SELECT *, coalesce(ts - own_ts < INTERVAL 6 HOUR, false) AS near FROM (SELECT *, lag(msg_id) OVER (PARTITION BY chat ORDER BY ts, msg_id) AS own,
+        lag(ts) OVER (PARTITION BY chat ORDER BY ts, msg_id) AS own_ts, lag(msg_id) OVER (ORDER BY ts, msg_id) AS newest FROM g3 WHERE settled)""",
+    "told": """SELECT * FROM (WITH RECURSIVE r AS (SELECT msg_id, explicit AS name FROM g4 WHERE explicit IS NOT NULL
+        UNION ALL SELECT g.msg_id, r.name FROM g4 g JOIN r ON r.msg_id = CASE WHEN g.near THEN g.own ELSE g.newest END WHERE g.explicit IS NULL) SELECT * FROM r)""",
+    "settle": """SELECT m.msg_id, m.chat, m.explicit, CASE WHEN m.explicit IS NOT NULL OR g.near THEN t.name END AS ticker, CASE WHEN m.explicit IS NULL AND NOT g.near THEN t.name END AS fallback
+        FROM men m LEFT JOIN g4 g USING (msg_id) LEFT JOIN told t USING (msg_id)""",
     "res": """SELECT *, last_value(explicit IGNORE NULLS) OVER (PARTITION BY chat, sid ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING) AS ticker FROM sess""",
 }
 
@@ -111,11 +120,11 @@ def _(t):
     return messages(t).select("msg_id", "explicit")
 
 
-@query("stream_debate_session", msql("SELECT msg_id, chat, explicit, ticker FROM res"))
+@query("stream_debate_session", msql("SELECT * FROM settle"))
 def _(t):
     stream = events(t).selectExpr("user_id % 40 AS chat", "event_id AS msg_id", "ts", f"{MESSAGE_TEXT(SPARK)} AS text")
     out = J.debate_sessions(stream, known(t), workspace(t.spark, "debate"))
-    return out.select("msg_id", "chat", "explicit", "ticker")
+    return out.select("msg_id", "chat", "explicit", "ticker", "fallback")
 
 
 @query("debate_session_batch", msql("SELECT msg_id, chat, explicit, ticker FROM res"))
@@ -123,9 +132,6 @@ def _(t):
     return D.debate_session(messages(t)).select("msg_id", "chat", "explicit", "ticker")
 
 
-@query("debate_fallback_24h", msql(
-    """SELECT msg_id, ticker, CASE WHEN ticker IS NULL AND ts - hit_ts < INTERVAL 24 HOUR THEN hit END AS fallback FROM (
-    SELECT *, last_value(ticker IGNORE NULLS) OVER w AS hit, last_value(CASE WHEN ticker IS NOT NULL THEN ts END IGNORE NULLS) OVER w AS hit_ts FROM res
-    WINDOW w AS (ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING))"""))
+@query("debate_fallback_24h", msql("SELECT msg_id, ticker, fallback FROM settle"))
 def _(t):
-    return D.debate_fallback(D.debate_session(messages(t))).select("msg_id", "ticker", "fallback")
+    return D.debate_settle(messages(t)).select("msg_id", "ticker", "fallback")

@@ -47,15 +47,16 @@ def run_append(stream: DataFrame, where: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{where}/table")
 
 
-def run_epochs(stream: DataFrame, where: str, keys: list[str], mode: str = "update", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def run_epochs(stream: DataFrame, where: str, keys: list[str], mode: str = "update", each: Callable[[DataFrame, int], DataFrame] | None = None,
+               schema: str | T.StructType | None = None) -> DataFrame:
     """Run what is available, writing each micro-batch's changed rows under its epoch; returns
-    the newest row per key."""
+    the newest row per key. ``schema`` is that of the rows ``each`` makes, so a run that finds
+    nothing new still knows its table."""
     spark = stream.sparkSession
-    out: dict[str, T.StructType] = {}
+    rows_schema = spark.createDataFrame([], schema).schema if schema else stream.schema
 
     def sink(batch: DataFrame, epoch: int) -> None:
         rows = each(batch, epoch) if each else batch
-        out["schema"] = rows.schema
         rows.write.mode("overwrite").parquet(f"{where}/table/epoch={epoch}")
 
     q = (
@@ -63,11 +64,34 @@ def run_epochs(stream: DataFrame, where: str, keys: list[str], mode: str = "upda
         .option("checkpointLocation", f"{where}/checkpoint").start()
     )
     q.awaitTermination()
-    rows = spark.read.schema(T.StructType([*out["schema"].fields, T.StructField("epoch", T.LongType())])).parquet(f"{where}/table")
+    rows = spark.read.schema(T.StructType([*rows_schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{where}/table")
     cols = [c for c in rows.columns if c not in (*keys, "epoch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "epoch").alias("r")).select(*keys, "r.*")
 
 
+def run_once(stream: DataFrame, where: str, key: str) -> DataFrame:
+    """Run what is available into a table that holds each ``key`` once, however late or often it is
+    delivered; returns the table. A micro-batch is checked against what earlier ones landed, of which
+    the range of the batch's keys is read; written again after a failure it gives the same rows."""
+    spark = stream.sparkSession
+    landed_schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        rows = batch.dropDuplicates([key])
+        span = batch.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        if epoch > 0 and span["lo"] is not None:
+            landed = spark.read.schema(landed_schema).parquet(f"{where}/table").filter(F.col(key).between(span["lo"], span["hi"]) & (F.col("epoch") < epoch))
+            rows = rows.join(landed.select(key), key, "left_anti")
+        rows.select(*stream.columns).write.mode("overwrite").parquet(f"{where}/table/epoch={epoch}")
+
+    q = (
+        stream.writeStream.outputMode("append").trigger(availableNow=True).foreachBatch(sink)
+        .option("checkpointLocation", f"{where}/checkpoint").start()
+    )
+    q.awaitTermination()
+    return spark.read.schema(landed_schema).parquet(f"{where}/table").drop("epoch")
+
+
 # --- feedback --------------------------------------------------------------------------
 
 
@@ -82,14 +106,14 @@ def parse_taps(updates: DataFrame) -> DataFrame:
     )
 
 
-def feedback_ingest(updates: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each tap once, however often it is delivered within the delay; the checkpoint is the
-    offset."""
-    return parse_taps(updates).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["update_id"])
+def feedback_ingest(updates: DataFrame, where: str) -> DataFrame:
+    """The table of taps, each once; the checkpoint is the offset, and no tap is too late."""
+    return run_once(parse_taps(updates), where, "update_id")
 
 
 def last_vote(taps: DataFrame) -> DataFrame:
-    """Live latest vote per ticker and whether its news is muted."""
+    """Live latest vote per ticker and whether its news is muted; a tap that comes twice changes
+    nothing."""
     is_vote = F.col("run_date") != NEWS
     newest = F.when(is_vote, F.struct("ts", "update_id"))
     return taps.groupBy("ticker").agg(
@@ -97,12 +121,12 @@ def last_vote(taps: DataFrame) -> DataFrame:
     ).select("ticker", "v.run_date", "v.up", "v.ts", "muted")
 
 
-def vote_rate_windows(taps: DataFrame, length: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Vote rate per tumbling or sliding window."""
+def vote_rate_windows(taps: DataFrame, length: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Vote rate per tumbling or sliding window, over the landed taps: a late one counts in its own
+    window."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return (
-        taps.withWatermark("ts", delay).groupBy(w.alias("w"))
-        .agg(F.count("*").alias("taps"), F.count_if("up").alias("ups"))
+        taps.groupBy(w.alias("w")).agg(F.count("*").alias("taps"), F.count_if("up").alias("ups"))
         .select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), "taps", "ups", (F.col("ups") / F.col("taps")).alias("rate"))
     )
 
@@ -124,31 +148,39 @@ def killswitch_alert(reads: DataFrame) -> DataFrame:
 
 # --- debate ----------------------------------------------------------------------------
 
+SETTLED = "chat bigint, msg_id bigint, ts timestamp, text string, explicit string, ticker string, fallback string"
+CONTEXT = "chat bigint, msg_id bigint, ts timestamp, ticker string"
+
 
-def debate_sessions(messages: DataFrame, known: DataFrame, where: str, gap_hours: int = 6) -> DataFrame:
-    """Per-message company over a stream of messages. A micro-batch starts from the stored chat
-    contexts (one row per chat), runs the batch operator, and stores the contexts for the next;
-    so a chat with very many messages is still spread over tasks.
+def debate_sessions(messages: DataFrame, known: DataFrame, where: str, gap_hours: int = 6, fallback_hours: int = 24) -> DataFrame:
+    """Per-message company over a stream of messages, the fallback included. A micro-batch starts from
+    the stored chat contexts, runs the batch operator, and stores the contexts for the next; so a chat
+    with very many messages is still spread over tasks.
 
-    Messages must arrive in order across micro-batches (within one they may not).
+    A context is the newest settled message of a chat; it is kept while it can still settle one, that
+    is for ``fallback_hours`` after the newest message. Two copies are kept in turn, so a batch that
+    is run again finds the contexts it began with. Messages must arrive in order across micro-batches
+    (within one they may not).
     """
     spark = messages.sparkSession
-    context_schema = "chat bigint, msg_id bigint, ts timestamp, text string, explicit string"
 
     def each(batch: DataFrame, epoch: int) -> DataFrame:
-        prior = f"{where}/context/epoch={epoch - 1}"
         if epoch > 0:
-            ctx = spark.read.schema(context_schema).parquet(prior)
+            ctx = spark.read.schema(CONTEXT).parquet(f"{where}/context/turn={(epoch - 1) % 2}")
         else:
-            ctx = spark.createDataFrame([], context_schema)
+            ctx = spark.createDataFrame([], CONTEXT)
         rows = D.mention_extract(D.countable(batch), known).select("chat", "msg_id", "ts", "text", "explicit")
-        both = rows.withColumn("new", F.lit(True)).unionByName(ctx.withColumn("new", F.lit(False)))
-        done = D.debate_session(both, gap_hours)
-        # The newest settled message of a chat is its context.
-        at = F.when(F.col("ticker").isNotNull(), F.struct("ts", "msg_id"))
-        done.groupBy("chat").agg(F.max_by(F.struct("msg_id", "ts", F.lit("").alias("text"), F.col("ticker").alias("explicit")), at).alias("c")).filter(
-            "c IS NOT NULL"
-        ).select("chat", "c.*").write.mode("overwrite").parquet(f"{where}/context/epoch={epoch}")
+        # A context counts as a message that names its company.
+        old = ctx.select("chat", "msg_id", "ts", F.lit(None).cast("string").alias("text"), F.col("ticker").alias("explicit"))
+        both = rows.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False)))
+        done = D.debate_settle(both, gap_hours, fallback_hours)
+        done.select(*[c.split()[0] for c in SETTLED.split(", ")], "new").write.mode("overwrite").parquet(f"{where}/settled/turn={epoch % 2}")
+        done = spark.read.parquet(f"{where}/settled/turn={epoch % 2}")
+        settled = done.withColumn("ticker", F.coalesce("ticker", "fallback")).filter("ticker IS NOT NULL")
+        newest = settled.groupBy("chat").agg(F.max_by(F.struct("msg_id", "ts", "ticker"), F.struct("ts", "msg_id")).alias("c")).select("chat", "c.*")
+        end = done.agg(F.max("ts")).scalar()
+        alive = F.unix_micros(end) - F.unix_micros("ts") < fallback_hours * 3_600_000_000
+        newest.filter(alive).write.mode("overwrite").parquet(f"{where}/context/turn={epoch % 2}")
         return done.filter("new").drop("new")
 
-    return run_epochs(messages, where, ["msg_id"], mode="append", each=each)
+    return run_epochs(messages, where, ["msg_id"], mode="append", each=each, schema=SETTLED)

@@ -43,11 +43,38 @@ def test_session_equals_one_at_a_time(spark):
         assert got == simulate(msgs)
 
 
-def test_fallback_takes_the_newest_within_a_day(spark):
+def simulate_all(msgs, gap=timedelta(hours=6), day=timedelta(hours=24)):
+    """One message at a time, with the fallback: what it settles is a context like any other."""
+    ctx, newest, out = {}, None, {}
+    for mid, chat, ts, explicit in sorted(msgs, key=lambda m: (m[2], m[0])):
+        ticker, fallback = explicit, None
+        if ticker is None and chat in ctx and ts - ctx[chat][1] < gap:
+            ticker = ctx[chat][0]
+        if ticker is None and newest and ts - newest[1] < day:
+            fallback = newest[0]
+        settled = ticker or fallback
+        if settled:
+            ctx[chat] = newest = (settled, ts)
+        out[mid] = (ticker, fallback)
+    return out
+
+
+def test_fallback_settles_the_ones_after_it(spark):
     h = lambda x: T0 + timedelta(hours=x)
-    rows = [(1, 1, h(0), "AA"), (2, 2, h(23.9), None), (3, 2, h(24), None), (4, 3, h(30), "BB"), (5, 1, h(31), None)]
-    s = spark.createDataFrame(rows, "msg_id int, chat int, ts timestamp, ticker string")
-    assert {r.msg_id: r.fallback for r in D.debate_fallback(s).collect()} == {1: None, 2: "AA", 3: None, 4: None, 5: "BB"}
+    rows = [(1, 1, h(0), "AA"), (2, 2, h(20), None), (3, 3, h(40), None), (4, 3, h(41), None), (5, 4, h(65), None), (6, 3, h(70), "BB"), (7, 1, h(71), None)]
+    got = {r.msg_id: (r.ticker, r.fallback) for r in D.debate_settle(frame(spark, rows)).collect()}
+    assert got == {1: ("AA", None), 2: (None, "AA"), 3: (None, "AA"), 4: ("AA", None), 5: (None, None), 6: ("BB", None), 7: (None, "BB")}
+    assert got == simulate_all(rows)
+
+
+def test_settling_equals_one_at_a_time(spark):
+    for seed, steps in ((1, [1, 20, 90, 350, 360, 370]), (2, [300, 400, 800, 1439, 1440, 1500]), (3, [1, 2, 3, 500])):
+        rnd, t, msgs = random.Random(seed), T0, []
+        for i in range(300):
+            t += timedelta(minutes=rnd.choice(steps))
+            msgs.append((i, rnd.randrange(5), t, rnd.choice([None, None, None, None, "AA", "BB"])))
+        got = {r.msg_id: (r.ticker, r.fallback) for r in D.debate_settle(frame(spark, msgs)).collect()}
+        assert got == simulate_all(msgs)
 
 
 def test_running_last_equals_a_plain_scan(spark):
@@ -82,24 +109,35 @@ def test_debate_stream_over_many_batches(spark, tmp_path):
         "cast(user_id as bigint) AS chat", "event_id AS msg_id", "ts", "concat('a long message ', coalesce(event_type, '')) AS text")
     known = spark.createDataFrame([("AA",), ("BB",)], "ticker string")
     out = J.debate_sessions(stream, known, str(tmp_path / "out"))
-    assert {r.msg_id: r.ticker for r in out.collect()} == simulate(msgs)
+    assert {r.msg_id: (r.ticker, r.fallback) for r in out.collect()} == simulate_all(msgs)
     assert len(list((tmp_path / "out" / "table").glob("epoch=*"))) == 4
+    assert len(list((tmp_path / "out" / "context").glob("turn=*"))) == 2
+    # Nothing new: the table is the same.
+    assert J.debate_sessions(stream, known, str(tmp_path / "out")).count() == len(msgs)
 
 
-def test_taps_are_taken_once_across_restarts(spark, tmp_path):
+def test_taps_are_taken_once_however_late(spark, tmp_path):
     rows = [(i, T0 + timedelta(minutes=i), i % 3, f"fb|2026-01-0{1 + i % 3}|T{i % 3}|{i % 2}", 0.0, "") for i in range(30)]
     land(spark, rows, str(tmp_path / "in"), 1)
     where = str(tmp_path / "out")
 
     def run():
         s = J.read_files(spark, str(tmp_path / "in" / "part*")).selectExpr("event_id AS update_id", "ts", "event_type AS data")
-        return J.run_append(J.feedback_ingest(s), where)
+        return J.feedback_ingest(s, where)
+
+    def add(more, name):
+        land(spark, more, str(tmp_path / name), 1)
+        spark.read.parquet(str(tmp_path / name / "part0")).write.mode("append").parquet(str(tmp_path / "in" / "part0"))
 
     assert run().count() == 30
-    again = [(29, *rows[29][1:]), (30, T0 + timedelta(minutes=31), 0, "fb|news|T0|1", 0.0, ""), (31, T0 + timedelta(minutes=32), 0, "xx|y", 0.0, "")]
-    land(spark, again, str(tmp_path / "in2"), 1)
-    spark.read.parquet(str(tmp_path / "in2" / "part0")).write.mode("append").parquet(str(tmp_path / "in" / "part0"))
+    assert run().count() == 30  # nothing new
+    add([(29, *rows[29][1:]), (30, T0 + timedelta(minutes=31), 0, "fb|news|T0|1", 0.0, ""), (31, T0 + timedelta(minutes=32), 0, "xx|y", 0.0, "")], "in2")
     assert run().count() == 31  # one repeat and one foreign update are ignored
+    add([(7, *rows[7][1:]), (32, T0 - timedelta(days=5), 0, "fb|2025-12-27|T9|1", 0.0, "")], "in3")
+    taps = run()
+    assert taps.count() == 32 and taps.filter("ticker = 'T9'").count() == 1  # five days late, and kept
+    days = {(str(r.w_start), r.taps) for r in J.vote_rate_windows(taps).collect()}
+    assert days == {("2025-12-27 00:00:00", 1), ("2026-01-01 00:00:00", 31)}
 
 
 def test_last_vote_stream_updates_by_key(spark, tmp_path):
@@ -108,3 +146,5 @@ def test_last_vote_stream_updates_by_key(spark, tmp_path):
     s = J.read_files(spark, str(tmp_path / "in" / "part*"), per_trigger=1).selectExpr("event_id AS update_id", "ts", "event_type AS data")
     out = {r.ticker: (r.up, r.muted) for r in J.run_epochs(J.last_vote(J.parse_taps(s)), str(tmp_path / "out"), ["ticker"]).collect()}
     assert out == {"T0": (True, False), "T1": (True, True)}
+    again = J.run_epochs(J.last_vote(J.parse_taps(s)), str(tmp_path / "out"), ["ticker"])
+    assert again.count() == 2  # a restart with nothing new
