@@ -12,8 +12,8 @@ def chosen(t: Tables):
     return S.choose_tags(t("fx_facts"), S.concept_dim(t.spark))
 
 
-_fact = lambda start, val, tax, tag, unit, pos: (
-    f"SELECT entity_id, '{tax}' AS taxonomy, '{tag}' AS tag, '{unit}' AS unit, {start} AS p_start, qend AS p_end, "
+_fact = lambda start, val, tax, tag, unit, pos, unit_no=0: (
+    f"SELECT entity_id, '{tax}' AS taxonomy, '{tag}' AS tag, '{unit}' AS unit, {unit_no} AS unit_no, {start} AS p_start, qend AS p_end, "
     f"cast({val} as double) AS val, concat(cast(entity_id as string), '-', cast(qn as string)) AS accn, '10-Q' AS form, "
     f"qend + 40 AS filed, {pos} AS pos FROM cells_y"
 )
@@ -26,7 +26,7 @@ _fact = lambda start, val, tax, tag, unit, pos: (
             _fact("qstart", "rev", "us-gaap", "Revenues", "USD", 0),
             _fact("ystart", "rev_ytd", "us-gaap", "Revenues", "USD", 1),
             _fact("null", "price_c", "us-gaap", "Assets", "USD", 0),
-            _fact("null", "tax_c", "us-gaap", "Assets", "EUR", 0),
+            _fact("null", "tax_c", "us-gaap", "Assets", "EUR", 0, 1),
             _fact("null", "ws", "dei", "EntityCommonStockSharesOutstanding", "shares", 0),
         ]),
         "cells_y",
@@ -41,6 +41,17 @@ def _(t):
     return S.tag_choice(chosen(t))
 
 
+@query("tag_fallback_nested", with_roles(
+    """SELECT entity_id, 'revenue' AS concept, 'Revenues' AS tag, CASE WHEN entity_id % 2 = 0 THEN 'EUR' ELSE 'CAD' END AS unit, max(qend) AS newest
+    FROM cells_y GROUP BY entity_id""", "cells_y"))
+def _(t):
+    """From nested documents with several units, none of them preferred: the first one counts."""
+    value = lambda c: f"""concat('[{{"start":"', cast(qstart AS string), '","end":"', cast(qend AS string), '","val":', cast({c} AS string), ',"accn":"a","form":"10-Q","filed":"', cast(qend AS string), '"}}]')"""
+    first, second = ("CASE WHEN entity_id % 2 = 0 THEN '{}' ELSE '{}' END".format(*x) for x in (("EUR", "CAD"), ("CAD", "EUR")))
+    payloads = t("cells_y").selectExpr("entity_id", f"""concat('{{"us-gaap":{{"Revenues":{{"units":{{"', {first}, '":', {value('rev')}, ',"', {second}, '":', {value('rev_ytd')}, '}}}}}}}}') AS payload""")
+    return S.tag_choice(S.choose_tags(S.facts_explode(payloads), S.concept_dim(t.spark)))
+
+
 @query(
     "instant_dedup",
     with_roles(

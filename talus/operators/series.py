@@ -41,17 +41,18 @@ def concept_dim(spark: SparkSession) -> DataFrame:
 
 def facts_explode(payloads: DataFrame, id_col: str = "entity_id", json_col: str = "payload") -> DataFrame:
     """Nested taxonomy -> tag -> unit -> facts documents (JSON text or already parsed) to long
-    rows, keeping the position."""
+    rows, keeping the position inside its unit and the unit's own place (``unit_no``)."""
     is_text = payloads.schema[json_col].dataType.simpleString() == "string"
     parsed = payloads.select(id_col, (F.from_json(json_col, NESTED_FACTS) if is_text else F.col(json_col)).alias("m"))
     by_taxonomy = parsed.select(id_col, F.explode("m").alias("taxonomy", "tags"))
     by_tag = by_taxonomy.select(id_col, "taxonomy", F.explode("tags").alias("tag", "body"))
-    by_unit = by_tag.select(id_col, "taxonomy", "tag", F.explode("body.units").alias("unit", "facts"))
-    return by_unit.select(id_col, "taxonomy", "tag", "unit", F.posexplode("facts").alias("pos", "f")).select(
+    by_unit = by_tag.select(id_col, "taxonomy", "tag", F.posexplode("body.units").alias("unit_no", "unit", "facts"))
+    return by_unit.select(id_col, "taxonomy", "tag", "unit", "unit_no", F.posexplode("facts").alias("pos", "f")).select(
         id_col,
         "taxonomy",
         "tag",
         "unit",
+        "unit_no",
         F.col("f.start").alias("p_start"),
         F.col("f.end").alias("p_end"),
         F.col("f.val").alias("val"),
@@ -97,25 +98,25 @@ def choose_tags(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """Facts of the chosen tag per (entity, concept), already reduced to one row per period.
 
     The tag whose newest end is strictly later wins, ties go to the earlier tag of the chain;
-    within a tag the preferred unit is used, else the first one in the file.
+    within a tag the preferred unit is used, else the first one in the file: by ``unit_no`` where
+    the facts carry it, then by position. A tag has exactly one unit.
+
+    The choice is made on one row per (entity, tag, unit), found by an aggregate that runs before the
+    exchange, and joined back.
     """
     # Facts travel and sort under a small number instead of the dictionary's names.
-    mapped = facts.join(F.broadcast(concepts.select("taxonomy", "tag", "tid", "pref_unit")), ["taxonomy", "tag"]).withColumn(
+    place = F.col("unit_no") if "unit_no" in facts.columns else F.lit(0)
+    mapped = facts.withColumn("unit_no", place).join(F.broadcast(concepts.select("taxonomy", "tag", "tid", "pref_unit")), ["taxonomy", "tag"]).withColumn(
         "pref", F.col("unit") == F.col("pref_unit")
     )
-    reduced = latest_filed(mapped, ["entity_id", "tid", "p_end", "p_start", "unit", "pref"]).withColumn("cid", F.expr("tid div 100"))
-    unit_w = Window.partitionBy("entity_id", "cid", "tid", "unit")
-    best_unit = Window.partitionBy("entity_id", "cid", "tid").orderBy(F.col("pref").desc(), "unit_pos")
-    best_tag = Window.partitionBy("entity_id", "cid").orderBy(F.col("newest").desc(), "tid")
-    picked = (
-        reduced.repartition("entity_id")
-        .select("*", F.min("first_pos").over(unit_w).alias("unit_pos"), F.max("p_end").over(unit_w).alias("newest"))
-        .withColumn("u", F.dense_rank().over(best_unit))
-        .filter("u = 1")
-        .withColumn("t", F.dense_rank().over(best_tag))
-        .filter("t = 1")
-        .drop("u", "t", "unit_pos", "pref", "cid")
+    units = mapped.groupBy("entity_id", "tid", "unit").agg(
+        F.max("p_end").alias("newest"), F.min(F.struct((~F.col("pref")).alias("other"), "unit_no", "pos")).alias("place")
     )
+    one_unit = units.groupBy("entity_id", "tid").agg(F.min_by(F.struct("unit", "newest"), F.struct("place", "unit")).alias("u"))
+    best = F.max_by(F.struct("tid", "u.unit", "u.newest"), F.struct("u.newest", -F.col("tid")))
+    choice = one_unit.groupBy("entity_id", F.expr("tid div 100").alias("cid")).agg(best.alias("b")).select("entity_id", "b.*")
+    reduced = latest_filed(mapped, ["entity_id", "tid", "p_end", "p_start", "unit"])
+    picked = reduced.join(choice, ["entity_id", "tid", "unit"])
     return picked.join(F.broadcast(concepts.select("tid", "concept", "kind", "tag")), "tid").drop("tid")
 
 
