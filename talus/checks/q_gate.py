@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from talus.checks.chains import _LATER, jr
 from talus.checks.q_metrics import SANITY_CONF, Facts
 from talus.checks.q_multiples import sql as val_sql
-from talus.checks.q_scenarios import ANCHOR, Scen
+from talus.checks.q_series import chosen
+from talus.checks.q_scenarios import ANCHOR, SCEN_ALL, Scen, ensemble
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
 from talus.functions import text as T
@@ -17,6 +18,9 @@ from talus.operators import metrics as M
 from talus.operators import multiples as X
 from talus.operators import scenarios as S
 from talus.operators import scoring as K
+from talus.operators import series as S_
+from talus.operators import validate as V
+from talus.sources.gold import materialize
 
 AS_OF = "2024-02-20"
 RUN = "2024-02-05"
@@ -25,7 +29,16 @@ ROLES = ("fx_estimates", "fx_scenarios", "fx_verdicts", "fx_errors", "fx_grades"
 _LATER |= {
     "cal_all": f"SELECT count(*) AS n, {jr('cast(sum(cast(valuation_error_pct as decimal(28, 4))) as double) / count(*)', 1)} AS mean_error_pct FROM fx_errors",
     "cal_cls": f"SELECT classification, count(*) AS n, {jr('cast(sum(cast(valuation_error_pct as decimal(28, 4))) as double) / count(*)', 6)} AS mean_error_pct FROM fx_errors GROUP BY classification",
-    "anc": f"SELECT entity_id, anchor AS fair FROM ({ANCHOR}) WHERE sample = 1 AND horizon = '1'",
+    "kept_s": f"""SELECT * FROM fx_scenarios s WHERE sample = 1 OR NOT EXISTS (
+        SELECT 1 FROM (SELECT DISTINCT entity_id, sample FROM ({SCEN_ALL})) v WHERE v.entity_id = s.entity_id AND v.sample = s.sample)""",
+    "ens": ensemble("kept_s"),
+    "merged": """SELECT s.* REPLACE (CASE WHEN ok THEN coalesce(e.weight, s.weight) ELSE s.weight END AS weight, CASE WHEN ok THEN coalesce(e.multiple, s.multiple) ELSE s.multiple END AS multiple,
+        CASE WHEN ok THEN coalesce(e.value, s.value) ELSE s.value END AS value) FROM (SELECT * FROM fx_scenarios WHERE sample = 1) s
+        LEFT JOIN (SELECT entity_id, horizon, scenario_case, weight, multiple, value FROM ens) e USING (entity_id, horizon, scenario_case)
+        LEFT JOIN (SELECT entity_id, NOT coalesce(insufficient, false) AS ok FROM fx_verdicts) v USING (entity_id)""",
+    "mpriced": f"""SELECT * EXCLUDE (rawp), CASE WHEN rawp > 0 THEN {jr('rawp', 2)} END AS implied FROM (SELECT s.*, CASE WHEN m.shares > 0 AND multiple > 0 AND metric <> 'none' THEN
+        (multiple * value - CASE WHEN metric LIKE 'EV/%' THEN coalesce(m.net_debt, 0) ELSE 0 END) / m.shares END AS rawp FROM merged s LEFT JOIN mx m USING (entity_id))""",
+    "anc": f"SELECT entity_id, anchor AS fair FROM ({ANCHOR.replace('FROM priced', 'FROM mpriced')}) WHERE horizon = '1'",
     "calf": f"""SELECT v.entity_id, v.cause AS classification, a.fair, (SELECT n FROM cal_all) >= 20 AS calibration_active,
         CASE WHEN (SELECT n FROM cal_all) < 20 THEN a.fair ELSE {jr('a.fair * least(15e-1, greatest(5e-1, 1e0 + CASE WHEN c.n >= 10 THEN c.mean_error_pct ELSE (SELECT mean_error_pct FROM cal_all) END / 100))', 2)} END AS fair_adjusted,
         CASE WHEN (SELECT n FROM cal_all) < 20 THEN 'none' WHEN c.n >= 10 THEN 'class' ELSE 'global' END AS calibration_scope,
@@ -68,8 +81,15 @@ def sql(body: str, *roles: str) -> str:
 
 
 class Gate(Scen):
+    def merged(self):
+        """The ensemble's scenarios, priced; written once, as the gate reads them twice."""
+        if not hasattr(self, "_merged"):
+            bad = V.scenario_violations(self.ctx())
+            self._merged = materialize(S.implied_price(S.merged_scenarios(self.t("fx_scenarios"), self.t("fx_verdicts"), bad), self.metrics()), "merged-scenarios")
+        return self._merged
+
     def anchors(self):
-        a = S.weighted_anchor(self.priced()).filter("sample = 1 AND horizon = '1'")
+        a = S.weighted_anchor(self.merged()).filter("horizon = '1'")
         return a.select("entity_id", F.col("anchor").alias("fair"))
 
     def calibrated(self):
@@ -175,7 +195,7 @@ _tgt = ", ".join(f"max(implied) FILTER (WHERE horizon = '{h}' AND scenario_case
     bear_1y, base_1y, bull_1y, bear_3y, base_3y, bull_3y, {jr('CASE WHEN calibration_active THEN fair_adjusted ELSE fair END * 8e-1', 2)} AS recommended_entry,
     CASE WHEN base_1y > 0 THEN {jr('base_1y / pow(115e-2, 1)', 2)} END AS entry_base_1y, CASE WHEN base_3y > 0 THEN {jr('base_3y / pow(115e-2, 3)', 2)} END AS entry_base_3y, s.seen_date, v.up AS seen_up, thesis
     FROM gated g JOIN (SELECT s_suppkey AS entity_id, cast(floor(-s_acctbal * 100 + 0.5) as bigint) AS rank FROM supplier) r USING (entity_id)
-    LEFT JOIN (SELECT entity_id, {_tgt} FROM priced WHERE sample = 1 GROUP BY entity_id) tg USING (entity_id)
+    LEFT JOIN (SELECT entity_id, {_tgt} FROM mpriced GROUP BY entity_id) tg USING (entity_id)
     LEFT JOIN ({_seen}) s USING (entity_id) LEFT JOIN ({_lastv}) v ON v.ticker = g.entity_id AND s.seen_date IS NOT NULL WHERE reasons = ''""", "fx_ledger", "fx_feedback"))
 def _(t):
     g = Gate(t)
@@ -183,12 +203,12 @@ def _(t):
     seen = t("fx_ledger").groupBy(F.col("ticker").alias("entity_id")).agg(F.max("run_date").alias("seen_date")).join(
         R.last_vote(t("fx_feedback")).select(F.col("ticker").alias("entity_id"), F.col("up").alias("seen_up")), "entity_id", "left"
     )
-    return G.digest_table(g.gated(), ranking, g.priced().filter("sample = 1"), seen)
+    return G.digest_table(g.gated(), ranking, g.merged(), seen)
 
 
 @query("performance_snapshot", sql(
-    """SELECT entity_id, as_of_quarter, span_years, revenue_cagr_pct, share_cagr_pct, fcf_positive_quarters, fcf_quarters, revenue_ttm, ebitda_ttm, ebit_ttm, net_income_ttm, fcf_ttm,
-    epv_per_share, implied_growth_pct, expectations_gap_pts, roic_pct, DATE '2001-11-05' AS captured_at FROM ecov"""))
+    """SELECT entity_id, as_of_quarter, span_years, revenue_cagr_pct, share_cagr_pct, fcf_positive_quarters, fcf_quarters, gross_delta_bp, op_delta_bp, revenue_ttm, ebitda_ttm, ebit_ttm, net_income_ttm, fcf_ttm,
+    discount_rate_pct, epv_per_share, implied_growth_pct, street_growth_pct, expectations_gap_pts, roic_pct, growth_proxy, DATE '2001-11-05' AS captured_at FROM ecov"""))
 def _(t):
     g = Gate(t)
     return R.performance_snapshot(g.metrics(), g.economics(), "2001-11-05")
@@ -202,15 +222,16 @@ def _(t):
 
 
 @query("argument_context", sql(
-    """SELECT t.ticker, p.run_date AS pred_date, p.classification, p.fair, p.ref_price, m.revenue_ttm, m.fcf_ttm, coalesce(a.n, 0) AS n_objections, a.notes, a.last_text
+    """SELECT t.ticker, p.run_date AS pred_date, p.classification, p.thesis, p.fair, p.ref_price, m.revenue_ttm, m.fcf_ttm, m.epv_per_share, m.implied_growth_pct, coalesce(a.n, 0) AS n_objections, a.notes, a.last_text, a.last_reply, k.kill_switches
     FROM (SELECT DISTINCT ticker FROM fx_ledger) t LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY run_date DESC) AS k FROM fx_ledger) WHERE k = 1) p USING (ticker)
-    LEFT JOIN (SELECT entity_id AS ticker, revenue_ttm, fcf_ttm FROM mx) m USING (ticker)
-    LEFT JOIN (SELECT ticker, count(*) AS n, string_agg(note, ' | ' ORDER BY k) AS notes, max(substring(user_text, 1, 400)) FILTER (WHERE k = 1) AS last_text FROM (
+    LEFT JOIN (SELECT entity_id AS ticker, revenue_ttm, fcf_ttm, epv_per_share, implied_growth_pct FROM ecov) m USING (ticker)
+    LEFT JOIN (SELECT ticker, run_date, string_agg(label || ': ' || falsifier, ' | ' ORDER BY label || ': ' || falsifier) AS kill_switches FROM fx_ledger_scen GROUP BY ticker, run_date) k ON k.ticker = p.ticker AND k.run_date = p.run_date
+    LEFT JOIN (SELECT ticker, count(*) AS n, string_agg(note, ' | ' ORDER BY k) AS notes, max(substring(user_text, 1, 400)) FILTER (WHERE k = 1) AS last_text, max(substring(ai_reply, 1, 600)) FILTER (WHERE k = 1) AS last_reply FROM (
       SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY created_at DESC, arg_id DESC) AS k FROM fx_arguments) WHERE k <= 3 GROUP BY ticker) a USING (ticker)""",
-    "fx_ledger", "fx_arguments"))
+    "fx_ledger", "fx_arguments", "fx_ledger_scen"))
 def _(t):
-    perf = Facts(t).metrics().select(F.col("entity_id").alias("ticker"), "revenue_ttm", "fcf_ttm")
-    return R.argument_context(t("fx_ledger").select("ticker"), t("fx_ledger"), perf, t("fx_arguments"))
+    perf = Gate(t).economics().select(F.col("entity_id").alias("ticker"), "revenue_ttm", "fcf_ttm", "epv_per_share", "implied_growth_pct")
+    return R.argument_context(t("fx_ledger").select("ticker"), t("fx_ledger"), perf, t("fx_arguments"), t("fx_ledger_scen"))
 
 
 def plain(body: str, *roles: str) -> str:
@@ -264,13 +285,15 @@ def _(t):
 _HASH = """SELECT f.entity_id, substring(sha256(cast(f.entity_id as varchar) || '|' || coalesce(d.acc, '') || '|' || f.facts || '|v14|'), 1, 24) AS hash FROM (
     SELECT entity_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS facts FROM (
       SELECT entity_id, 'q|' || concept || '|' || p_end || '|' || cast(val as decimal(38, 4)) || '|' || accn AS line FROM sq
-      UNION ALL SELECT entity_id, 'i|' || concept || '|' || p_end || '|' || cast(val as decimal(38, 4)) || '|' || accn FROM si) GROUP BY entity_id) f
+      UNION ALL SELECT entity_id, 'i|' || concept || '|' || p_end || '|' || cast(val as decimal(38, 4)) || '|' || accn FROM si
+      UNION ALL SELECT entity_id, 'a|' || concept || '|' || p_end || '|' || cast(val as decimal(38, 4)) || '|' || accn FROM sa
+      UNION ALL SELECT entity_id, 't|' || concept || '|' || tag FROM picks) GROUP BY entity_id) f
     LEFT JOIN (SELECT entity_id, string_agg(DISTINCT accession, ',' ORDER BY accession) AS acc FROM bundle_docs GROUP BY entity_id) d USING (entity_id)"""
 
 
 def bundle_hashes(t):
     s = Scen(t)
-    return R.bundle_hash(s.documents(), R.facts_fingerprint(s.q, s.i), "14")
+    return R.bundle_hash(s.documents(), R.facts_fingerprint(s.q, s.i, S_.annual_series(chosen(t)), s.tags), "14")
 
 
 @query("bundle_hash", sql(_HASH, "fx_filings"))

@@ -44,6 +44,14 @@ class Written(Facts):
     def parts(self):
         return S.split_points(materialize(S.series_points(chosen(self.t)), "series-points"))
 
+    @cached_property
+    def _metrics(self):
+        return materialize(super().metrics(), "metrics")
+
+    def metrics(self):
+        """Written once as well: several branches of a plan read them."""
+        return self._metrics
+
     q = property(lambda self: self.parts[0])
     i = property(lambda self: self.parts[1])
     tags = property(lambda self: self.parts[2])

@@ -219,10 +219,9 @@ def with_roles(body: str, *names: str, extra: dict[str, str] | None = None) -> s
 
 
 def spell(k: str) -> str:
-    """A four-letter ticker spelled from a number."""
-    return "concat(" + ", ".join(
-        f"chr(cast(65 + cast(floor({k} / {26**i}) as bigint) % 26 as int))" for i in range(4)
-    ) + ")"
+    """A ticker of four letters spelled from a number, five from 26^4 on: distinct up to 26^5."""
+    letter = lambda i: f"chr(cast(65 + cast(floor({k} / {26**i}) as bigint) % 26 as int))"
+    return "concat(" + ", ".join(map(letter, range(4))) + f", CASE WHEN {k} >= {26**4} THEN {letter(4)} ELSE '' END)"
 
 
 @role("fx_universe", "customer")
@@ -526,8 +525,8 @@ FROM events WHERE event_type = 'purchase' GROUP BY user_id"""
 @role("fx_arguments", "conversations")
 def fx_arguments(d):
     """Reader turns of a conversation as objections."""
-    return """SELECT conv_id * 1000 + turn AS arg_id, conv_id % 100 AS ticker, text AS user_text, concat('note ', cast(conv_id as string), '/', cast(turn as string)) AS note,
-  conv_id * 1000 + turn AS created_at FROM conversations WHERE role = 'user'"""
+    return """SELECT conv_id * 1000 + turn AS arg_id, cast(floor(conv_id / 2) as bigint) AS ticker, text AS user_text, concat('note ', cast(conv_id as string), '/', cast(turn as string)) AS note,
+  concat('reply to ', text) AS ai_reply, conv_id * 1000 + turn AS created_at FROM conversations WHERE role = 'user'"""
 
 
 @role("fx_kv", "orders")

@@ -25,12 +25,12 @@ def _utf16_unit(code: Column) -> Column:
 
 def decode_numeric(x: Column, hexadecimal: bool = False) -> Column:
     """Replace numeric character references. Linear in the text: split once, decode the
-    codes, and zip the pieces back together."""
+    codes, and zip the pieces back together. The last 16 digits tell a code modulo 65536."""
     pat, grp = (r"(?i)&#x([0-9a-f]+);", 1) if hexadecimal else (r"&#(\d+);", 1)
     codes = F.regexp_extract_all(x, F.lit(pat), F.lit(grp))
     base = 16 if hexadecimal else 10
     chars = F.transform(
-        codes, lambda c: _utf16_unit(F.conv(F.substring(F.concat(F.lit("0" * 15), c), -15, 15), base, 10).cast("bigint"))
+        codes, lambda c: _utf16_unit(F.conv(F.substring(F.concat(F.lit("0" * 16), c), -16, 16), base, 10).cast("bigint"))
     )
     pieces = F.split(x, pat, -1)
     glued = F.array_join(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions.columns import js_round
 from talus.operators import asof
+from talus.operators.economics import ECONOMIC_COLUMNS
 from talus.params import DEFAULTS, MemoryParams
 
 NEWS = "news"
@@ -82,13 +83,17 @@ def downvote_suppress(entries: DataFrame, feedback: DataFrame, predictions: Data
 # --- hashes ----------------------------------------------------------------------------
 
 
-def facts_fingerprint(series: DataFrame, instants: DataFrame) -> DataFrame:
-    """Digest of an entity's normalised series; what is collected is bounded by the quarters
-    kept. Independent of row order."""
+def facts_fingerprint(series: DataFrame, instants: DataFrame, annual: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
+    """Digest of an entity's normalised facts: quarters, instants, years and the chosen tags; what is
+    collected is bounded by the periods kept. Independent of row order."""
     line = lambda df, kind: df.select(
         "entity_id", F.concat_ws("|", F.lit(kind), "concept", F.col("p_end").cast("string"), F.col("val").cast("decimal(38,4)").cast("string"), "accn").alias("line")
     )
     rows = line(series, "q").unionByName(line(instants, "i"))
+    if annual is not None:
+        rows = rows.unionByName(line(annual, "a"))
+    if tags is not None:
+        rows = rows.unionByName(tags.select("entity_id", F.concat_ws("|", F.lit("t"), "concept", "tag").alias("line")))
     return rows.groupBy("entity_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("facts"))
 
 
@@ -189,28 +194,37 @@ def objections_latest(arguments: DataFrame, n: int = 3) -> DataFrame:
     return arguments.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
-def argument_context(tickers: DataFrame, predictions: DataFrame, performance: DataFrame, arguments: DataFrame) -> DataFrame:
-    """What a reply about a ticker needs: latest prediction, performance, recent objections
-    (at most three are collected) and the last exchange."""
-    pred = latest_prediction(predictions).select(
-        "ticker", F.col("run_date").alias("pred_date"), "classification", "fair", "ref_price"
-    )
+def argument_context(tickers: DataFrame, predictions: DataFrame, performance: DataFrame, arguments: DataFrame, switches: DataFrame | None = None,
+                     p: MemoryParams = DEFAULTS.memory) -> DataFrame:
+    """What a reply about a ticker needs: latest prediction with its thesis and kill-switches
+    (``switches``: ticker, run_date, label, falsifier), performance and economics, recent objections
+    (at most three are collected) and the last exchange, cut to the lengths of the parameters."""
+    latest = latest_prediction(predictions)
+    pred = latest.select("ticker", F.col("run_date").alias("pred_date"), "classification", "thesis", "fair", "ref_price")
+    last = lambda c, n: F.max(F.when(F.col("rn") == 1, F.substring(c, 1, n)))
     recent = objections_latest(arguments).groupBy("ticker").agg(
         F.count("*").alias("n_objections"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "note"))), lambda x: x["note"]), " | ").alias("notes"),
-        F.max(F.when(F.col("rn") == 1, F.substring("user_text", 1, 400))).alias("last_text"),
+        last("user_text", p.last_text_chars).alias("last_text"), last("ai_reply", p.last_reply_chars).alias("last_reply"),
     )
-    return (
+    out = (
         tickers.select("ticker").distinct().join(pred, "ticker", "left").join(performance, "ticker", "left").join(recent, "ticker", "left")
         .withColumn("n_objections", F.coalesce("n_objections", F.lit(0).cast("bigint")))
     )
+    if switches is None:
+        return out
+    # One line per scenario of one prediction: six.
+    told = switches.join(latest.select("ticker", "run_date"), ["ticker", "run_date"]).groupBy("ticker").agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "label", "falsifier"))), " | ").alias("kill_switches")
+    )
+    return out.join(told, "ticker", "left")
 
 
 def performance_snapshot(metrics: DataFrame, economics: DataFrame, captured_at) -> DataFrame:
     """Durable record of an analysed entity."""
-    eco = economics.select("entity_id", "epv_per_share", "implied_growth_pct", "expectations_gap_pts", "roic_pct")
+    eco = economics.select("entity_id", *ECONOMIC_COLUMNS)
     return metrics.select(
-        "entity_id", "as_of_quarter", "span_years", "revenue_cagr_pct", "share_cagr_pct", "fcf_positive_quarters", "fcf_quarters",
+        "entity_id", "as_of_quarter", "span_years", "revenue_cagr_pct", "share_cagr_pct", "fcf_positive_quarters", "fcf_quarters", "gross_delta_bp", "op_delta_bp",
         "revenue_ttm", "ebitda_ttm", "ebit_ttm", "net_income_ttm", "fcf_ttm",
     ).join(eco, "entity_id", "left").withColumn("captured_at", F.lit(captured_at).cast("date"))
 

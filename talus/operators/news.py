@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talus import params as P
 from talus.functions.text import decode_feed, strip
+from talus.params import DEFAULTS, MemoryParams
 
 
 def _pick(block: Column, tag: str) -> Column:
@@ -26,12 +27,13 @@ def pub_time(text: Column) -> Column:
     return at - F.make_dt_interval(mins=minutes)
 
 
-def news_parse(feeds: DataFrame) -> DataFrame:
-    """Feed documents to items: title, link, source, date text, publication time, snippet."""
+def news_parse(feeds: DataFrame, p: MemoryParams = DEFAULTS.memory) -> DataFrame:
+    """Feed documents to items: title, link, source, date text, publication time, and a snippet of
+    ``snippet_chars``."""
     blocks = F.regexp_extract_all("xml", F.lit(r"<item>([\s\S]*?)</item>"), F.lit(1))
     items = feeds.select("entity_id", "feed_id", F.posexplode(blocks).alias("pos", "block"))
     plain = F.regexp_replace(decode_feed(_pick(F.col("block"), "description")), r"<[^>]+>", " ")
-    snippet = F.substring(strip(F.regexp_replace(plain, r"[\s\x{a0}]+", " ")), 1, 300)
+    snippet = F.substring(strip(F.regexp_replace(plain, r"[\s\x{a0}]+", " ")), 1, p.snippet_chars)
     return items.select(
         "entity_id", "feed_id", "pos",
         decode_feed(_pick(F.col("block"), "title")).alias("title"),

@@ -95,6 +95,19 @@ def ensemble_sample_filter(scenarios: DataFrame, violations: DataFrame) -> DataF
     return scenarios.join(bad, ["entity_id", "sample"], "left_anti")
 
 
+def merged_scenarios(scenarios: DataFrame, verdicts: DataFrame, violations: DataFrame | None = None) -> DataFrame:
+    """The first sample with the ensemble's numbers: later samples that break a rule are left out, and
+    weight, multiple and value are the medians over the rest. Where the verdict lacks evidence, or
+    there is none, the first draw stays."""
+    kept = scenarios if violations is None else ensemble_sample_filter(scenarios, violations)
+    cell, numbers = ["entity_id", "horizon", "scenario_case"], ("weight", "multiple", "value")
+    med = ensemble_median(kept).select(*cell, *[F.col(c).alias(f"_m_{c}") for c in numbers])
+    enough = verdicts.select("entity_id", (~F.coalesce("insufficient", F.lit(False))).alias("_enough"))
+    first = scenarios.filter("sample = 1").join(med, cell, "left").join(enough, "entity_id", "left")
+    use = F.coalesce("_enough", F.lit(False))
+    return first.withColumns({c: F.when(use, F.coalesce(f"_m_{c}", c)).otherwise(F.col(c)) for c in numbers}).select(*scenarios.columns)
+
+
 # --- votes -----------------------------------------------------------------------------
 
 

@@ -93,6 +93,9 @@ class MemoryParams:
     headlines_per_company: int = 4
     fresh_hours: int = 48
     top_n: int = 5
+    snippet_chars: int = 300
+    last_text_chars: int = 400
+    last_reply_chars: int = 600
 
 
 @dataclass(frozen=True)

@@ -81,10 +81,11 @@ def bundle(f: Fundamentals, closes: DataFrame, estimates: DataFrame, p: Params =
 
 
 def gated(bundles: DataFrame, verdicts: DataFrame, scenarios: DataFrame, targets: DataFrame, calibration: tuple[DataFrame, DataFrame],
-          guard: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Every analysed entity with its fair value, reasons and pass flag."""
-    priced = S.implied_price(scenarios, bundles)
-    anchor = S.weighted_anchor(priced.filter("sample = 1 AND horizon = '1'")).select("entity_id", F.col("anchor").alias("fair"))
+          guard: DataFrame, p: Params = DEFAULTS, violations: DataFrame | None = None) -> DataFrame:
+    """Every analysed entity with its fair value, reasons and pass flag. The fair value is that of the
+    ensemble; ``violations`` (entity_id, sample, ...) names the samples that break a scenario rule."""
+    priced = S.implied_price(S.merged_scenarios(scenarios, verdicts, violations), bundles)
+    anchor = S.weighted_anchor(priced.filter("horizon = '1'")).select("entity_id", F.col("anchor").alias("fair"))
     v = verdicts.selectExpr("entity_id", "cause AS classification", "insufficient", "moat", "thesis", "status = 'ok' AS has_verdict")
     fair = G.calibrated_fair(v.join(anchor, "entity_id", "left"), *calibration, p.calibration)
     rows = fair.join(bundles, "entity_id", "left").join(targets.select("entity_id", "street_target"), "entity_id", "left")
