@@ -29,9 +29,10 @@ from talus.llm.common import python_ready
 from talus.sources.gold import materialize
 
 SENTENCE_WORDS = 3
-RUN_WORDS = 16
+RUN_WORDS = 20
 
-_CUT = re.compile(r"\n\s*|(?<=[.!?])\s+")
+#: A line end, or a sentence end with the marks that close it.
+_CUT = re.compile(r"\n\s*|[.!?][^\w\s]*\s+")
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -39,7 +40,7 @@ def units(text: str) -> list[tuple[int, int]]:
     out, start, sentence = [], 0, 0
     for m in _CUT.finditer(text):
         end = m.end()
-        if "\n" in m.group() or len(text[sentence : m.start()].split()) >= SENTENCE_WORDS:
+        if "\n" in m.group() or len(text[sentence:end].split()) >= SENTENCE_WORDS:
             if end > start:
                 out.append((start, end))
             start = end
