@@ -66,7 +66,7 @@ _LATER |= {
 
 def pv(f0: str, g: str, r: str) -> str:
     x = f"((1 + {g}) / (1 + {r}))"
-    return f"({f0}) * (CASE WHEN {x} = 1 THEN 10 ELSE {x} * (pow({x}, 10) - 1) / ({x} - 1) END + pow({x}, 10) * (1 + 25e-3) / ({r} - 25e-3))"
+    return f"({f0}) * (list_sum(list_transform(range(1, 11), lambda k: pow({x}, k))) + pow({x}, 10) * (1 + 25e-3) / ({r} - 25e-3))"
 
 
 SOLVE = f"""solve AS (SELECT entity_id, norm_fcf AS f0, market_cap AS cap, r, -9e-1 AS lo, 1e0 AS hi, 0 AS i FROM eqv

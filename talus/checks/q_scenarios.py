@@ -91,14 +91,17 @@ class Scen(Val):
         return V.context(self.t("fx_scenarios"), self.t("fx_verdicts"), **{k: make[k]() for k in needs or make})
 
     def documents(self):
-        f = self.t("fx_filings")
-        cols = ["entity_id", "accession"]
-        return FO.recent_8k_topn(f, "2024-01-31").select(*cols).unionByName(FO.periodic_report_pick(f).select(*cols))
+        return FO.bundle_documents(self.t("fx_filings"), "2024-01-31")
 
     def bad_sources(self):
         return V.val_citations(self.t("fx_claims"), self.documents(), self.t("fx_priors"))
 
 
+@query("bundle_documents", sql("SELECT * FROM bundle_docs", "fx_filings"))
+def _(t):
+    return Scen(t).documents()
+
+
 @query("implied_price", sql("SELECT entity_id, sample, horizon, scenario_case, metric, implied FROM priced"))
 def _(t):
     return Scen(t).priced().select("entity_id", "sample", "horizon", "scenario_case", "metric", "implied")

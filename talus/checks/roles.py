@@ -418,7 +418,7 @@ LEFT JOIN fx_verdicts v ON v.entity_id = c.entity_id"""
 def fx_priors(d):
     """Earlier predictions: a run every half year for the suppliers an order month names."""
     return """SELECT DISTINCT o_custkey % 120 AS entity_id, make_date(cast(year(o_orderdate) as int), cast(CASE WHEN quarter(o_orderdate) < 3 THEN 1 ELSE 7 END as int), 1) AS run_date
-FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"""
+FROM orders"""
 
 
 @role("fx_votes", "events")
@@ -519,7 +519,7 @@ def fx_hashes(d):
 @role("fx_cooldown", "events")
 def fx_cooldown(d):
     return """SELECT user_id AS ticker, max(cast(ts as date)) AS last_digest_date, concat('h', cast(max(event_id) % 3 as string)) AS hash
-FROM events WHERE event_type = 'purchase' GROUP BY user_id"""
+FROM events GROUP BY user_id"""
 
 
 @role("fx_arguments", "conversations")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,27 +22,10 @@ def pct_change(frm: Column | str, to: Column | str) -> Column:
     return js_round(F.try_divide(t - f, F.abs(f)) * 100, 1)
 
 
-def ratio_pct(num: Column, den: Column, dp: int = 1) -> Column:
-    return js_round(F.try_divide(num, den) * 100, dp)
-
-
-def years_between(a: Column, b: Column) -> Column:
-    """Elapsed years of 365.25 days from a to b."""
-    return F.datediff(b, a) / F.lit(365.25)
-
-
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), x))
 
 
-def all_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conds)
-
-
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
-
-
 def exact_avg(x: Column, scale: int = 6) -> Column:
     """Mean through a decimal sum: the result does not depend on partitioning or task order."""
     total = F.sum(x.cast(f"decimal(28,{scale})")).cast("double")

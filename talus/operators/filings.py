@@ -79,6 +79,12 @@ def periodic_report_pick(filings: DataFrame) -> DataFrame:
     return both.select("entity_id", pick.alias("f")).select("entity_id", "f.*")
 
 
+def bundle_documents(filings: DataFrame, as_of) -> DataFrame:
+    """Accessions that an entity's bundle rests on: its few recent 8-Ks and the periodic report."""
+    cols = ["entity_id", "accession"]
+    return recent_8k_topn(filings, as_of).select(*cols).unionByName(periodic_report_pick(filings).select(*cols))
+
+
 def corporate_actions(filings: DataFrame) -> DataFrame:
     """Per entity the newest bankruptcy 8-K (item 1.03) and the newest delisting form."""
     bankrupt = (F.col("form") == "8-K") & F.array_contains(item_codes(F.col("items")), "1.03")

@@ -20,7 +20,8 @@ def calibrated_fair(df: DataFrame, overall: DataFrame, per_class: DataFrame, p:
     """
     state = overall.select(F.struct("n", "mean_error_pct").alias("s")).scalar()
     cls = per_class.select("classification", F.col("n").alias("_cn"), F.col("mean_error_pct").alias("_ce"))
-    j = df.withColumn("_s", state).join(cls, "classification", "left")
+    # One row for each label of a fixed list; the many rows of a label stay where they are.
+    j = df.withColumn("_s", state).join(F.broadcast(cls), "classification", "left")
     active = F.coalesce(F.col("_s.n") >= p.min_samples, F.lit(False))
     by_class = F.coalesce(F.col("_cn") >= p.min_samples_per_class, F.lit(False))
     err = F.when(by_class, F.col("_ce")).otherwise(F.col("_s.mean_error_pct"))

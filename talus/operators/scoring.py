@@ -28,11 +28,14 @@ def grading_due(predictions: DataFrame, universe: DataFrame, as_of) -> DataFrame
     return due.join(universe.select("ticker"), "ticker", "left_semi")
 
 
-def returns_of(pairs: DataFrame, bars: DataFrame, out: str = "ret") -> DataFrame:
-    """Return of each (symbol, since): first close on or after ``since`` to the newest close; no
+def returns_of(pairs: DataFrame, bars: DataFrame, out: str = "ret", until=None) -> DataFrame:
+    """Return of each (symbol, since): first close on or after ``since`` to the newest close (up to
+    ``until``, where given); no
     row with fewer than two closes. Bars hold one row per symbol and day. The newest close is
     one row per symbol and the first one comes from a forward as-of join, so dates and bars are
     never paired up."""
+    if until is not None:
+        bars = bars.filter(F.col("bar_date") <= F.lit(until).cast("date"))
     last = bars.groupBy("symbol").agg(F.max_by("close", "bar_date").alias("_last"), F.max("bar_date").alias("_last_date"))
     first = asof.forward(pairs, bars, ["symbol"], "since", "bar_date", "close", "_first")
     return first.join(last, "symbol").filter("_first_date < _last_date").select(
@@ -47,11 +50,11 @@ def return_since(asks: DataFrame, bars: DataFrame, out: str = "ret") -> DataFram
     return asks.join(answers, ["symbol", "since"], "left").select(*asks.columns, out)
 
 
-def with_returns(predictions: DataFrame, bars: DataFrame, benchmark) -> DataFrame:
-    """Adds ``stock_ret`` and ``bench_ret``. One as-of pass answers the tickers and the
+def with_returns(predictions: DataFrame, bars: DataFrame, benchmark, until=None) -> DataFrame:
+    """Adds ``stock_ret`` and ``bench_ret``, up to ``until`` where given. One as-of pass answers the tickers and the
     benchmark, the latter once per run date."""
     both = F.explode(F.array(F.col("ticker"), F.lit(benchmark).cast(predictions.schema["ticker"].dataType)))
-    answers = returns_of(predictions.select(both.alias("symbol"), F.col("run_date").alias("since")).distinct(), bars)
+    answers = returns_of(predictions.select(both.alias("symbol"), F.col("run_date").alias("since")).distinct(), bars, until=until)
     stock = answers.select(F.col("symbol").alias("ticker"), F.col("since").alias("run_date"), F.col("ret").alias("stock_ret"))
     bench = answers.groupBy(F.col("since").alias("run_date")).agg(
         F.max(F.when(F.col("symbol") == benchmark, F.col("ret"))).alias("bench_ret")
@@ -161,11 +164,11 @@ def manual_resolution(returns: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def scored(predictions: DataFrame, bars: DataFrame, benchmark, actions: DataFrame, as_of) -> DataFrame:
+def scored(predictions: DataFrame, bars: DataFrame, benchmark, actions: DataFrame, as_of, until=None) -> DataFrame:
     """The ledger with every open and due outcome filled in, in one pass: the columns of the
     predictions and all grades, each once. Running it again changes nothing that was given."""
     ledger = with_grades(predictions)
-    base = with_returns(ledger, bars, benchmark).join(actions.select("ticker", "run_date", "action"), ["ticker", "run_date"], "left")
+    base = with_returns(ledger, bars, benchmark, until).join(actions.select("ticker", "run_date", "action"), ["ticker", "run_date"], "left")
     # A bankruptcy settles the year first; what it settles is then no longer open.
     dead = _open_drift() & F.col("stock_ret").isNull()
     broke, note = _resolution()
@@ -197,7 +200,8 @@ def class_drift(ledger: DataFrame) -> DataFrame:
 def base_rate(analyses: DataFrame, drift: DataFrame, min_n: int = 10) -> DataFrame:
     """The class mean beside each analysis, only from enough samples."""
     shown = drift.filter(F.col("n") >= min_n).select("classification", F.col("n").alias("base_n"), F.col("avg_pct").alias("base_rate_pct"))
-    return analyses.join(shown, "classification", "left")
+    # One row for each label of a fixed list.
+    return analyses.join(F.broadcast(shown), "classification", "left")
 
 
 def feedback_rate(feedback: DataFrame) -> DataFrame:
@@ -226,23 +230,24 @@ def falsifier_align(scenarios: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
-    """One row: the exact element at floor(n/2) of the sorted values.
+    """One row: the exact element at floor(n/2) of the sorted values; none for no values.
 
-    Distributed: equal values shrink to counts, whole-number buckets locate the one that holds
-    the middle, and only that bucket is ordered. Nothing is collected into a list.
+    Distributed: equal values shrink to counts, and buckets of whole numbers, then of
+    millionths locate the one that holds the middle. A task sees bucket counts, or the values of one
+    bucket of the finest kind. Each step is one small row that the next one reads.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn(
-        "b", F.floor("v")
-    )
-    buckets = counts.groupBy("b").agg(F.sum("c").alias("c"))
-    total = buckets.agg((F.floor(F.sum("c") / 2) + 1).alias("k"))
-    run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # one row per whole number
-    at = buckets.withColumn("upto", F.sum("c").over(run)).withColumn("k", total.scalar()).filter("upto >= k").agg(
-        F.min_by(F.struct("b", (F.col("k") - (F.col("upto") - F.col("c"))).alias("rest")), "b").alias("s")
-    )
-    inside = counts.withColumn("s", at.scalar()).filter("b = s.b")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    place = counts.agg((F.floor(F.sum("c") / 2) + 1).alias("k")).select(F.struct(F.lit(None).cast("bigint").alias("b"), "k").alias("s"))
+    inside = counts
+    for parts in (1, 1_000_000):
+        bucket = F.floor(F.col("v") * parts).cast("bigint")
+        sizes = inside.groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"))
+        run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        upto = sizes.withColumn("upto", F.sum("c").over(run)).withColumn("k", place.scalar()["k"]).filter("upto >= k")
+        place = upto.agg(F.min_by(F.struct("b", (F.col("k") - (F.col("upto") - F.col("c"))).alias("k")), "b").alias("s"))
+        inside = inside.filter(bucket == place.scalar()["b"])
     w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return inside.withColumn("upto", F.sum("c").over(w)).filter("upto >= s.rest").agg(F.min("v").alias(out))
+    return inside.withColumn("upto", F.sum("c").over(w)).filter(F.col("upto") >= place.scalar()["k"]).agg(F.min("v").alias(out))
 
 
 def calibration_overall(ledger: DataFrame) -> DataFrame:
