@@ -1,7 +1,7 @@
 """The two runs, composed from operators over whole tables.
 
-nightly: screen the market, build the fundamentals of every candidate at once, gate and lay out
-the digest. weekly: fill in the outcomes of past predictions and measure the bias that the next
+nightly: screen the market, build the fundamentals of every candidate at once, gate, lay out the
+digest, and append predictions, cooldown, performance and look snapshots. weekly: fill in the outcomes of past predictions and measure the bias that the next
 nightly run corrects. A company that cannot be computed yields nulls and reasons, never an
 exception.
 """
@@ -92,13 +92,63 @@ def gated(bundles: DataFrame, verdicts: DataFrame, scenarios: DataFrame, targets
     return G.digest_gate(rows.withColumn("has_economics", F.coalesce("has_economics", F.lit(False))), guard, p.gate)
 
 
-def weekly(predictions: DataFrame, bars: DataFrame, benchmark, filings: DataFrame, grades: DataFrame, as_of, keep: Keep = _as_is):
+def look_snapshot(bundles: DataFrame, documents: DataFrame) -> DataFrame:
+    """What a later look at an entity is compared with (input of ``memory.look_diff``). The documents
+    of a bundle are few by construction."""
+    acc = documents.groupBy("entity_id").agg(F.sort_array(F.collect_set("accession")).alias("accessions"))
+    cols = ["as_of_quarter", "price", "revenue_ttm", "gross_pct", "op_pct", "net_debt", "shares"]
+    none = F.array().cast("array<string>")
+    return bundles.select("entity_id", *cols).join(acc, "entity_id", "left").select("entity_id", F.coalesce("accessions", none).alias("accessions"), *cols)
+
+
+def without_day(table: DataFrame, column: str, run_date) -> DataFrame:
+    """A day that is run again replaces its rows."""
+    return table.filter(~F.coalesce(F.col(column) == F.lit(run_date).cast("date"), F.lit(False)))
+
+
+def nightly(run_date, rows: DataFrame, bundles: DataFrame, merged: DataFrame, ranking: DataFrame, documents: DataFrame, hashes: DataFrame,
+            predictions: DataFrame, cooldown: DataFrame, feedback: DataFrame, p: Params = DEFAULTS) -> dict[str, DataFrame]:
+    """From gated rows to what a night leaves behind: digest, predictions with the new ones appended,
+    cooldown, performance records and look snapshots. Running a day again replaces it.
+
+    rows: output of ``gated``. merged: the ensemble's priced scenarios. ranking: entity_id, rank. hashes: entity_id, hash.
+    predictions: ticker, run_date, hash, ...; cooldown: ticker, last_digest_date, hash. A ticker is an entity_id.
+    """
+    day = F.lit(run_date).cast("date")
+    old = without_day(predictions, "run_date", run_date)
+    # Entries are those that neither cooldown nor a downvote holds back.
+    entries = rows.join(hashes, "entity_id", "left").withColumn("ticker", F.col("entity_id"))
+    entries = remembered(entries, without_day(cooldown, "last_digest_date", run_date), feedback, old, run_date, p)
+    before = old.filter(F.col("run_date") < day).groupBy(F.col("ticker").alias("entity_id")).agg(F.max("run_date").alias("seen_date"))
+    votes = R.last_vote(feedback).select(F.col("ticker").alias("entity_id"), F.col("up").alias("seen_up"))
+    digest = G.digest_table(entries.drop("ticker", "hash"), ranking, merged, before.join(votes, "entity_id", "left"), p.gate)
+    told = digest.join(entries.select("entity_id", "classification", "hash"), "entity_id")
+    fresh = told.select(
+        F.col("entity_id").alias("ticker"), day.alias("run_date"), "rank", "classification", "thesis", "hash", F.col("price").alias("ref_price"), "fair", "fair_adjusted",
+        "undervaluation_pct", F.col("bear_1y").alias("bear"), F.col("base_1y").alias("base"), F.col("bull_1y").alias("bull"), F.lit(False).alias("graded"),
+        F.lit(None).cast("string").alias("note"),
+    )
+    updates = fresh.select("ticker", F.col("run_date").alias("last_digest_date"), "hash")
+    kept = without_day(cooldown, "last_digest_date", run_date).select("ticker", "last_digest_date", "hash")
+    return {
+        "digest": digest,
+        "predictions": old.unionByName(fresh, allowMissingColumns=True),
+        "cooldown": R.keyed_upsert(kept, updates, ["ticker"], "last_digest_date"),
+        "performance": R.performance_snapshot(bundles, bundles, run_date),
+        "snapshots": look_snapshot(bundles, documents).withColumn("run_date", day),
+    }
+
+
+def weekly(predictions: DataFrame, bars: DataFrame, benchmark, filings: DataFrame, grades: DataFrame, as_of, keep: Keep = _as_is,
+           universe: DataFrame | None = None):
     """Outcomes of every prediction, then what the next nightly run reads: overall and
-    per-class bias, the fast guard, class drift."""
+    per-class bias, the fast guard, class drift; and, given the universe, whose kill-switches
+    are due for grading."""
     asks = predictions.selectExpr("ticker", "run_date", "ticker AS entity_id", "run_date AS since")
     actions = FO.corporate_action_scan(asks, filings).select("ticker", "run_date", "action")
     ledger = keep(K.scored(predictions, bars, benchmark, actions, as_of), "ledger_scored")
-    return {
+    due = {} if universe is None else {"due": K.grading_due(ledger, universe, as_of).select("ticker", "run_date")}
+    return due | {
         "ledger": ledger,
         "calibration": (K.calibration_overall(ledger), K.calibration_by_class(ledger)),
         "guard": G.fast_guard(K.falsifier_rollup(grades)),

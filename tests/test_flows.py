@@ -111,3 +111,54 @@ def test_a_later_week_leaves_earlier_grades_alone(spark, sf, tmp_path):
                 gained += r[flag]
                 assert all(before[v] is None for v in values)
     assert gained > 100 and sum(r.has_1y for r in rows.values()) > 100
+
+
+def test_a_night_from_gate_to_memory_and_again(spark, sf, tmp_path):
+    """The whole night twice for one day and once for the next: rows of a day are replaced, names of the
+    first night are held back by the cooldown of the second one."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from talus.operators import memory as R
+    from talus.operators import scenarios as SC
+
+    t = Tables(spark, sf)
+    keep = lambda df, name: gold.materialize(df, f"{name}-{uuid.uuid4().hex[:6]}", str(tmp_path / "shared"))
+    f = flows.Fundamentals.from_facts(t("fx_facts"), keep=keep)
+    bundles = keep(flows.bundle(f, t("fx_bars_m"), t("fx_estimates"), keep=keep), "bundles")
+    ids = bundles.select("entity_id", "price")
+    rows = ids.selectExpr("entity_id", "price", "'sentiment' AS classification", "'wide' AS moat", "'t' AS thesis", "price * 2 AS fair", "price * 2 AS fair_adjusted", "true AS calibration_active",
+                          "50D AS undervaluation_pct", "1D AS implied_growth_pct", "2D AS street_growth_pct", "3D AS epv_per_share", "4D AS street_target", "entity_id % 2 = 0 AS pass")
+    merged = SC.implied_price(SC.merged_scenarios(t("fx_scenarios"), t("fx_verdicts")), bundles)
+    assert merged.groupBy("entity_id", "horizon", "scenario_case").count().filter("count > 1").count() == 0
+    ranking = ids.selectExpr("entity_id", "entity_id AS rank")
+    documents = FO.bundle_documents(t("fx_filings"), "2024-01-31")
+    hashes = ids.selectExpr("entity_id", "'h1' AS hash")
+    feedback = spark.createDataFrame([], "update_id long, ts timestamp, ticker long, run_date string, up boolean")
+    state = spark.createDataFrame([], "ticker long, last_digest_date date, hash string")
+    ledger = t("fx_ledger").select("ticker", "run_date", "classification", "ref_price", "fair", "hash", "note")
+
+    def night(day, predictions, cooldown, digests=hashes):
+        out = flows.nightly(day, rows, bundles, merged, ranking, documents, digests, predictions, cooldown, feedback)
+        return {k: keep(df, k) for k, df in out.items()}
+
+    admitted = rows.filter("pass").count()
+    one = night("2026-01-05", ledger, state)
+    again = night("2026-01-05", one["predictions"], one["cooldown"])
+    for name, key in (("digest", "entity_id"), ("predictions", "ticker"), ("cooldown", "ticker"), ("performance", "entity_id"), ("snapshots", "entity_id")):
+        assert sorted(map(str, one[name].orderBy(key).collect())) == sorted(map(str, again[name].orderBy(key).collect())), name
+    assert one["digest"].count() == admitted > 0 and one["predictions"].count() == ledger.count() + admitted
+    assert one["predictions"].filter("run_date = '2026-01-05' AND ref_price IS NOT NULL AND bear <= bull").count() > 0
+    two = night("2026-01-06", again["predictions"], again["cooldown"])
+    assert two["digest"].count() == 0  # digested yesterday, nothing new filed
+    three = night("2026-01-06", again["predictions"], again["cooldown"], hashes.withColumn("hash", F.lit("h2")))
+    assert three["digest"].count() == admitted and three["digest"].filter("seen_date = '2026-01-05'").count() == admitted
+    assert three["cooldown"].filter("hash = 'h2' AND last_digest_date = '2026-01-06'").count() == admitted
+    later = flows.look_snapshot(bundles.withColumn("price", F.col("price") * 1.1), documents)
+    changes = {r.change for r in R.look_diff(one["snapshots"].drop("run_date"), later).collect()}
+    assert changes == {"price"}
+    week = flows.weekly(three["predictions"], t("fx_bars_s"), 0, t("fx_filings"), t("fx_grades"), "2026-06-01", keep=keep, universe=ids.selectExpr("entity_id AS ticker"))
+    # No bars reach that far: the new calls are noted for manual work, and noted ones are not due.
+    assert week["ledger"].count() == three["predictions"].count() and week["ledger"].filter("run_date >= '2026-01-05' AND note IS NOT NULL").count() == 2 * admitted
+    assert week["due"].count() == 0
