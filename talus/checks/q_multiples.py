@@ -12,7 +12,9 @@ from talus.operators import asof
 from talus.operators import economics as E
 from talus.operators import metrics as M
 from talus.operators import multiples as X
+from talus.operators import series as S
 from talus.params import EconomicsParams
+from talus.sources.gold import materialize
 
 # Size limits scaled to the role tables' market values.
 ECO = EconomicsParams(small_cap=3e8, mega_cap=1e9)
@@ -111,9 +113,16 @@ class Val(Written):
         return E.economic_view(base.join(E.eps_growth(self.t("fx_estimates")), "entity_id", "left"), ECO)
 
 
+def trailing(t):
+    """Trailing sums from the concepts they are made of; the other concepts are not worked on."""
+    needed = [c for c, short in M.DURATION.items() if short in ("rev", "oi", "da", "ni", "cfo", "capex")]
+    dim = S.concept_dim(t.spark).filter(F.col("concept").isin(*needed))
+    return X.ttm_series(M.quarter_grid(S.quarterly_series(S.choose_tags(t("fx_facts"), dim))))
+
+
 @query("ttm_series", sql("SELECT entity_id, metric, is_ev, p_end, ttm FROM ts"))
 def _(t):
-    return X.ttm_series(Val(t).grid)
+    return trailing(t)
 
 
 @query("asof_nearest_instant", sql("SELECT entity_id, p_end, concept, near FROM near6"))
@@ -126,8 +135,7 @@ def _(t):
 
 @query("asof_nearest_close", sql("SELECT entity_id, p_end, near AS close_at FROM at_close"))
 def _(t):
-    v = Val(t)
-    ends = X.ttm_series(v.grid).select("entity_id", "p_end").distinct()
+    ends = materialize(trailing(t).select("entity_id", "p_end").distinct(), "ends")
     bars = t("fx_bars_m").selectExpr("symbol AS entity_id", "bar_date", "close")
     return asof.nearest(ends, bars, ["entity_id"], "p_end", "bar_date", "close", "close_at", 46)
 
