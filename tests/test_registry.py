@@ -2,6 +2,9 @@
 contain."""
 
 import re
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -72,3 +75,17 @@ def test_matches_its_twin(spark, sf, key):
 
 def test_entry_runs(spark):
     assert E.entry(spark).count() > 0
+
+
+def test_entry_without_the_training_operators(tmp_path):
+    shutil.copytree(ROOT / "talus", tmp_path / "talus", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == [str(len(KEYS))] * 2, out.stderr
+
+
+def test_nothing_else_imports_them():
+    for path in (ROOT / "talus").rglob("*.py"):
+        if "llm" not in path.parts:
+            assert "talus.llm" not in path.read_text()
