@@ -8,7 +8,9 @@ is also compared with its neighbours in the order, which share the longest prefi
 
 1. In each leaf, pairs that pass the size bound and the sketch estimate (six standard deviations below
    the similarity asked for) form clusters; a spanning tree of each cluster is its candidate list.
-2. Candidates are confirmed on the full sets, and components are formed from the links.
+2. One candidate of every set is confirmed on the full sets, and components are formed from the
+   links; then the other candidates whose ends are still apart. The work on a group of many copies
+   thus grows with its size.
 3. Where a candidate failed, its clusters are taken up again: all pairs of members that are not in one
    component yet are confirmed too. So no pair that shares a leaf is skipped unless both ends are
    linked already.
@@ -178,7 +180,8 @@ class Region:
                         found.append(i)
                 at += 1
             if len(found) > 1:
-                name = xxhash.xxh64_intdigest(keys[root, : 1 + VALUES].tobytes() + b"".join(nodes[i] for i in found)) - 2**63
+                # Named by its members, so that a cluster that several trees find is one cluster.
+                name = xxhash.xxh64_intdigest(b"".join(sorted(nodes[i] for i in found))) - 2**63
                 for i in found:
                     p = parent[i]
                     yield name, nodes[i], None if p is None else nodes[p]
@@ -268,12 +271,24 @@ def full_sets(docs: DataFrame, sigs: DataFrame, nodes: DataFrame, width: int) ->
     return made.filter("digest = own").groupBy("digest").agg(F.min("members").alias("members"))
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component yet, with the components."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter("root_a <> root_b")
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: only the components they join are worked on."""
+    tops = components(apart(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    out = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return materialize(out.select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
 def reopened(members_: DataFrame, failed: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of cluster members in different components, of the clusters in which a candidate failed."""
     parent_first = members_.filter("parent IS NOT NULL").select("cluster", F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
     clusters = parent_first.join(failed, ["a", "b"]).select("cluster").distinct()
-    inside = members_.join(clusters, "cluster").select("cluster", "node").distinct().join(roots, "node", "left")
-    inside = inside.select("cluster", "node", F.coalesce("root", "node").alias("root"))
+    inside = members_.join(clusters, "cluster").select("cluster", "node").join(roots, "node")
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         node, root = list(b["node"]), list(b["root"])
@@ -296,22 +311,29 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     ]))
     found = materialize(candidates(distinct.select("digest", F.col("one.n").alias("n"), trees.alias("key")), percent), "candidates")
     inner = found.filter("cluster IS NOT NULL").select("cluster", "node", "parent")
-    clusters = materialize(inner.unionByName(seams(found, percent)), "clusters")
-    pairs = clusters.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")).distinct()
-    nodes = clusters.select(F.col("node").alias("digest")).distinct()
-    sets = materialize(full_sets(docs, named.select("digest", "doc_id"), nodes, width), "sets")
-    checked = materialize(confirm(pairs, sets, percent), "checked")
-    links = checked.filter("linked").select("a", "b")
-    roots = components(links)
-    more = materialize(confirm(reopened(clusters, checked.filter("NOT linked").select("a", "b"), roots), sets, percent), "rechecked")
-    extra = more.filter("linked").select("a", "b")
-    if extra.limit(1).count():
-        roots = components(links.unionByName(extra))
-    # Components as the smallest document id of all sets in them.
+    clusters = materialize(inner.unionByName(seams(found, percent)).distinct(), "clusters")
+    tree_links = clusters.filter("parent IS NOT NULL")
+    nodes = clusters.select("node").distinct()
+    sets = materialize(full_sets(docs, named.select("digest", "doc_id"), nodes.withColumnRenamed("node", "digest"), width), "sets")
+    roots = nodes.select("node", F.col("node").alias("root"))
+    checked = None
+    # One candidate of every set first; others only where it didn't join their ends.
+    ordered = lambda df: df.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")).distinct()
+    first = ordered(tree_links.groupBy("node").agg(F.min("parent").alias("parent")))
+    rounds = [
+        lambda: first,
+        lambda: apart(ordered(tree_links), roots).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"),
+        lambda: reopened(clusters, checked.filter("NOT linked").select("a", "b"), roots),
+    ]
+    for pairs in rounds:
+        now = materialize(confirm(pairs(), sets, percent), "checked")
+        roots = joined(roots, now.filter("linked").select("a", "b"))
+        checked = now if checked is None else checked.unionByName(now)
+    # Components as the smallest document id of all sets in them; written, so that the last join can split a hot set.
     of_set = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
     placed = of_set.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = placed.join(ids, "root").select("digest", "component_id")
+    of_set = materialize(placed.join(ids, "root").select("digest", "component_id"), "component-ids")
     out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_set, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
