@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,9 @@ from talus.session import ship
 #: Rows a Python worker gets at once. Texts differ in length by a factor of thousands, so this stays small.
 ROWS_PER_BATCH = 256
 #: Characters that are split into chunks at once inside a task.
-CHARS_PER_SLICE = 2_000_000
+CHARS_PER_SLICE = 1_000_000
 #: Entries a memo holds before it starts again; about 200 bytes each.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 
 
 def python_ready(spark: SparkSession) -> None:
@@ -50,55 +51,94 @@ def slices(texts: list[str], limit: int = CHARS_PER_SLICE) -> Iterator[tuple[int
 class Memo:
     """Results per distinct chunk, computed in batches and kept for the next batches of the worker.
 
-    It starts again when full, so a worker's memory stays bounded however many chunks there are; a
-    long chunk counts as several."""
+    It has two generations of ``entries / 2``: when the young one is full it becomes the old one, and
+    what is asked for again is taken over from there. Common chunks thus stay, rare ones go, and a
+    worker's memory is bounded however many chunks there are; a long chunk counts as several. Workers
+    outlive stages: when the memos of one operator are used, those of all others are emptied, so what
+    a worker holds doesn't add up over a pipeline."""
 
-    def __init__(self, compute: Callable[[list[str]], list], entries: int = MEMO_ENTRIES):
-        self.compute, self.entries, self.known, self.held = compute, entries, {}, 0
+    all: ClassVar[list[Memo]] = []
+    in_use: ClassVar[str | None] = None
+
+    def __init__(self, owner: str, compute: Callable[[list[str]], list], entries: int = MEMO_ENTRIES):
+        self.owner, self.compute, self.entries = owner, compute, entries
+        self.known, self.old, self.held = {}, {}, 0
+        Memo.all.append(self)
 
     def ready(self, chunk_lists: list[list[str]]) -> Callable:
         """A lookup that knows every chunk of the lists."""
+        if Memo.in_use != self.owner:
+            for m in Memo.all:
+                if m.owner != self.owner:
+                    m.clear()
+            Memo.in_use = self.owner
         wanted: set[str] = set()
         for chunks in chunk_lists:
             wanted.update(chunks)
-        known = self.known
-        new = [c for c in wanted if c not in known]
-        if new:
-            weight = len(new) + sum(map(len, new)) // 64
-            if self.held + weight > self.entries:
-                self.clear()
-                new, weight = list(wanted), len(wanted) + sum(map(len, wanted)) // 64
-            self.held += weight
-            self.learn(new)
+        missing = [c for c in wanted if c not in self.known]
+        if missing:
+            weigh = lambda chunks: len(chunks) + sum(map(len, chunks)) // 64
+            if self.held + weigh(missing) > self.entries // 2:
+                self.turn()
+                missing = list(wanted)
+            self.held += weigh(missing)
+            old = self.old
+            self.take_over([c for c in missing if c in old])
+            new = [c for c in missing if c not in old]
+            if new:
+                self.learn(new)
         return self.known.__getitem__
 
+    def turn(self) -> None:
+        self.known, self.old, self.held = {}, self.known, 0
+
+    def take_over(self, chunks: list[str]) -> None:
+        self.known.update(zip(chunks, map(self.old.__getitem__, chunks)))
+
     def learn(self, new: list[str]) -> None:
         self.known.update(zip(new, self.compute(new)))
 
     def clear(self) -> None:
-        self.known, self.held = {}, 0
+        self.known, self.old, self.held = {}, {}, 0
+
+    def forget(self) -> None:
+        """For good, when its model is replaced."""
+        self.clear()
+        Memo.all.remove(self)
 
 
 class VectorMemo(Memo):
     """A memo of one vector per chunk; the lookup gives its row in ``rows``."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, entries: int = MEMO_ENTRIES):
-        super().__init__(compute, entries)
-        self.rows, self.used = np.zeros((1024, width), dtype=np.float32), 0
+    def __init__(self, owner: str, compute: Callable[[list[str]], np.ndarray], width: int, entries: int = MEMO_ENTRIES):
+        super().__init__(owner, compute, entries)
+        self.width = width
+        self.clear()
 
-    def learn(self, new: list[str]) -> None:
-        end = self.used + len(new)
+    def add(self, chunks: list[str], vectors: np.ndarray) -> None:
+        end = self.used + len(chunks)
         if end > len(self.rows):
-            grown = np.zeros((max(end, 2 * len(self.rows)), self.rows.shape[1]), dtype=np.float32)
+            grown = np.zeros((max(end, len(self.rows) * 3 // 2), self.width), dtype=np.float32)
             grown[: self.used] = self.rows[: self.used]
             self.rows = grown
-        self.rows[self.used : end] = self.compute(new)
-        self.known.update(zip(new, range(self.used, end)))
+        self.rows[self.used : end] = vectors
+        self.known.update(zip(chunks, range(self.used, end)))
         self.used = end
 
+    def learn(self, new: list[str]) -> None:
+        self.add(new, self.compute(new))
+
+    def take_over(self, chunks: list[str]) -> None:
+        if chunks:
+            self.add(chunks, self.old_rows[[self.old[c] for c in chunks]])
+
+    def turn(self) -> None:
+        super().turn()
+        self.old_rows, self.rows, self.used = self.rows, np.zeros((1024, self.width), dtype=np.float32), 0
+
     def clear(self) -> None:
         super().clear()
-        self.used = 0
+        self.rows, self.old_rows, self.used = np.zeros((1024, self.width), dtype=np.float32), np.zeros((0, self.width), dtype=np.float32), 0
 
     def places(self, chunk_lists: list[list[str]]) -> list[np.ndarray]:
         """The rows of every chunk, list by list."""

@@ -113,8 +113,8 @@ class Trees:
     def code_lengths(self, chunks: list[str]) -> np.ndarray:
         """Bits of every word under every language."""
         out = np.zeros((len(chunks), len(self.languages)))
-        for lo in range(0, len(chunks), 20_000):
-            out[lo : lo + 20_000] = self._code_lengths(chunks[lo : lo + 20_000])
+        for lo in range(0, len(chunks), 5000):
+            out[lo : lo + 5000] = self._code_lengths(chunks[lo : lo + 5000])
         return out
 
     def _code_lengths(self, chunks: list[str]) -> np.ndarray:
@@ -167,8 +167,10 @@ _SCORERS: dict[str, VectorMemo] = {}
 def scorer(trees: Trees) -> VectorMemo:
     """The worker's memo for these trees; it holds those of one model at a time."""
     if trees.key not in _SCORERS:
+        for old in _SCORERS.values():
+            old.forget()
         _SCORERS.clear()
-        _SCORERS[trees.key] = VectorMemo(trees.code_lengths, len(trees.languages))
+        _SCORERS[trees.key] = VectorMemo("language", trees.code_lengths, len(trees.languages))
     return _SCORERS[trees.key]
 
 

@@ -64,7 +64,7 @@ def encoder(path: str) -> tuple[Memo, Memo]:
         known.update(zip(other, alone([" " + c for c in other])))
         return [known[c] for c in chunks]
 
-    return Memo(alone), Memo(spaced)
+    return Memo("packing", alone), Memo("packing", spaced)
 
 
 def encode(texts: list[str], path: str) -> Iterator[bytes]:

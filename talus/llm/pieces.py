@@ -19,15 +19,14 @@ class Pieces:
     #: Ids of the 256 byte pieces, or an empty list.
     byte_ids: list[int] = field(repr=False)
     unknown: int
-    prefix: bool
     #: The scores are log probabilities.
     unigram: bool
 
 
 @functools.cache
 def load(path: str) -> Pieces:
-    """Read a model file. Models that rewrite characters, drop white space, hold spaces inside pieces
-    or define user symbols split texts differently and are refused."""
+    """Read a model file. Models that rewrite characters, drop white space, put no space in front,
+    hold spaces inside pieces or define user symbols split texts differently and are refused."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     proto = pb.ModelProto()
@@ -44,24 +43,31 @@ def load(path: str) -> Pieces:
             unknown = i
         elif p.type != kinds.CONTROL:
             raise ValueError(f"piece {p.piece!r}: user-defined and unused pieces are not supported")
-    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
-        raise ValueError("only models that keep characters and white space as they are")
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or proto.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("only models that keep characters and white space, and put a space in front")
     if any(MARK in p.lstrip(MARK) for p in normal):
         raise ValueError("pieces with a space after another character are not supported")
     if proto.trainer_spec.byte_fallback and len(spelled) != 256:
         raise ValueError("byte fallback needs all 256 byte pieces")
     bytes_ = [spelled[b] for b in range(256)] if proto.trainer_spec.byte_fallback else []
-    return Pieces([p.piece for p in proto.pieces], [p.score for p in proto.pieces], normal, bytes_, unknown, rules.add_dummy_prefix, proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM)
+    return Pieces([p.piece for p in proto.pieces], [p.score for p in proto.pieces], normal, bytes_, unknown, proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM)
 
 
-_BEFORE_MARK = re.compile(f"(?<=[^ {MARK}])(?=[ {MARK}])")
+_BEFORE_SPACES = re.compile("(?<=[^ ])(?=[ ])")
 
 
-def chunks(text: str, prefix: bool = True) -> list[str]:
-    """Parts of a text that no piece reaches across: it is cut before every run of spaces. Spaces are
-    left as they are; the first part carries the space the model puts in front."""
+def chunks(text: str) -> list[str]:
+    """Parts of a text that no piece reaches across: it is cut before every run of spaces. The space
+    that each part begins with (for the first, the one the model puts in front) is left out."""
     if not text:
         return []
-    if prefix:
-        text = " " + text
-    return _BEFORE_MARK.split(text)
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    if "  " not in text and text[0] != " ":
+        return text.split(" ")
+    return [c[1:] for c in _BEFORE_SPACES.split(" " + text)]
+
+
+def marked(chunk: str) -> str:
+    """A chunk as the pieces spell it."""
+    return MARK + chunk.replace(" ", MARK)

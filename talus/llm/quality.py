@@ -171,8 +171,10 @@ _READY: dict[str, VectorMemo] = {}
 def pooled(texts: list[str], model: Model) -> np.ndarray:
     """One vector per text."""
     if model.key not in _READY:
+        for old in _READY.values():
+            old.forget()
         _READY.clear()
-        _READY[model.key] = VectorMemo(model.token_vectors, DIMENSIONS, entries=250_000)
+        _READY[model.key] = VectorMemo("quality", model.token_vectors, DIMENSIONS, entries=160_000)
     memo = _READY[model.key]
     twice, again = (model.vectors[bucket(w)] for w in ("<same as before>", "<seen before>"))
     out = np.zeros((len(texts), DIMENSIONS))

@@ -59,8 +59,8 @@ class Merges:
         return np.where(hit, self.ranks[at], NONE), self.made[at]
 
     def count(self, chunks: list[str]) -> list[int]:
-        """Tokens of each chunk; spaces are written as the mark."""
-        marked = [c.replace(" ", P.MARK) for c in chunks]
+        """Tokens of each chunk."""
+        marked = [P.marked(c) for c in chunks]
         total = np.zeros(len(marked), dtype=np.int64)
         flat = [self.symbol.get(c, -1) for m in marked for c in m]
         sym, owner = np.array(flat, dtype=np.int64), np.repeat(np.arange(len(marked)), [len(m) for m in marked])
@@ -165,16 +165,14 @@ def leftmost(merge: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def counter(path: str) -> tuple[Memo, bool]:
-    v = P.load(path)
-    return Memo(Merges(v).count), v.prefix
+def counter(path: str) -> Memo:
+    return Memo("token counts", Merges(P.load(path)).count)
 
 
 def counts(texts: list[str], path: str) -> list[int]:
-    memo, prefix = counter(path)
-    out: list[int] = []
+    memo, out = counter(path), []
     for lo, hi in slices(texts):
-        parts = [P.chunks(t, prefix) for t in texts[lo:hi]]
+        parts = [P.chunks(t) for t in texts[lo:hi]]
         known = memo.ready(parts)
         out += [sum(map(known, p)) for p in parts]
     return out

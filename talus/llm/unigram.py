@@ -110,7 +110,7 @@ class Encoder:
     def encode(self, chunks: list[str]) -> list[bytes]:
         """Ids of every chunk as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = [b""] * len(chunks)
-        coded = [c.replace(" ", P.MARK).encode("utf-8", "replace") for c in chunks]
+        coded = [P.marked(c).encode("utf-8", "replace") for c in chunks]
         order = sorted(range(len(coded)), key=lambda i: len(coded[i]))
         lo = 0
         while lo < len(order):  # chunks of similar length together, about a quarter of a million bytes
@@ -201,30 +201,30 @@ def decode(ids: list[int], v: P.Pieces) -> str:
     byte_of = {i: b for b, i in enumerate(v.byte_ids)}
     raw = b"".join(bytes([byte_of[i]]) if i in byte_of else v.text[i].replace(P.MARK, " ").encode() for i in ids)
     text = raw.decode("utf-8", "replace")
-    return text[1:] if v.prefix and text.startswith(" ") else text
+    return text.removeprefix(" ")
 
 
 @functools.cache
 def encoder(path: str) -> tuple[Encoder, Memo]:
     v = P.load(path)
     e = Encoder(v, log_scores(v, ranks=not v.unigram))
-    return e, Memo(e.encode)
+    return e, Memo("unigram", e.encode)
 
 
 @functools.cache
-def spellings(path: str) -> tuple[list[bytes], P.Pieces]:
+def spellings(path: str) -> list[bytes]:
     """The bytes each id stands for."""
     v = P.load(path)
     out = [p.replace(P.MARK, " ").encode() for p in v.text]
     for b, i in enumerate(v.byte_ids):
         out[i] = bytes([b])
-    return out, v
+    return out
 
 
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     e, memo = encoder(path)
     for lo, hi in slices(texts):
-        parts = [P.chunks(t, e.v.prefix) for t in texts[lo:hi]]
+        parts = [P.chunks(t) for t in texts[lo:hi]]
         known = memo.ready(parts)
         for p in parts:
             yield b"".join(map(known, p))
@@ -232,9 +232,8 @@ def encode(texts: list[str], path: str) -> Iterator[bytes]:
 
 def decode_bytes(ids: bytes, path: str) -> str:
     """Like ``decode``, from packed ids."""
-    out, v = spellings(path)
-    text = b"".join(map(out.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
-    return text[1:] if v.prefix and text.startswith(" ") else text
+    text = b"".join(map(spellings(path).__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+    return text.removeprefix(" ")
 
 
 def encode_documents(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
