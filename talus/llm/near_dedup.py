@@ -14,13 +14,18 @@ is also compared with its neighbours in the order, which share the longest prefi
 3. Where a candidate failed, its clusters are taken up again: all pairs of members that are not in one
    component yet are confirmed too. So no pair that shares a leaf is skipped unless both ends are
    linked already.
+4. Sets of regions over ``LEAF`` are crowded: leaves and windows show them only some of their
+   neighbours. All pairs of them in different components are therefore decided exactly. Two sets that
+   are similar enough differ in at most D shingles, so of the D + 1 parts into which hash ranges cut
+   them one is equal; sets that share such a part are a neighbourhood, and a neighbourhood is compared
+   as a whole, in blocks of bounded size by set size, by counting the shingles of all pairs at once.
 
 Sets that are equal are one node, however many documents hold them. The order is made by a range
 partitioning whose last keys are sketch and digest, so that a dense region spreads over tasks; leaves
 that a partition border cuts are completed from the rows on both sides of it.
 
-Chance of missing a link: a pair of similarity s shares a leaf of depth d in a tree with chance s^d. At
-0.85 and depth 3, all 16 trees miss with chance 2e-7; at depth 8, 0.6 %.
+Chance of missing a link: a pair of similarity s shares a region of a tree with chance s^3, and in a
+region it is compared or both are crowded. At 0.85 all 16 trees miss with chance 2e-7.
 
 Documents without words have an empty set and are linked with nothing. Null text counts as empty. Rows
 without an id are alone and kept. Rows that share an id are linked by their texts, one result row each.
@@ -49,6 +54,10 @@ TREES, DEPTH, MIN_DEPTH, LEAF = 16, 8, 3, 32
 #: Bytes: of a tree's values, of the sketch (two bits of every value), of a sort key.
 VALUES, SKETCH = 4 * DEPTH, TREES * DEPTH // 4
 KEY = 1 + VALUES + SKETCH
+#: Of a block of crowded sets: shingles, at most one set more; what a set counts at least.
+BLOCK, LEAST_COUNT = 262_144, 128
+#: Shingles counted at once.
+COLUMNS = 4096
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -130,14 +139,17 @@ class Region:
     def __init__(self, percent: int):
         self.percent, self.least = percent, least_matches(percent)
 
-    def clusters(self, keys: np.ndarray, n: np.ndarray, nodes: list[bytes]) -> Iterator[tuple[int, bytes, bytes | None]]:
-        """(cluster, member, parent) of every cluster; keys: sorted rows of KEY bytes."""
+    def clusters(self, keys: np.ndarray, n: np.ndarray, nodes: list[bytes], crowd: int = LEAF) -> Iterator[tuple[int | None, bytes, bytes | None]]:
+        """(cluster, member, parent) of every cluster; without a cluster, the sets of regions of more
+        than ``crowd`` rows. keys: sorted rows of KEY bytes."""
         if len(keys) < 2:
             return
         same = (keys[1:, : 1 + VALUES] == keys[:-1, : 1 + VALUES])
         words = same[:, 1:].reshape(len(same), DEPTH, 4).all(axis=2) & same[:, :1]
         common = np.cumprod(words, axis=1).sum(axis=1)
         for lo, hi in self.runs(common, 0, len(keys), MIN_DEPTH):
+            if hi - lo > crowd:
+                yield from ((None, x, None) for x in nodes[lo:hi])
             for a, b in self.leaves(common, lo, hi):
                 yield from self.leaf(keys[a:b], n[a:b], nodes[a:b])
 
@@ -191,7 +203,7 @@ FOUND = "cluster long, node binary, parent binary, worker int, head boolean, key
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Cluster members, and the rows at partition borders. ``rows``: key, digest, n."""
+    """Cluster members, crowded sets, and the rows at partition borders. ``rows``: key, digest, n."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,24 +231,27 @@ def border(b: pd.DataFrame, worker: int, head: bool) -> pd.DataFrame:
     return pd.DataFrame({"cluster": None, "node": b["digest"], "parent": None, "worker": worker, "head": head, "key": b["key"], "n": b["n"]}).astype({"cluster": "Int64"})
 
 
-def members(region: Region, b: pd.DataFrame) -> pd.DataFrame:
+def members(region: Region, b: pd.DataFrame, crowd: int = LEAF) -> pd.DataFrame:
     keys = np.frombuffer(b"".join(b["key"]), dtype=np.uint8).reshape(len(b), KEY)
-    found = list(region.clusters(keys, b["n"].to_numpy(), list(b["digest"])))
+    found = list(region.clusters(keys, b["n"].to_numpy(), list(b["digest"]), crowd))
     out = pd.DataFrame(found, columns=["cluster", "node", "parent"]).astype({"cluster": "Int64"})
     return out.assign(worker=None, head=None, key=None, n=None).astype({"worker": "Int32", "n": "Int64", "head": "boolean"})
 
 
 def seams(found: DataFrame, percent: int) -> DataFrame:
-    """Clusters across partition borders: the last rows before a border with the first ones after it."""
+    """Clusters and crowded sets across partition borders: the last rows before a border with the first
+    ones after it. A region that fills one side of them may reach further, so its sets are crowded."""
     at = found.filter("head IS NOT NULL").select("worker", "head", "key", F.col("node").alias("digest"), "n")
     # One row per partition.
     follows = at.select("worker").distinct().withColumn("before", F.lag("worker").over(W.Window.orderBy("worker")))
-    heads = at.filter("head").join(follows.filter("before IS NOT NULL"), "worker").select(F.col("before").alias("seam"), "key", "digest", "n")
-    both = heads.unionByName(at.filter("NOT head").select(F.col("worker").alias("seam"), "key", "digest", "n"))
+    heads = at.filter("head").join(follows.filter("before IS NOT NULL"), "worker").select(F.col("before").alias("seam"), "head", "key", "digest", "n")
+    both = heads.unionByName(at.filter("NOT head").select(F.col("worker").alias("seam"), "head", "key", "digest", "n"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
+        prefix = b["key"].map(lambda k: k[: 1 + 4 * MIN_DEPTH])
+        full = [len(set(prefix[b["head"] == side])) == 1 for side in (False, True)]
         b = b.sort_values(["key", "digest"]).drop_duplicates(["key", "digest"])
-        return members(Region(percent), b)[["cluster", "node", "parent"]]
+        return members(Region(percent), b, 1 if any(full) else LEAF)[["cluster", "node", "parent"]]
 
     return both.groupBy("seam").applyInPandas(run, "cluster long, node binary, parent binary").filter("node IS NOT NULL")
 
@@ -284,21 +299,117 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(out.select("node", F.coalesce("top", "root").alias("root")), "roots")
 
 
-def reopened(members_: DataFrame, failed: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of cluster members in different components, of the clusters in which a candidate failed."""
+def reopened(members_: DataFrame, failed: DataFrame, roots: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Pairs of cluster members in different components, of the clusters in which a candidate failed;
+    pairs of crowded sets are left to ``completed``."""
     parent_first = members_.filter("parent IS NOT NULL").select("cluster", F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
     clusters = parent_first.join(failed, ["a", "b"]).select("cluster").distinct()
     inside = members_.join(clusters, "cluster").select("cluster", "node").join(roots, "node")
+    inside = inside.join(crowded.withColumn("crowded", F.lit(True)), "node", "left").select("cluster", "node", "root", F.col("crowded").isNotNull().alias("crowded"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        node, root = list(b["node"]), list(b["root"])
-        out = [(min(x, y), max(x, y)) for i, (x, p) in enumerate(zip(node, root)) for y, q in zip(node[:i], root[:i]) if p != q]
+        rows = list(zip(b["node"], b["root"], b["crowded"]))
+        out = [(min(x, y), max(x, y)) for i, (x, p, c) in enumerate(rows) for y, q, d in rows[:i] if p != q and not (c and d)]
         return pd.DataFrame(out, columns=["a", "b"])
 
     # A cluster lies in one leaf, so it has at most LEAF members.
     return inside.groupBy("cluster").applyInPandas(run, "a binary, b binary").distinct().join(failed, ["a", "b"], "left_anti")
 
 
+@functools.cache
+def size_classes(percent: int) -> list[int]:
+    """Largest size of every class. Sizes that a pair may have lie in one class or in neighbouring ones."""
+    out = [100 // percent]
+    while out[-1] < 2**40:
+        out.append((out[-1] + 1) * 100 // percent)
+    return out
+
+
+def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """A hash of every part of a set, for its size class and the next one. Two sets that are similar
+    enough, of a class and at most the next one, differ in at most ``most`` shingles, so that one part
+    of most + 1 is equal. Parts that are empty in both sets can be the only equal ones if neither has
+    more than ``most`` others; only such sets give them."""
+    classes, out = size_classes(percent), []
+    own = bisect_left(classes, len(s))
+    for i in (own, own + 1):
+        most = 2 * classes[i] * (100 - percent) // (100 + percent)
+        if most:  # else only equal sets
+            part = ((s >> np.uint64(32)) * np.uint64(most + 1)) >> np.uint64(32)
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            sums, at = np.add.reduceat(s, starts), part[starts]
+            if len(at) <= most:
+                empty = np.setdiff1d(np.arange(most + 1, dtype=np.uint64), at)
+                sums, at = np.r_[sums, np.zeros(len(empty), dtype=np.uint64)], np.r_[at, empty]
+            out.append(mix(sums ^ mix(at + np.uint64((i + 1) << 44))))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every pair of sets."""
+    a, b = np.concatenate(x), np.concatenate(y)
+    of_a, of_b = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        columns = shared[lo : lo + COLUMNS]
+        sides = []
+        for n, values, owner in ((len(x), a, of_a), (len(y), b, of_b)):
+            at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+            hit = columns[at] == values
+            side = np.zeros((n, len(columns)), dtype=np.float32)
+            side[owner[hit], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def completed(crowded: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, of all pairs of crowded sets that are similar enough."""
+    placed = sets.join(crowded.withColumnRenamed("node", "digest"), "digest").join(roots.withColumnRenamed("node", "digest"), "digest")
+    # Short names: sets that share one by chance are only compared in vain.
+    placed = placed.select(F.xxhash64("digest").alias("node"), F.xxhash64("root").alias("top"), "digest", "root", "members")
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for node, top, m in zip(b["node"], b["top"], b["members"]):
+                yield pd.DataFrame({"key": part_keys(np.frombuffer(m, dtype=np.uint64), percent)}).assign(node=node, top=top)
+
+    parts = materialize(placed.select("node", "top", "members").mapInPandas(keys, "key long, node long, top long"), "parts")
+    of_several = parts.groupBy("key").agg(F.min("top").alias("least"), F.max("top").alias("most"), F.min("node").alias("first")).filter("least < most")
+    meet = parts.join(of_several.select("key", "first"), "key").select("node", "first").distinct()
+    hoods = components(meet, "node", "first").withColumnRenamed("root", "hood")
+    found = placed.join(hoods, "node").withColumn("n", F.expr("length(members) div 8"))
+    by_size = W.Window.partitionBy("hood").orderBy("n", "digest").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.greatest("n", F.lit(LEAST_COUNT))).over(by_size), F.lit(0))
+    blocks = found.select("hood", "digest", "n", F.floor(before / BLOCK).alias("block"))
+    blocks = materialize(blocks, "blocks")
+    sizes = blocks.groupBy("hood", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    later = sizes.select("hood", F.col("block").alias("y"), F.col("least").alias("least_y"))
+    grid = sizes.withColumnRenamed("block", "x").join(later, "hood").filter(f"x <= y AND 100 * most >= {percent} * least_y").select("hood", "x", "y")
+    # A set is sent once for every block that its own one meets.
+    of = blocks.join(found.select("digest", "root", "members"), "digest")
+    left = of.join(grid.withColumn("block", F.col("x")), ["hood", "block"])
+    right = of.join(grid.filter("x < y").withColumn("block", F.col("y")), ["hood", "block"])
+    both = left.unionByName(right).select("hood", "x", "y", "block", "digest", "root", "members")
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        tops = {r: i for i, r in enumerate(sorted(set(b["root"])))}
+        sides = []
+        for block in (b["x"].iloc[0], b["y"].iloc[0]):
+            rows = b[b["block"] == block]
+            sides.append(([np.frombuffer(m, dtype=np.uint64) for m in rows["members"]], np.array([tops[r] for r in rows["root"]], dtype=np.int64)))
+        (x, top_x), (y, top_y) = sides
+        common = common_counts(x, y).astype(np.int64)
+        n, m = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y])[None, :]
+        i, j = np.nonzero((100 * common >= percent * (n + m - common)) & (top_x[:, None] != top_y[None, :]))
+        pairs = np.unique(np.sort(np.stack([top_x[i], top_y[j]], axis=1), axis=1), axis=0)
+        names = list(tops)
+        return pd.DataFrame([(names[p], names[q]) for p, q in pairs.tolist()], columns=["a", "b"])
+
+    return both.groupBy("hood", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+
+
 def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, for every row."""
     python_ready(df.sparkSession)
@@ -310,10 +421,11 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
         F.concat(F.unhex(F.lit(f"{t:02x}")), F.substring("one.sig", t * VALUES + 1, VALUES), F.substring("one.sig", TREES * VALUES + 1, SKETCH)) for t in range(TREES)
     ]))
     found = materialize(candidates(distinct.select("digest", F.col("one.n").alias("n"), trees.alias("key")), percent), "candidates")
-    inner = found.filter("cluster IS NOT NULL").select("cluster", "node", "parent")
-    clusters = materialize(inner.unionByName(seams(found, percent)).distinct(), "clusters")
+    inner = found.filter("head IS NULL AND node IS NOT NULL").select("cluster", "node", "parent")
+    every = materialize(inner.unionByName(seams(found, percent)).distinct(), "clusters")
+    clusters, crowded = every.filter("cluster IS NOT NULL"), every.filter("cluster IS NULL").select("node")
     tree_links = clusters.filter("parent IS NOT NULL")
-    nodes = clusters.select("node").distinct()
+    nodes = every.select("node").distinct()
     sets = materialize(full_sets(docs, named.select("digest", "doc_id"), nodes.withColumnRenamed("node", "digest"), width), "sets")
     roots = nodes.select("node", F.col("node").alias("root"))
     checked = None
@@ -323,12 +435,14 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     rounds = [
         lambda: first,
         lambda: apart(ordered(tree_links), roots).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"),
-        lambda: reopened(clusters, checked.filter("NOT linked").select("a", "b"), roots),
+        lambda: reopened(clusters, checked.filter("NOT linked").select("a", "b"), roots, crowded),
     ]
     for pairs in rounds:
         now = materialize(confirm(pairs(), sets, percent), "checked")
         roots = joined(roots, now.filter("linked").select("a", "b"))
         checked = now if checked is None else checked.unionByName(now)
+    if not crowded.isEmpty():
+        roots = joined(roots, materialize(completed(crowded, sets, roots, percent), "completed"))
     # Components as the smallest document id of all sets in them; written, so that the last join can split a hot set.
     of_set = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
     placed = of_set.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))

@@ -120,3 +120,34 @@ def test_partition_borders_lose_nothing(spark):
         assert df.select(F.col("doc_id")).count() == 300
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_hub_of_many_copies_that_are_only_similar_to_it(spark):
+    """Links of one text to 2,000 copies, no two of which are linked, against brute force."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(402)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 2001):
+        w = list(base)
+        for at in rng.sample(range(len(w)), 10):
+            w[at] = word()
+        docs.append((i, " ".join(w)))
+    rows = N.near_duplicates(spark.createDataFrame([(d, t, 0, "", True, "") for d, t in docs], SCHEMA).repartition(4), 3, 85).collect()
+    sets = [plain_set(t, 3) for _, t in docs]
+    linked = {d for (d, _), s in zip(docs, sets) if 100 * len(s & sets[0]) >= 85 * len(s | sets[0])}
+    assert len(linked) > 1500 and linked <= {r.doc_id for r in rows if r.component_id == 0}
+    assert sum(r.kept for r in rows) <= 2001 - len(linked) + 1
+
+
+def test_similar_sets_share_a_part():
+    rng = np.random.default_rng(5)
+    for percent in (50, 80, 85, 95):
+        for n in [*range(1, 60), 400, 2000]:
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            for cut in range(0, n * (100 - percent) // 100 + 1, max(1, n // 40)):
+                new = rng.integers(0, 2**64, rng.integers(0, cut + 1), dtype=np.uint64)
+                b = np.unique(np.r_[rng.permutation(a)[cut:], new])
+                common = len(np.intersect1d(a, b))
+                if 100 * common >= percent * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+                    assert len(np.intersect1d(N.part_keys(a, percent), N.part_keys(b, percent)))
