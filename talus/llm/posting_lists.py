@@ -4,8 +4,9 @@ Centroids come from halving a bounded sample again and again, each half of equal
 balanced. Every vector is put into the lists of its nearest centroid and of further ones almost as near
 (within ``CLOSURE``), unless a list already chosen lies nearer to that centroid than the vector does;
 vectors at a border are thus found from both sides. Centroids are few enough for every task's memory and
-are searched by best-first steps over a graph of their neighbours. A query reads the lists whose
-centroids are at most ``PRUNE`` times as far as the nearest one.
+are searched by best-first steps over a graph of their neighbours. How many of the nearest lists a query
+reads is measured: for ``TRIALS`` of the vectors the exact neighbours among all rows are found, and the
+lists read are as many as hold ``RECALL`` of them. A query that finds fewer than k rows reads all lists.
 
 Every row is indexed. Equal vectors are one entry with its smallest ids: more than k + 1 of them can't
 be among k neighbours, since ties go to smaller ids. Lists and queries of a list are cut into blocks of
@@ -37,8 +38,9 @@ from talus.sources.gold import materialize
 SAMPLE, MOST_LISTS, PER_LIST = 16_384, 4096, 64
 #: Lists a vector is put into at most, and how much farther than the nearest they may be.
 REPLICAS, CLOSURE = 4, 1.15
-#: Lists a query looks at, at most, and how much farther than the nearest they may be.
-BEAM, PRUNE = 128, 1.35
+#: Vectors that the number of lists read is measured with, and the share of their neighbours it must find:
+#: above the 0.9 asked for by more than the error of the measurement.
+TRIALS, RECALL = 512, 0.95
 #: Neighbours per centroid in the graph; entry points of a search.
 DEGREE, ENTRIES = 24, 64
 #: Vectors of a list, and queries, that meet in one task group.
@@ -150,10 +152,9 @@ class Centroids:
             out.append(own)
         return out
 
-    def probes(self, x: np.ndarray) -> list[list[int]]:
-        """The lists a query reads."""
-        ids, dist = self.nearest(x, BEAM)
-        return [row[d <= PRUNE * d[0]].tolist() for row, d in zip(ids, dist)]
+    def probes(self, x: np.ndarray, n: int) -> list[list[int]]:
+        """The ``n`` nearest lists of a query."""
+        return np.argsort(distances(x, self.points), axis=1, kind="stable")[:, :n].tolist()
 
 
 def valid(vector: Column) -> Column:
@@ -170,6 +171,8 @@ class Index:
     #: Queries' vectors must have this many components.
     length: int
     k: int
+    #: Lists a query reads.
+    beam: int
 
 
 def entries(df: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame, int]:
@@ -183,6 +186,43 @@ def entries(df: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame
     return few.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")), sizes["n"]
 
 
+def neighbours(distinct: DataFrame, x: np.ndarray, k: int) -> DataFrame:
+    """trial, v, d: the k nearest of all vectors for every row of ``x``, equal vectors left out."""
+    shared = distinct.sparkSession.sparkContext.broadcast(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for b in batches:
+            v = np.stack(b["v"])
+            d = distances(shared.value, v)
+            i, j = np.nonzero(shared.value[:, :1] == v[None, :, 0])
+            same = (shared.value[i] == v[j]).all(axis=1)
+            d[i[same], j[same]] = np.inf
+            both = (d, np.broadcast_to(np.arange(len(v)), d.shape), v)
+            if best is not None:
+                both = (np.hstack([best[0], d]), np.hstack([best[1], both[1] + len(best[2])]), np.vstack([best[2], v]))
+            order = np.argsort(both[0], axis=1, kind="stable")[:, :k]
+            at = np.take_along_axis(both[1], order, axis=1)
+            used, place = np.unique(at, return_inverse=True)
+            best = (np.take_along_axis(both[0], order, axis=1), place.reshape(at.shape), both[2][used])
+        if best is not None:
+            trial, rank = np.nonzero(np.isfinite(best[0]))
+            yield pd.DataFrame({"trial": trial, "v": list(best[2][best[1][trial, rank]]), "d": best[0][trial, rank]})
+
+    found = distinct.select("v").mapInPandas(run, "trial int, v array<double>, d double")
+    order = W.Window.partitionBy("trial").orderBy("d", "v")
+    return found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).select("trial", "v")
+
+
+def lists_needed(model: Centroids, postings: DataFrame, distinct: DataFrame, x: np.ndarray, k: int) -> int:
+    """How many of the nearest lists hold ``RECALL`` of the exact neighbours of the rows of ``x``."""
+    # At most TRIALS * k neighbours with REPLICAS lists each.
+    held = neighbours(distinct, x, k).join(postings.select("v", "list"), "v").groupBy("trial", "v").agg(F.collect_list("list").alias("lists")).select("trial", "lists").collect()
+    rank = np.argsort(np.argsort(distances(x, model.points), axis=1, kind="stable"), axis=1)
+    first = np.sort([min(rank[r.trial, c] for c in r.lists) for r in held])
+    return int(first[int(np.ceil(RECALL * len(first))) - 1]) + 1 if len(first) else len(model.points)
+
+
 def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10) -> Index:
     spark = df.sparkSession
     python_ready(spark)
@@ -200,18 +240,31 @@ def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
 
     postings = distinct.mapInPandas(run, "v array<double>, ids array<long>, list array<int>")
     postings = materialize(postings.select(F.explode("list").alias("list"), "v", "ids"), "postings")
-    return Index(shared, postings, length, k)
+    beam = lists_needed(model, postings, distinct, x[:TRIALS], k) if len(x) else 0
+    return Index(shared, postings, length, k, beam)
 
 
 def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found for every query but itself."""
-    shared, k = index.centroids, index.k
+    k = index.k
     rows = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
     rows = rows.filter(F.col("query_id").isNotNull() & valid(F.col("q")) & (F.size("q") == index.length)).distinct()
+    found = materialize(read(index, rows, index.beam), "found")
+    # Where k rows were not found though lists are left, all are read.
+    short = rows.join(found.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti")
+    if index.beam and index.beam < len(index.centroids.value.points) and not short.isEmpty():
+        found = found.join(short, "query_id", "left_anti").unionByName(read(index, short, len(index.centroids.value.points)))
+    order = W.Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
+
+
+def read(index: Index, rows: DataFrame, lists: int) -> DataFrame:
+    """query_id, vec_id, score: the k nearest rows in the ``lists`` nearest lists of every query."""
+    shared, k = index.centroids, index.k
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(list=shared.value.probes(np.stack(b["q"])))
+            yield b.assign(list=shared.value.probes(np.stack(b["q"]), lists))
 
     probes = rows.mapInPandas(probe, "query_id long, q array<double>, list array<int>").select("query_id", "q", F.explode("list").alias("list"))
     probes = materialize(probes, "probes")
@@ -238,4 +291,4 @@ def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     found = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = W.Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id", "score")

@@ -84,3 +84,24 @@ def test_copies_ties_invalid_and_few(spark):
     assert A.search(A.build(empty), empty).count() == 0
     zero = spark.createDataFrame([(1, [0.0], "", 0, "")], SCHEMA)
     assert A.search(A.build(zero), zero).count() == 0
+
+
+def test_recall_with_many_lists_shaped_like_the_given_vectors(spark, sf):
+    """20,000 vectors of the centres and spread of the given ones, in far more than 128 lists."""
+    given = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    g, rng = np.stack(given["embedding"]).astype(float), np.random.default_rng(7)
+    labels = given["label"].to_numpy() if "label" in given else np.zeros(len(g))
+    centres = {c: g[labels == c].mean(0) for c in np.unique(labels)}
+    spread = np.concatenate([g[labels == c] - centres[c] for c in centres]).std()
+    drawn = rng.choice(labels, 20_000)
+    x = (np.stack([centres[c] for c in drawn]) + spread * rng.normal(size=(20_000, g.shape[1]))).round(6)
+    df = spark.createDataFrame([(i, v, "", 0, "") for i, v in enumerate(x.tolist())], SCHEMA).repartition(4)
+    index = A.build(df)
+    assert len(index.centroids.value.points) > 256
+    got = result(A.search(index, df.filter("vec_id % 100 = 0")))
+    hits = 0
+    for q in range(0, 20_000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({i for _, i in got[q]} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits / 2000 >= 0.9
