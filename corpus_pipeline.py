@@ -8,6 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from talus.llm import language_id, line_dedup, near_dedup, packing, quality
 from talus.llm.common import table
@@ -34,9 +35,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates, one with the smallest id; rows without an id stay."""
+    kept = near_dedup.grouped(docs).filter("kept AND doc_id IS NOT NULL")
+    kept = kept.groupBy("doc_id", F.coalesce("root", F.hex("mark").cast("binary")).alias("root")).agg(F.min("mark").alias("mark")).select("doc_id", "mark")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"))
+    equal = W.Window.partitionBy("doc_id", "mark").orderBy(F.xxhash64("row"))
+    first = rows.join(kept, ["doc_id", "mark"]).withColumn("at", F.row_number().over(equal)).filter("at = 1")
+    return first.select("row").unionByName(rows.filter("doc_id IS NULL").select("row")).select("row.*")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def sketch(sig: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Id, set size, digest of the set, MinHash values and sketch of every row."""
+    """Id, hash of the text, set size, digest of the set, MinHash values and sketch of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,9 +115,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 values.append(sig.astype(">u4").tobytes() + sketch(sig) if len(s) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "digest": digest, "sig": values})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "mark": b["mark"], "n": n, "digest": digest, "sig": values})
 
-    return docs.mapInPandas(run, "doc_id long, n long, digest binary, sig binary")
+    return docs.mapInPandas(run, "doc_id long, mark long, n long, digest binary, sig binary")
 
 
 def least_matches(percent: int) -> int:
@@ -412,8 +412,14 @@ def completed(crowded: DataFrame, sets: DataFrame, roots: DataFrame, percent: in
 
 def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, for every row."""
+    return grouped(df, width, percent, id_col, text_col).drop("mark", "root")
+
+
+def grouped(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same with mark, the xxhash64 of the row's text, and root, which names the texts that are
+    linked (components of one id may be several); null for texts without words."""
     python_ready(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     sigs = materialize(signatures(docs, width), "signatures")
     named = sigs.filter("doc_id IS NOT NULL AND n > 0")
     distinct = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("one"))
@@ -447,7 +453,7 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     of_set = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
     placed = of_set.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = materialize(placed.join(ids, "root").select("digest", "component_id"), "component-ids")
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_set, "digest", "left")
+    of_set = materialize(placed.join(ids, "root").select("digest", "component_id", "root"), "component-ids")
+    out = sigs.select("doc_id", "mark", F.col("n").alias("n_shingles"), "digest").join(of_set, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "mark", "root")

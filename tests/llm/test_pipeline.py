@@ -83,3 +83,12 @@ def test_model_of_one_fold_is_the_model_of_the_query(spark, sf):
 
 def test_tokenizer_is_public():
     assert public_tokenizers.path("byte_bpe_50k.json").endswith("byte_bpe_50k.json")
+
+
+def test_near_dedup_keeps_rows_not_ids(spark, sf):
+    a, b, c = ("the cat sat on the mat and the dog ran", "a quite different text about ships and the sea", "one more text that nobody else has written so far")
+    rows = [(None, a), (None, a), (2, a), (2, a), (4, a), (4, b), (4, c), (5, b), (6, ""), (6, ""), (7, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "x", 1, "y", 0) for d, t in rows], EXTRA)
+    got = C.without_near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, a), (None, a), (2, a), (4, b), (4, c), (6, ""), (7, None)], key=str)
