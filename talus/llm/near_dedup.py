@@ -1,8 +1,8 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, confirmed on whole shingle sets.
 
-Every distinct shingle set has ``TREES * DEPTH`` MinHash values. Each tree orders all sets by its own
-``DEPTH`` values, then by a sketch of the whole signature. Sets that share at least ``MIN_DEPTH``
-leading values of a tree form a region; a region of more than ``LEAF`` sets is entered deeper, value by
+Every distinct shingle set has ``DEPTH`` MinHash values a tree. Each tree orders all sets by its own
+``DEPTH`` values, then by a sketch of the signature. Sets that share at least ``MIN_DEPTH`` (fewer for
+low percentages) leading values of a tree form a region; a region of more than ``LEAF`` sets is entered deeper, value by
 value, until its parts (leaves) are small, so the depth follows the density. In such a region each set
 is also compared with its neighbours in the order, which share the longest prefixes with it.
 
@@ -24,8 +24,9 @@ Sets that are equal are one node, however many documents hold them. The order is
 partitioning whose last keys are sketch and digest, so that a dense region spreads over tasks; leaves
 that a partition border cuts are completed from the rows on both sides of it.
 
-Chance of missing a link: a pair of similarity s shares a region of a tree with chance s^3, and in a
-region it is compared or both are crowded. At 0.85 all 16 trees miss with chance 2e-7.
+Chance of missing a link: a pair of similarity s shares a region of depth d in a tree with chance s^d,
+and in a region it is compared or both are crowded. The number of trees is such that all miss with a
+chance of ``MISS`` at most: 16 trees of depth 3 at 0.85 (2e-7), 20 at 0.80 (6e-7).
 
 Documents without words have an empty set and are linked with nothing. Null text counts as empty. Rows
 without an id are alone and kept. Rows that share an id are linked by their texts, one result row each.
@@ -34,6 +35,7 @@ An empty table gives an empty result; other columns are ignored."""
 from __future__ import annotations
 
 import functools
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -50,8 +52,10 @@ from talus.llm.components import components
 from talus.sources.gold import materialize
 
 SHINGLE, PERCENT = 5, 80
+#: Trees at least, and usual depth of a region at least; see ``forest``.
 TREES, DEPTH, MIN_DEPTH, LEAF = 16, 8, 3, 32
-#: Bytes: of a tree's values, of the sketch (two bits of every value), of a sort key.
+MISS, MOST_TREES = 1e-6, 32
+#: Bytes: of a tree's values, of the sketch (two bits of every value of TREES trees), of a sort key.
 VALUES, SKETCH = 4 * DEPTH, TREES * DEPTH // 4
 KEY = 1 + VALUES + SKETCH
 #: Of a block of crowded sets: shingles, at most one set more; what a set counts at least.
@@ -82,14 +86,23 @@ def shingle_set(text: str, width: int) -> np.ndarray:
 
 
 @functools.cache
-def permutations() -> tuple[np.ndarray, np.ndarray]:
+def forest(percent: int) -> tuple[int, int]:
+    """Number of trees, and values that the sets of a region share: as many as MOST_TREES allow."""
+    for depth in range(MIN_DEPTH, 0, -1):
+        trees = max(TREES, math.ceil(math.log(MISS) / math.log1p(-min(percent / 100, 0.999) ** depth)))
+        if trees <= MOST_TREES or depth == 1:
+            return min(trees, 255), depth
+
+
+@functools.cache
+def permutations(trees: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    draw = rng.integers(0, 2**64, (2, TREES * DEPTH), dtype=np.uint64)
+    draw = rng.integers(0, 2**64, (2, trees * DEPTH), dtype=np.uint64)
     return draw[0] | np.uint64(1), draw[1]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    a, b = permutations()
+def signature(shingles: np.ndarray, trees: int = TREES) -> np.ndarray:
+    a, b = permutations(trees)
     out = np.full(len(a), 2**32 - 1, dtype=np.uint32)
     for lo in range(0, len(shingles), 2048):
         h = shingles[lo : lo + 2048, None] * a + b
@@ -98,12 +111,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(sig: np.ndarray) -> bytes:
-    """The two lowest bits of every value, four values to a byte."""
-    two = (sig & 3).astype(np.uint8).reshape(-1, 4)
+    """The two lowest bits of every value of the first trees, four values to a byte."""
+    two = (sig[: TREES * DEPTH] & 3).astype(np.uint8).reshape(-1, 4)
     return (two << np.array([6, 4, 2, 0], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, trees: int) -> DataFrame:
     """Id, hash of the text, set size, digest of the set, MinHash values and sketch of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +124,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             n, digest, values = [], [], []
             for t in texts_of(b["text"]):
                 s = shingle_set(t, width)
-                sig = signature(s) if len(s) else None
+                sig = signature(s, trees) if len(s) else None
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 values.append(sig.astype(">u4").tobytes() + sketch(sig) if len(s) else None)
@@ -137,7 +150,7 @@ class Region:
     """Rows of one tree in order, cut into leaves and clusters."""
 
     def __init__(self, percent: int):
-        self.percent, self.least = percent, least_matches(percent)
+        self.percent, self.least, self.depth = percent, least_matches(percent), forest(percent)[1]
 
     def clusters(self, keys: np.ndarray, n: np.ndarray, nodes: list[bytes], crowd: int = LEAF) -> Iterator[tuple[int | None, bytes, bytes | None]]:
         """(cluster, member, parent) of every cluster; without a cluster, the sets of regions of more
@@ -147,7 +160,7 @@ class Region:
         same = (keys[1:, : 1 + VALUES] == keys[:-1, : 1 + VALUES])
         words = same[:, 1:].reshape(len(same), DEPTH, 4).all(axis=2) & same[:, :1]
         common = np.cumprod(words, axis=1).sum(axis=1)
-        for lo, hi in self.runs(common, 0, len(keys), MIN_DEPTH):
+        for lo, hi in self.runs(common, 0, len(keys), self.depth):
             if hi - lo > crowd:
                 yield from ((None, x, None) for x in nodes[lo:hi])
             for a, b in self.leaves(common, lo, hi):
@@ -166,7 +179,7 @@ class Region:
         besides, its rows are compared with their neighbours in the order, whatever depth they share."""
         if hi - lo > LEAF:
             yield from ((a, min(a + LEAF, hi)) for a in range(lo, hi - LEAF // 2, LEAF // 2))
-        open_ = [(lo, hi, MIN_DEPTH)]
+        open_ = [(lo, hi, self.depth)]
         while open_:
             lo, hi, depth = open_.pop()
             if hi - lo <= LEAF:
@@ -213,9 +226,9 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
             if not i:
                 yield border(b.head(LEAF), worker, True)
             end = b if len(b) >= LEAF or not i else pd.concat([end, b]).tail(LEAF)
-            prefix = [k[: 1 + 4 * MIN_DEPTH] for k in b["key"]]
+            prefix = [k[: 1 + 4 * region.depth] for k in b["key"]]
             start = bisect_left(prefix, prefix[-1])
-            if start or not held or held[0]["key"].iloc[0][: 1 + 4 * MIN_DEPTH] != prefix[-1]:
+            if start or not held or held[0]["key"].iloc[0][: 1 + 4 * region.depth] != prefix[-1]:
                 yield members(region, pd.concat([*held, b.iloc[:start]], ignore_index=True))
                 held = []
             held.append(b.iloc[start:])
@@ -248,7 +261,7 @@ def seams(found: DataFrame, percent: int) -> DataFrame:
     both = heads.unionByName(at.filter("NOT head").select(F.col("worker").alias("seam"), "head", "key", "digest", "n"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        prefix = b["key"].map(lambda k: k[: 1 + 4 * MIN_DEPTH])
+        prefix = b["key"].map(lambda k: k[: 1 + 4 * forest(percent)[1]])
         full = [len(set(prefix[b["head"] == side])) == 1 for side in (False, True)]
         b = b.sort_values(["key", "digest"]).drop_duplicates(["key", "digest"])
         return members(Region(percent), b, 1 if any(full) else LEAF)[["cluster", "node", "parent"]]
@@ -420,13 +433,14 @@ def grouped(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col:
     linked (components of one id may be several); null for texts without words."""
     python_ready(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    sigs = materialize(signatures(docs, width), "signatures")
+    trees = forest(percent)[0]
+    sigs = materialize(signatures(docs, width, trees), "signatures")
     named = sigs.filter("doc_id IS NOT NULL AND n > 0")
     distinct = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("one"))
-    trees = F.explode(F.array(*[
-        F.concat(F.unhex(F.lit(f"{t:02x}")), F.substring("one.sig", t * VALUES + 1, VALUES), F.substring("one.sig", TREES * VALUES + 1, SKETCH)) for t in range(TREES)
+    keys = F.explode(F.array(*[
+        F.concat(F.unhex(F.lit(f"{t:02x}")), F.substring("one.sig", t * VALUES + 1, VALUES), F.substring("one.sig", trees * VALUES + 1, SKETCH)) for t in range(trees)
     ]))
-    found = materialize(candidates(distinct.select("digest", F.col("one.n").alias("n"), trees.alias("key")), percent), "candidates")
+    found = materialize(candidates(distinct.select("digest", F.col("one.n").alias("n"), keys.alias("key")), percent), "candidates")
     inner = found.filter("head IS NULL AND node IS NOT NULL").select("cluster", "node", "parent")
     every = materialize(inner.unionByName(seams(found, percent)).distinct(), "clusters")
     clusters, crowded = every.filter("cluster IS NOT NULL"), every.filter("cluster IS NULL").select("node")

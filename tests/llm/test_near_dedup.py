@@ -151,3 +151,22 @@ def test_similar_sets_share_a_part():
                 common = len(np.intersect1d(a, b))
                 if 100 * common >= percent * (len(a) + len(b) - common) and common < max(len(a), len(b)):
                     assert len(np.intersect1d(N.part_keys(a, percent), N.part_keys(b, percent)))
+
+
+def test_trees_fit_the_percentage(spark):
+    for percent in (40, 60, 75, 80, 85, 95):
+        trees, depth = N.forest(percent)
+        assert (1 - (percent / 100) ** depth) ** trees <= 1e-6 and trees >= N.TREES
+    assert N.forest(85) == (16, 3) and N.forest(80) == (20, 3)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    docs = []
+    for _ in range(10):
+        base = [word() for _ in range(60)]
+        for _ in range(10):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = word()
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame([(d, t, 0, "", True, "") for d, t in docs], SCHEMA)
+    check(N.near_duplicates(df, 3, 60).collect(), docs, 3, 60)
