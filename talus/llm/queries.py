@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import fingerprints, language_id, line_dedup, near_dedup, packing, posting_lists, quality, sharding, token_counts, unigram
+from talus.llm import earlier_copies, fingerprints, hard_negatives, language_id, line_dedup, near_dedup, packing, posting_lists, quality, sharding, token_counts, unigram, vector_codes
 from talus.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, relabel)
+
+
+def op12_earlier_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return earlier_copies.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
