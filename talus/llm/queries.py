@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import earlier_copies, fingerprints, hard_negatives, language_id, line_dedup, near_dedup, packing, posting_lists, quality, sharding, token_counts, unigram, vector_codes
+from talus.llm import earlier_copies, fingerprints, hard_negatives, language_id, line_dedup, near_dedup, oracles, packing, posting_lists, quality, sharding, token_counts, unigram, vector_codes
 from talus.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: every operator needs hashes, models or tokenizers that SQL lacks; tests/llm holds their
-    brute-force versions."""
-    return {}
+    """Of the operators that need no hash, model or tokenizer that SQL lacks; tests/llm holds brute-force
+    versions of all."""
+    return {"op11_hard_negatives": oracles.OP11, "op13_vector_codes": oracles.OP13}
