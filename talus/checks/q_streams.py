@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talus.checks.dialect import SPARK
 from talus.checks.registry import query
-from talus.checks.roles import MESSAGE_TEXT, TAP_DATA, with_roles
+from talus.checks.roles import CHAT, MESSAGE_TEXT, TAP_DATA, with_roles
 from talus.operators import debate as D
 from talus.sources.gold import workspace
 from talus.streaming import jobs as J
@@ -122,7 +122,7 @@ def _(t):
 
 @query("stream_debate_session", msql("SELECT * FROM settle"))
 def _(t):
-    stream = events(t).selectExpr("user_id % 40 AS chat", "event_id AS msg_id", "ts", f"{MESSAGE_TEXT(SPARK)} AS text")
+    stream = events(t).selectExpr(f"{CHAT} AS chat", "event_id AS msg_id", "ts", f"{MESSAGE_TEXT(SPARK)} AS text")
     out = J.debate_sessions(stream, known(t), workspace(t.spark, "debate"))
     return out.select("msg_id", "chat", "explicit", "ticker", "fallback")
 

@@ -553,9 +553,13 @@ def MESSAGE_TEXT(d: Dialect) -> str:
   WHEN 'error' THEN '/reset the whole thing' ELSE 'ok thanks' END"""
 
 
+#: Fifteen users talk in one chat.
+CHAT = "cast(floor(user_id / 15) as bigint)"
+
+
 @role("fx_messages", "events")
 def fx_messages(d):
-    return f"SELECT user_id % 40 AS chat, event_id AS msg_id, ts, {MESSAGE_TEXT(d)} AS text FROM events"
+    return f"SELECT {CHAT} AS chat, event_id AS msg_id, ts, {MESSAGE_TEXT(d)} AS text FROM events"
 
 
 def TAP_DATA() -> str:

@@ -8,11 +8,13 @@ row per key. Nothing goes through a driver-side sink.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
 from talus.operators import debate as D
 from talus.operators.memory import NEWS
@@ -148,34 +150,98 @@ def killswitch_alert(reads: DataFrame) -> DataFrame:
 
 # --- debate ----------------------------------------------------------------------------
 
-SETTLED = "chat bigint, msg_id bigint, ts timestamp, text string, explicit string, ticker string, fallback string"
+MESSAGES = "chat bigint, msg_id bigint, ts timestamp, text string"
+SETTLED = f"{MESSAGES}, explicit string, ticker string, fallback string"
 CONTEXT = "chat bigint, msg_id bigint, ts timestamp, ticker string"
 
 
-def debate_sessions(messages: DataFrame, known: DataFrame, where: str, gap_hours: int = 6, fallback_hours: int = 24) -> DataFrame:
-    """Per-message company over a stream of messages, the fallback included. A micro-batch starts from
-    the stored chat contexts, runs the batch operator, and stores the contexts for the next; so a chat
-    with very many messages is still spread over tasks.
+def in_order(messages: DataFrame, lateness: str, bucket_seconds: int = 3600) -> DataFrame:
+    """Messages held back until no earlier one is expected: the stream of ``MESSAGES`` with ``late``.
+
+    State is kept per chat and bucket of time, and holds the messages of that hour, however busy the
+    chat. A bucket is released as a whole when the watermark (the newest message less ``lateness``)
+    has passed its end, so what one micro-batch releases lies behind all that the next ones release. A
+    message whose bucket has been released already is late: it comes out at once, marked. Spark drops rows
+    whose watermarked time lies behind the watermark, so that column is null in the rows that go to the
+    state; it comes from a second branch, which only watches the time and passes no rows on.
+    """
+
+    def hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        chat, bucket = key
+        rows = ([], [], [])
+        if state.hasTimedOut:
+            rows, late = state.get, False
+            state.remove()
+        else:
+            new = pd.concat(list(frames), ignore_index=True)
+            # At most the messages of one chat in one bucket.
+            rows = tuple(list(x) + y for x, y in zip(state.getOption or rows, (new["msg_id"].tolist(), new["micros"].tolist(), new["text"].tolist())))
+            late = False
+            try:
+                state.setTimeoutTimestamp((int(bucket) + 1) * bucket_seconds * 1000)
+            except ValueError:
+                late = True
+            else:
+                state.update(rows)
+                return
+        yield pd.DataFrame({"chat": chat, "msg_id": rows[0], "micros": rows[1], "text": rows[2], "late": late})
+
+    never = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    none = lambda kind: F.lit(None).cast(kind)
+    clock = messages.withWatermark("ts", lateness).filter(F.col("ts") < never).select(
+        none("bigint").alias("chat"), none("bigint").alias("msg_id"), none("string").alias("text"), none("bigint").alias("micros"), none("bigint").alias("bucket"), "ts")
+    rows = messages.filter("ts IS NOT NULL").select(
+        "chat", "msg_id", "text", F.unix_micros("ts").alias("micros"), F.floor(F.unix_seconds("ts") / bucket_seconds).alias("bucket"), none("timestamp").alias("ts"))
+    keyed = clock.union(rows)
+    out = keyed.groupBy("chat", "bucket").applyInPandasWithState(
+        hold, "chat bigint, msg_id bigint, micros bigint, text string, late boolean", "ids array<bigint>, times array<bigint>, texts array<string>", "append", "EventTimeTimeout")
+    return out.select("chat", "msg_id", F.timestamp_micros("micros").alias("ts"), "text", "late")
+
+
+def held_back(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The messages that ``in_order`` still holds, read from the state of its last micro-batch."""
+    state = spark.read.format("statestore").load(checkpoint).select("key.chat", F.arrays_zip("value.groupState.ids", "value.groupState.times", "value.groupState.texts").alias("rows"))
+    return state.select("chat", F.inline("rows").alias("msg_id", "micros", "text")).select("chat", "msg_id", F.timestamp_micros("micros").alias("ts"), "text")
+
+
+def settle_after(rows: DataFrame, context: DataFrame, known: DataFrame, gap_hours: int, fallback_hours: int) -> DataFrame:
+    """Messages settled behind the stored contexts of their chats: ``SETTLED`` and ``new``, which is false
+    for the contexts themselves. A context counts as a message that names its company."""
+    named = D.mention_extract(D.countable(rows), known).select("chat", "msg_id", "ts", "text", "explicit")
+    old = context.select("chat", "msg_id", "ts", F.lit(None).cast("string").alias("text"), F.col("ticker").alias("explicit"))
+    both = named.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False)))
+    return D.debate_settle(both, gap_hours, fallback_hours).select(*[c.split()[0] for c in SETTLED.split(", ")], "new")
+
+
+def debate_sessions(messages: DataFrame, known: DataFrame, where: str, gap_hours: int = 6, fallback_hours: int = 24, lateness: str = "6 hours") -> DataFrame:
+    """Per-message company over a stream of messages, the fallback included, whatever order they arrive
+    in. Returns ``SETTLED`` with ``final``.
+
+    ``in_order`` releases messages in the order of their time. Each micro-batch's are settled with the
+    batch operator behind the stored chat contexts, and the contexts are stored for the next; so a chat
+    with very many messages is still spread over tasks. Messages that wait for their hour to close are
+    settled as things stand, with ``final`` false, and again when they are released. Those that come
+    after their hour was released change nothing that was said; ``late_messages`` lists them.
 
     A context is the newest settled message of a chat; it is kept while it can still settle one, that
     is for ``fallback_hours`` after the newest message. Two copies are kept in turn, so a batch that
-    is run again finds the contexts it began with. Messages must arrive in order across micro-batches
-    (within one they may not).
-    """
+    is run again finds the contexts it began with."""
     spark = messages.sparkSession
 
+    def context(epoch: int) -> DataFrame:
+        return spark.read.schema(CONTEXT).parquet(f"{where}/context/turn={epoch % 2}") if epoch >= 0 else spark.createDataFrame([], CONTEXT)
+
     def each(batch: DataFrame, epoch: int) -> DataFrame:
-        if epoch > 0:
-            ctx = spark.read.schema(CONTEXT).parquet(f"{where}/context/turn={(epoch - 1) % 2}")
-        else:
-            ctx = spark.createDataFrame([], CONTEXT)
-        rows = D.mention_extract(D.countable(batch), known).select("chat", "msg_id", "ts", "text", "explicit")
-        # A context counts as a message that names its company.
-        old = ctx.select("chat", "msg_id", "ts", F.lit(None).cast("string").alias("text"), F.col("ticker").alias("explicit"))
-        both = rows.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False)))
-        done = D.debate_settle(both, gap_hours, fallback_hours)
-        done.select(*[c.split()[0] for c in SETTLED.split(", ")], "new").write.mode("overwrite").parquet(f"{where}/settled/turn={epoch % 2}")
-        done = spark.read.parquet(f"{where}/settled/turn={epoch % 2}")
+        # Written first: what the state lets go is computed once.
+        batch.write.mode("overwrite").parquet(f"{where}/released/turn={epoch % 2}")
+        rows = spark.read.schema(batch.schema).parquet(f"{where}/released/turn={epoch % 2}")
+        rows.filter("late").drop("late").write.mode("overwrite").parquet(f"{where}/late/epoch={epoch}")
+        if rows.filter("NOT late").isEmpty():
+            context(epoch - 1).write.mode("overwrite").parquet(f"{where}/context/turn={epoch % 2}")
+            return spark.createDataFrame([], SETTLED)
+        done = settle_after(rows.filter("NOT late"), context(epoch - 1), known, gap_hours, fallback_hours)
+        done.write.mode("overwrite").parquet(f"{where}/settled/turn={epoch % 2}")
+        done = spark.read.schema(done.schema).parquet(f"{where}/settled/turn={epoch % 2}")
         settled = done.withColumn("ticker", F.coalesce("ticker", "fallback")).filter("ticker IS NOT NULL")
         newest = settled.groupBy("chat").agg(F.max_by(F.struct("msg_id", "ts", "ticker"), F.struct("ts", "msg_id")).alias("c")).select("chat", "c.*")
         end = done.agg(F.max("ts")).scalar()
@@ -183,4 +249,12 @@ def debate_sessions(messages: DataFrame, known: DataFrame, where: str, gap_hours
         newest.filter(alive).write.mode("overwrite").parquet(f"{where}/context/turn={epoch % 2}")
         return done.filter("new").drop("new")
 
-    return run_epochs(messages, where, ["msg_id"], mode="append", each=each, schema=SETTLED)
+    final = run_epochs(in_order(messages, lateness), where, ["msg_id"], mode="append", each=each, schema=SETTLED)
+    last = spark.read.schema("epoch bigint").parquet(f"{where}/table").agg(F.max("epoch")).first()[0]
+    waiting = settle_after(held_back(spark, f"{where}/checkpoint"), context(last), known, gap_hours, fallback_hours).filter("new").drop("new")
+    return final.withColumn("final", F.lit(True)).unionByName(waiting.withColumn("final", F.lit(False)))
+
+
+def late_messages(spark: SparkSession, where: str) -> DataFrame:
+    """Messages that came after their hour had been released, with the micro-batch that brought them."""
+    return spark.read.schema(f"{MESSAGES}, epoch bigint").parquet(f"{where}/late")

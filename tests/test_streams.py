@@ -101,19 +101,72 @@ def land(spark, rows, path, n):
         part.coalesce(1).write.mode("append").parquet(f"{path}/part{i}")
 
 
-def test_debate_stream_over_many_batches(spark, tmp_path):
-    msgs = random_messages(9, 240)
-    rows = [(mid, ts, chat, ex, 0.0, "") for mid, chat, ts, ex in msgs]
-    land(spark, rows, str(tmp_path / "in"), 4)
-    stream = J.read_files(spark, str(tmp_path / "in" / "part*"), per_trigger=1).selectExpr(
+def debate_stream(spark, folder):
+    return J.read_files(spark, str(folder / "part*"), per_trigger=1).selectExpr(
         "cast(user_id as bigint) AS chat", "event_id AS msg_id", "ts", "concat('a long message ', coalesce(event_type, '')) AS text")
-    known = spark.createDataFrame([("AA",), ("BB",)], "ticker string")
-    out = J.debate_sessions(stream, known, str(tmp_path / "out"))
-    assert {r.msg_id: (r.ticker, r.fallback) for r in out.collect()} == simulate_all(msgs)
-    assert len(list((tmp_path / "out" / "table").glob("epoch=*"))) == 4
+
+
+def as_events(msgs):
+    return [(mid, ts, chat, ex, 0.0, "") for mid, chat, ts, ex in msgs]
+
+
+def known(spark):
+    return spark.createDataFrame([("AA",), ("BB",)], "ticker string")
+
+
+def settled(df):
+    return {r.msg_id: (r.ticker, r.fallback) for r in df.collect()}
+
+
+def test_debate_stream_in_any_order_inside_the_watermark(spark, tmp_path):
+    """Messages arrive up to five hours after others that are newer, in many files, with a restart in
+    between; the table is that of one message at a time."""
+    msgs, rnd = random_messages(9, 240), random.Random(4)
+    arrival = sorted(msgs, key=lambda m: m[2] + timedelta(minutes=rnd.randrange(300)))
+    assert arrival != msgs
+    where = str(tmp_path / "out")
+    land(spark, as_events(arrival[:140]), str(tmp_path / "in"), 4)
+    some = J.debate_sessions(debate_stream(spark, tmp_path / "in"), known(spark), where)
+    seen = sorted(arrival[:140], key=lambda m: (m[2], m[0]))
+    assert settled(some) == simulate_all(seen)
+    held = some.filter("NOT final").count()
+    assert 0 < held < 70
+    size = 100 // 5
+    for i in range(5):
+        spark.createDataFrame(as_events(arrival[140 + i * size : 140 + (i + 1) * size]), "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part{4 + i}"))
+    out = J.debate_sessions(debate_stream(spark, tmp_path / "in"), known(spark), where)
+    assert settled(out) == simulate_all(msgs)
+    assert J.late_messages(spark, where).count() == 0
     assert len(list((tmp_path / "out" / "context").glob("turn=*"))) == 2
-    # Nothing new: the table is the same.
-    assert J.debate_sessions(stream, known, str(tmp_path / "out")).count() == len(msgs)
+    # What was final stays, and nothing new changes nothing.
+    first = {r.msg_id: (r.ticker, r.fallback) for r in some.filter("final").collect()}
+    assert first.items() <= settled(out).items()
+    assert settled(J.debate_sessions(debate_stream(spark, tmp_path / "in"), known(spark), where)) == simulate_all(msgs)
+
+
+def test_late_messages_are_listed_and_change_nothing(spark, tmp_path):
+    msgs = random_messages(3, 120)
+    land(spark, as_events(msgs), str(tmp_path / "in"), 3)
+    where = str(tmp_path / "out")
+    before = settled(J.debate_sessions(debate_stream(spark, tmp_path / "in"), known(spark), where))
+    assert before == simulate_all(msgs)
+    end = msgs[-1][2]
+    more = [(900, 1, end - timedelta(days=3), "BB"), (901, 1, msgs[0][2], None), (902, 2, end + timedelta(minutes=5), None)]
+    land(spark, as_events(more), str(tmp_path / "in2"), 1)
+    spark.read.parquet(str(tmp_path / "in2" / "part0")).write.mode("append").parquet(str(tmp_path / "in" / "part3"))
+    out = J.debate_sessions(debate_stream(spark, tmp_path / "in"), known(spark), where)
+    assert settled(out) == simulate_all([*msgs, more[2]])
+    late = J.late_messages(spark, where)
+    assert sorted((r.msg_id, r.chat, r.ts) for r in late.collect()) == [(900, 1, more[0][2]), (901, 1, more[1][2])]
+
+
+def test_one_busy_chat_is_held_by_the_hour(spark, tmp_path):
+    msgs = [(i, 7, T0 + timedelta(minutes=i), "AA" if i == 0 else None) for i in range(300)]
+    land(spark, as_events(msgs), str(tmp_path / "in"), 1)
+    out = J.debate_sessions(debate_stream(spark, tmp_path / "in"), known(spark), str(tmp_path / "out"), lateness="1 hour")
+    assert {r.ticker for r in out.collect()} == {"AA"}
+    state = spark.read.format("statestore").load(str(tmp_path / "out" / "checkpoint"))
+    assert {r.n for r in state.selectExpr("size(value.groupState.ids) AS n").collect()} == {60}
 
 
 def test_taps_are_taken_once_however_late(spark, tmp_path):
