@@ -36,6 +36,14 @@ class Dialect:
         items = ", ".join("{" + ", ".join(f"'{c}': {e}" for c, e in zip(cols, r)) + "}" for r in rows)
         return f"SELECT {k}, u.* FROM (SELECT {k}, unnest([{items}]) AS u FROM {src}) s"
 
+    def parts(self, src: str, keep: list[str], text: str, mark: str, value: str, pos: str) -> str:
+        """One row per part of ``text`` between marks, with its place from 0."""
+        k = ", ".join(keep)
+        if self.spark:
+            literal = "".join(f"\\\\{c}" if c in ".*+?()[]|$^" else c for c in mark)
+            return f"SELECT {k}, pos AS {pos}, col AS {value} FROM {src} LATERAL VIEW posexplode(split({text}, '{literal}')) v AS pos, col"
+        return f"SELECT {k}, cast(u - 1 as int) AS {pos}, w[u] AS {value} FROM (SELECT {k}, string_split({text}, '{mark}') AS w FROM {src}) s, unnest(range(1, len(w) + 1)) AS t(u)"
+
     def cents(self, x: str) -> str:
         return f"cast(floor({x} * 100 + 0.5) as bigint)"
 

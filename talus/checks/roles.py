@@ -570,3 +570,21 @@ def TAP_DATA() -> str:
 @role("fx_updates", "events")
 def fx_updates(d):
     return f"SELECT event_id AS update_id, ts, {TAP_DATA()} AS data FROM events"
+
+
+@role("fx_sentences", "documents")
+def fx_sentences(d):
+    return d.parts("documents", ["doc_id"], "coalesce(text, '')", ". ", "sentence", "pos")
+
+
+@role("fx_risk_parts", "fx_sentences")
+def fx_risk_parts(d):
+    """Three versions of each document's sentences, as three filings of one company: some sentences are
+    missing, reworded or further down in a version, and a line of stars stands in many places."""
+    rows = [
+        (f"{v + 1}", f"CASE WHEN (doc_id + pos * 7 + {v * 5}) % 11 = 0 THEN '' WHEN (doc_id + pos + {v}) % 9 = 0 THEN concat(sentence, ' (version {v})') ELSE sentence END",
+         f"pos * 4 + CASE WHEN (doc_id + pos) % 13 = {v} THEN 22 ELSE 0 END")
+        for v in range(3)
+    ] + [(f"{v + 1}", f"CASE WHEN (pos + doc_id) % 5 = {v} THEN '* * *' ELSE '' END", "pos * 4 + 1") for v in range(3)]
+    return f"""SELECT doc_id AS entity_id, filing_no, place AS pos, paragraph FROM ({d.rows('fx_sentences', ['doc_id'], ['filing_no', 'paragraph', 'place'], rows)}) r
+WHERE paragraph <> ''"""
