@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talus import params as P
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
 from talus.operators import filings as FO
+from talus.operators import intervals as V
 from talus.operators import prices as Q
 from talus.operators import screen as S
 
@@ -107,3 +109,29 @@ def _(t):
 def _(t):
     hit = S.with_sector(triggers(t), t("fx_sectors"))
     return S.screen_funnel(FO.universe_dedup(t("fx_universe")), t("fx_quotes"), hit)
+
+
+_OVERLAP = "s.holder = b.holder AND s.since <= b.b_to AND (s.until IS NULL OR b.b_from <= s.until) AND (s.until IS NULL OR s.since <= s.until)"
+
+
+@query("interval_overlap", with_roles(
+    f"""SELECT s.holder, count(*) AS pairs, min(s.span_id) AS least_span, max(b.blackout_id) AS last_blackout, cast(sum((s.span_id * 31 + b.blackout_id) % 1000003) as bigint) AS checksum
+    FROM fx_spans s JOIN fx_blackouts b ON {_OVERLAP} GROUP BY s.holder""", "fx_spans", "fx_blackouts"))
+def _(t):
+    pairs = V.overlap_join(t("fx_spans"), t("fx_blackouts"), ["holder"], ("since", "until"), ("b_from", "b_to"))
+    return pairs.groupBy("holder").agg(F.count("*").alias("pairs"), F.min("span_id").alias("least_span"), F.max("blackout_id").alias("last_blackout"),
+                                       F.sum((F.col("span_id") * 31 + F.col("blackout_id")) % 1000003).alias("checksum"))
+
+
+@query("interval_free", with_roles(
+    f"SELECT s.span_id FROM fx_spans s WHERE NOT EXISTS (SELECT 1 FROM fx_blackouts b WHERE {_OVERLAP})", "fx_spans", "fx_blackouts"))
+def _(t):
+    return V.overlap_join(t("fx_spans"), t("fx_blackouts"), ["holder"], ("since", "until"), ("b_from", "b_to"), "left_anti").select("span_id")
+
+
+@query("sic_exclude", with_roles(
+    """SELECT symbol FROM fx_quotes q WHERE NOT EXISTS (SELECT 1 FROM fx_codes c WHERE c.symbol = q.symbol AND c.valid_from <= DATE '2024-01-31'
+    AND (c.valid_to IS NULL OR c.valid_to >= DATE '2024-01-31') AND c.sic BETWEEN 6000 AND 6799)""", "fx_quotes", "fx_codes"))
+def _(t):
+    ranges = t.spark.createDataFrame(list(P.EXCLUDED_SIC), "sic_from int, sic_to int")
+    return S.sic_exclude(t("fx_quotes").select("symbol"), t("fx_codes"), ranges, "2024-01-31")

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-MODULES = ("q_sources", "q_screen", "q_series", "q_metrics", "q_multiples", "q_scenarios", "q_gate", "q_scoring", "q_streams", "q_text")
+MODULES = ("q_sources", "q_screen", "q_series", "q_metrics", "q_multiples", "q_scenarios", "q_gate", "q_scoring", "q_streams", "q_text", "q_events")
 
 
 class Tables:

@@ -588,3 +588,55 @@ def fx_risk_parts(d):
     ] + [(f"{v + 1}", f"CASE WHEN (pos + doc_id) % 5 = {v} THEN '* * *' ELSE '' END", "pos * 4 + 1") for v in range(3)]
     return f"""SELECT doc_id AS entity_id, filing_no, place AS pos, paragraph FROM ({d.rows('fx_sentences', ['doc_id'], ['filing_no', 'paragraph', 'place'], rows)}) r
 WHERE paragraph <> ''"""
+
+
+@role("fx_codes", "fx_quotes")
+def fx_codes(d):
+    """Industry codes over time: one until a day, another from the next one on; some companies have none."""
+    rows = [("CASE WHEN pos % 9 = 4 THEN NULL ELSE 1000 + pos * 37 % 8000 END", "DATE '2020-01-01'", d.add("DATE '2023-06-01'", "pos % 365")),
+            ("1000 + pos * 53 % 8000", d.add("DATE '2023-06-02'", "pos % 365"), "cast(null as date)")]
+    return d.rows("fx_quotes", ["symbol"], ["sic", "valid_from", "valid_to"], rows)
+
+
+@role("fx_spans", "orders")
+def fx_spans(d):
+    """Time ranges of very different lengths per customer group: holdings and blackout periods. A third of
+    the orders fall to one group."""
+    key = "CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END"
+    return f"""SELECT o_orderkey AS span_id, {key} AS holder, cast(o_orderdate as date) AS since,
+  CASE WHEN o_orderkey % 97 = 5 THEN NULL ELSE {d.add('cast(o_orderdate as date)', 'CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 40 WHEN 3 THEN -2 ELSE 700 END')} END AS until
+FROM orders WHERE o_orderkey % 2 = 0"""
+
+
+@role("fx_blackouts", "orders")
+def fx_blackouts(d):
+    key = "CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END"
+    return f"""SELECT o_orderkey AS blackout_id, {key} AS holder, {d.add('cast(o_orderdate as date)', 'o_orderkey % 50')} AS b_from,
+  {d.add('cast(o_orderdate as date)', 'o_orderkey % 50 + CASE WHEN o_orderkey % 7 = 1 THEN 20 ELSE 1 END')} AS b_to FROM orders WHERE o_orderkey % 2 = 1"""
+
+
+def FORM4_XML(d: Dialect) -> str:
+    """One ownership filing per order: fifteen customers are the insiders of one company."""
+    t = lambda code, day, shares, way: (
+        f"'<nonDerivativeTransaction><transactionDate><value>', cast({day} as string), '</value></transactionDate><transactionCoding><transactionFormType>4</transactionFormType><transactionCode>', {code}, "
+        f"'</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>', cast({shares} as string), '</value></transactionShares><transactionPricePerShare><value>', cast(o_orderkey % 90 + 1 as string), "
+        f"'</value></transactionPricePerShare><transactionAcquiredDisposedCode><value>', {way}, '</value></transactionAcquiredDisposedCode></transactionAmounts></nonDerivativeTransaction>'")
+    day = "cast(o_orderdate as date)"
+    return f"""concat('<?xml version="1.0"?><ownershipDocument><issuer><issuerCik>', cast(cast(floor(o_custkey / 15) as bigint) as string), '</issuerCik><issuerTradingSymbol>T</issuerTradingSymbol></issuer>',
+  '<reportingOwner><reportingOwnerId><rptOwnerCik>', cast(o_custkey as string), '</rptOwnerCik><rptOwnerName> Owner ', cast(o_custkey as string), '</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>',
+  CASE WHEN o_custkey % 3 = 0 THEN 'true' ELSE '0' END, '</isDirector><isOfficer>1</isOfficer></reportingOwnerRelationship></reportingOwner><nonDerivativeTable>',
+  {t("CASE o_orderkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN 'P' WHEN 2 THEN 'S' ELSE 'A' END", day, "o_orderkey % 500", "CASE WHEN o_orderkey % 4 = 2 THEN 'D' ELSE 'A' END")},
+  {t("'P'", d.add(day, "20"), "CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 0 END", "'A'")}, '</nonDerivativeTable></ownershipDocument>')"""
+
+
+@role("fx_form4", "orders")
+def fx_form4(d):
+    return f"SELECT concat('a', cast(o_orderkey as string)) AS accession, {FORM4_XML(d)} AS xml FROM orders"
+
+
+@role("fx_form4_buys", "orders")
+def fx_form4_buys(d):
+    """What the filings hold, without going through XML."""
+    who = "cast(floor(o_custkey / 15) as bigint) AS entity_id, o_custkey AS owner"
+    return f"""SELECT {who}, cast(o_orderdate as date) AS day, cast(o_orderkey % 500 as double) AS shares, cast(o_orderkey % 90 + 1 as double) AS price FROM orders WHERE o_orderkey % 4 < 2 AND o_orderkey % 500 > 0
+UNION ALL SELECT {who}, {d.add('cast(o_orderdate as date)', '20')}, 10, cast(o_orderkey % 90 + 1 as double) FROM orders WHERE o_orderkey % 3 = 0"""

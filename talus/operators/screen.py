@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.columns import hits
+from talus.operators.intervals import overlap_join
 from talus.params import DEFAULTS, ScreenParams
 
 TRIGGERS = ("dayDrop", "monthDrop", "from52WeekHigh")
@@ -124,3 +125,14 @@ def screen_funnel(universe: DataFrame, quotes: DataFrame, hit: DataFrame, p: Scr
         F.greatest(F.col("flagged") - cap, F.lit(0).cast("bigint")).alias("month_check_skipped"),
         h.scalar().alias("h"),
     ).select("*", "h.triggered", "h.sector_excluded", F.greatest(F.col("h.kept") - p.max_candidates, F.lit(0)).alias("overflow_dropped")).drop("h")
+
+
+def sic_exclude(candidates: DataFrame, codes: DataFrame, ranges: DataFrame, as_of) -> DataFrame:
+    """Candidates but those whose industry code on the day lies in an excluded range; a company without
+    a code stays.
+
+    codes: symbol, sic, valid_from, valid_to (null: until today). ranges: sic_from, sic_to."""
+    day = F.lit(as_of).cast("date")
+    now = codes.filter(F.col("sic").isNotNull() & (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day))).select("symbol", "sic")
+    out = overlap_join(now, ranges, [], ("sic", "sic"), ("sic_from", "sic_to")).select("symbol").distinct()
+    return candidates.join(out, "symbol", "left_anti")

@@ -105,6 +105,9 @@ class MultiplesParams:
     min_observations: int = 4
 
 
+# Industry codes of finance, insurance and real estate, which the screen leaves out.
+EXCLUDED_SIC: tuple[tuple[int, int], ...] = ((6000, 6799),)
+
 # Low-signal news sources dropped before anything reads a headline.
 BANNED_SOURCES: tuple[str, ...] = (
     "Motley Fool",

@@ -70,3 +70,9 @@ def read_estimates(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("symbol").alias("entity_id"), F.explode("earningsTrend.trend").alias("t")).select(
         "entity_id", "t.period", F.col("t.revenueEstimate.avg").alias("revenue"), F.col("t.earningsEstimate.avg").alias("eps")
     )
+
+
+def read_form4(spark: SparkSession, path: str) -> DataFrame:
+    """Ownership filings, one XML document a file named after its accession, for ``form4_explode``."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    return spark.read.text(path, wholetext=True).select(name.alias("accession"), F.col("value").alias("xml"))
