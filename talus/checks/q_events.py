@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
+from talus.operators import budget as B
 from talus.operators import insiders as I
+from talus.operators import sessions as C
 
 BUYERS = {
     "days": "SELECT DISTINCT entity_id, day FROM fx_form4_buys",
@@ -37,3 +39,53 @@ def _(t):
 def _(t):
     asks = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("entity_id"), F.col("l_shipdate").cast("date").alias("day"))
     return I.insider_flags(asks, I.insider_buys(I.form4_explode(t("fx_form4"))))
+
+
+# The calendar told by scanning days: what makes a day a holiday is asked of each day.
+CALENDAR = {
+    "all_days": """SELECT d::DATE AS day, year(d) AS y, month(d) AS m, day(d) AS dd, isodow(d) - 1 AS wd FROM range(DATE '1990-01-01', DATE '2026-01-01', INTERVAL 1 DAY) r(d)""",
+    "moons": """SELECT y, (19 * (y % 19) + y // 100 - y // 400 - (8 * (y // 100) + 13) // 25 + 15) % 30 AS a FROM range(1990, 2026) r(y)""",
+    "easters": """SELECT y, max(day) AS sunday FROM (SELECT m.y, d.day, row_number() OVER (PARTITION BY m.y ORDER BY d.day) AS k FROM moons m JOIN all_days d ON d.wd = 6
+        AND d.day > make_date(m.y, 3, 21) + (a - CASE WHEN a = 29 OR a = 28 AND m.y % 19 > 10 THEN 1 ELSE 0 END)::INT) WHERE k = 1 GROUP BY y""",
+    "off": """SELECT d.day FROM all_days d JOIN easters e USING (y) WHERE wd >= 5 OR d.day = e.sunday - 2
+        OR wd = 0 AND m = 1 AND dd BETWEEN 15 AND 21 AND y >= 1998 OR wd = 0 AND m = 2 AND dd BETWEEN 15 AND 21 OR wd = 0 AND m = 5 AND dd >= 25 OR wd = 0 AND m = 9 AND dd <= 7
+        OR wd = 3 AND m = 11 AND dd BETWEEN 22 AND 28 OR m = 1 AND (dd = 1 OR dd = 2 AND wd = 0)
+        OR (m = 7 AND dd = 4 OR m = 12 AND dd = 25 OR m = 6 AND dd = 19 AND y >= 2022) OR wd = 4 AND (m = 7 AND dd = 3 OR m = 12 AND dd = 24 OR m = 6 AND dd = 18 AND y >= 2022)
+        OR wd = 0 AND (m = 7 AND dd = 5 OR m = 12 AND dd = 26 OR m = 6 AND dd = 20 AND y >= 2022)
+        OR d.day BETWEEN DATE '2001-09-11' AND DATE '2001-09-14' OR d.day BETWEEN DATE '2012-10-29' AND DATE '2012-10-30'
+        OR d.day IN (DATE '1994-04-27', DATE '2004-06-11', DATE '2007-01-02', DATE '2018-12-05', DATE '2025-01-09')""",
+    "open_days": "SELECT day, row_number() OVER (ORDER BY day) AS no FROM all_days WHERE day NOT IN (SELECT day FROM off)",
+    "known": "SELECT d.day, (SELECT min(day) FROM open_days o WHERE o.day >= d.day) AS next_day, (SELECT max(day) FROM open_days o WHERE o.day <= d.day) AS last_day FROM all_days d",
+    "placed": "SELECT k.day, n.no AS next_no, l.no AS last_no FROM known k LEFT JOIN open_days n ON n.day = k.next_day LEFT JOIN open_days l ON l.day = k.last_day",
+}
+
+
+@query("session_arithmetic", with_roles(
+    """SELECT l_orderkey, l_linenumber, a.day AS next_session, b.day AS settled, c.day AS day_before, y.last_no - x.last_no AS sessions_to_receipt, q.day AS due
+    FROM lineitem JOIN placed x ON x.day = cast(l_shipdate as date) JOIN placed y ON y.day = cast(l_shipdate as date) + l_linenumber * 3 LEFT JOIN open_days a ON a.no = x.next_no LEFT JOIN open_days b ON b.no = x.next_no + 2
+    LEFT JOIN open_days c ON c.no = x.next_no - 1 JOIN placed z ON z.day = (cast(l_shipdate as date) + INTERVAL 3 MONTH)::DATE LEFT JOIN open_days q ON q.no = z.next_no""", extra=CALENDAR))
+def _(t):
+    cal = C.calendar(t.spark, 1990, 2025)
+    d = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"), F.expr("date_add(cast(l_shipdate as date), cast(l_linenumber * 3 as int))").alias("got"))
+    for n, out in ((0, "next_session"), (2, "settled"), (-1, "day_before")):
+        d = C.sessions_later(d, cal, "day", n, out)
+    return C.months_later(C.sessions_between(d, cal, "day", "got", "sessions_to_receipt"), cal, "day", 3, "due").drop("day", "got")
+
+
+@query("session_calendar", with_roles(
+    """SELECT cast(o_orderdate as date) AS day, count(*) AS orders, bool_and(day NOT IN (SELECT day FROM off)) AS session FROM orders, (SELECT 1) GROUP BY cast(o_orderdate as date)""".replace("bool_and(day", "bool_and(cast(o_orderdate as date)"), extra=CALENDAR))
+def _(t):
+    cal = C.calendar(t.spark, 1990, 2025).select("day", "session")
+    return t("orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("orders")).join(F.broadcast(cal), "day")
+
+
+TOTALS = {"upto": """SELECT *, sum(tokens) OVER (PARTITION BY bundle_id ORDER BY tier, filed_at DESC, piece_id ROWS UNBOUNDED PRECEDING) AS total FROM fx_pieces"""}
+_ROOM = "50000 - (total - tokens)"
+_KEPT = f"CASE WHEN total <= 50000 THEN tokens WHEN {_ROOM} >= 200 THEN {_ROOM} ELSE 0 END"
+
+
+@query("token_budget", with_roles(
+    f"""SELECT bundle_id, piece_id, tier, filed_at, tokens, CASE WHEN total <= 50000 THEN 'kept' WHEN {_ROOM} >= 200 THEN 'partial' ELSE 'dropped' END AS status,
+    cast({_KEPT} as bigint) AS kept_tokens, cast(tokens - {_KEPT} as bigint) AS dropped_tokens FROM upto""", "fx_pieces", extra=TOTALS))
+def _(t):
+    return B.within_budget(t("fx_pieces"))

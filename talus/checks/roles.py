@@ -640,3 +640,11 @@ def fx_form4_buys(d):
     who = "cast(floor(o_custkey / 15) as bigint) AS entity_id, o_custkey AS owner"
     return f"""SELECT {who}, cast(o_orderdate as date) AS day, cast(o_orderkey % 500 as double) AS shares, cast(o_orderkey % 90 + 1 as double) AS price FROM orders WHERE o_orderkey % 4 < 2 AND o_orderkey % 500 > 0
 UNION ALL SELECT {who}, {d.add('cast(o_orderdate as date)', '20')}, 10, cast(o_orderkey % 90 + 1 as double) FROM orders WHERE o_orderkey % 3 = 0"""
+
+
+@role("fx_pieces", "documents")
+def fx_pieces(d):
+    """Texts of a bundle: eight documents each, releases first, then reports, then the rest. A third of all
+    documents fall into one bundle."""
+    return f"""SELECT CASE WHEN doc_id % 3 = 0 THEN -1 ELSE cast(floor(doc_id / 8) as bigint) END AS bundle_id, doc_id AS piece_id, cast(doc_id % 4 as int) AS tier,
+  {d.add("DATE '2023-06-01'", 'doc_id * 37 % 240')} AS filed_at, cast(coalesce(length(text), 0) * 5 as bigint) AS tokens FROM documents"""

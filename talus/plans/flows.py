@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from talus.operators import scenarios as S
 from talus.operators import scoring as K
 from talus.operators import screen as SC
 from talus.operators import series as SE
+from talus.operators import sessions as CA
 from talus.params import DEFAULTS, Params
 
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -160,3 +162,9 @@ def remembered(entries: DataFrame, cooldown: DataFrame, feedback: DataFrame, pre
     """Entries that neither cooldown nor a downvote holds back."""
     kept = R.cooldown_filter(entries, cooldown, run_date, p.screen.cooldown_days)
     return R.downvote_suppress(kept, feedback, predictions, run_date, p.memory)
+
+
+def on_session(run_date, run: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The night's tables, or none on a day without trading: nothing is read then, and nothing changes."""
+    day = run_date if isinstance(run_date, date) else date.fromisoformat(run_date)
+    return run() if CA.is_session(day) else {}
