@@ -8,6 +8,7 @@ from talus.checks.chains import jr
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
 from talus.operators import filings as FO
+from talus.operators import ranking as R
 from talus.operators import scoring as K
 from talus.sources.gold import materialize
 
@@ -174,3 +175,22 @@ _P1 = lambda c: f"{jr(f'{c} * 100', 1)} AS {c}_pct"
     FROM fx_grades GROUP BY ticker, run_date) g USING (ticker, run_date) ORDER BY run_date, ticker"""))
 def _(t):
     return K.audit_ledger(ledger(t), t("fx_grades"))
+
+
+_GAP = "SELECT ticker, run_date, fair / ref_price - 1 AS gap FROM fx_ledger"
+
+
+@query("gap_deciles", with_roles(
+    f"SELECT ticker, run_date, gap, cast(ntile(10) OVER (ORDER BY gap, ticker, run_date) as integer) AS decile, row_number() OVER (ORDER BY gap, ticker, run_date) AS rank FROM ({_GAP})", "fx_ledger"))
+def _(t):
+    gaps = t("fx_ledger").selectExpr("ticker", "run_date", "fair / ref_price - 1 AS gap")
+    ranked = R.global_rank(gaps, [F.col("gap"), F.col("ticker"), F.col("run_date")])
+    return ranked.select("ticker", "run_date", "gap", R.tile(F.col("rank"), F.col("of"), 10).alias("decile"), "rank")
+
+
+@query("gap_extremes", with_roles(
+    f"""SELECT place, gap FROM (SELECT gap, row_number() OVER (ORDER BY gap, ticker, run_date) AS k, count(*) OVER () AS n FROM ({_GAP})) x JOIN (SELECT unnest([1, 2, 100, -1, -50])::INT AS place) p
+    ON k = CASE WHEN place > 0 THEN place ELSE n + 1 + place END""", "fx_ledger"))
+def _(t):
+    gaps = t("fx_ledger").selectExpr("ticker", "run_date", "fair / ref_price - 1 AS gap")
+    return R.nth_values(gaps, [F.col("gap"), F.col("ticker"), F.col("run_date")], "gap", [1, 2, 100, -1, -50])

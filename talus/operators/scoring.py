@@ -8,11 +8,11 @@ grade was given, be it null. A grade is given once; a run fills only what is due
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.columns import exact_avg, js_round
-from talus.operators import asof
+from talus.operators import asof, ranking
 
 GATES = {"due30": 30, "due90": 90, "due1y": 365, "due3y": 1095}
 
@@ -230,24 +230,11 @@ def falsifier_align(scenarios: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
-    """One row: the exact element at floor(n/2) of the sorted values; none for no values.
-
-    Distributed: equal values shrink to counts, and buckets of whole numbers, then of
-    millionths locate the one that holds the middle. A task sees bucket counts, or the values of one
-    bucket of the finest kind. Each step is one small row that the next one reads.
-    """
+    """One row: the exact element at floor(n/2) of the sorted values, null for no values. Equal values
+    shrink to counts, and the counts are added up along ranges of values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    place = counts.agg((F.floor(F.sum("c") / 2) + 1).alias("k")).select(F.struct(F.lit(None).cast("bigint").alias("b"), "k").alias("s"))
-    inside = counts
-    for parts in (1, 1_000_000):
-        bucket = F.floor(F.col("v") * parts).cast("bigint")
-        sizes = inside.groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"))
-        run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        upto = sizes.withColumn("upto", F.sum("c").over(run)).withColumn("k", place.scalar()["k"]).filter("upto >= k")
-        place = upto.agg(F.min_by(F.struct("b", (F.col("k") - (F.col("upto") - F.col("c"))).alias("k")), "b").alias("s"))
-        inside = inside.filter(bucket == place.scalar()["b"])
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return inside.withColumn("upto", F.sum("c").over(w)).filter(F.col("upto") >= place.scalar()["k"]).agg(F.min("v").alias(out))
+    upto = ranking.running_over_all(counts, [F.col("v")], F.col("c"), "upto", "n")
+    return upto.filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("v").alias(out))
 
 
 def calibration_overall(ledger: DataFrame) -> DataFrame:
