@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 from typing import ClassVar
@@ -48,17 +51,43 @@ def slices(texts: list[str], limit: int = CHARS_PER_SLICE) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+#: What a worker's memory holds for one operator, as functions that let it go.
+_HELD: dict[str, list[Callable[[], None]]] = {}
+_OWNER: list[str] = [""]
+
+
+def held_by(owner: str, let_go: Callable[[], None]) -> None:
+    """``let_go`` is called when another operator begins in the worker."""
+    _HELD.setdefault(owner, []).append(let_go)
+
+
+def take_over(owner: str) -> None:
+    """Workers outlive stages. When another operator than before begins in one, the models, tokenizers
+    and memos of all others are dropped, and the memory they leave goes back to the system."""
+    if _OWNER[0] == owner:
+        return
+    before, _OWNER[0] = _OWNER[0], owner
+    for name, functions in _HELD.items():
+        if name != owner:
+            for f in functions:
+                f()
+    for m in [m for m in Memo.all if m.owner != owner]:
+        m.forget()
+    if before:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Memo:
     """Results per distinct chunk, computed in batches and kept for the next batches of the worker.
 
     It has two generations of ``entries / 2``: when the young one is full it becomes the old one, and
     what is asked for again is taken over from there. Common chunks thus stay, rare ones go, and a
     worker's memory is bounded however many chunks there are; a long chunk counts as several. Workers
-    outlive stages: when the memos of one operator are used, those of all others are emptied, so what
-    a worker holds doesn't add up over a pipeline."""
+    outlive stages: ``take_over`` empties the memos of the operators before."""
 
     all: ClassVar[list[Memo]] = []
-    in_use: ClassVar[str | None] = None
 
     def __init__(self, owner: str, compute: Callable[[list[str]], list], entries: int = MEMO_ENTRIES):
         self.owner, self.compute, self.entries = owner, compute, entries
@@ -67,11 +96,7 @@ class Memo:
 
     def ready(self, chunk_lists: list[list[str]]) -> Callable:
         """A lookup that knows every chunk of the lists."""
-        if Memo.in_use != self.owner:
-            for m in Memo.all:
-                if m.owner != self.owner:
-                    m.clear()
-            Memo.in_use = self.owner
+        take_over(self.owner)
         wanted: set[str] = set()
         for chunks in chunk_lists:
             wanted.update(chunks)
@@ -104,7 +129,8 @@ class Memo:
     def forget(self) -> None:
         """For good, when its model is replaced."""
         self.clear()
-        Memo.all.remove(self)
+        if self in Memo.all:
+            Memo.all.remove(self)
 
 
 class VectorMemo(Memo):

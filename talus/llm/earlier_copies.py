@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import python_ready
+from talus.llm.common import python_ready, take_over
 from talus.sources.gold import materialize
 
 #: Bytes hashed at once, bytes whose blocks are compared inside a task before they are sent, bytes sorted at once.
@@ -170,6 +170,7 @@ def named_blocks(length: int):
         yield pd.DataFrame({"doc": spans["doc"], "tag": spans["tag"], "at": spans["start"], "n": spans["start"] - spans["end"], "m": 0, "h": 0, "s": 0})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over("copies")
         held, size = [], 0
         for b in batches:
             for doc, tag, text in zip(b["doc"], b["tag"], b["text"]):

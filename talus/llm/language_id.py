@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import VectorMemo, bounded_sample, python_ready, slices
+from talus.llm.common import VectorMemo, bounded_sample, held_by, python_ready, slices
 
 ORDER = 4
 PER_LANGUAGE = 1500
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
 
 _SCORERS: dict[str, VectorMemo] = {}
+held_by("language", _SCORERS.clear)
 
 
 def scorer(trees: Trees) -> VectorMemo:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import python_ready
+from talus.llm.common import python_ready, take_over
 from talus.sources.gold import materialize
 
 SENTENCE_WORDS = 3
@@ -93,6 +93,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """doc_id and the digests of its units that a document of smaller id holds too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over("lines")
         for b in batches:
             rows = []
             for doc, t in zip(b["doc_id"], b["text"]):

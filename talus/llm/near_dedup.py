@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from talus.llm.common import python_ready, texts_of
+from talus.llm.common import python_ready, take_over, texts_of
 from talus.llm.components import components
 from talus.sources.gold import materialize
 
@@ -120,6 +120,7 @@ def signatures(docs: DataFrame, width: int, trees: int) -> DataFrame:
     """Id, hash of the text, set size, digest of the set, MinHash values and sketch of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over("near-dedup")
         for b in batches:
             n, digest, values = [], [], []
             for t in texts_of(b["text"]):

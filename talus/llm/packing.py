@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from talus.llm.common import Memo, python_ready, slices, texts_of, words_with_space
+from talus.llm.common import Memo, held_by, python_ready, slices, texts_of, words_with_space
 from talus.sources.gold import materialize
 
 CAPACITY = 1024
@@ -67,6 +67,9 @@ def encoder(path: str) -> tuple[Memo, Memo]:
     return Memo("packing", alone), Memo("packing", spaced)
 
 
+held_by("packing", encoder.cache_clear)
+
+
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     """Ids of each text. The tokenizer's first split always parts a single space from the character
     before it and never looks across, so the parts of a text may be encoded one by one."""

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import VectorMemo, bounded_sample, python_ready, slices, texts_of
+from talus.llm.common import VectorMemo, bounded_sample, held_by, python_ready, slices, take_over, texts_of
 from talus.sources.gold import materialize
 
 DIMENSIONS = 64
@@ -159,13 +159,18 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def token_vectors(self, tokens: list[str]) -> np.ndarray:
+        """The sum of the vectors of each token's features, of many tokens at once."""
         out = np.zeros((len(tokens), DIMENSIONS), dtype=np.float32)
-        for i, t in enumerate(tokens):
-            out[i] = self.vectors[[bucket(f) for f in features(t)]].sum(0)
+        for lo in range(0, len(tokens), 20_000):
+            named = [features(t) for t in tokens[lo : lo + 20_000]]
+            sizes = np.fromiter(map(len, named), dtype=np.int64, count=len(named))
+            rows = np.fromiter((bucket(f) for fs in named for f in fs), dtype=np.int64, count=int(sizes.sum()))
+            out[lo : lo + len(named)] = np.add.reduceat(self.vectors[rows], np.cumsum(sizes) - sizes, axis=0)
         return out
 
 
 _READY: dict[str, VectorMemo] = {}
+held_by("quality", _READY.clear)
 
 
 def pooled(texts: list[str], model: Model) -> np.ndarray:
@@ -197,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     sample = materialize(bounded_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labelled, per_label), "quality-sample")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over("quality")
         total = np.zeros((BUCKETS, DIMENSIONS))
         for b in batches:
             texts = texts_of(b["text"])

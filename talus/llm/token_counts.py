@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm import pieces as P
-from talus.llm.common import Memo, python_ready, slices, texts_of
+from talus.llm.common import Memo, held_by, python_ready, slices, texts_of
 
 NONE = np.iinfo(np.int32).max
 
@@ -169,6 +169,10 @@ def counter(path: str) -> Memo:
     return Memo("token counts", Merges(P.load(path)).count)
 
 
+held_by("token counts", counter.cache_clear)
+held_by("token counts", P.load.cache_clear)
+
+
 def counts(texts: list[str], path: str) -> list[int]:
     memo, out = counter(path), []
     for lo, hi in slices(texts):

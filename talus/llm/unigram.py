@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm import pieces as P
-from talus.llm.common import Memo, python_ready, slices, texts_of
+from talus.llm.common import Memo, held_by, python_ready, slices, texts_of
 
 UNKNOWN_PENALTY = 10.0
 FREE = -1
@@ -211,6 +211,9 @@ def encoder(path: str) -> tuple[Encoder, Memo]:
     return e, Memo("unigram", e.encode)
 
 
+held_by("unigram", encoder.cache_clear)
+
+
 @functools.cache
 def spellings(path: str) -> list[bytes]:
     """The bytes each id stands for."""
@@ -221,6 +224,10 @@ def spellings(path: str) -> list[bytes]:
     return out
 
 
+held_by("unigram", spellings.cache_clear)
+held_by("unigram", P.load.cache_clear)
+
+
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     e, memo = encoder(path)
     for lo, hi in slices(texts):
