@@ -8,6 +8,8 @@ from talus.checks.registry import query
 from talus.checks.roles import with_roles
 from talus.operators import budget as B
 from talus.operators import insiders as I
+from talus.operators import relative as M
+from talus.operators import rollups as U
 from talus.operators import sessions as C
 
 BUYERS = {
@@ -89,3 +91,63 @@ _KEPT = f"CASE WHEN total <= 50000 THEN tokens WHEN {_ROOM} >= 200 THEN {_ROOM}
     cast({_KEPT} as bigint) AS kept_tokens, cast(tokens - {_KEPT} as bigint) AS dropped_tokens FROM upto""", "fx_pieces", extra=TOTALS))
 def _(t):
     return B.within_budget(t("fx_pieces"))
+
+
+@query("grade_cube", with_roles(
+    """SELECT grouping(classification, year, graded)::BIGINT AS level, classification, year, graded, count(*) AS calls, count(*) FILTER (WHERE return_1y IS NOT NULL) AS settled,
+    count(*) FILTER (WHERE valuation_error_pct > 0) AS too_low, min(valuation_error_pct) AS least_error, max(valuation_error_pct) AS largest_error
+    FROM (SELECT *, year(run_date) AS year FROM fx_ledger) GROUP BY GROUPING SETS ((classification, year, graded), (classification, year), (classification, graded), (classification), (year), ())""", "fx_ledger"))
+def _(t):
+    return U.grade_cube(t("fx_ledger"))
+
+
+@query("funnel_cube", with_roles(
+    """SELECT grouping(sector, quote_type, currency)::BIGINT AS level, sector, quote_type, currency, count(*) AS names, count(*) FILTER (WHERE big) AS large, count(*) FILTER (WHERE big AND dropped) AS fell, count(*) FILTER (WHERE big AND dropped AND priced) AS priced
+    FROM (SELECT s.sector, quote_type, currency, coalesce(market_cap > 2000000000, false) AS big, coalesce(price / high52 - 1 <= -0.4, false) AS dropped, coalesce(price > 5, false) AS priced
+      FROM fx_quotes q LEFT JOIN fx_sectors s USING (symbol)) GROUP BY ROLLUP (sector, quote_type, currency)""", "fx_quotes", "fx_sectors"))
+def _(t):
+    names = t("fx_quotes").drop("target").join(t("fx_sectors").select("symbol", "sector"), "symbol", "left")
+    return U.funnel_cube(names, ["sector", "quote_type", "currency"], {
+        "large": F.col("market_cap") > 2_000_000_000, "fell": F.col("price") / F.col("high52") - 1 <= -0.4, "priced": F.col("price") > 5})
+
+
+@query("weekly_sketches", """SELECT date_trunc('week', ts)::DATE AS week, count(*) AS rows, count(DISTINCT user_id) AS readers, true AS distinct_close, true AS median_close, true AS merge_is_whole
+    FROM events GROUP BY 1""")
+def _(t):
+    """Days' states merged to weeks, beside the exact counts: estimates within 5 %, the median's rank within 3 %,
+    and merged days no other than the state of the whole week."""
+    ev = t("events").withColumn("day", F.to_date("ts")).withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+    merged = U.read_sketches(U.merged_sketches(U.day_sketches(ev, ["week", "day"], "user_id", "value"), ["week"]), ["week"])
+    whole = U.read_sketches(U.day_sketches(ev, ["week"], "user_id", "value"), ["week"]).select("week", F.col("distinct").alias("at_once"))
+    exact = ev.groupBy("week").agg(F.countDistinct("user_id").alias("readers"))
+    below = ev.join(merged.select("week", "p50"), "week").groupBy("week").agg((F.count_if(F.col("value") <= F.col("p50")) / F.count("value")).alias("upto"), (F.count_if(F.col("value") < F.col("p50")) / F.count("value")).alias("under"))
+    return merged.join(whole, "week").join(exact, "week").join(below, "week").select(
+        "week", "rows", "readers", (F.abs(F.col("distinct") - F.col("readers")) <= 0.05 * F.col("readers")).alias("distinct_close"),
+        ((F.col("upto") >= 0.47) & (F.col("under") <= 0.53)).alias("median_close"), (F.col("distinct") == F.col("at_once")).alias("merge_is_whole"))
+
+
+RETURNS = {
+    "rets": """SELECT symbol, bar_date, cast(floor(close / prev * 1000000 - 1000000 + 0.5) as bigint) AS r FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY bar_date) AS prev FROM fx_bars_d) WHERE prev <> 0 AND close IS NOT NULL""",
+    "mkt": "SELECT bar_date, cast(floor(sum(r) / count(*)) as bigint) AS x FROM rets GROUP BY bar_date",
+    "xy": "SELECT symbol, bar_date, r, x, cast(floor((bar_date - DATE '1970-01-01') / 5) as bigint) AS cell FROM rets JOIN mkt USING (bar_date)",
+    "spans": "SELECT DISTINCT symbol, cell FROM xy",
+    "fits": """SELECT s.symbol, s.cell, count(*) AS n, CASE WHEN count(*) >= 3 AND max(x) > min(x) THEN regr_slope(r, x) END AS beta, cast(sum(r) as double) / 1000000 AS move, cast(sum(x) as double) / 1000000 AS x_move
+        FROM spans s JOIN xy ON xy.symbol = s.symbol AND xy.cell BETWEEN s.cell - 3 AND s.cell GROUP BY ALL""",
+    "recent": "SELECT * FROM rets JOIN mkt USING (bar_date) LEFT JOIN (SELECT symbol, sector FROM fx_sectors) USING (symbol) WHERE bar_date <= DATE '2024-01-25' AND bar_date > DATE '2024-01-25' - 10",
+    "peers": "SELECT sector, bar_date, cast(floor(sum(r) / count(*)) as bigint) AS peer FROM recent WHERE sector IS NOT NULL GROUP BY ALL",
+}
+
+
+@query("rolling_beta", with_roles(
+    "SELECT symbol, cell, n, round(beta, 6) AS beta, move, x_move, round(move - beta * x_move, 6) AS own FROM fits", "fx_bars_d", extra=RETURNS))
+def _(t):
+    r = M.daily_returns(t("fx_bars_d"))
+    return M.rolling_beta(r.join(M.group_returns(r), "bar_date")).withColumns({"beta": F.round("beta", 6), "own": F.round("own", 6)})
+
+
+@query("sector_moves", with_roles(
+    """SELECT symbol, sum(r) / 1000000 AS move, sum(x) / 1000000 AS market_move, sum(peer) / 1000000 AS sector_move, (sum(r) - sum(x)) / 1000000 AS against_market, (sum(r) - sum(peer)) / 1000000 AS against_sector
+    FROM recent LEFT JOIN peers USING (sector, bar_date) GROUP BY symbol""", "fx_bars_d", "fx_sectors", extra=RETURNS))
+def _(t):
+    r = M.daily_returns(t("fx_bars_d"))
+    return M.moves(r, M.group_returns(r), t("fx_sectors").select("symbol", F.col("sector").alias("group")), "2024-01-25", 10)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
 from talus.operators import alignment as A
+from talus.operators import guidance as G
 
 # The alignment told plainly: anchors stand once on either side; the longest rising run of them is grown
 # from its end and walked from its front; gaps between its members are matched cell by cell.
@@ -48,3 +51,37 @@ DIFF = {
 @query("risk_factor_diff", with_roles("SELECT * FROM diff", "fx_risk_parts", extra=DIFF))
 def _(t):
     return A.paragraph_diff(t("fx_risk_parts"))
+
+
+_PLAIN = lambda x: f"concat(' ', trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+QUOTED = {
+    "plain": f"SELECT e.*, {_PLAIN('quote')} AS q, {_PLAIN('coalesce(text, chr(32))')} AS t FROM fx_extractions e JOIN documents d ON d.doc_id = e.filing_no",
+    "runs": "SELECT *, [concat(' ', array_to_string(w[i : i + 4], ' '), ' ') for i in range(1, greatest(len(w) - 3, 2))] AS rs FROM (SELECT *, string_split(trim(q), ' ') AS w FROM plain)",
+    "checked": """SELECT * EXCLUDE (q, t, w, rs), CASE WHEN trim(q) = '' THEN 'missing' WHEN contains(t, q) THEN 'verbatim'
+        WHEN len([r for r in rs if contains(t, r)]) / len(rs) >= 0.6 THEN 'loose' ELSE 'invented' END AS quoted FROM runs""",
+    "nums": "SELECT entity_id, filing_no, lead(filing_no) OVER w AS next_no, lag(filing_no) OVER w AS prev_no FROM (SELECT DISTINCT entity_id, filing_no FROM checked) WINDOW w AS (PARTITION BY entity_id ORDER BY filing_no)",
+    "one": "SELECT entity_id, filing_no, metric, period, low, high, quoted NOT IN ('invented', 'missing') AS sure, coalesce(low, high) AS lo, coalesce(high, low) AS hi FROM checked",
+    "said": "SELECT o.*, prev_no FROM one o JOIN nums USING (entity_id, filing_no) WHERE prev_no IS NOT NULL",
+    "past": "SELECT o.* REPLACE (next_no AS filing_no) FROM one o JOIN nums USING (entity_id, filing_no) WHERE next_no IS NOT NULL",
+}
+
+
+def _checked(t):
+    texts = t("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("accession"), "text")
+    return G.quote_check(t("fx_extractions"), texts)
+
+
+@query("quote_check", with_roles("SELECT filing_no, metric, period, quoted FROM checked", "fx_extractions", extra=QUOTED))
+def _(t):
+    return _checked(t).select("filing_no", "metric", "period", "quoted")
+
+
+@query("guidance_diff", with_roles(
+    """SELECT coalesce(n.entity_id, o.entity_id) AS entity_id, coalesce(n.filing_no, o.filing_no) AS filing_no, coalesce(n.metric, o.metric) AS metric, coalesce(n.period, o.period) AS period,
+    CASE WHEN n.metric IS NULL THEN 'withdrawn' WHEN o.metric IS NULL THEN 'new' WHEN NOT (n.sure AND o.sure) OR n.lo > n.hi OR o.lo > o.hi THEN 'unclear'
+      WHEN n.lo = o.lo AND n.hi = o.hi THEN 'unchanged' WHEN n.lo >= o.lo AND n.hi >= o.hi THEN 'raised' WHEN n.lo <= o.lo AND n.hi <= o.hi THEN 'cut'
+      WHEN n.lo >= o.lo AND n.hi <= o.hi THEN 'narrowed' ELSE 'widened' END AS status, o.low AS old_low, o.high AS old_high, n.low, n.high,
+    CASE WHEN o.lo + o.hi <> 0 THEN ((n.lo + n.hi) / 2 - (o.lo + o.hi) / 2) / abs((o.lo + o.hi) / 2) * 100 END AS middle_change_pct
+    FROM said n FULL JOIN past o ON n.entity_id = o.entity_id AND n.filing_no = o.filing_no AND n.metric = o.metric AND n.period = o.period""", "fx_extractions", extra=QUOTED))
+def _(t):
+    return G.guidance_diff(_checked(t))

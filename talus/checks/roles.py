@@ -648,3 +648,16 @@ def fx_pieces(d):
     documents fall into one bundle."""
     return f"""SELECT CASE WHEN doc_id % 3 = 0 THEN -1 ELSE cast(floor(doc_id / 8) as bigint) END AS bundle_id, doc_id AS piece_id, cast(doc_id % 4 as int) AS tier,
   {d.add("DATE '2023-06-01'", 'doc_id * 37 % 240')} AS filed_at, cast(coalesce(length(text), 0) * 5 as bigint) AS tokens FROM documents"""
+
+
+@role("fx_extractions", "documents")
+def fx_extractions(d):
+    """Guidance figures drawn from each document, eight documents to a company: a range per metric, with a
+    quote that is the text's own, shortened or made up."""
+    rows = [(f"'{m}'", f"'{p}'", f"cast(100 + {a} as double)", f"cast(100 + {b} as double)", q) for m, p, a, b, q in (
+        ("revenue", "FY", "doc_id % 7 * 5", "doc_id % 7 * 5 + doc_id % 3 * 4", "substr(t, 21, 120)"),
+        ("eps", "FY", "doc_id % 5 * 3", "doc_id % 5 * 3", "CASE WHEN doc_id % 6 = 1 THEN 'we expect a record year in every segment' ELSE substr(t, 1, 60) END"),
+        ("revenue", "Q", "doc_id % 4 - doc_id % 9", "doc_id % 4 + 2", "CASE WHEN doc_id % 4 = 2 THEN '' ELSE concat(substr(t, 11, 200), ' and more') END"))]
+    src = "(SELECT doc_id, coalesce(text, '') AS t FROM documents) s"
+    return f"""SELECT cast(floor(doc_id / 8) as bigint) AS entity_id, doc_id AS filing_no, concat('d', cast(doc_id as string)) AS accession, CASE WHEN period = 'Q' AND doc_id % 3 = 0 THEN 'H1' ELSE period END AS period, metric,
+  CASE WHEN doc_id % 11 = 3 THEN NULL ELSE low END AS low, high, quote FROM ({d.rows(src, ['doc_id'], ['metric', 'period', 'low', 'high', 'quote'], rows)}) r"""

@@ -10,7 +10,7 @@ filings repeat it. Those windows all start with ``entity_id``; one hash exchange
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus import params as P
@@ -63,15 +63,19 @@ def facts_explode(payloads: DataFrame, id_col: str = "entity_id", json_col: str
     )
 
 
-def latest_filed(facts: DataFrame, keys: list[str]) -> DataFrame:
+def _names(rows: DataFrame, aggregates: tuple[Column, ...]) -> list[str]:
+    return rows.agg(*aggregates).columns if aggregates else []
+
+
+def latest_filed(facts: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """One row per key: the latest filed wins, ties keep the first seen. ``first_pos`` is where
-    the key first appeared."""
+    the key first appeared. ``more`` are further aggregates."""
     best = F.max_by(F.struct("val", "accn", "filed", "pos"), F.struct(F.col("filed"), (-F.col("pos")).alias("p")))
     return (
         facts.groupBy(*keys)
-        .agg(best.alias("b"), F.min("pos").alias("first_pos"))
+        .agg(best.alias("b"), F.min("pos").alias("first_pos"), *more)
         .select(*keys, F.col("b.val").alias("val"), F.col("b.accn").alias("accn"), F.col("b.filed").alias("filed"),
-                F.col("b.pos").alias("pos"), "first_pos")
+                F.col("b.pos").alias("pos"), "first_pos", *_names(facts, more))
     )
 
 
@@ -101,22 +105,21 @@ def choose_tags(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     within a tag the preferred unit is used, else the first one in the file: by ``unit_no`` where
     the facts carry it, then by position. A tag has exactly one unit.
 
-    The choice is made on one row per (entity, tag, unit), found by an aggregate that runs before the
-    exchange, and joined back.
+    Facts shrink to one row per period before they move; those rows are dealt out by entity once, and
+    the unit, the tag and every window of the series after it are found where they lie.
     """
     # Facts travel and sort under a small number instead of the dictionary's names.
     place = F.col("unit_no") if "unit_no" in facts.columns else F.lit(0)
     mapped = facts.withColumn("unit_no", place).join(F.broadcast(concepts.select("taxonomy", "tag", "tid", "pref_unit")), ["taxonomy", "tag"]).withColumn(
-        "pref", F.col("unit") == F.col("pref_unit")
-    )
-    units = mapped.groupBy("entity_id", "tid", "unit").agg(
-        F.max("p_end").alias("newest"), F.min(F.struct((~F.col("pref")).alias("other"), "unit_no", "pos")).alias("place")
+        "at", F.struct((F.col("unit") != F.col("pref_unit")).alias("other"), "unit_no", "pos")
     )
-    one_unit = units.groupBy("entity_id", "tid").agg(F.min_by(F.struct("unit", "newest"), F.struct("place", "unit")).alias("u"))
-    best = F.max_by(F.struct("tid", "u.unit", "u.newest"), F.struct("u.newest", -F.col("tid")))
-    choice = one_unit.groupBy("entity_id", F.expr("tid div 100").alias("cid")).agg(best.alias("b")).select("entity_id", "b.*")
-    reduced = latest_filed(mapped, ["entity_id", "tid", "p_end", "p_start", "unit"])
-    picked = reduced.join(choice, ["entity_id", "tid", "unit"])
+    rows = latest_filed(mapped, ["entity_id", "tid", "unit", "p_start", "p_end"], F.min("at").alias("at")).repartition("entity_id")
+    by_unit, by_tag = Window.partitionBy("entity_id", "tid", "unit"), Window.partitionBy("entity_id", "tid")
+    rows = rows.withColumn("newest", F.max("p_end").over(by_unit)).withColumn("at", F.min("at").over(by_unit))
+    rows = rows.withColumn("first_unit", F.min(F.struct("at", "unit")).over(by_tag)).filter(F.col("unit") == F.col("first_unit.unit"))
+    by_concept = Window.partitionBy("entity_id", "cid")
+    rows = rows.withColumn("cid", F.expr("tid div 100")).withColumn("best", F.max(F.struct("newest", (-F.col("tid")).alias("no"))).over(by_concept))
+    picked = rows.filter(-F.col("tid") == F.col("best.no")).drop("at", "newest", "first_unit", "cid", "best")
     return picked.join(F.broadcast(concepts.select("tid", "concept", "kind", "tag")), "tid").drop("tid")
 
 

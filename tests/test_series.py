@@ -162,3 +162,15 @@ def test_tag_and_unit_choice_equal_the_model(spark, per_unit_places):
 def test_every_concept_has_its_own_chain():
     names = [c[0] for c in P.CONCEPTS]
     assert len(names) == len(set(names)) and all(len(c[4]) == len(set(c[4])) > 0 for c in P.CONCEPTS)
+
+
+def test_facts_are_read_once_and_dealt_out_by_entity_once(spark, tmp_path):
+    rows = [("E", "us-gaap", "Revenues", "USD", date(2024, 1, 1), date(2024, 3, 31), 1.0, "a", "10-Q", date(2024, 5, 1), 0)]
+    spark.createDataFrame(rows, "entity_id string, taxonomy string, tag string, unit string, p_start date, p_end date, val double, accn string, form string, filed date, pos int").write.parquet(str(tmp_path / "f"))
+    facts = spark.read.parquet(str(tmp_path / "f"))
+    chosen = S.choose_tags(facts, S.concept_dim(spark))
+    for df in (chosen, S.quarterly_series(chosen), S.annual_series(chosen)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan") == 1
+        assert plan.count("Exchange hashpartitioning") <= 3
+    assert plan.count("Exchange hashpartitioning") == 2
