@@ -19,6 +19,7 @@ empty one; other columns are ignored."""
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,17 @@ def bucket(word: str) -> int:
     return xxhash.xxh64_intdigest(word) % BUCKETS
 
 
+CASES = {c: bucket("c" + c) for c in ("upper", "title", "lower")}
+
+
+def feature_rows(token: str) -> list[int]:
+    """Buckets of a token's features; letters alone need no search for signs and digits."""
+    if not token.isalpha():
+        return [bucket(f) for f in features(token)]
+    word = bucket("w" + token.lower())
+    return [word, CASES["upper" if token.isupper() else "title" if token[0].isupper() else "lower"]] if len(token) > 1 else [word]
+
+
 @functools.cache
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the non-zero entries of every row, drawn from the row's hash."""
@@ -162,10 +174,14 @@ class Model:
         """The sum of the vectors of each token's features, of many tokens at once."""
         out = np.zeros((len(tokens), DIMENSIONS), dtype=np.float32)
         for lo in range(0, len(tokens), 20_000):
-            named = [features(t) for t in tokens[lo : lo + 20_000]]
-            sizes = np.fromiter(map(len, named), dtype=np.int64, count=len(named))
-            rows = np.fromiter((bucket(f) for fs in named for f in fs), dtype=np.int64, count=int(sizes.sum()))
-            out[lo : lo + len(named)] = np.add.reduceat(self.vectors[rows], np.cumsum(sizes) - sizes, axis=0)
+            rows = list(map(feature_rows, tokens[lo : lo + 20_000]))
+            sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+            flat = np.fromiter(itertools.chain.from_iterable(rows), dtype=np.int64, count=int(sizes.sum()))
+            first, sums = np.cumsum(sizes) - sizes, self.vectors[flat[np.cumsum(sizes) - sizes]]
+            for place in range(1, int(sizes.max())):
+                more = np.flatnonzero(sizes > place)
+                sums[more] += self.vectors[flat[first[more] + place]]
+            out[lo : lo + len(rows)] = sums
         return out
 
 

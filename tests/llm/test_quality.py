@@ -57,3 +57,34 @@ def test_scores_read_text_only(spark, sf):
     a = {r.doc_id: r.score for r in Q.classify(docs, model, F.lit(False)).collect()}
     b = {r.doc_id - 10**6: r.score for r in Q.classify(other, model, F.lit(False)).collect()}
     assert a == b
+
+
+def test_whole_score_from_words_to_probability():
+    """Features, pooling, both layers and the temperature, one number at a time."""
+    import math
+
+    import numpy as np
+
+    from talus.llm import quality as Q
+
+    rng = np.random.default_rng(8)
+    n = Q.DIMENSIONS
+    net = Q.Network(rng.normal(size=n), rng.random(n) + 0.5, rng.normal(size=(n, 5)), rng.normal(size=5), rng.normal(size=5), 0.3, 1.7)
+    model = Q.Model(rng.normal(size=(Q.BUCKETS, n)), net)
+    texts = ["", "one", "The THE the quick, quick brown-fox 42 A1! x", "a a a b", "Ünïcode ΑΒΓ 日本語 don't -- \t spaced\n\nout"]
+    got = net.probability(Q.pooled(texts, model))
+    for text, p in zip(texts, got):
+        words, x = text.split(), [0.0] * n
+        for w in words:
+            for f in Q.features(w):
+                v = model.vectors[Q.bucket(f)]
+                x = [a + float(b) / len(words) for a, b in zip(x, v)]
+        if words:
+            same = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+            again = 1 - len(set(words)) / len(words)
+            for share, name in ((same, "<same as before>"), (again, "<seen before>")):
+                x = [a + 4 * share * float(b) for a, b in zip(x, model.vectors[Q.bucket(name)])]
+        z = [(a - m) / s for a, m, s in zip(x, net.mean, net.scale)]
+        hidden = [math.tanh(sum(z[i] * net.w1[i, j] for i in range(n)) + net.b1[j]) for j in range(5)]
+        logit = (sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert abs(p - 1 / (1 + math.exp(-logit))) < 1e-5
