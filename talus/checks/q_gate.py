@@ -84,7 +84,7 @@ class Gate(Scen):
     def merged(self):
         """The ensemble's scenarios, priced; written once, as the gate reads them twice."""
         if not hasattr(self, "_merged"):
-            bad = V.scenario_violations(self.ctx())
+            bad = V.scenario_violations(materialize(self.ctx(), "scenario-context"))
             self._merged = materialize(S.implied_price(S.merged_scenarios(self.t("fx_scenarios"), self.t("fx_verdicts"), bad), self.metrics()), "merged-scenarios")
         return self._merged
 

@@ -16,6 +16,7 @@ from talus.operators import metrics as M
 from talus.operators import multiples as X
 from talus.operators import scenarios as S
 from talus.operators import validate as V
+from talus.sources.gold import materialize
 
 _FIXED = ", ".join(f"'{n}'" for n, *_ in P.CONCEPTS) + ", 'screen'"
 _K = "(PARTITION BY entity_id ORDER BY pos)"
@@ -296,5 +297,7 @@ scenario_rule("coherence", "metrics", group=True)
     "fx_filings", "fx_priors", "fx_claims", "fx_quotes_cited"))
 def _(t):
     s = Scen(t)
-    viol = V.scenario_violations(s.ctx()).unionByName(V.verdict_rules(t("fx_verdicts"), t("fx_quotes_cited")))
+    # Row and group rules read the same rows.
+    ctx = materialize(s.ctx(), "scenario-context")
+    viol = V.scenario_violations(ctx).unionByName(V.verdict_rules(t("fx_verdicts"), t("fx_quotes_cited")))
     return V.val_rollup(t("fx_verdicts"), viol, s.bad_sources())
