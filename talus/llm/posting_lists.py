@@ -1,15 +1,21 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Centroids come from halving a bounded sample again and again, each half of equal size, so lists are
-balanced. Every vector is put into the lists of its nearest centroid and of further ones almost as near
-(within ``CLOSURE``), unless a list already chosen lies nearer to that centroid than the vector does;
-vectors at a border are thus found from both sides. Centroids are few enough for every task's memory and
-are searched by best-first steps over a graph of their neighbours. How many of the nearest lists a query
-reads is measured: for ``TRIALS`` of the vectors the exact neighbours among all rows are found, and the
-lists read are as many as hold ``RECALL`` of them. A query that finds fewer than k rows reads all lists.
+balanced; they are many and their lists short. A vector is put into the lists of its nearest centroid and
+of all others almost as near (within ``CLOSURE``, ``REPLICAS`` at most), so one at a border is found from
+several sides. Centroids are few enough for every task's memory and are searched by best-first steps over
+a graph of their neighbours, for the vectors as for the queries.
+
+A query reads the lists whose distance is at most a ratio of that of its ``REPLICAS``-th nearest list. The
+ratio is measured: for ``TRIALS`` vectors, half of them held back from the fit, the exact neighbours among
+all rows are found, and the ratio is the least that reaches lists with ``RECALL`` of them, for the fitted
+and for the held-back ones. Neighbouring lists lie together in a group, which a task holds as a whole, and
+a query gets k rows of a group, not of a list. Each query first reads the lists of the group it lies in;
+in the others it reads with the k-th distance found there as a bound: lists that lie wholly beyond it are
+skipped, and only rows within it are returned. A query that finds fewer than k rows reads all lists.
 
 Every row is indexed. Equal vectors are one entry with its smallest ids: more than k + 1 of them can't
-be among k neighbours, since ties go to smaller ids. Lists and queries of a list are cut into blocks of
+be among k neighbours, since ties go to smaller ids. Vectors and queries of a group are cut into blocks of
 bounded size that meet in a cogroup; distances are computed there in double precision on the original
 vectors.
 
@@ -20,7 +26,7 @@ are ignored."""
 
 from __future__ import annotations
 
-import uuid
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,16 +41,20 @@ from talus.llm.common import python_ready
 from talus.sources.gold import materialize
 
 #: Vectors the centroids are fitted on, and the number of centroids, at most. Vectors per list aimed at.
-SAMPLE, MOST_LISTS, PER_LIST = 16_384, 4096, 64
+SAMPLE, MOST_LISTS, PER_LIST = 16_384, 4096, 8
 #: Lists a vector is put into at most, and how much farther than the nearest they may be.
-REPLICAS, CLOSURE = 4, 1.15
-#: Vectors that the number of lists read is measured with, and the share of their neighbours it must find:
-#: above the 0.9 asked for by more than the error of the measurement.
+REPLICAS, CLOSURE = 8, 1.15
+#: Vectors that the ratio is measured with, and the share of their neighbours it must reach: above the 0.9
+#: asked for by more than the error of the measurement.
 TRIALS, RECALL = 512, 0.95
 #: Neighbours per centroid in the graph; entry points of a search.
 DEGREE, ENTRIES = 24, 64
-#: Vectors of a list, and queries, that meet in one task group.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Groups of lists at least, and the vectors of a group aimed at where there are more.
+GROUPS, PER_GROUP = 16, 32_768
+#: A row's lists in one group, and their distances.
+GROUPED = "group int, lists array<int>, far array<double>"
+#: Vectors of a group, and queries, that meet in one task.
+BLOCK, QUERY_BLOCK = 65_536, 1024
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,23 +62,23 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
-def halves(x: np.ndarray, lists: int) -> np.ndarray:
-    """Centroids of ``lists`` parts of equal size, each halved along the line between two centres."""
-    rng, parts = np.random.default_rng(0), [np.arange(len(x))]
-    while len(parts) < lists:
-        largest = max(range(len(parts)), key=lambda i: len(parts[i]))
-        own = parts.pop(largest)
-        if len(own) < 2:
-            parts.append(own)
-            break
+def halves(x: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Row numbers of ``parts`` parts of equal size, each halved along the line between two centres."""
+    rng = np.random.default_rng(0)
+    # Largest first; the number breaks ties.
+    heap, n = [(-len(x), 0, np.arange(len(x)))], 0
+    while len(heap) < parts and -heap[0][0] >= 2:
+        own = heapq.heappop(heap)[2]
         two = x[own[rng.choice(len(own), 2, replace=False)]]
         for _ in range(6):
             lead = ((x[own] - two[0]) ** 2).sum(1) - ((x[own] - two[1]) ** 2).sum(1)
             order = np.argsort(lead, kind="stable")
             near, far = own[order[: len(own) // 2]], own[order[len(own) // 2 :]]
             two = np.array([x[near].mean(0), x[far].mean(0)])
-        parts += [near, far]
-    return np.array([x[p].mean(0) for p in parts])
+        for half in (near, far):
+            n += 1
+            heapq.heappush(heap, (-len(half), n, half))
+    return [p for _, _, p in sorted(heap, key=lambda h: h[1])]
 
 
 @dataclass
@@ -76,11 +86,15 @@ class Centroids:
     points: np.ndarray
     neighbours: np.ndarray = field(repr=False)
     entries: np.ndarray
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    #: Group of every list.
+    group: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int) -> Centroids:
-        points = halves(x, lists) if lists > 1 else x.mean(0, keepdims=True)
+    def fit(cls, x: np.ndarray, lists: int, groups: int = GROUPS) -> Centroids:
+        points = np.array([x[p].mean(0) for p in halves(x, lists)])
+        group = np.zeros(len(points), dtype=np.int64)
+        for g, own in enumerate(halves(points, groups)):
+            group[own] = g
         degree = min(DEGREE, len(points) - 1)
         near = np.zeros((len(points), degree), dtype=np.int64)
         for lo in range(0, len(points), 512):
@@ -92,7 +106,7 @@ class Centroids:
         while len(entries) < min(ENTRIES, len(points)):
             entries.append(int(far.argmax()))
             far = np.minimum(far, distances(points, points[entries[-1:]])[:, 0])
-        return cls(points, near, np.array(entries))
+        return cls(points, near, np.array(entries), group)
 
     def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the ``n`` nearest centroids found for each row, nearest first."""
@@ -115,12 +129,12 @@ class Centroids:
         order = np.argsort(dist, axis=1, kind="stable")
         beam, dist, opened = beam[rows, order], dist[rows, order], opened[rows, order]
         while True:
-            # Open the four nearest unopened centroids among the best n of every row.
+            # Open the nearest unopened centroids among the best n of every row, more at once in wide searches.
             waiting = ~opened[:, :n] & (beam[:, :n] >= 0)
             active = np.flatnonzero(waiting.any(axis=1))
             if not len(active):
                 return beam[:, :n], dist[:, :n]
-            pick = np.argsort(~waiting[active], axis=1, kind="stable")[:, :4]
+            pick = np.argsort(~waiting[active], axis=1, kind="stable")[:, : max(4, n // 16)]
             real = waiting[active[:, None], pick]
             opened[active[:, None], pick] |= real
             found = self.neighbours[np.where(real, beam[active[:, None], pick], 0)].reshape(len(active), -1)
@@ -138,23 +152,36 @@ class Centroids:
             at = np.arange(len(active))[:, None]
             beam[active], dist[active], opened[active] = all_ids[at, order], all_d[at, order], all_open[at, order]
 
-    def closure(self, x: np.ndarray) -> list[list[int]]:
-        """The lists of every vector: the nearest, and others almost as near in other directions."""
-        ids, dist = self.nearest(x, 4 * REPLICAS)
-        out = []
-        for row, d in zip(ids.tolist(), dist):
-            own = [row[0]]
-            for c, far in zip(row[1:], d[1:]):
-                if far > CLOSURE * d[0] or len(own) == REPLICAS:
-                    break
-                if (np.sqrt(((self.points[own] - self.points[c]) ** 2).sum(1)) > far).all():
-                    own.append(c)
-            out.append(own)
-        return out
-
-    def probes(self, x: np.ndarray, n: int) -> list[list[int]]:
-        """The ``n`` nearest lists of a query."""
-        return np.argsort(distances(x, self.points), axis=1, kind="stable")[:, :n].tolist()
+    def grouped(self, lists: list[np.ndarray], far: list[np.ndarray]) -> tuple[np.ndarray, dict[str, object]]:
+        """Per row and group: the row's number, and the columns of ``GROUPED``."""
+        row = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+        own, dist = np.concatenate(lists), np.concatenate(far)
+        order = np.lexsort((self.group[own], row))
+        row, own, dist = row[order], own[order], dist[order]
+        group = self.group[own]
+        start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])])
+        return row[start], {"group": group[start], "lists": np.split(own, start[1:]), "far": np.split(dist, start[1:])}
+
+    def closure(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The lists of every vector and their distances: the nearest one and others almost as near."""
+        ids, dist = self.nearest(x, 2 * REPLICAS)
+        near = dist[:, :REPLICAS] <= CLOSURE * dist[:, :1]
+        return [i[:REPLICAS][n] for i, n in zip(ids, near)], [d[:REPLICAS][n] for d, n in zip(dist, near)]
+
+    def probes(self, x: np.ndarray, ratio: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The lists of every query within ``ratio`` and their distances, nearest first."""
+        lists, far = [None] * len(x), [None] * len(x)
+        todo, n = np.arange(len(x)), min(4 * REPLICAS, len(self.points))
+        while len(todo):
+            ids, dist = self.nearest(x[todo], n)
+            limit = ratio * dist[:, min(REPLICAS, n) - 1]
+            # Where all that were found lie within the ratio, there may be more.
+            open_ = (dist[:, -1] <= limit) & (n < len(self.points))
+            for i, own, d, most in zip(todo[~open_], ids[~open_], dist[~open_], limit[~open_]):
+                within = (d <= most) & (own >= 0)
+                lists[i], far[i] = own[within], d[within]
+            todo, n = todo[open_], min(2 * n, len(self.points))
+        return lists, far
 
 
 def valid(vector: Column) -> Column:
@@ -166,13 +193,15 @@ def valid(vector: Column) -> Column:
 @dataclass
 class Index:
     centroids: Broadcast
-    #: list, vector, ids
+    #: group, v, ids, lists: a vector with its lists of one group
     postings: DataFrame
+    #: Distance of each list's centre to its farthest vector.
+    radius: np.ndarray
     #: Queries' vectors must have this many components.
     length: int
     k: int
-    #: Lists a query reads.
-    beam: int
+    #: How far the lists that a query reads may lie.
+    ratio: float
 
 
 def entries(df: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame, int]:
@@ -214,13 +243,18 @@ def neighbours(distinct: DataFrame, x: np.ndarray, k: int) -> DataFrame:
     return found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).select("trial", "v")
 
 
-def lists_needed(model: Centroids, postings: DataFrame, distinct: DataFrame, x: np.ndarray, k: int) -> int:
-    """How many of the nearest lists hold ``RECALL`` of the exact neighbours of the rows of ``x``."""
+def ratio_needed(model: Centroids, postings: DataFrame, distinct: DataFrame, x: np.ndarray, k: int) -> float:
+    """The least ratio that reaches a list with ``RECALL`` of the exact neighbours, for each half of ``x``."""
     # At most TRIALS * k neighbours with REPLICAS lists each.
-    held = neighbours(distinct, x, k).join(postings.select("v", "list"), "v").groupBy("trial", "v").agg(F.collect_list("list").alias("lists")).select("trial", "lists").collect()
-    rank = np.argsort(np.argsort(distances(x, model.points), axis=1, kind="stable"), axis=1)
-    first = np.sort([min(rank[r.trial, c] for c in r.lists) for r in held])
-    return int(first[int(np.ceil(RECALL * len(first))) - 1]) + 1 if len(first) else len(model.points)
+    rows = neighbours(distinct, x, k).join(postings.select("v", F.explode("lists").alias("list")), "v")
+    held = rows.groupBy("trial", "v").agg(F.collect_list("list").alias("lists")).select("trial", "lists").collect()
+    d = distances(x, model.points)
+    base = np.sort(d, axis=1)[:, min(REPLICAS, len(model.points)) - 1]
+    need = []
+    for half in (0, 1):
+        found = np.sort([d[r.trial, r.lists].min() / max(base[r.trial], 1e-300) for r in held if r.trial % 2 == half])
+        need.append(found[int(np.ceil(RECALL * len(found))) - 1] if len(found) else 1.0)
+    return float(max(1.0, *need)) * (1 + 1e-9)
 
 
 def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10) -> Index:
@@ -231,17 +265,31 @@ def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     total = distinct.count()
     sample = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow().column("v").to_pylist()
     x = np.array(sample, dtype=np.float64).reshape(len(sample), length)
-    model = Centroids.fit(x, int(min(MOST_LISTS, max(1, total // PER_LIST), max(1, len(x) // 4)))) if len(x) else None
+    # Half of the trials are not fitted on, save in tables of a few rows.
+    back = min(TRIALS // 2, len(x) // 5)
+    fitted = x[: len(x) - back]
+    lists = int(min(MOST_LISTS, max(1, total // PER_LIST), max(1, len(fitted) // 4)))
+    model = Centroids.fit(fitted, lists, max(GROUPS, -(-total // PER_GROUP))) if len(x) else None
+    if model is None:
+        postings = distinct.withColumns({"group": F.lit(0), "lists": F.array(F.lit(0)), "far": F.array(F.lit(0.0))})
+        return Index(spark.sparkContext.broadcast(None), postings, np.zeros(1), length, k, 0.0)
+    lists = len(model.points)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(list=shared.value.closure(np.stack(b["v"])))
+            row, parts = shared.value.grouped(*shared.value.closure(np.stack(b["v"])))
+            yield pd.DataFrame({"v": list(b["v"].to_numpy()[row]), "ids": list(b["ids"].to_numpy()[row]), **parts})
 
-    postings = distinct.mapInPandas(run, "v array<double>, ids array<long>, list array<int>")
-    postings = materialize(postings.select(F.explode("list").alias("list"), "v", "ids"), "postings")
-    beam = lists_needed(model, postings, distinct, x[:TRIALS], k) if len(x) else 0
-    return Index(shared, postings, length, k, beam)
+    postings = materialize(distinct.mapInPandas(run, f"v array<double>, ids array<long>, {GROUPED}"), "postings")
+    radius = np.zeros(lists)
+    # A row per list.
+    for r in postings.select(F.explode(F.arrays_zip("lists", "far")).alias("p")).groupBy("p.lists").agg(F.max("p.far").alias("far")).collect():
+        radius[r.lists] = r.far
+    # Fitted and held-back vectors in turn.
+    trials = np.stack([x[:back], x[len(x) - back :]], axis=1).reshape(2 * back, length)
+    ratio = ratio_needed(model, postings, distinct, trials if back else x, k)
+    return Index(shared, postings, radius, length, k, ratio)
 
 
 def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -249,46 +297,79 @@ def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     k = index.k
     rows = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
     rows = rows.filter(F.col("query_id").isNotNull() & valid(F.col("q")) & (F.size("q") == index.length)).distinct()
-    found = materialize(read(index, rows, index.beam), "found")
+    found = materialize(read(index, rows, index.ratio), "found")
     # Where k rows were not found though lists are left, all are read.
     short = rows.join(found.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti")
-    if index.beam and index.beam < len(index.centroids.value.points) and not short.isEmpty():
-        found = found.join(short, "query_id", "left_anti").unionByName(read(index, short, len(index.centroids.value.points)))
+    if index.ratio and not short.isEmpty():
+        found = found.join(short, "query_id", "left_anti").unionByName(read(index, short, float("inf")))
     order = W.Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
 
 
-def read(index: Index, rows: DataFrame, lists: int) -> DataFrame:
-    """query_id, vec_id, score: the k nearest rows in the ``lists`` nearest lists of every query."""
-    shared, k = index.centroids, index.k
+def read(index: Index, rows: DataFrame, ratio: float) -> DataFrame:
+    """query_id, vec_id, score: the k nearest rows in the lists within ``ratio`` of every query."""
+    shared, radius, k = index.centroids, index.radius, index.k
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(list=shared.value.probes(np.stack(b["q"]), lists))
-
-    probes = rows.mapInPandas(probe, "query_id long, q array<double>, list array<int>").select("query_id", "q", F.explode("list").alias("list"))
-    probes = materialize(probes, "probes")
-    # A row per list, at most MOST_LISTS of them: how many blocks its vectors and its queries make.
-    per_list = index.postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asked = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    grid = F.broadcast(per_list.join(asked, "list"))
+            lists, far = shared.value.probes(np.stack(b["q"]), ratio)
+            row, parts = shared.value.grouped(lists, far)
+            home = shared.value.group[[own[0] for own in lists]]
+            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[row], "q": list(b["q"].to_numpy()[row]), **parts, "home": parts["group"] == home[row]})
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # A little more than the bound, as centre distances are rounded.
+            within = [np.asarray(f) - radius[np.asarray(own)] <= most * (1 + 1e-6) + 1e-9 for own, f, most in zip(b["lists"], b["far"], b["bound"])]
+            b["lists"] = [np.asarray(own)[w] for own, w in zip(b["lists"], within)]
+            yield b[[w.any() for w in within]]
+
+    asked = materialize(rows.mapInPandas(probe, f"query_id long, q array<double>, {GROUPED}, home boolean"), "probes")
+    near = materialize(best(meeting(index, asked.filter("home").withColumn("bound", F.lit(float("inf")))), k), "near")
+    bound = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("bound"))
+    rest = asked.filter("NOT home").join(bound, "query_id", "left").fillna(float("inf"), ["bound"])
+    columns = f"query_id long, q array<double>, {GROUPED}, bound double"
+    rest = materialize(rest.select("query_id", "q", "group", "lists", "far", "bound").mapInPandas(narrow, columns), "probes")
+    return best(near.unionByName(meeting(index, rest)), k)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of every query, each once."""
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = W.Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id", "score")
+
+
+def meeting(index: Index, asked: DataFrame) -> DataFrame:
+    """query_id, vec_id, score: at most k rows per query and block of a group, none beyond the query's bound."""
+    k = index.k
+    # A row per group: how many blocks its vectors and its queries make.
+    per_group = index.postings.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    queries = asked.groupBy("group").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+    grid = F.broadcast(per_group.join(queries, "group"))
     part = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.postings.join(grid, "list").select("list", part("v", "blocks").alias("a"), "query_blocks", "v", "ids").select("list", "a", each("query_blocks").alias("b"), "v", "ids")
-    right = probes.join(grid, "list").select("list", part("query_id", "query_blocks").alias("b"), "blocks", "query_id", "q").select("list", each("blocks").alias("a"), "b", "query_id", "q")
+    left = index.postings.join(grid, "group").select("group", part("v", "blocks").alias("a"), "query_blocks", "v", "ids", "lists")
+    left = left.select("group", "a", each("query_blocks").alias("b"), "v", "ids", "lists")
+    right = asked.join(grid, "group").select("group", part("query_id", "query_blocks").alias("b"), "blocks", "query_id", "q", "lists", "bound")
+    right = right.select("group", each("blocks").alias("a"), "b", "query_id", "q", F.col("lists").alias("wanted"), "bound")
 
-    def meet(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def meet(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(block) and len(asked):
+        if len(block) and len(queries):
             x, ids = np.stack(block["v"]), list(block["ids"])
-            for query, q in zip(asked["query_id"], asked["q"]):
-                d = np.sqrt(((x - q) ** 2).sum(axis=1))
-                bound = np.partition(d, k)[k] if len(d) > k else np.inf
-                near = [(d[i], v) for i in np.flatnonzero(d <= bound) for v in ids[i] if v != query]
+            rows = np.repeat(np.arange(len(x)), [len(own) for own in block["lists"]])
+            lists = np.concatenate(list(block["lists"]))
+            order = np.argsort(lists, kind="stable")
+            rows, lists = rows[order], lists[order]
+            for query, q, wanted, most in zip(queries["query_id"], queries["q"], queries["wanted"], queries["bound"]):
+                lo, hi = np.searchsorted(lists, wanted, "left"), np.searchsorted(lists, wanted, "right")
+                own = np.unique(np.concatenate([rows[i:j] for i, j in zip(lo, hi)]))
+                d = np.sqrt(((x[own] - q) ** 2).sum(axis=1))
+                if len(d) > k:
+                    most = min(most, np.partition(d, k)[k])
+                near = [(d[i], v) for i in np.flatnonzero(d <= most) for v in ids[own[i]] if v != query]
                 out += [(query, v, s) for s, v in sorted(near)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = W.Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id", "score")
+    return left.groupBy("group", "a", "b").cogroup(right.groupBy("group", "a", "b")).applyInPandas(meet, "query_id long, vec_id long, score double")
