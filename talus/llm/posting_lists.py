@@ -6,7 +6,7 @@ of all others almost as near (within ``CLOSURE``, ``REPLICAS`` at most), so one
 several sides. Centroids are few enough for every task's memory and are searched by best-first steps over
 a graph of their neighbours, for the vectors as for the queries.
 
-A query reads the lists whose distance is at most a ratio of that of its ``REPLICAS``-th nearest list. The
+A query reads its nearest list and those whose distance is at most a ratio of that of its ``YARDSTICK``-th nearest one. The
 ratio is measured: for ``TRIALS`` vectors, half of them held back from the fit, the exact neighbours among
 all rows are found, and the ratio is the least that reaches lists with ``RECALL`` of them, for the fitted
 and for the held-back ones. Neighbouring lists lie together in a group, which a task holds as a whole, and
@@ -41,9 +41,11 @@ from talus.llm.common import python_ready
 from talus.sources.gold import materialize
 
 #: Vectors the centroids are fitted on, and the number of centroids, at most. Vectors per list aimed at.
-SAMPLE, MOST_LISTS, PER_LIST = 16_384, 4096, 8
+SAMPLE, MOST_LISTS, PER_LIST = 16_384, 4096, 5
 #: Lists a vector is put into at most, and how much farther than the nearest they may be.
-REPLICAS, CLOSURE = 8, 1.15
+REPLICAS, CLOSURE = 8, 1.3
+#: The list whose distance a query's ratio refers to: that of the nearest ones says too much about the sample.
+YARDSTICK = 64
 #: Vectors that the ratio is measured with, and the share of their neighbours it must reach: above the 0.9
 #: asked for by more than the error of the measurement.
 TRIALS, RECALL = 512, 0.95
@@ -171,14 +173,14 @@ class Centroids:
     def probes(self, x: np.ndarray, ratio: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The lists of every query within ``ratio`` and their distances, nearest first."""
         lists, far = [None] * len(x), [None] * len(x)
-        todo, n = np.arange(len(x)), min(4 * REPLICAS, len(self.points))
+        todo, n = np.arange(len(x)), min(2 * YARDSTICK, len(self.points))
         while len(todo):
             ids, dist = self.nearest(x[todo], n)
-            limit = ratio * dist[:, min(REPLICAS, n) - 1]
+            limit = np.maximum(ratio * dist[:, min(YARDSTICK, n) - 1], dist[:, 0])
             # Where all that were found lie within the ratio, there may be more.
             open_ = (dist[:, -1] <= limit) & (n < len(self.points))
             for i, own, d, most in zip(todo[~open_], ids[~open_], dist[~open_], limit[~open_]):
-                within = (d <= most) & (own >= 0)
+                within = d <= most
                 lists[i], far[i] = own[within], d[within]
             todo, n = todo[open_], min(2 * n, len(self.points))
         return lists, far
@@ -249,12 +251,12 @@ def ratio_needed(model: Centroids, postings: DataFrame, distinct: DataFrame, x:
     rows = neighbours(distinct, x, k).join(postings.select("v", F.explode("lists").alias("list")), "v")
     held = rows.groupBy("trial", "v").agg(F.collect_list("list").alias("lists")).select("trial", "lists").collect()
     d = distances(x, model.points)
-    base = np.sort(d, axis=1)[:, min(REPLICAS, len(model.points)) - 1]
+    base = np.sort(d, axis=1)[:, min(YARDSTICK, len(model.points)) - 1]
     need = []
     for half in (0, 1):
         found = np.sort([d[r.trial, r.lists].min() / max(base[r.trial], 1e-300) for r in held if r.trial % 2 == half])
         need.append(found[int(np.ceil(RECALL * len(found))) - 1] if len(found) else 1.0)
-    return float(max(1.0, *need)) * (1 + 1e-9)
+    return float(max(need)) * (1 + 1e-9)
 
 
 def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10) -> Index:
