@@ -282,7 +282,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * common >= percent * (len(p) + len(q) - common))
         return pd.Series(out, dtype=bool)
 
-    of = lambda side: sets.select(F.col("digest").alias(side), F.col("members").alias(f"set_{side}"))
+    # Written, so that their size is known: only sets that a pair names are exchanged.
+    pairs = materialize(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    asked = sets.join(named, "digest", "left_semi")
+    of = lambda side: asked.select(F.col("digest").alias(side), F.col("members").alias(f"set_{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", similar("set_a", "set_b").alias("linked"))
 
 
