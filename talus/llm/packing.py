@@ -17,6 +17,7 @@ ignored."""
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,35 +37,71 @@ SMALLEST = 64
 END_ID = 0
 #: How byte-level vocabularies write a space.
 SPACE_BYTE = "Ġ"
+#: Latin letters, and ASCII marks at their end but for the apostrophe, which may begin a part with letters.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Entries of the memo of words; about 200 bytes each.
+WORDS_KEPT = 600_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, klass int, worker int, nth long"
 
 
 @functools.cache
 def encoder(path: str) -> tuple[Memo, Memo]:
-    """Ids as little-endian unsigned 32-bit numbers: of chunks as they are, and of chunks after a space."""
+    """Ids as little-endian unsigned 32-bit numbers: of chunks as they are, and of chunks after a space.
+
+    The tokenizer's first split takes a space with the letters after it as one part and the marks after
+    them as another. So a word of Latin letters goes to the same model with white space as the split,
+    written as the model spells bytes, and a word with marks at its end is the word and the marks."""
     import numpy as np
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    tok = Tokenizer.from_file(path)
+    tok, by_word = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     begins = np.zeros(tok.get_vocab_size(), dtype=bool)  # tokens that begin with a space
     begins[[i for t, i in tok.get_vocab().items() if t.startswith(SPACE_BYTE)]] = True
+    in_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    spelled = {i: in_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x250)}
 
     def alone(chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def spaced(chunks: list[str]) -> list[bytes]:
-        # Chunks without a space of their own are encoded in one text: each begins at a token with a space.
-        plain = [c for c in chunks if " " not in c]
-        ids = np.array(tok.encode_batch_fast(["".join(" " + c for c in plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def in_one_text(tokenizer: Tokenizer, text: str, words: list[str]) -> dict[str, bytes]:
+        # Words without a space of their own are encoded in one text: each begins at a token with a space.
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         raw, edges = ids.tobytes(), (4 * np.r_[np.flatnonzero(begins[ids]), len(ids)]).tolist()
-        assert len(edges) == len(plain) + 1
-        known = dict(zip(plain, (raw[a:b] for a, b in zip(edges, edges[1:]))))
-        other = [c for c in chunks if " " in c]
-        known.update(zip(other, alone([" " + c for c in other])))
-        return [known[c] for c in chunks]
+        assert len(edges) == len(words) + 1
+        return dict(zip(words, (raw[a:b] for a, b in zip(edges, edges[1:]))))
 
-    return Memo("packing", alone), Memo("packing", spaced)
+    def spaced(chunks: list[str]) -> list[bytes]:
+        words, marked, plain, other = set(), [], [], []
+        for c in chunks:
+            if m := _WORD.fullmatch(c):
+                if m[2]:
+                    marked.append((c, m[1], m[2]))
+                else:
+                    words.add(c)
+            else:
+                (other if " " in c else plain).append(c)
+        met = {}
+        for w in {w for _, w, _ in marked} - words:
+            if (ids := memo.known.get(w) or memo.old.get(w)) is not None:
+                met[w] = ids
+            else:
+                words.add(w)
+        if words:
+            latin = [w for w in words if not w.isascii()]
+            ordered = [*words.difference(latin), *latin]
+            text = " ".join(["", *ordered[: len(words) - len(latin)], *" ".join(latin).translate(spelled).split()])
+            met |= in_one_text(by_word, text.replace(" ", f" {SPACE_BYTE}"), ordered)
+        ends = list({end for _, _, end in marked})
+        ends = dict(zip(ends, alone(ends)))
+        met.update((c, met[w] + ends[end]) for c, w, end in marked)
+        met |= in_one_text(tok, " " + " ".join(plain), plain) if plain else {}
+        met.update(zip(other, alone([" " + c for c in other])))
+        return [met[c] for c in chunks]
+
+    memo = Memo("packing", spaced, WORDS_KEPT)
+    return Memo("packing", alone), memo
 
 
 held_by("packing", encoder.cache_clear)

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -45,6 +46,19 @@ def test_nulls_empty_long_and_extra_columns(spark):
     check(K.pack(df, PATH).collect(), dict(enumerate(texts)))
 
 
+def test_ids_of_words_marks_and_scripts():
+    rng = random.Random(5)
+    words = ["word", "Straße", "Ġ", "ĠĠa", "ª", "µm", "ŉ", "ɏ", "ɐ", "it's", "'s", "s'", "don't,'", "end.", "end...", "a_b", "_", "x1", "12", "漢字", "×", "a×", "İ", "ß!?",
+             "<|endoftext|>", "a<|endoftext|>", "a<|", "|>", "é", "e\u0301", "a\u00ad", "\u00a0", "a.\nB", "\t", "", "\n", "d'a", "O'Neill", "$$$", "tt%%%", "a'll", "ǅ", "\x1c", "a\x85b"]
+    texts = [rng.choice([" ", "  ", "", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    texts += ["".join(map(chr, range(lo, lo + 64))) for lo in range(0, 0x300, 64)] + [" ".join(map(chr, range(0x300)))] + [f"a{chr(i)} b{chr(i)}c {chr(i)}" for i in range(0x300)]
+    tok = Tokenizer.from_file(PATH)
+    for lo in range(0, len(texts), 200):
+        part = texts[lo : lo + 200]
+        for t, ids in zip(part, K.encode(part, PATH)):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert K.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
     rows = K.pack(spark.createDataFrame([(1, "same text", "", 0, ""), (1, "same text", "", 0, ""), (None, "no id", "", 0, "")], SCHEMA), PATH).collect()
