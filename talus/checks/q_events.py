@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
+from talus.functions.columns import ratio
 from talus.operators import budget as B
 from talus.operators import insiders as I
 from talus.operators import relative as M
@@ -108,7 +109,7 @@ def _(t):
 def _(t):
     names = t("fx_quotes").drop("target").join(t("fx_sectors").select("symbol", "sector"), "symbol", "left")
     return U.funnel_cube(names, ["sector", "quote_type", "currency"], {
-        "large": F.col("market_cap") > 2_000_000_000, "fell": F.col("price") / F.col("high52") - 1 <= -0.4, "priced": F.col("price") > 5})
+        "large": F.col("market_cap") > 2_000_000_000, "fell": ratio("price", "high52") - 1 <= -0.4, "priced": F.col("price") > 5})
 
 
 @query("weekly_sketches", """SELECT date_trunc('week', ts)::DATE AS week, count(*) AS rows, count(DISTINCT user_id) AS readers, true AS distinct_close, true AS median_close, true AS merge_is_whole

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.functions.columns import ratio
+
 
 def _number(c: str):
     x = F.col(c)
@@ -45,7 +47,7 @@ def positive_lookup(survivors: DataFrame, targets: DataFrame) -> DataFrame:
 
 def month_return(bars: DataFrame, as_of, days: int = 45, min_closes: int = 15, back: int = 22) -> DataFrame:
     """Return over about 21 trading days: last close against the ``back``-th from the end (or
-    the first); null below ``min_closes``. A symbol has at most one bar a day in the window."""
+    the first); null below ``min_closes``, infinite or NaN from a close of zero. A symbol has at most one bar a day in the window."""
     w = Window.partitionBy("symbol").orderBy(F.col("bar_date").desc())
     recent = bars.filter(
         F.col("close").isNotNull() & (F.col("bar_date") >= F.date_sub(F.lit(as_of).cast("date"), days))
@@ -58,7 +60,7 @@ def month_return(bars: DataFrame, as_of, days: int = 45, min_closes: int = 15, b
             F.max(F.when(F.col("rn") == 1, F.col("close"))).alias("last"),
             F.max_by("close", F.when(F.col("rn") <= back, F.col("rn"))).alias("ref"),
         )
-        .select("symbol", F.when(F.col("n") >= min_closes, F.col("last") / F.col("ref") - 1).alias("month_return"))
+        .select("symbol", F.when(F.col("n") >= min_closes, ratio("last", "ref") - 1).alias("month_return"))
     )
 
 
