@@ -60,6 +60,8 @@ def merged_sketches(sketches: DataFrame, keys: Sequence[Column | str]) -> DataFr
 
 
 def read_sketches(sketches: DataFrame, keys: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Estimated distinct count and quantiles of each state."""
+    """Estimated distinct count and quantiles of each state. A state that has seen its rows one by one also
+    remembers their order and estimates by that; joined with itself it forgets it, so the count depends on
+    who was there alone and is the same for merged states and for one state of all rows."""
     q = [F.kll_sketch_get_quantile_double("spread", F.lit(s)).alias(f"p{round(100 * s)}") for s in shares]
-    return sketches.select(*keys, "rows", F.hll_sketch_estimate("who").alias("distinct"), *q)
+    return sketches.select(*keys, "rows", F.hll_sketch_estimate(F.hll_union("who", "who")).alias("distinct"), *q)

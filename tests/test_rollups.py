@@ -55,6 +55,17 @@ def bars(spark, closes):
     return spark.createDataFrame([(s, D0 + timedelta(d), c) for s, xs in closes.items() for d, c in enumerate(xs) if c is not None], "symbol string, bar_date date, close double")
 
 
+@pytest.mark.parametrize("people", [40, 900, 6000, 30000])
+def test_merged_days_count_like_the_whole_week(spark, people):
+    ev = spark.range(3 * people).selectExpr(f"id * 7919 % {people} AS user_id", "id % 7 AS day", "cast(id % 100 as double) AS value", "id % 2 AS week")
+    for parts in (1, 5):
+        e = ev.coalesce(1) if parts == 1 else ev.repartition(parts)
+        merged = {r.week: r.distinct for r in U.read_sketches(U.merged_sketches(U.day_sketches(e, ["week", "day"], "user_id", "value"), ["week"]), ["week"]).collect()}
+        whole = {r.week: r.distinct for r in U.read_sketches(U.day_sketches(e, ["week"], "user_id", "value"), ["week"]).collect()}
+        exact = {r.week: r.n for r in e.groupBy("week").agg(F.countDistinct("user_id").alias("n")).collect()}
+        assert merged == whole and all(abs(merged[w] - exact[w]) <= 0.05 * exact[w] for w in exact)
+
+
 def test_beta_of_any_span_and_what_is_left(spark):
     rnd = random.Random(3)
     closes = {s: [100.0] for s in "ABCD"}
