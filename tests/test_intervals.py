@@ -43,6 +43,28 @@ def test_equals_every_pair(spark, seed):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_a_crowded_cell_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 10)
+    left, right = made(7, 120, lambda r: 1), made(57, 90, lambda r: 1)
+    a = spark.createDataFrame(left, "a int, k int, a_lo int, a_hi int")
+    b = spark.createDataFrame(right, "b int, k int, b_lo int, b_hi int")
+    got = sorted((r.a, r.b) for r in V.overlap_join(a, b, ["k"], ("a_lo", "a_hi"), ("b_lo", "b_hi")).collect())
+    assert got == sorted((x[0], y[0]) for x in left for y in right if overlap(x[2:], y[2:]))
+    mine = lambda df, lo, hi: V._cells(V._sides(df, lo, hi), [12])
+    x, y = V._blocks(mine(a, "a_lo", "a_hi"), mine(b, "b_lo", "b_hi"), ["k", "_at", "_cell"])
+    group = ["k", "_at", "_cell", "_row", "_col"]
+    assert max(r["count"] for df in (x, y) for r in df.groupBy(*group).count().collect()) <= 40
+
+
+def test_touched_or_not_makes_no_pairs(spark):
+    """A thousand long ranges a side share one key: a million pairs, of which none is made."""
+    a = spark.range(1000).selectExpr("id AS a", "1 AS k", "id AS a_lo", "id + 100000 AS a_hi").unionByName(spark.range(1).selectExpr("-1L AS a", "1 AS k", "-50L AS a_lo", "-40L AS a_hi"))
+    b = spark.range(1000).selectExpr("id AS b", "1 AS k", "id AS b_lo", "id + 100000 AS b_hi")
+    free = V.overlap_join(a, b, ["k"], ("a_lo", "a_hi"), ("b_lo", "b_hi"), "left_anti")
+    assert [r.a for r in free.collect()] == [-1]
+    assert "Generate explode" not in free._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dates_open_ends_and_no_keys(spark):
     d = date(2024, 1, 1)
     a = spark.createDataFrame([(1, d, d), (2, d, None), (3, d + timedelta(400), d + timedelta(401)), (4, None, d - timedelta(1))], "a int, f date, t date")
