@@ -155,11 +155,16 @@ SETTLED = f"{MESSAGES}, explicit string, ticker string, fallback string"
 CONTEXT = "chat bigint, msg_id bigint, ts timestamp, ticker string"
 
 
+#: Groups of chats that share a state per bucket of time.
+CHAT_GROUPS = 64
+
+
 def in_order(messages: DataFrame, lateness: str, bucket_seconds: int = 3600) -> DataFrame:
     """Messages held back until no earlier one is expected: the stream of ``MESSAGES`` with ``late``.
 
-    State is kept per chat and bucket of time, and holds the messages of that hour, however busy the
-    chat. A bucket is released as a whole when the watermark (the newest message less ``lateness``)
+    State is kept per bucket of time and group of chats, and holds the messages of that hour, however busy a
+    chat: so there are no more states than groups and open hours, however many chats there are, and a call
+    into Python serves a group's hour. When a bucket ends does not depend on the chat. A bucket is released as a whole when the watermark (the newest message less ``lateness``)
     has passed its end, so what one micro-batch releases lies behind all that the next ones release. A
     message whose bucket has been released already is late: it comes out at once, marked. Spark drops rows
     whose watermarked time lies behind the watermark, so that column is null in the rows that go to the
@@ -167,15 +172,15 @@ def in_order(messages: DataFrame, lateness: str, bucket_seconds: int = 3600) ->
     """
 
     def hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chat, bucket = key
-        rows = ([], [], [])
+        _, bucket = key
+        rows = ([], [], [], [])
         if state.hasTimedOut:
             rows, late = state.get, False
             state.remove()
         else:
             new = pd.concat(list(frames), ignore_index=True)
-            # At most the messages of one chat in one bucket.
-            rows = tuple(list(x) + y for x, y in zip(state.getOption or rows, (new["msg_id"].tolist(), new["micros"].tolist(), new["text"].tolist())))
+            # At most the messages of one group of chats in one bucket.
+            rows = tuple(list(x) + y for x, y in zip(state.getOption or rows, ([None if pd.isna(c) else int(c) for c in new["chat"]], new["msg_id"].tolist(), new["micros"].tolist(), new["text"].tolist())))
             late = False
             try:
                 state.setTimeoutTimestamp((int(bucket) + 1) * bucket_seconds * 1000)
@@ -184,24 +189,24 @@ def in_order(messages: DataFrame, lateness: str, bucket_seconds: int = 3600) ->
             else:
                 state.update(rows)
                 return
-        yield pd.DataFrame({"chat": chat, "msg_id": rows[0], "micros": rows[1], "text": rows[2], "late": late})
+        yield pd.DataFrame({"chat": pd.array(rows[0], dtype="Int64"), "msg_id": rows[1], "micros": rows[2], "text": rows[3], "late": late})
 
     never = F.lit("0001-01-01 00:00:00").cast("timestamp")
     none = lambda kind: F.lit(None).cast(kind)
     clock = messages.withWatermark("ts", lateness).filter(F.col("ts") < never).select(
-        none("bigint").alias("chat"), none("bigint").alias("msg_id"), none("string").alias("text"), none("bigint").alias("micros"), none("bigint").alias("bucket"), "ts")
+        none("bigint").alias("chat"), none("bigint").alias("msg_id"), none("string").alias("text"), none("bigint").alias("micros"), none("bigint").alias("bucket"), none("bigint").alias("slot"), "ts")
     rows = messages.filter("ts IS NOT NULL").select(
-        "chat", "msg_id", "text", F.unix_micros("ts").alias("micros"), F.floor(F.unix_seconds("ts") / bucket_seconds).alias("bucket"), none("timestamp").alias("ts"))
+        "chat", "msg_id", "text", F.unix_micros("ts").alias("micros"), F.floor(F.unix_seconds("ts") / bucket_seconds).alias("bucket"), F.pmod(F.xxhash64("chat"), F.lit(CHAT_GROUPS)).alias("slot"), none("timestamp").alias("ts"))
     keyed = clock.union(rows)
-    out = keyed.groupBy("chat", "bucket").applyInPandasWithState(
-        hold, "chat bigint, msg_id bigint, micros bigint, text string, late boolean", "ids array<bigint>, times array<bigint>, texts array<string>", "append", "EventTimeTimeout")
+    out = keyed.groupBy("slot", "bucket").applyInPandasWithState(
+        hold, "chat bigint, msg_id bigint, micros bigint, text string, late boolean", "chats array<bigint>, ids array<bigint>, times array<bigint>, texts array<string>", "append", "EventTimeTimeout")
     return out.select("chat", "msg_id", F.timestamp_micros("micros").alias("ts"), "text", "late")
 
 
 def held_back(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The messages that ``in_order`` still holds, read from the state of its last micro-batch."""
-    state = spark.read.format("statestore").load(checkpoint).select("key.chat", F.arrays_zip("value.groupState.ids", "value.groupState.times", "value.groupState.texts").alias("rows"))
-    return state.select("chat", F.inline("rows").alias("msg_id", "micros", "text")).select("chat", "msg_id", F.timestamp_micros("micros").alias("ts"), "text")
+    state = spark.read.format("statestore").load(checkpoint).select(F.arrays_zip("value.groupState.chats", "value.groupState.ids", "value.groupState.times", "value.groupState.texts").alias("rows"))
+    return state.select(F.inline("rows").alias("chat", "msg_id", "micros", "text")).select("chat", "msg_id", F.timestamp_micros("micros").alias("ts"), "text")
 
 
 def settle_after(rows: DataFrame, context: DataFrame, known: DataFrame, gap_hours: int, fallback_hours: int) -> DataFrame:
@@ -251,7 +256,8 @@ def debate_sessions(messages: DataFrame, known: DataFrame, where: str, gap_hours
 
     final = run_epochs(in_order(messages, lateness), where, ["msg_id"], mode="append", each=each, schema=SETTLED)
     last = spark.read.schema("epoch bigint").parquet(f"{where}/table").agg(F.max("epoch")).first()[0]
-    waiting = settle_after(held_back(spark, f"{where}/checkpoint"), context(last), known, gap_hours, fallback_hours).filter("new").drop("new")
+    # Nothing may have been released yet; then there is no context either.
+    waiting = settle_after(held_back(spark, f"{where}/checkpoint"), context(-1 if last is None else last), known, gap_hours, fallback_hours).filter("new").drop("new")
     return final.withColumn("final", F.lit(True)).unionByName(waiting.withColumn("final", F.lit(False)))
 
 

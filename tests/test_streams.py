@@ -169,6 +169,16 @@ def test_one_busy_chat_is_held_by_the_hour(spark, tmp_path):
     assert {r.n for r in state.selectExpr("size(value.groupState.ids) AS n").collect()} == {60}
 
 
+def test_very_many_chats_share_states(spark, tmp_path):
+    """Two thousand chats in two hours: as many states as groups and hours, and each chat its own company."""
+    msgs = [(i, i % 2000, T0 + timedelta(seconds=i), ("AA", "BB")[i % 2] if i < 2000 else None) for i in range(4000)]
+    land(spark, as_events(msgs), str(tmp_path / "in"), 1)
+    out = J.debate_sessions(debate_stream(spark, tmp_path / "in"), known(spark), str(tmp_path / "out"))
+    assert settled(out) == simulate_all(msgs)
+    state = spark.read.format("statestore").load(str(tmp_path / "out" / "checkpoint"))
+    assert 0 < state.count() <= 2 * J.CHAT_GROUPS
+
+
 def test_taps_are_taken_once_however_late(spark, tmp_path):
     rows = [(i, T0 + timedelta(minutes=i), i % 3, f"fb|2026-01-0{1 + i % 3}|T{i % 3}|{i % 2}", 0.0, "") for i in range(30)]
     land(spark, rows, str(tmp_path / "in"), 1)
