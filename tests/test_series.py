@@ -174,3 +174,23 @@ def test_facts_are_read_once_and_dealt_out_by_entity_once(spark, tmp_path):
         assert plan.count("FileScan") == 1
         assert plan.count("Exchange hashpartitioning") <= 3
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_points_are_the_three_series_from_one_read(spark, tmp_path):
+    data = []
+    for n in range(8):
+        pos = 0
+        for s, e, v, filed in filings(40 + n):
+            for tag, unit, start in (("Revenues", "USD", s), ("NetIncomeLoss", "EUR", s), ("InventoryNet", "USD", None)):
+                data.append((f"e{n}", "us-gaap", tag, unit, 0, start, e, v + len(tag), f"a{pos}", "10-Q", filed, pos))
+                pos += 1
+    # A concept whose only fact is no quarter still has its tag.
+    data.append(("short", "us-gaap", "Revenues", "USD", 0, date(2020, 1, 1), date(2020, 1, 9), 1.0, "a", "10-Q", date(2020, 2, 1), 0))
+    spark.createDataFrame(data, RAW).write.parquet(str(tmp_path / "f"))
+    chosen = S.choose_tags(spark.read.parquet(str(tmp_path / "f")), S.concept_dim(spark))
+    points = S.series_points(chosen)
+    for part, whole in zip(S.split_points(points), (S.quarterly_series(chosen), S.instant_series(chosen), S.tag_choice(chosen).select("entity_id", "concept", "tag"))):
+        rows = [sorted(map(tuple, df.select(part.columns).collect()), key=str) for df in (part, whole)]
+        assert rows[0] == rows[1] and rows[0]
+    plan = points._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
