@@ -55,7 +55,8 @@ def encoder(path: str) -> tuple[Memo, Memo]:
     import numpy as np
     from tokenizers import Tokenizer, pre_tokenizers
 
-    tok, by_word = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    by_word = Tokenizer(tok.model)  # the vocabulary is in memory once
     by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     begins = np.zeros(tok.get_vocab_size(), dtype=bool)  # tokens that begin with a space
     begins[[i for t, i in tok.get_vocab().items() if t.startswith(SPACE_BYTE)]] = True
