@@ -23,9 +23,10 @@ nonDerivativeTable STRUCT<nonDerivativeTransaction: ARRAY<STRUCT<
 
 def form4_explode(docs: DataFrame) -> DataFrame:
     """One row per transaction and owner; a document that can't be read gives none. docs: accession,
-    xml. The same filing delivered twice counts once."""
-    once = docs.groupBy("accession").agg(F.min("xml").alias("xml"))
-    read = once.select("accession", F.from_xml("xml", FORM4, {"mode": "PERMISSIVE"}).alias("d"))
+    xml. The same filing delivered twice counts once; of different texts, the one with the least hash.
+    The texts are read where they lie: only what is in them is exchanged."""
+    read = docs.select("accession", F.xxhash64("xml").alias("mark"), F.from_xml("xml", FORM4, {"mode": "PERMISSIVE"}).alias("d"))
+    read = read.groupBy("accession").agg(F.min_by("d", "mark").alias("d"))
     owners = read.select("accession", "d", F.explode("d.reportingOwner").alias("o"))
     rows = owners.select("accession", "d.issuer", "o", F.posexplode("d.nonDerivativeTable.nonDerivativeTransaction").alias("line", "t"))
     yes = lambda c: F.coalesce(F.lower(F.trim(c)).isin("1", "true"), F.lit(False))

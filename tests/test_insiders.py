@@ -53,3 +53,12 @@ def test_nested_documents(spark, tmp_path):
     assert sorted((r.accession, r.entity_id, r.owner, r.is_director, str(r.day), r.shares, r.price) for r in rows) == [
         ("acc-1", 320193, 1, True, "2024-03-01", 100.0, 9.5), ("acc-1", 320193, 2, False, "2024-03-01", 100.0, 9.5)]
     assert I.insider_buys(I.form4_explode(docs)).count() == 2
+
+
+def test_texts_are_read_before_they_are_exchanged(spark):
+    docs = spark.createDataFrame([("a", XML), ("a", XML)], "accession string, xml string")
+    rows = I.form4_explode(docs)
+    once = I.form4_explode(docs.limit(1)).count()
+    assert rows.count() == once > 0
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("from_xml") and plan.count("from_xml") == 1
