@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import ClassVar
 
 import numpy as np
@@ -102,18 +102,22 @@ class Memo:
             wanted.update(chunks)
         missing = [c for c in wanted if c not in self.known]
         if missing:
-            weigh = lambda chunks: len(chunks) + sum(map(len, chunks)) // 64
-            if self.held + weigh(missing) > self.entries // 2:
-                self.turn()
-                missing = list(wanted)
-            self.held += weigh(missing)
-            old = self.old
-            self.take_over([c for c in missing if c in old])
-            new = [c for c in missing if c not in old]
-            if new:
-                self.learn(new)
+            self.know(missing, wanted)
         return self.known.__getitem__
 
+    def know(self, missing: list[str], wanted: Iterable[str]) -> None:
+        """Learn what is missing; where that begins a generation, it takes over all that is wanted."""
+        weigh = lambda chunks: len(chunks) + sum(map(len, chunks)) // 64
+        if self.held + weigh(missing) > self.entries // 2:
+            self.turn()
+            missing = list(wanted)
+        self.held += weigh(missing)
+        old = self.old
+        self.take_over([c for c in missing if c in old])
+        new = [c for c in missing if c not in old]
+        if new:
+            self.learn(new)
+
     def turn(self) -> None:
         self.known, self.old, self.held = {}, self.known, 0
 
@@ -172,15 +176,86 @@ class VectorMemo(Memo):
         return [np.fromiter(map(at, c), dtype=np.int64, count=len(c)) for c in chunk_lists]
 
 
+def runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` with these starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class RunMemo(Memo):
+    """A memo of some numbers per chunk: ``compute`` gives chunks, the numbers of all of them and how
+    many are of each, in groups. Those of a chunk start at ``starts`` of its place in ``numbers``."""
+
+    def __init__(self, owner: str, compute: Callable[[list[str]], Iterator[tuple[list[str], np.ndarray, np.ndarray]]], entries: int = MEMO_ENTRIES):
+        super().__init__(owner, compute, entries)
+        self.clear()
+
+    def add(self, chunks: list[str], numbers: np.ndarray, sizes: np.ndarray) -> None:
+        places, end = self.used + len(chunks), self.end + len(numbers)
+        self.starts, self.sizes = (self.room(a, places, self.used) for a in (self.starts, self.sizes))
+        self.numbers = self.room(self.numbers, end, self.end)
+        self.sizes[self.used : places] = sizes
+        self.starts[self.used : places] = self.end + np.cumsum(sizes) - sizes
+        self.numbers[self.end : end] = numbers
+        self.known.update(zip(chunks, range(self.used, places)))
+        self.used, self.end = places, end
+
+    @staticmethod
+    def room(a: np.ndarray, size: int, used: int) -> np.ndarray:
+        if size <= len(a):
+            return a
+        grown = np.zeros(max(size, len(a) * 3 // 2), dtype=a.dtype)
+        grown[:used] = a[:used]
+        return grown
+
+    def learn(self, new: list[str]) -> None:
+        for group in self.compute(new):
+            self.add(*group)
+
+    def take_over(self, chunks: list[str]) -> None:
+        if chunks:
+            numbers, starts, sizes = self.old_runs
+            at = [self.old[c] for c in chunks]
+            self.add(chunks, runs(numbers, starts[at], sizes[at]), sizes[at])
+
+    def turn(self) -> None:
+        super().turn()
+        self.old_runs = self.numbers, self.starts, self.sizes
+        self.empty()
+
+    def clear(self) -> None:
+        super().clear()
+        self.empty()
+        self.old_runs = self.numbers, self.starts, self.sizes
+
+    def empty(self) -> None:
+        self.numbers, self.starts, self.sizes = np.zeros(1024, dtype="<u4"), np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.used = self.end = 0
+
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """The places of chunks, all different."""
+        take_over(self.owner)
+        at = list(map(self.known.get, chunks))
+        if missing := [c for c, p in zip(chunks, at) if p is None]:
+            self.know(missing, chunks)
+            at = list(map(self.known.__getitem__, chunks))
+        return np.array(at, dtype=np.int64)
+
+
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def single_spaced(text: str) -> bool:
+    """Every space stands between two non-space characters."""
+    plain = "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " "
+    return plain and not _RARE_SPACE.search(text)
+
+
 def words_with_space(text: str) -> list[str]:
     """Split at every single space that stands between two non-space characters. Joined with a space
     the parts give the text back; runs of white space stay inside a part."""
-    plain = "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " "
-    return text.split(" ") if plain and not _RARE_SPACE.search(text) else _INNER_SPACE.split(text)
+    return text.split(" ") if single_spaced(text) else _INNER_SPACE.split(text)
 
 
 def fold(id_col: str, parts: int) -> Column:

@@ -22,13 +22,16 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from talus.llm.common import Memo, held_by, python_ready, slices, texts_of, words_with_space
+from talus.llm.common import Memo, RunMemo, held_by, python_ready, runs, single_spaced, slices, texts_of, words_with_space
 from talus.sources.gold import materialize
 
 CAPACITY = 1024
@@ -37,8 +40,11 @@ SMALLEST = 64
 END_ID = 0
 #: How byte-level vocabularies write a space.
 SPACE_BYTE = "Ġ"
-#: Latin letters, and ASCII marks at their end but for the apostrophe, which may begin a part with letters.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters; ASCII marks but for the apostrophe, which may begin a part with letters.
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-&(-/:-@\[-`{-~]"
+_WORD = re.compile(f"{_LETTER}+")
+#: Begins a chunk that no space stands before.
+JOINED = "\x01"
 #: Entries of the memo of words; about 200 bytes each.
 WORDS_KEPT = 600_000
 
@@ -46,13 +52,12 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 @functools.cache
-def encoder(path: str) -> tuple[Memo, Memo]:
-    """Ids as little-endian unsigned 32-bit numbers: of chunks as they are, and of chunks after a space.
+def encoder(path: str) -> tuple[Memo, RunMemo, list[str]]:
+    """Ids of chunks as they are, as little-endian unsigned 32-bit numbers, and of chunks after a space
+    (after nothing, if they begin with ``JOINED``); what texts must not hold to be cut inside words.
 
-    The tokenizer's first split takes a space with the letters after it as one part and the marks after
-    them as another. So a word of Latin letters goes to the same model with white space as the split,
-    written as the model spells bytes, and a word with marks at its end is the word and the marks."""
-    import numpy as np
+    The tokenizer's first split takes a space with the letters after it as one part. So a word of Latin
+    letters goes to the same model with white space as the split, written as the model spells bytes."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
@@ -66,58 +71,78 @@ def encoder(path: str) -> tuple[Memo, Memo]:
     def alone(chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def in_one_text(tokenizer: Tokenizer, text: str, words: list[str]) -> dict[str, bytes]:
+    def in_one_text(tokenizer: Tokenizer, text: str, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         # Words without a space of their own are encoded in one text: each begins at a token with a space.
         ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        raw, edges = ids.tobytes(), (4 * np.r_[np.flatnonzero(begins[ids]), len(ids)]).tolist()
-        assert len(edges) == len(words) + 1
-        return dict(zip(words, (raw[a:b] for a, b in zip(edges, edges[1:]))))
+        edges = np.flatnonzero(begins[ids])
+        assert len(edges) == len(words)
+        return words, ids, np.diff(edges, append=len(ids))
 
-    def spaced(chunks: list[str]) -> list[bytes]:
-        words, marked, plain, other = set(), [], [], []
+    def spaced(chunks: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        words, latin, plain, other = [], [], [], []
         for c in chunks:
-            if m := _WORD.fullmatch(c):
-                if m[2]:
-                    marked.append((c, m[1], m[2]))
-                else:
-                    words.add(c)
+            if c.isascii() and c.isalpha():
+                words.append(c)
+            elif _WORD.fullmatch(c):
+                latin.append(c)
             else:
-                (other if " " in c else plain).append(c)
-        met = {}
-        for w in {w for _, w, _ in marked} - words:
-            if (ids := memo.known.get(w) or memo.old.get(w)) is not None:
-                met[w] = ids
-            else:
-                words.add(w)
-        if words:
-            latin = [w for w in words if not w.isascii()]
-            ordered = [*words.difference(latin), *latin]
-            text = " ".join(["", *ordered[: len(words) - len(latin)], *" ".join(latin).translate(spelled).split()])
-            met |= in_one_text(by_word, text.replace(" ", f" {SPACE_BYTE}"), ordered)
-        ends = list({end for _, _, end in marked})
-        ends = dict(zip(ends, alone(ends)))
-        met.update((c, met[w] + ends[end]) for c, w, end in marked)
-        met |= in_one_text(tok, " " + " ".join(plain), plain) if plain else {}
-        met.update(zip(other, alone([" " + c for c in other])))
-        return [met[c] for c in chunks]
-
-    memo = Memo("packing", spaced, WORDS_KEPT)
-    return Memo("packing", alone), memo
+                (other if " " in c or c[:1] == JOINED else plain).append(c)
+        if words or latin:
+            text = " ".join(["", *words, *" ".join(latin).translate(spelled).split()])
+            yield in_one_text(by_word, text.replace(" ", f" {SPACE_BYTE}"), words + latin)
+        if plain:
+            yield in_one_text(tok, " " + " ".join(plain), plain)
+        if other:
+            ids = alone([c[1:] if c[0] == JOINED else " " + c for c in other])
+            yield other, np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(x) // 4 for x in ids])
+
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    return Memo("packing", alone), RunMemo("packing", spaced, WORDS_KEPT), [JOINED, *added]
 
 
 held_by("packing", encoder.cache_clear)
 
 
+def chunks_of(texts: list[str], uncut: list[str]) -> tuple[list[int], pa.Array, np.ndarray]:
+    """Texts by their place, in an order of its own; the chunks of all of them; how many each has.
+
+    The tokenizer's first split always parts a single space from the character before it, letters from
+    marks after them, and letters from a mark, or a mark and one line end, before them. It never looks
+    back across, so the chunks may be encoded one by one. Texts that hold one of ``uncut`` are cut at
+    spaces only, those with ``JOINED`` not at all."""
+    plain, other = [], []
+    for i, t in enumerate(texts):
+        (plain if single_spaced(t) and not any(x in t for x in uncut) else other).append(i)
+    cut = pa.array([texts[i] for i in plain], pa.large_string())
+    cut = pc.replace_substring_regex(cut, f"({_LETTER})({_MARK})", rf"\1 {JOINED}\2")
+    cut = pc.split_pattern(pc.replace_substring_regex(cut, f"({_MARK}\n)({_LETTER})", rf"\1 {JOINED}\2"), " ")
+    rest = [[texts[i]] if JOINED in texts[i] else words_with_space(texts[i]) for i in other]
+    sizes = [*pc.list_value_length(cut).to_pylist(), *map(len, rest)]
+    return plain + other, pa.concat_arrays([cut.flatten(), pa.array([c for x in rest for c in x], pa.large_string())]), np.array(sizes, dtype=np.int64)
+
+
+def strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text. The tokenizer's first split always parts a single space from the character
-    before it and never looks across, so the parts of a text may be encoded one by one."""
-    heads, others = encoder(path)
+    """Ids of each text. Each distinct chunk of a slice is looked up once."""
+    heads, others, uncut = encoder(path)
     for lo, hi in slices(texts):
-        parts = [words_with_space(t) if t else [] for t in texts[lo:hi]]
-        first, rest = [p[:1] for p in parts], [p[1:] for p in parts]
-        head, other = heads.ready(first), others.ready(rest)
-        for f, r in zip(first, rest):
-            yield b"".join(map(head, f)) + b"".join(map(other, r))
+        places, chunks, n = chunks_of(texts[lo:hi], uncut)
+        first = np.zeros(len(chunks), dtype=bool)
+        first[np.cumsum(n) - n] = True
+        begin = strings(chunks.filter(pa.array(first)))
+        head = heads.ready([begin])
+        rest = chunks.filter(pa.array(~first)).dictionary_encode()
+        at = others.places(strings(rest.dictionary))[rest.indices.to_numpy()]
+        sizes = others.sizes[at]
+        ids = runs(others.numbers, others.starts[at], sizes).tobytes()
+        ends = 4 * np.r_[0, np.cumsum(sizes)][np.cumsum(n - 1)]
+        out = [b""] * len(places)
+        for i, h, a, b in zip(places, begin, [0, *ends.tolist()], ends.tolist()):
+            out[i] = head(h) + ids[a:b]
+        yield from out
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> Iterator[tuple[int, int]]:

@@ -59,6 +59,20 @@ def test_ids_of_words_marks_and_scripts():
             assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_word_is_held_once_whatever_marks_and_lines_it_meets():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(8)) for _ in range(200)]
+    marks = ["", ",", ".", ".&&&", "!?", ".\n", "\x01", ".\x01a", "\x01,", "<|endoftext|>,"]
+    texts = [" ".join(w + m + (w if "\n" in m else "") for w in words) for m in marks] + ["\x01", "a \x01", "a\x01b, \x01c", ",", ", a", "\na", "a.\n\nb", "a.\nb.\nc"]
+    tok = Tokenizer.from_file(PATH)
+    K.encoder.cache_clear()
+    for t, ids in zip(texts, K.encode(texts, PATH)):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(t, add_special_tokens=False).ids, t
+    K.encoder.cache_clear()
+    list(K.encode(texts[:6], PATH))
+    assert len(K.encoder(PATH)[1].known) <= 2 * len(words) + len(marks)
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert K.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
     rows = K.pack(spark.createDataFrame([(1, "same text", "", 0, ""), (1, "same text", "", 0, ""), (None, "no id", "", 0, "")], SCHEMA), PATH).collect()
