@@ -51,6 +51,22 @@ def slices(texts: list[str], limit: int = CHARS_PER_SLICE) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+#: Bits of one bitmap, as Spark's bitmap functions have them, and of all that ``maybe_named`` sends out (4 MB).
+BITMAP, NAMED_BITS = 32_768, 2**25
+
+
+def maybe_named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` stands in ``names``, and few others, before they are exchanged for an exact join.
+
+    The names are marked by their hash in bitmaps that every task gets; their size is fixed, so for very
+    many names more of the other rows pass."""
+    at = F.pmod(F.xxhash64(key), F.lit(NAMED_BITS))
+    bits = names.select(at.alias("at")).groupBy(F.floor(F.col("at") / BITMAP).alias("map")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bits"))
+    met = rows.withColumns({"at": at % BITMAP, "map": F.floor(at / BITMAP)}).join(F.broadcast(bits), "map")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return met.filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.col("at") % 8).cast("int") + 1)) != 0).select(*rows.columns)
+
+
 #: What a worker's memory holds for one operator, as functions that let it go.
 _HELD: dict[str, list[Callable[[], None]]] = {}
 _OWNER: list[str] = [""]

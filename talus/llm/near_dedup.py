@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from talus.llm.common import python_ready, take_over, texts_of
+from talus.llm.common import maybe_named, python_ready, take_over, texts_of
 from talus.llm.components import components
 from talus.sources.gold import materialize
 
@@ -285,21 +285,22 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Written, so that their size is known: only sets that a pair names are exchanged.
     pairs = materialize(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    asked = sets.join(named, "digest", "left_semi")
+    asked = maybe_named(sets, named, "digest").join(named, "digest", "left_semi")
     of = lambda side: asked.select(F.col("digest").alias(side), F.col("members").alias(f"set_{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", similar("set_a", "set_b").alias("linked"))
 
 
 def full_sets(docs: DataFrame, sigs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """Shingle sets of the given digests, each from one document that has it."""
-    ids = sigs.join(nodes, "digest").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    ids = materialize(sigs.join(nodes, "digest").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "named")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t, width).tobytes() for t in texts_of(b["text"])]
             yield pd.DataFrame({"digest": b["digest"], "own": [xxhash.xxh3_128_digest(s) for s in sets], "members": sets})
 
-    made = docs.join(ids, "doc_id").select("digest", "text").mapInPandas(run, "digest binary, own binary, members binary")
+    # Only texts that are asked for are exchanged, which are few of all.
+    made = maybe_named(docs, ids, "doc_id").join(ids, "doc_id").select("digest", "text").mapInPandas(run, "digest binary, own binary, members binary")
     # An id may come with several texts; the digest tells which one is meant.
     return made.filter("digest = own").groupBy("digest").agg(F.min("members").alias("members"))
 

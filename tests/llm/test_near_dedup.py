@@ -170,3 +170,16 @@ def test_trees_fit_the_percentage(spark):
             docs.append((len(docs), " ".join(w)))
     df = spark.createDataFrame([(d, t, 0, "", True, "") for d, t in docs], SCHEMA)
     check(N.near_duplicates(df, 3, 60).collect(), docs, 3, 60)
+
+
+def test_only_texts_that_are_asked_for_are_exchanged(spark):
+    from talus.llm.common import maybe_named
+
+    docs = spark.range(-20_000, 20_000).selectExpr("id AS doc_id", "concat('a b c ', id) AS text").unionByName(spark.sql("SELECT CAST(NULL AS long) AS doc_id, '' AS text"))
+    names = docs.filter("doc_id % 50 = 7").select("doc_id")
+    passed = maybe_named(docs, names, "doc_id")
+    assert passed.columns == docs.columns and passed.join(names, "doc_id", "left_semi").count() == names.count() <= passed.count() < 2 * names.count()
+    assert maybe_named(docs, names.limit(0), "doc_id").isEmpty()
+    sigs = docs.selectExpr("doc_id", "cast(text AS binary) AS digest")
+    plan = N.full_sets(docs, sigs, sigs.filter("doc_id = 7").select("digest"), 3)._jdf.queryExecution().toString()
+    assert "bitmap_construct_agg" in plan
