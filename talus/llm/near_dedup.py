@@ -285,7 +285,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Written, so that their size is known: only sets that a pair names are exchanged.
     pairs = materialize(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    asked = maybe_named(sets, named, "digest").join(named, "digest", "left_semi")
+    # An inner join: a semi join would be moved before the bitmaps.
+    asked = maybe_named(sets, named, "digest").join(named, "digest")
     of = lambda side: asked.select(F.col("digest").alias(side), F.col("members").alias(f"set_{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", similar("set_a", "set_b").alias("linked"))
 
@@ -385,7 +386,8 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 def completed(crowded: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components, of all pairs of crowded sets that are similar enough."""
-    placed = sets.join(crowded.withColumnRenamed("node", "digest"), "digest").join(roots.withColumnRenamed("node", "digest"), "digest")
+    crowded = crowded.withColumnRenamed("node", "digest")
+    placed = maybe_named(sets, crowded, "digest").join(crowded, "digest").join(roots.withColumnRenamed("node", "digest"), "digest")
     # Short names: sets that share one by chance are only compared in vain.
     placed = placed.select(F.xxhash64("digest").alias("node"), F.xxhash64("root").alias("top"), "digest", "root", "members")
 

@@ -183,3 +183,16 @@ def test_only_texts_that_are_asked_for_are_exchanged(spark):
     sigs = docs.selectExpr("doc_id", "cast(text AS binary) AS digest")
     plan = N.full_sets(docs, sigs, sigs.filter("doc_id = 7").select("digest"), 3)._jdf.queryExecution().toString()
     assert "bitmap_construct_agg" in plan
+
+
+def test_sets_are_told_apart_before_they_are_exchanged(spark):
+    rows = lambda where: spark.range(100).filter(where).selectExpr("cast(concat('n', id) AS binary) AS digest", "unhex('0000000000000001') AS members")
+    pairs = rows("id < 4").selectExpr("digest AS a", "digest AS b")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = N.confirm(pairs, rows("id >= 0"), 80)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.count() == 4 and "LeftSemi" not in plan and "bitmap_construct_agg" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
