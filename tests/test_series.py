@@ -194,3 +194,28 @@ def test_points_are_the_three_series_from_one_read(spark, tmp_path):
         assert rows[0] == rows[1] and rows[0]
     plan = points._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_a_short_fact_before_a_longer_one_makes_no_quarter(spark):
+    day = date(2023, 1, 1)
+    data = []
+    for name, lengths in (("short", (30, 120)), ("chain", (30, 90, 181, 272)), ("long", (91, 182, 500))):
+        for pos, n in enumerate(lengths):
+            data.append((name, "us-gaap", "Revenues", "USD", 0, day, day + timedelta(days=n), float(n), "a", "10-Q", date(2025, 1, 1), pos))
+    chosen = S.choose_tags(spark.createDataFrame(data, RAW), S.concept_dim(spark))
+    q, _, tags = S.split_points(S.series_points(chosen))
+    assert sorted(map(tuple, q.collect())) == sorted(map(tuple, S.quarterly_series(chosen).select(q.columns).collect()))
+    assert sorted((r.entity_id, r.val, r.derived) for r in q.collect()) == [
+        ("chain", 90.0, "direct"), ("chain", 91.0, "ytd-diff"), ("chain", 91.0, "ytd-diff"), ("long", 91.0, "direct"), ("long", 91.0, "ytd-diff")]
+    assert tags.count() == 3
+
+
+def test_points_take_two_orders_and_five_windows(spark, tmp_path):
+    """One order serves the choice of unit and tag and the facts of a start, one the points of a series."""
+    rows = [("E", "us-gaap", "Revenues", "USD", 0, date(2024, 1, 1), date(2024, 3, 31), 1.0, "a", "10-Q", date(2024, 5, 1), 0)]
+    spark.createDataFrame(rows, RAW).write.parquet(str(tmp_path / "f"))
+    points = S.series_points(S.choose_tags(spark.read.parquet(str(tmp_path / "f")), S.concept_dim(spark)))
+    plan = points._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum(line.lstrip(" :+-*()0123456789").startswith("Window ") for line in plan.splitlines()) == 5
+    after = plan[: plan.index("REPARTITION_BY_COL")]
+    assert sum(line.lstrip(" :+-*()0123456789").startswith("Sort ") for line in after.splitlines()) == 2
