@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talus.checks.chains import _LATER, jr
 from talus.checks.q_metrics import SANITY_CONF, Facts
+from talus.checks.q_multiples import BALANCES, FREE_CASH, RETURNS, RISK, Lean
 from talus.checks.q_multiples import sql as val_sql
 from talus.checks.q_series import chosen
 from talus.checks.q_scenarios import ANCHOR, SCEN_ALL, Scen, ensemble
@@ -147,24 +148,24 @@ def _(t):
     return d.select("entity_id", "price", "effective", "required_discount", "undervaluation_pct", fails.alias("fails"))
 
 
-def rule(key: str, names: tuple[str, ...], build, src: str = "gin"):
+def rule(key: str, names: tuple[str, ...], build, src: str = "gin", concepts: tuple[str, ...] | None = None):
     cases = "concat_ws(',', " + ", ".join(f"CASE WHEN {_PRED[n]} THEN '{n}' END" for n in names) + ")"
 
     @query(key, sql(f"SELECT entity_id, {cases} AS reasons, {cases} = '' AS pass FROM {src}"))
     def _(t):
-        return G.gate_rule(build(Gate(t)), names).withColumn("reasons", F.array_join("reasons", ","))
+        return G.gate_rule(build(Lean(t, concepts) if concepts else Gate(t)), names).withColumn("reasons", F.array_join("reasons", ","))
 
 
 _eco = lambda g: g.economics().withColumn("has_economics", F.lit(True))
-rule("gate_debt", ("debt",), lambda g: g.metrics(), "mx")
-rule("gate_fcf", ("no_free_cash_flow",), lambda g: g.metrics(), "mx")
+rule("gate_debt", ("debt",), lambda g: g.metrics(), "mx", (*BALANCES, "operatingIncome", "depreciationAmortization"))
+rule("gate_fcf", ("no_free_cash_flow",), lambda g: g.metrics(), "mx", ("cash", *FREE_CASH))
 rule("gate_moat", ("moat",), lambda g: g.verdicts(), "fx_verdicts")
-rule("gate_expectations", ("no_expectations_gap", "economics_unknown"), _eco, "(SELECT *, true AS has_economics FROM ecov)")
-rule("gate_roic", ("roic_below_cost",), _eco, "(SELECT *, true AS has_economics FROM ecov)")
+rule("gate_expectations", ("no_expectations_gap", "economics_unknown"), _eco, "(SELECT *, true AS has_economics FROM ecov)", (*RISK, "netIncome"))
+rule("gate_roic", ("roic_below_cost",), _eco, "(SELECT *, true AS has_economics FROM ecov)", (*RISK, *RETURNS))
 rule("gate_street_cap", ("street_cap",), lambda g: g.calibrated().join(g.targets(), "entity_id", "left"),
      "(SELECT c.entity_id, CASE WHEN calibration_active THEN least(fair_adjusted, fair) ELSE fair END AS effective, p.price * (60 + c.entity_id % 90) / 100 AS street_target FROM calf c LEFT JOIN px p USING (entity_id))")
-rule("gate_dilution", ("serial_dilution",), lambda g: g.metrics(), "mx")
-rule("gate_fcf_consistency", ("inconsistent_cash",), lambda g: g.metrics(), "mx")
+rule("gate_dilution", ("serial_dilution",), lambda g: g.metrics(), "mx", ("cash", "revenue", "sharesOutstanding", "weightedSharesDiluted"))
+rule("gate_fcf_consistency", ("inconsistent_cash",), lambda g: g.metrics(), "mx", ("cash", "revenue", *FREE_CASH))
 rule("gate_evidence", ("insufficient_evidence", "degraded_metrics"),
      lambda g: g.verdicts().join(M.sanity_confidence(g.entities, M.sanity_flags(g.entities, g.tags, g.q, g.i, g.metrics())), "entity_id", "left"),
      "(SELECT * FROM fx_verdicts LEFT JOIN conf USING (entity_id))")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from talus.checks.chains import _LATER, facts_sql, jr
 from talus.checks.q_metrics import Facts, Written
+from talus.checks.q_series import chosen
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
 from talus.operators import asof
@@ -113,11 +112,22 @@ class Val(Written):
         return E.economic_view(base.join(E.eps_growth(self.t("fx_estimates")), "entity_id", "left"), ECO)
 
 
+class Lean(Val):
+    """For plans that read the metrics once: they are not written, so only what the result asks for is
+    worked out. With ``concepts`` the others are not worked on; ``cash`` is always among them, as a
+    supplier reports it with whatever else, so no entity is lost."""
+
+    def metrics(self):
+        return Facts.metrics(self)
+
+
+TRAILING = ("revenue", "operatingIncome", "depreciationAmortization", "netIncome", "cfo", "capex")
+OVER_TIME = (*TRAILING, *X.DATED)
+
+
 def trailing(t):
     """Trailing sums from the concepts they are made of; the other concepts are not worked on."""
-    needed = [c for c, short in M.DURATION.items() if short in ("rev", "oi", "da", "ni", "cfo", "capex")]
-    dim = S.concept_dim(t.spark).filter(F.col("concept").isin(*needed))
-    return X.ttm_series(M.quarter_grid(S.quarterly_series(S.choose_tags(t("fx_facts"), dim))))
+    return X.ttm_series(M.quarter_grid(S.quarterly_series(chosen(t, TRAILING))))
 
 
 @query("ttm_series", sql("SELECT entity_id, metric, is_ev, p_end, ttm FROM ts"))
@@ -127,7 +137,7 @@ def _(t):
 
 @query("asof_nearest_instant", sql("SELECT entity_id, p_end, concept, near FROM near6"))
 def _(t):
-    v = Val(t)
+    v = Lean(t, OVER_TIME)
     b = v.balances()
     rows = ", ".join(f"struct('{c}' AS concept, {c} AS near)" for c in X.DATED)
     return b.selectExpr("entity_id", "p_end", f"inline(array({rows}))")
@@ -142,46 +152,53 @@ def _(t):
 
 @query("net_debt_at", sql("SELECT entity_id, p_end, net_debt_at FROM nda"))
 def _(t):
-    v = Val(t)
+    v = Lean(t, OVER_TIME)
     return X.net_debt_at(v.balances(), v.now()).select("entity_id", "p_end", "net_debt_at")
 
 
 @query("shares_at", sql("SELECT entity_id, p_end, shares_at FROM nda"))
 def _(t):
-    v = Val(t)
+    v = Lean(t, OVER_TIME)
     return X.net_debt_at(v.balances(), v.now()).select("entity_id", "p_end", "shares_at")
 
 
 @query("historical_multiples", sql("SELECT * FROM hm"))
 def _(t):
-    return Val(t).ratios()
+    return Lean(t, OVER_TIME).ratios()
 
 
 @query("multiple_bands", sql("SELECT * FROM bands"))
 def _(t):
-    return X.multiple_bands(Val(t).ratios())
+    return X.multiple_bands(Lean(t, OVER_TIME).ratios())
 
 
 @query("current_multiples", sql("SELECT * FROM cur"))
 def _(t):
-    return X.current_multiples(Val(t).metrics(), X.last_close(t("fx_bars_m")))
+    return X.current_multiples(Lean(t).metrics(), X.last_close(t("fx_bars_m")))
+
+
+BALANCES = ("cash", "shortTermInvestments", "longTermDebt", "currentDebt")
+FREE_CASH = ("cfo", "capex", "sbc")
+#: What the discount rate depends on: leverage, cash margin, market value.
+RISK = (*BALANCES, *FREE_CASH, "revenue", "operatingIncome", "depreciationAmortization", "sharesOutstanding", "weightedSharesDiluted")
+RETURNS = (*BALANCES, "operatingIncome", "equity", "ppe")
 
 
-def eco_query(name: str, cols: str):
+def eco_query(name: str, cols: str, *concepts: str):
     names = [c.strip() for c in cols.split(",")]
 
     @query(name, sql(f"SELECT entity_id, {cols} FROM ecov", "fx_estimates"))
     def _(t):
-        return Val(t).economics().select("entity_id", *names)
+        return Lean(t, concepts).economics().select("entity_id", *names)
 
 
-eco_query("risk_tier_rate", "discount_rate_pct, risk_markers")
-eco_query("normalized_earnings", "norm_ebit, norm_fcf")
-eco_query("epv_floor", "epv_per_share")
-eco_query("implied_growth", "implied_growth_pct")
-eco_query("street_growth", "street_growth_pct, growth_proxy")
-eco_query("roic", "roic_pct")
-eco_query("expectations_gap", "street_growth_pct, implied_growth_pct, expectations_gap_pts")
+eco_query("risk_tier_rate", "discount_rate_pct, risk_markers", *RISK)
+eco_query("normalized_earnings", "norm_ebit, norm_fcf", "cash", *FREE_CASH, "operatingIncome")
+eco_query("epv_floor", "epv_per_share", *RISK)
+eco_query("implied_growth", "implied_growth_pct", *RISK)
+eco_query("street_growth", "street_growth_pct, growth_proxy", "cash", "revenue", "netIncome")
+eco_query("roic", "roic_pct", *RETURNS)
+eco_query("expectations_gap", "street_growth_pct, implied_growth_pct, expectations_gap_pts", *RISK, "netIncome")
 
 
 @query("eps_growth", sql("SELECT * FROM street", "fx_estimates"))
