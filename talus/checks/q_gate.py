@@ -102,7 +102,7 @@ class Gate(Scen):
         return G.fast_guard(K.falsifier_rollup(self.t("fx_grades")))
 
     def prices(self):
-        return X.last_close(self.t("fx_bars_m"))
+        return X.last_close(self.closes)
 
     def targets(self):
         return self.prices().selectExpr("entity_id", "price", "price * (60 + entity_id % 90) / 100 AS street_target")

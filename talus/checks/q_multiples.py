@@ -98,6 +98,10 @@ def sql(body: str, *roles: str) -> str:
 
 
 class Val(Written):
+    @property
+    def closes(self):
+        return self.t("fx_bars_m")
+
     def now(self):
         return self.metrics().select("entity_id", "net_debt", "shares")
 
@@ -105,10 +109,10 @@ class Val(Written):
         return X.dated_balances(X.ttm_series(self.grid), self.i, self.q)
 
     def ratios(self):
-        return X.historical_multiples(X.ttm_series(self.grid), self.balances(), self.t("fx_bars_m"), self.now())
+        return X.historical_multiples(X.ttm_series(self.grid), self.balances(), self.closes, self.now())
 
     def economics(self):
-        base = self.metrics().join(X.last_close(self.t("fx_bars_m")), "entity_id", "left")
+        base = self.metrics().join(X.last_close(self.closes), "entity_id", "left")
         return E.economic_view(base.join(E.eps_growth(self.t("fx_estimates")), "entity_id", "left"), ECO)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from talus import params as P
@@ -79,6 +81,11 @@ def sql(body: str, *roles: str) -> str:
 
 
 class Scen(Val):
+    @cached_property
+    def closes(self):
+        """Written once: bands and several prices read them."""
+        return materialize(super().closes, "closes")
+
     def priced(self):
         return S.implied_price(self.t("fx_scenarios"), self.metrics())
 
@@ -86,7 +93,7 @@ class Scen(Val):
         make = {
             "metrics": self.metrics,
             "bands": lambda: X.multiple_bands(self.ratios()),
-            "prices": lambda: X.last_close(self.t("fx_bars_m")),
+            "prices": lambda: X.last_close(self.closes),
             "street": lambda: E.eps_growth(self.t("fx_estimates")),
         }
         return V.context(self.t("fx_scenarios"), self.t("fx_verdicts"), **{k: make[k]() for k in needs or make})
