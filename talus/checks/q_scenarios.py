@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talus import params as P
 from talus.checks.chains import _LATER, jr
-from talus.checks.q_metrics import RULED, SANITY_CONF
+from talus.checks.q_metrics import SANITY_CONF
 from talus.checks.q_multiples import Lean, Val, sql as val_sql
 from talus.checks.registry import query
 from talus.checks.roles import with_roles
@@ -224,7 +224,7 @@ def _(t):
     SELECT 'avg_agreement', avg_agreement, 80e-2, 1e0 FROM ({_HEALTH}) UNION ALL
     SELECT 'sanity_trip_rate', {jr("count(*) FILTER (WHERE confidence = 'degraded') / count(*)", 4)}, 10e-2, 20e-2 FROM ({SANITY_CONF}))""", "fx_entity_votes"))
 def _(t):
-    f = Lean(t, RULED)
+    f = Lean(t)
     conf = M.sanity_confidence(f.entities, M.sanity_flags(f.entities, f.tags, f.q, f.i, f.metrics()))
     return S.health_ranges(health(t), conf)
 
