@@ -1,9 +1,9 @@
 """Joins of ranges that overlap, without comparing every range with every other.
 
-A range belongs to the level whose cells (powers of two) are just as long as it is, so it touches two
-cells at most, there and on every coarser level. Two ranges that overlap share a cell on the coarser of
-their two levels; they meet there by equality, and only there, and the exact test follows. A cell then
-holds few finer ranges that miss the coarse one, whatever the mixture of lengths: no width has to be
+A range belongs to the level whose cells (powers of two) are an eighth of its length or little more, so it
+touches nine cells at most, there and on every coarser level. Two ranges that overlap share a cell on the
+coarser of their two levels; they meet there by equality, and only there, and the exact test follows. A cell
+then holds few finer ranges that miss the coarse one, whatever the mixture of lengths: no width has to be
 chosen, and long ranges are not copied into thousands of cells. A crowded cell is cut into blocks of rows
 that meet block by block, in groups of bounded size. Asking only whether a range is touched makes no pairs.
 """
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 OPEN = 2**40
 
 
+#: How often a cell of a range's length is halved: less stands at the edges and meets the range without touching it.
+FINER = 3
+
+
 def _number(x: Column, kind: str) -> Column:
     return F.unix_date(x).cast("bigint") if kind == "date" else x.cast("bigint")
 
@@ -26,15 +30,15 @@ def _sides(df: DataFrame, lo: str, hi: str) -> DataFrame:
     begin = F.coalesce(_number(F.col(lo), kinds[lo]), F.lit(-OPEN))
     end = F.coalesce(_number(F.col(hi), kinds[hi]), F.lit(OPEN))
     whole = df.withColumn("_lo", begin).withColumn("_hi", end).filter("_lo <= _hi")
-    # The number of binary digits of the length less one: cells of that power hold the range.
-    return whole.withColumn("_level", F.when(F.col("_lo") == F.col("_hi"), 0).otherwise(F.length(F.bin(F.col("_hi") - F.col("_lo")))))
+    # The number of binary digits of the length: a cell of that power would hold the range.
+    return whole.withColumn("_level", F.when(F.col("_lo") == F.col("_hi"), 0).otherwise(F.greatest(F.length(F.bin(F.col("_hi") - F.col("_lo"))) - FINER, F.lit(0))))
 
 
 def _cells(df: DataFrame, levels: list[int]) -> DataFrame:
     """Each range once per cell it touches, on its own level and the coarser ones of ``levels``."""
     at = df.withColumn("_at", F.explode(F.array_distinct(F.concat(F.array("_level"), F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > F.col("_level"))))))
     first, last = F.expr("shiftright(_lo, _at)"), F.expr("shiftright(_hi, _at)")
-    return at.withColumn("_first", first).withColumn("_cell", F.explode(F.array_distinct(F.array(first, last))))
+    return at.withColumn("_first", first).withColumn("_cell", F.explode(F.sequence(first, last)))
 
 
 #: Rows of one side that meet in one task's block: a pair of blocks makes twenty million pairs at most.

@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from talus.operators import intervals as V
 from talus.operators import screen as S
@@ -85,6 +86,18 @@ def test_few_candidates_whatever_the_lengths(spark):
     assert V._cells(V._sides(a, "lo", "hi"), levels).count() <= 300 * 2 * (len(levels) + 1)
 
 
+def test_what_meets_is_mostly_pairs(spark):
+    """Long ranges among short ones of one key: few meet that don't overlap."""
+    rnd = random.Random(4)
+    longs, shorts = ([(i, lo := rnd.randrange(2500), lo + size) for i in range(400)] for size in (700, 20))
+    sides = [V._sides(spark.createDataFrame(rows, "a int, lo int, hi int"), "lo", "hi") for rows in (longs, shorts)]
+    levels = [x.select("_level").distinct().collect()[0][0] for x in sides]
+    x, y = (V._cells(s, [level]).filter(F.col("_at") == max(levels)) for s, level in zip(sides, reversed(levels)))
+    met = x.groupBy("_cell").agg(F.count("*").alias("n")).join(y.groupBy("_cell").agg(F.count("*").alias("m")), "_cell").agg(F.sum(F.col("n") * F.col("m"))).collect()[0][0]
+    pairs = sum(overlap(a[1:], b[1:]) for a in longs for b in shorts)
+    assert pairs <= met <= 1.4 * pairs
+
+
 def test_industry_ranges(spark):
     c = spark.createDataFrame([("A",), ("B",), ("C",), ("D",), ("E",)], "symbol string")
     d = date(2020, 1, 1)
